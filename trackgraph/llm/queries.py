@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackgraph.llm import decontamination, language_id, mixing, ngram_join, sharding, window_dedup
+from trackgraph.llm import decontamination, language_id, mixing, ngram_join, quality_rules, sharding, token_records, window_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,10 @@ def op2_shard_by_label_propagation(spark: SparkSession, sf_dir: str) -> DataFram
     return sharding.shard_table(_table(spark, sf_dir, "documents"), shards=40)
 
 
+def op3_risk_controlled_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judged(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op4_super_kmer_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return window_dedup.without_repeats_digest(_table(spark, sf_dir, "documents"), width=20)
 
@@ -35,6 +39,12 @@ def op7_qgram_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminations(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op8_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_records.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+
+
 def op9_word_first_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = language_id.fit(docs.where(~held_out()))
@@ -46,7 +56,9 @@ def op10_token_group_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op2_shard_by_label_propagation, op4_super_kmer_dedup, op5_pivotal_mix, op7_qgram_decontamination, op9_word_first_language, op10_token_group_join]
+    own = [
+        op2_shard_by_label_propagation, op3_risk_controlled_rules, op4_super_kmer_dedup, op5_pivotal_mix, op7_qgram_decontamination,
+        op8_token_records, op9_word_first_language, op10_token_group_join]
     return {f.__name__: f for f in own}
 
 
