@@ -2,7 +2,7 @@
 
 A window is ``width`` consecutive words of one document. Its minimiser is the least hash among its runs of ``_RUN`` words.
 Consecutive windows with one minimiser travel together as one packed string (their words, joined by spaces) to the bucket of the
-minimiser, so a word is sent about three times and not ``width`` times. Equal strings of one input batch are sent once: the later
+minimiser, so a word is sent about three times and not ``width`` times. Equal strings of one pack are sent once: the later
 ones are already known to be repeats. In a bucket, equal strings are joined first; the windows of the rest are sorted by hash and
 position, neighbours with equal hashes are compared word by word, and all but the earliest window of a run are repeats. The words
 that repeated windows cover are then removed from their documents.
@@ -33,8 +33,9 @@ from trackgraph.llm.textblocks import Words, blocks, mix, spaced, words
 _RUN = 3
 #: Windows of one string at most: longer runs of one minimiser are cut, and their parts go to the same bucket.
 _LONGEST = 64
-#: Bytes of text for each bucket.
-BUCKET_BYTES = 1 << 20
+#: Bytes of text for each bucket, and of super-k-mers that a task holds before it packs them.
+BUCKET_BYTES = 4 << 20
+PACK_BYTES = 48 << 20
 _LAST = (1 << 63) - 1
 
 
@@ -102,51 +103,78 @@ def _ranges(doc: np.ndarray, key: np.ndarray, start: np.ndarray, size: np.ndarra
     return pa.RecordBatch.from_arrays([pa.array(doc[new]), pa.array(key[new]), *lists], ["doc", "th", "lo", "hi"])
 
 
+def _words(texts: list[bytes]) -> tuple[bytes, Words]:
+    """The texts one after another, each a row, and their words; only a block's arrays are held besides."""
+    body, parts, at, row = b"".join(texts), [], 0, 0
+    for _, data, offsets in blocks(pa.array(texts, pa.large_binary())):
+        w = words(data, offsets)
+        parts.append(Words(w.start + at, w.end + at, w.row + row, w.first[1:] + (parts[-1].first[-1] if parts else 0), w.hash))
+        at, row = at + len(data), row + len(offsets) - 1
+    join = lambda name: np.concatenate([getattr(p, name) for p in parts])
+    return body, Words(join("start"), join("end"), join("row"), np.r_[0, join("first")], join("hash"))
+
+
+class _Pack:
+    """Super-k-mers of a batch, equal strings once with their earliest place."""
+
+    def __init__(self):
+        self.text, self.who, self.start, self.size, self.bucket, self.seen, self.again, self.bytes = [], [], [], [], [], {}, [], 0
+
+    def add(self, x: bytes, place: tuple[int, int, int], row: int, size: int, bucket: int, doc: list, th: list) -> None:
+        k = self.seen.get(x)
+        if k is None:
+            self.seen[x] = len(self.text)
+            self.text.append(x)
+            self.who.append(row)
+            self.start.append(place[2])
+            self.size.append(size)
+            self.bucket.append(bucket)
+            self.bytes += len(x)
+            return
+        now = (doc[self.who[k]], th[self.who[k]], self.start[k])
+        if place < now:
+            self.again.append((self.who[k], self.start[k], size))
+            self.who[k], self.start[k] = row, place[2]
+        elif place > now:
+            self.again.append((row, place[2], size))
+
+    def out(self, doc: np.ndarray, th: np.ndarray, buckets: int) -> pa.RecordBatch:
+        """A packed string for each bucket, and the ranges that are known to be repeats."""
+        names, blobs = [], []
+        if self.text:
+            who, start, size, bucket = (np.array(x, np.int64) for x in (self.who, self.start, self.size, self.bucket))
+            order = np.argsort(bucket, kind="stable")
+            cut = np.flatnonzero(np.r_[True, np.diff(bucket[order]) != 0])
+            for a, b in zip(cut, np.r_[cut[1:], len(order)]):
+                own = order[a:b]
+                names.append(int(bucket[own[0]]))
+                blobs.append(_pack(0, doc[who[own]], th[who[own]], start[own], size[own], text=b"\n".join(self.text[i] for i in own.tolist())))
+        if self.again:
+            r, s, n = np.array(self.again, np.int64).T
+            for part in np.array_split(np.arange(len(r)), -(-len(r) // 20_000)):
+                names.append(int((th[r[part[0]]] + part[0]) % buckets))
+                blobs.append(_pack(1, doc[r[part]], th[r[part]], s[part], n[part]))
+        return pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
+
+
 def _send(width: int, buckets: int):
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             doc, th = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
-            text, who, start, size, bucket, seen = [], [], [], [], [], {}
-            again: list[tuple[int, int, int]] = []
+            docs, ths, pack = doc.tolist(), th.tolist(), _Pack()
             for first, data, offsets in blocks(batch.column(2)):
                 w = words(data, offsets)
                 at, count, least = super_windows(w, width)
-                if not len(at):
-                    continue
-                body, pos = spaced(data, w)
-                body = body.tobytes()
-                row = w.row[at]
-                for r, s, a, b, n, m in zip((row + first).tolist(), (at - w.first[row]).tolist(), pos[at].tolist(), (pos[at + count + width - 1] - 1).tolist(), (count + width - 1).tolist(), (least % np.uint64(buckets)).tolist()):
-                    x = body[a:b]
-                    k = seen.get(x)
-                    if k is None:
-                        seen[x] = len(text)
-                        text.append(x)
-                        who.append(r)
-                        start.append(s)
-                        size.append(n)
-                        bucket.append(m)
-                    elif (doc[r], th[r], s) < (doc[who[k]], th[who[k]], start[k]):
-                        again.append((who[k], start[k], n))
-                        who[k], start[k] = r, s
-                    elif (doc[r], th[r], s) > (doc[who[k]], th[who[k]], start[k]):
-                        again.append((r, s, n))
-            out_bucket, out = [], []
-            if text:
-                who_, start_, size_, bucket_ = (np.array(x, np.int64) for x in (who, start, size, bucket))
-                order = np.argsort(bucket_, kind="stable")
-                cut = np.flatnonzero(np.r_[True, np.diff(bucket_[order]) != 0])
-                for a, b in zip(cut, np.r_[cut[1:], len(order)]):
-                    own = order[a:b]
-                    out_bucket.append(int(bucket_[own[0]]))
-                    out.append(_pack(0, doc[who_[own]], th[who_[own]], start_[own], size_[own], text=b"\n".join(text[i] for i in own.tolist())))
-            if again:
-                r, s, n = np.array(again, np.int64).T
-                for part in np.array_split(np.arange(len(r)), -(-len(r) // 20_000)):
-                    out_bucket.append(int((th[r[part[0]]] + part[0]) % buckets))
-                    out.append(_pack(1, doc[r[part]], th[r[part]], s[part], n[part]))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(out_bucket, pa.int64()), pa.array(out, pa.binary())], ["bucket", "blob"])
+                if len(at):
+                    body, pos = spaced(data, w)
+                    body, row = body.tobytes(), w.row[at]
+                    ends = pos[at + count + width - 1] - 1
+                    for r, s, a, b, n, m in zip((row + first).tolist(), (at - w.first[row]).tolist(), pos[at].tolist(), ends.tolist(), (count + width - 1).tolist(), (least % np.uint64(buckets)).tolist()):
+                        pack.add(body[a:b], (docs[r], ths[r], s), r, n, m, docs, ths)
+                if pack.bytes > PACK_BYTES:
+                    yield pack.out(doc, th, buckets)
+                    pack = _Pack()
+            yield pack.out(doc, th, buckets)
 
     return send
 
@@ -183,11 +211,8 @@ def _repeats(width: int):
         if not text:
             return
         seen.clear()
-        body = b"\n".join(text)
-        ends = np.cumsum([len(x) + 1 for x in text]).astype(np.int64)
+        body, w = _words(text)
         del text
-        data = np.frombuffer(body, np.uint8)
-        w = words(data, np.r_[0, ends[:-1], len(data)].astype(np.int64))
         h = w.hash
         value = np.zeros(max(len(h) - width + 1, 0), np.uint64)
         for k in range(width):
@@ -223,8 +248,8 @@ def repeated_ranges(docs: DataFrame, width: int) -> DataFrame:
     source = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc"), F.xxhash64("text").alias("th"), "text")
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(8, -(-total // BUCKET_BYTES))
-    sent = source.mapInArrow(_send(width, buckets), "bucket long, blob binary")
-    found = sent.repartition(max(8, -(-buckets // 4)), "bucket").mapInArrow(_repeats(width), "doc long, th long, lo array<long>, hi array<long>")
+    sent = source.mapInArrow(_send(width, buckets), "bucket int, blob binary")
+    found = sent.repartitionById(buckets, "bucket").mapInArrow(_repeats(width), "doc long, th long, lo array<long>, hi array<long>")
     return found.groupBy("doc", "th").agg(F.flatten(F.collect_list("lo")).alias("lo"), F.flatten(F.collect_list("hi")).alias("hi"))
 
 
