@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackgraph.llm import decontamination, language_id, mixing, ngram_join, quality_rules, sharding, token_records, window_dedup
+from trackgraph.llm import decontamination, language_id, line_dedup, mixing, ngram_join, quality_classifier, quality_rules, sharding, token_records, window_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,11 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
+def op1_co_training_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return quality_classifier.scored(docs, quality_classifier.fit(docs, _table(spark, sf_dir, "labels")))
+
+
 def op2_shard_by_label_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_table(_table(spark, sf_dir, "documents"), shards=40)
 
@@ -35,6 +40,10 @@ def op5_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_table(_table(spark, sf_dir, "documents"), weights=[5, 2, 1], share=1.5, most=2)
 
 
+def op6_deletion_neighbourhood_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_report(_table(spark, sf_dir, "documents"))
+
+
 def op7_qgram_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminations(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -57,7 +66,8 @@ def op10_token_group_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = [
-        op2_shard_by_label_propagation, op3_risk_controlled_rules, op4_super_kmer_dedup, op5_pivotal_mix, op7_qgram_decontamination,
+        op1_co_training_quality, op2_shard_by_label_propagation, op3_risk_controlled_rules, op4_super_kmer_dedup, op5_pivotal_mix,
+        op6_deletion_neighbourhood_lines, op7_qgram_decontamination,
         op8_token_records, op9_word_first_language, op10_token_group_join]
     return {f.__name__: f for f in own}
 
