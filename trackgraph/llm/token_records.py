@@ -34,6 +34,8 @@ from trackgraph.functions.storage import shared_dir
 _SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 #: The tokenizer never joins characters across these pieces, so a piece can be encoded by itself.
 _PIECE = re.compile(f" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
+#: Marks that are never part of a letter run nor the start of a contraction.
+_MARKS = ".,;:!?|%&$*#"
 _INDEX = "doc_id long, part int, file string, offset long, length long, n_tokens long, first long"
 
 
@@ -63,20 +65,58 @@ def file_system(uri: str) -> tuple[fs.FileSystem, str]:
 
 
 class Encoder:
-    """Ids of whole texts as bytes; remembers the ids of pieces, up to a bound."""
+    """Ids of whole texts as bytes; remembers the ids of pieces, the last used ones up to twice ``remember``."""
 
-    def __init__(self, tokenizer_file: str, remember: int = 400_000):
+    def __init__(self, tokenizer_file: str, remember: int = 250_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
         self.kind = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.remember, self.memory = remember, {}
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str], block_chars: int = 1 << 21) -> Iterator[bytes]:
+        self.line_end = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.remember, self.memory, self.older = remember, {}, {}
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+
+    def _learn(self, pieces: list[str]) -> None:
+        """Encodes pieces as lines of one text: a newline before a piece is always a token of its own."""
+        for k in range(0, len(pieces), 10_000):
+            own = pieces[k : k + 10_000]
+            ids = np.array(self.tokenizer.encode_batch_fast(["\n".join([*own, ""])], add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.flatnonzero(ids == self.line_end[0])
+            if len(self.line_end) != 1 or len(ends) != len(own):  # another kind of tokenizer
+                self.memory.update((p, self._whole(p)) for p in own)
+                continue
+            raw, size = ids.astype(self.kind).tobytes(), self.kind.itemsize
+            start = np.r_[0, ends[:-1] + 1]
+            self.memory.update(zip(own, [raw[a:b] for a, b in zip((start * size).tolist(), (ends * size).tolist())]))
+
+    def _remembered(self, pieces: list[list[str]]) -> None:
+        """Makes sure that all pieces are known. Marks at the end of a word are pieces of their own for the tokenizer."""
+        if len(self.memory) > self.remember:
+            self.memory, self.older = {}, self.memory
+        memory, older = self.memory, self.older
+        new = set().union(*pieces) - memory.keys()
+        known = new & older.keys()
+        memory.update((p, older[p]) for p in known)
+        new -= known
+        alone, split = set(), []
+        for p in new:
+            word = p.rstrip(_MARKS)
+            if word and word is not p and word[-1].isalpha():
+                split.append((p, word, p[len(word) :]))
+                alone.add(word)
+                alone.add(p[len(word) :])
+            else:
+                alone.add(p)
+        alone -= memory.keys()
+        blank = [p for p in alone if p.isspace()]
+        memory.update((p, self._whole(p)) for p in blank)
+        self._learn(list(alone.difference(blank)))
+        memory.update((p, memory[a] + memory[b]) for p, a, b in split)
+
+    def encode(self, texts: list[str], block_chars: int = 1 << 20) -> Iterator[bytes]:
         """The ids of each text, a block of texts at a time."""
         first = 0
         while first < len(texts):
@@ -87,12 +127,9 @@ class Encoder:
             own = texts[first:last]
             whole = {i for i, t in enumerate(own) if any(s in t for s in self.special)}
             pieces = [[] if i in whole else _PIECE.findall(t) for i, t in enumerate(own)]
-            if len(self.memory) > self.remember:
-                self.memory.clear()
-            new = list(set().union(*pieces) - self.memory.keys())
-            self.memory.update(zip(new, self._ids(new)))
+            self._remembered(pieces)
             for i, p in enumerate(pieces):
-                yield self._ids([own[i]])[0] if i in whole else b"".join(map(self.memory.__getitem__, p))
+                yield self._whole(own[i]) if i in whole else b"".join(map(self.memory.__getitem__, p))
             first = last
 
 
