@@ -5,15 +5,300 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from trackgraph.functions import geo
+from trackgraph.functions.storage import staged
+from trackgraph.jobs import oracles
+from trackgraph.operators import events, graph, poi, progress, raster, routing
+from trackgraph.operators import telemetry as tracks
+from trackgraph.sources import adapters, packets
+
+FACTORS = {"white": 1.0, "orange": 1.08, "orange_dashed": 2.6, "unknown": 9.5}
+AS_OF_MS = 100_000
+
+
+def _round(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
+    return df.withColumns({c: F.round(c, digits) for c in columns})
 
 
 def trip_leaders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("user_id").count()
+    rows = tracks.trips(tracks.held(adapters.telemetry(spark, sf_dir)))
+    out = rows.groupBy("player_id").agg(F.max_by("trip_km", "seq").alias("trip_km"), F.max("trip_km").alias("longest_km"), F.count("*").alias("packets"))
+    return _round(out, "trip_km", "longest_km")
+
+
+def telemetry_hold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = tracks.held(adapters.telemetry(spark, sf_dir))
+    out = rows.select("player_id", "seq", "packet_count", "paused", "accepted", "position_x", "map_x", "map_y", "heading", "speed_kmh", "throttle", "brake")
+    return _round(out, "map_x", "map_y", "heading", "speed_kmh", "throttle", "brake")
+
+
+def latest_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = tracks.latest(tracks.held(adapters.telemetry(spark, sf_dir)))
+    return _round(rows.select("player_id", "seq", "ts_ms", "map_x", "map_y", "gear", "packet_count", "paused"), "map_x", "map_y")
+
+
+def liveness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = tracks.held(adapters.telemetry(spark, sf_dir))
+    return tracks.liveness(rows.select("player_id").distinct(), rows, AS_OF_MS)
+
+
+def live_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tracks.live_sessions(adapters.telemetry(spark, sf_dir))
+
+
+def heartbeat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _round(tracks.heartbeat(adapters.telemetry(spark, sf_dir)), "speed_mps")
+
+
+def motion_heading(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = tracks.motion_heading(tracks.held(adapters.telemetry(spark, sf_dir)))
+    return _round(rows.select("player_id", "seq", "motion_heading"), "motion_heading", digits=5)
+
+
+def rpm_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tracks.rpm_ratio(adapters.telemetry(spark, sf_dir))
+
+
+def crash_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events.crash_candidates(tracks.held(adapters.telemetry(spark, sf_dir)))
+
+
+def jump_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events.jump_candidates(tracks.held(adapters.telemetry(spark, sf_dir)))
+
+
+def drive_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events.drive_events(tracks.held(adapters.telemetry(spark, sf_dir)))
+
+
+def packet_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packets.decoded(packets.encoded(adapters.telemetry(spark, sf_dir))).select("player_id", "TimestampMS", "PositionX", "Speed", "Brake", "Gear", "DistanceTraveled")
+
+
+def packet_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packets.counts(packets.encoded(adapters.telemetry(spark, sf_dir)))
+
+
+def scalar_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = adapters.telemetry(spark, sf_dir)
+    d = F.col("distance_traveled_m")
+    return t.select(
+        "player_id", "seq", geo.gear_label(F.col("gear") - 1).alias("gear_label"), geo.distance_label(d).alias("distance_label"),
+        geo.eta_minutes(d, F.col("speed_mps") * 3.6).cast("long").alias("eta"), F.round(geo.normal_angle(F.col("velocity_x") * 50), 6).alias("angle"),
+        geo.grid_index(F.col("position_x"), 10).alias("grid_x"), geo.cell(F.col("position_z") - 500).alias("cell_z"), F.round(geo.pixels(geo.metres(d)), 6).alias("there_and_back"))
+
+
+def tile_pyramid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = adapters.markers(spark, sf_dir).withColumn("zoom", F.explode(F.sequence(F.lit(geo.MIN_ZOOM), F.lit(geo.MAX_ZOOM))))
+    return m.groupBy("zoom", geo.tile(F.col("map_x"), F.col("zoom")).alias("tile_x"), geo.tile(F.col("map_y"), F.col("zoom")).alias("tile_y")).agg(F.count("*").alias("markers"))
+
+
+def _boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = adapters.requests(spark, sf_dir)
+    return r.select(F.col("request_id").alias("box_id"), (F.col("start_x") * 30).alias("x0"), (F.col("start_y") * 40).alias("y0"), (F.col("start_x") * 30 + 3000).alias("x1"), (F.col("start_y") * 40 + 2500).alias("y1"))
+
+
+def box_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    z = F.lit(15)
+    b = _boxes(spark, sf_dir).withColumn("tile_x", F.explode(geo.covering_tiles(F.col("x0"), F.col("x1"), z)))
+    return b.withColumn("tile_y", F.explode(geo.covering_tiles(F.col("y0"), F.col("y1"), z))).select("box_id", "tile_x", "tile_y")
+
+
+def markers_in_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return poi.in_boxes(_boxes(spark, sf_dir), adapters.markers(spark, sf_dir), pad=50)
+
+
+def marker_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = adapters.markers(spark, sf_dir)
+    r = adapters.requests(spark, sf_dir)
+    q = r.select(F.col("request_id").alias("query_id"), F.concat(F.lit("  Brand#"), (F.col("request_id") % 5 + 1).cast("string"), F.lit(" "), (F.col("request_id") % 7).cast("string")).alias("text"), (F.col("start_x") * 40).alias("x"), (F.col("start_y") * 50).alias("y"))
+    return poi.search(q, m, 25).select("query_id", "file_order", "distance", F.col("rank").cast("long").alias("rank"))
+
+
+def nearest_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = adapters.requests(spark, sf_dir).select("request_id", (F.col("start_x") * 40).alias("x"), (F.col("start_y") * 50).alias("y"))
+    out = poi.nearest(r, adapters.markers(spark, sf_dir), "request_id", "file_order", k=4, radius=5000.0)
+    return _round(out.select("request_id", "file_order", "distance", F.col("rank").cast("long").alias("rank")), "distance")
+
+
+def marker_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = adapters.requests(spark, sf_dir).withColumn("needle", (F.col("request_id") * 3 % 211).cast("string"))
+    return poi.lookup(r, adapters.markers(spark, sf_dir))
+
+
+def marker_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = poi.category_label(poi.marker_key(adapters.markers(spark, sf_dir)), {"PROMO BRUSHED TIN": "tin", "ECONOMY ANODIZED STEEL": "steel"})
+    return m.select("file_order", "key", "label")
+
+
+def marker_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return poi.categories(adapters.markers(spark, sf_dir))
+
+
+def road_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _round(raster.cell_ratios(adapters.pixels(spark, sf_dir)), "road_ratio", "white_ratio", "orange_ratio")
+
+
+def road_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _round(raster.grid_nodes(raster.cell_ratios(adapters.pixels(spark, sf_dir))), "road_ratio", "white_ratio", "orange_ratio")
+
+
+def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return raster.neighbour_edges(adapters.nodes(spark, sf_dir), FACTORS)
+
+
+def grid_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _edges(spark, sf_dir)
+
+
+def road_class_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.class_counts(adapters.nodes(spark, sf_dir), "nodes").unionByName(graph.class_counts(_edges(spark, sf_dir), "edges"))
+
+
+def normalised_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges in mixed spelling, doubled in the other direction, some without length, cost or class."""
+    e = _edges(spark, sf_dir)
+    k = (F.col("a") * 31 + F.col("b") * 17) % 7
+    kind = F.when(k == 0, F.lit(None)).when(k == 1, " Magenta ").when(k == 2, "Orange-Dashed").otherwise(F.col("road_class"))
+    one = e.select("a", "b", F.when(k != 3, F.col("length")).alias("length"), F.when(k != 4, F.col("cost")).alias("cost"), kind.alias("road_class"), F.lit(0).alias("seq"))
+    two = e.select(F.col("b").alias("a"), F.col("a").alias("b"), F.col("length"), (F.col("cost") * 0.9 + k).alias("cost"), F.lit("white").alias("road_class"), F.lit(1).alias("seq"))
+    dangling = e.where(k == 5).select(F.col("a"), (F.col("b") + 10_000_000).alias("b"), "length", "cost", "road_class", F.lit(2).alias("seq"))
+    return _round(graph.normalised_edges(one.unionByName(two).unionByName(dangling), adapters.nodes(spark, sf_dir)), "length", "cost")
+
+
+def _graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    nodes, edges = staged(adapters.nodes(spark, sf_dir), "nodes"), staged(_edges(spark, sf_dir), "edges")
+    return nodes, edges, staged(graph.node_components(nodes, edges), "components")
+
+
+def graph_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _graph(spark, sf_dir)[2]
+
+
+def graph_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = graph.status(*_graph(spark, sf_dir))
+    return s.select("nodes", "edges", "components", F.concat_ws(",", F.transform("largest", lambda n: n.cast("string"))).alias("largest"))
+
+
+def graph_stitches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, _, components = _graph(spark, sf_dir)
+    return graph.spanning_forest(graph.stitch_candidates(nodes, components))
+
+
+def graph_bridges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, _, components = _graph(spark, sf_dir)
+    return graph.spanning_forest(graph.bridge_candidates(nodes, components, radius=80.0))
+
+
+def _repaired(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    nodes, edges, components = _graph(spark, sf_dir)
+    stitches = graph.synthetic(graph.spanning_forest(graph.stitch_candidates(nodes, components)))
+    edges = staged(edges.unionByName(stitches), "edges")
+    return nodes, edges, staged(graph.node_components(nodes, edges), "components")
+
+
+def snapped_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = adapters.nodes(spark, sf_dir)
+    out = routing.snapped(adapters.requests(spark, sf_dir), nodes, "start", k=10, radius=900.0)
+    return _round(out.select("request_id", "node_id", "distance", F.col("rank").cast("long").alias("rank")), "distance")
+
+
+def _routes(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    nodes, edges, components = _repaired(spark, sf_dir)
+    r = adapters.requests(spark, sf_dir)
+    start, goal = (staged(routing.snapped(r, nodes, end), "snaps") for end in ("start", "target"))
+    pairs = staged(routing.candidate_pairs(start, goal, components), "pairs")
+    costs = staged(routing.profile_costs(edges), "costs")
+    paths = routing.shortest_paths(pairs, costs)
+    routes = staged(routing.scored_routes(pairs, paths, costs, r), "routes")
+    return {"nodes": nodes, "requests": r, "start": start, "goal": goal, "pairs": pairs, "costs": costs, "paths": paths, "routes": routes}
+
+
+def candidate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, _, components = _graph(spark, sf_dir)
+    r = adapters.requests(spark, sf_dir)
+    out = routing.candidate_pairs(*(routing.snapped(r, nodes, end, 10, 900.0) for end in ("start", "target")), components)
+    return _round(out.withColumn("pair_rank", F.col("pair_rank").cast("long")), "s_snap", "g_snap", "score")
+
+
+def best_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = _routes(spark, sf_dir)
+    return _round(x["routes"].withColumn("metres", F.col("metres").cast("long")), "length", "physical", "direct", "route_score")
+
+
+def route_road_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = _routes(spark, sf_dir)
+    return routing.road_profile(x["routes"], x["paths"], x["costs"])
+
+
+def route_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = _routes(spark, sf_dir)
+    return routing.outcomes(x["requests"], x["start"], x["goal"], x["pairs"], x["routes"])
+
+
+def route_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = _routes(spark, sf_dir)
+    return routing.simplified(routing.polylines(x["routes"], x["paths"], x["nodes"], x["requests"]))
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Routes for the progress queries: four corners from each request's place."""
+    r = adapters.requests(spark, sf_dir)
+    at = lambda k, dx, dy: F.struct(F.lit(k).alias("pos"), (F.col("start_x") * 2 + 10000 + dx).alias("x"), (10000 - F.col("start_y") * 2 + dy).alias("y"))
+    return r.select(F.col("request_id").alias("route_id"), F.explode(F.array(at(0, 0, 0), at(1, 300, -100), at(2, 500, 200), at(3, 900, 150))).alias("p")).select("route_id", "p.*")
+
+
+def _progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = adapters.requests(spark, sf_dir).count()
+    t = tracks.held(adapters.telemetry(spark, sf_dir)).select("player_id", "seq", "ts_ms", (F.col("player_id") % n + 1).alias("route_id"), "map_x", "map_y", "speed_kmh")
+    return progress.nearest_segment(t, progress.segments(_lines(spark, sf_dir)))
+
+
+def route_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = _progress(spark, sf_dir).select("player_id", "seq", "pos", "off", "px", "py", "t", "remaining")
+    return _round(out, "off", "px", "py", "t", "remaining", digits=5)
+
+
+def off_route_episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = progress.off_route_episodes(_progress(spark, sf_dir), limit=300.0)
+    return _round(out, "max_off", digits=5)
+
+
+def route_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = progress.segments(_lines(spark, sf_dir))
+    wanted = s.select("route_id").distinct().withColumn("want", F.explode(F.array(*[F.lit(float(v)) for v in (0, 100, 316.5, 700, 5000)])))
+    return _round(progress.point_at(wanted, s), "x", "y")
+
+
+def arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _progress(spark, sf_dir).select("player_id", "ts_ms", "speed_kmh", (F.col("off") / 10).alias("px"))
+    return progress.arrivals(rows)
+
+
+def reroutes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return progress.reroutes(_progress(spark, sf_dir).select("player_id", "ts_ms", "off", F.col("remaining").alias("to_target"), "map_x", "map_y"))
+
+
+def suspicious_reroutes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _progress(spark, sf_dir).select("player_id", "seq", "off", "remaining", (F.col("remaining") + F.col("seq") * 9).alias("new_length"), (F.col("seq") % 50 * 1000).alias("off_ms"), (F.col("seq") % 13 == 0).alias("forced"))
+    return progress.suspicious(rows).select("player_id", "seq", "rejected")
+
+
+QUERIES = [
+    trip_leaders, telemetry_hold, latest_snapshot, liveness, live_sessions, heartbeat, motion_heading, rpm_ratio, crash_candidates, jump_candidates,
+    drive_events, packet_decode, packet_counts, scalar_labels, tile_pyramid, box_tiles, markers_in_boxes, marker_search, nearest_markers, marker_lookup,
+    marker_labels, marker_categories, road_cells, road_grid, grid_edges, road_class_counts, normalised_edges, graph_components, graph_status,
+    graph_stitches, graph_bridges, snapped_nodes, candidate_pairs, best_routes, route_road_profile, route_outcomes, route_lines, route_progress,
+    off_route_episodes, route_points, arrivals, reroutes, suspicious_reroutes]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracles.all_sql()
+
+
