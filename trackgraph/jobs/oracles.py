@@ -95,8 +95,8 @@ SELECT gx, gy, CAST(gx * 10 AS DOUBLE) AS map_x, CAST(gy * 10 AS DOUBLE) AS map_
         "graph_components": f"WITH RECURSIVE {EDGES}{COMPONENTS} SELECT node AS node_id, component, count(*) OVER (PARTITION BY component) AS size FROM c",
         "graph_status": f"WITH RECURSIVE {EDGES}{COMPONENTS}, z AS (SELECT component, count(*) AS k FROM c GROUP BY 1) SELECT (SELECT count(*) FROM n) AS nodes, (SELECT count(*) FROM g) AS edges, (SELECT count(*) FROM z) AS components, (SELECT string_agg(CAST(k AS VARCHAR), ',' ORDER BY k DESC) FROM (SELECT k FROM z ORDER BY k DESC LIMIT 8)) AS largest",
         "snapped_nodes": near_start + " SELECT request_id, node_id, round(distance, 6) AS distance, rank FROM k",
-        "route_progress": f"WITH {PROGRESS} SELECT player_id, seq, pos, round(off, 5) AS off, round(px, 5) AS px, round(py, 5) AS py, round(t, 5) AS t, round(remaining, 5) AS remaining FROM pr",
-        "off_route_episodes": f"WITH {PROGRESS}, o AS (SELECT *, CAST(sum(CASE WHEN off <= 300 THEN 1 ELSE 0 END) OVER (PARTITION BY player_id ORDER BY ts_ms ROWS UNBOUNDED PRECEDING) AS BIGINT) AS episode FROM pr) SELECT player_id, episode, min(ts_ms) AS start_ms, max(ts_ms) AS end_ms, max(ts_ms) - min(ts_ms) AS duration_ms, round(max(off), 5) AS max_off FROM o WHERE off > 300 GROUP BY player_id, episode",
+        "route_progress": f"WITH {PROGRESS} SELECT player_id, seq, pos, round(off, 8) AS off, round(px, 8) AS px, round(py, 8) AS py, round(t, 8) AS t, round(remaining, 8) AS remaining FROM pr",
+        "off_route_episodes": f"WITH {PROGRESS}, o AS (SELECT *, CAST(sum(CASE WHEN off <= 300 THEN 1 ELSE 0 END) OVER (PARTITION BY player_id ORDER BY ts_ms ROWS UNBOUNDED PRECEDING) AS BIGINT) AS episode FROM pr) SELECT player_id, episode, min(ts_ms) AS start_ms, max(ts_ms) AS end_ms, max(ts_ms) - min(ts_ms) AS duration_ms, round(max(off), 8) AS max_off FROM o WHERE off > 300 GROUP BY player_id, episode",
         "route_points": f"WITH {LINES}, w AS (SELECT route_id, want FROM (SELECT DISTINCT route_id FROM sg) CROSS JOIN (VALUES (0.0::DOUBLE), (100.0), (316.5), (700.0), (5000.0)) v(want)), k AS (SELECT w.*, ax, ay, bx, b_y, greatest(0.0, least(1.0, (want - before) / length)) AS t FROM w JOIN sg ON sg.route_id = w.route_id AND before <= want QUALIFY row_number() OVER (PARTITION BY w.route_id, want ORDER BY before DESC, pos DESC) = 1) SELECT route_id, want, round(ax + t * (bx - ax), 6) AS x, round(ay + t * (b_y - ay), 6) AS y FROM k",
         "arrivals": f"""WITH {PROGRESS}, a AS (SELECT *, off / 10 AS px2, CASE WHEN speed_kmh <= 8 THEN 62.0::DOUBLE ELSE 30.0::DOUBLE END * 0.655 AS lim FROM pr), b AS (SELECT *, sum(CASE WHEN px2 > 1.35 * lim THEN 1 ELSE 0 END) OVER (PARTITION BY player_id ORDER BY ts_ms ROWS UNBOUNDED PRECEDING) AS run FROM a),
 c AS (SELECT *, min(CASE WHEN px2 <= lim THEN ts_ms END) OVER (PARTITION BY player_id, run ORDER BY ts_ms ROWS UNBOUNDED PRECEDING) AS timer FROM b) SELECT player_id, min(ts_ms) AS arrived_ms FROM c WHERE px2 <= lim AND ts_ms - timer >= 1100 GROUP BY player_id""",

@@ -258,12 +258,12 @@ def _progress(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def route_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = _progress(spark, sf_dir).select("player_id", "seq", "pos", "off", "px", "py", "t", "remaining")
-    return _round(out, "off", "px", "py", "t", "remaining", digits=5)
+    return _round(out, "off", "px", "py", "t", "remaining", digits=8)
 
 
 def off_route_episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = progress.off_route_episodes(_progress(spark, sf_dir), limit=300.0)
-    return _round(out, "max_off", digits=5)
+    return _round(out, "max_off", digits=8)
 
 
 def route_points(spark: SparkSession, sf_dir: str) -> DataFrame:
