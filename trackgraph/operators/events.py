@@ -6,17 +6,17 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trackgraph.operators.telemetry import SO_FAR, TRACK
+from trackgraph.operators.telemetry import by_track, so_far
 
 # Priority and cooldown in ms of each event, and the cooldown of all.
 EVENTS = {"mega_fail_crash": (120, 8000), "jump_takeoff": (100, 4500), "collision": (60, 4000)}
 GLOBAL_COOLDOWN_MS = 2500
-TIME = Window.partitionBy("player_id").orderBy("ts_ms")
 
 
 def crash_candidates(track: DataFrame) -> DataFrame:
     """Rows whose speed fell sharply: ``collision`` (within 0.5 s, hardly braking) and ``mega_fail_crash`` (within 0.15 s)."""
-    rows = track.withColumns({"__a": F.max("speed_kmh").over(TIME.rangeBetween(-500, -1)), "__b": F.max("speed_kmh").over(TIME.rangeBetween(-150, -1))})
+    time = Window.partitionBy("player_id").orderBy("ts_ms")
+    rows = track.withColumns({"__a": F.max("speed_kmh").over(time.rangeBetween(-500, -1)), "__b": F.max("speed_kmh").over(time.rangeBetween(-150, -1))})
     speed, a, b = F.col("speed_kmh"), F.col("__a"), F.col("__b")
     kinds = F.array_compact(F.array(
         F.when((a >= 60) & (a - speed >= 40) & (F.col("brake") <= 5), "collision"),
@@ -26,11 +26,12 @@ def crash_candidates(track: DataFrame) -> DataFrame:
 
 def jump_candidates(track: DataFrame) -> DataFrame:
     """Rows in free fall after a ramp; see the survey's definition of ``jump_takeoff``."""
-    dx, dz = F.col("position_x") - F.lag("position_x").over(TRACK), F.col("position_z") - F.lag("position_z").over(TRACK)
+    dx, dz = F.col("position_x") - F.lag("position_x").over(by_track()), F.col("position_z") - F.lag("position_z").over(by_track())
     falling = F.col("velocity_y") <= -0.25
-    rows = track.withColumns({"path": F.sum(F.coalesce(F.sqrt(dx * dx + dz * dz), F.lit(0.0))).over(SO_FAR), "rises": F.sum((~falling).cast("long")).over(SO_FAR)})
+    rows = track.withColumns({"path": F.sum(F.coalesce(F.sqrt(dx * dx + dz * dz), F.lit(0.0))).over(so_far()), "rises": F.sum((~falling).cast("long")).over(so_far())})
     run = Window.partitionBy("player_id", "rises").orderBy("ts_ms", "seq").rowsBetween(Window.unboundedPreceding, 0)
-    near, far = TIME.rangeBetween(-150, 0), TIME.rangeBetween(-2800, 0)
+    time = Window.partitionBy("player_id").orderBy("ts_ms")
+    near, far = time.rangeBetween(-150, 0), time.rangeBetween(-2800, 0)
     rows = rows.withColumns({
         "near": F.first(F.struct("ts_ms", "velocity_y")).over(near), "apex": F.max(F.struct(F.col("position_y").alias("y"), F.col("ts_ms").alias("t"), F.col("path").alias("p"))).over(far),
         "base": F.first(F.struct("position_y", "velocity_y")).over(far), "top_vy": F.max("velocity_y").over(far)})

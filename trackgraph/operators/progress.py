@@ -3,21 +3,27 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from trackgraph.functions import geo
 
-LINE = Window.partitionBy("route_id").orderBy("pos")
-SO_FAR = Window.partitionBy("player_id").orderBy("ts_ms").rowsBetween(Window.unboundedPreceding, 0)
 OFF_ROUTE, ARRIVE_M, ARRIVE_SLOW_M, ARRIVE_MS = 170.0, 30.0, 62.0, 1100
 
 
+def _line() -> WindowSpec:
+    return Window.partitionBy("route_id").orderBy("pos")
+
+
+def _so_far() -> WindowSpec:
+    return Window.partitionBy("player_id").orderBy("ts_ms").rowsBetween(Window.unboundedPreceding, 0)
+
+
 def segments(lines: DataFrame) -> DataFrame:
     """``route_id, pos, ax, ay, bx, by, length, before, total``: segments with the length before them and the line's."""
-    s = lines.withColumns({"bx": F.lead("x").over(LINE), "by": F.lead("y").over(LINE)}).where("bx is not null")
+    s = lines.withColumns({"bx": F.lead("x").over(_line()), "by": F.lead("y").over(_line())}).where("bx is not null")
     s = s.withColumn("length", geo.distance(F.col("x"), F.col("y"), F.col("bx"), F.col("by")))
-    before = F.coalesce(F.sum("length").over(LINE.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    before = F.coalesce(F.sum("length").over(_line().rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     total = F.sum("length").over(Window.partitionBy("route_id"))
     return s.select("route_id", "pos", F.col("x").alias("ax"), F.col("y").alias("ay"), "bx", "by", "length", before.alias("before"), total.alias("total"))
 
@@ -50,7 +56,7 @@ def point_at(wanted: DataFrame, segments_: DataFrame) -> DataFrame:
 def off_route_episodes(rows: DataFrame, limit: float = OFF_ROUTE) -> DataFrame:
     """Runs of rows with ``off`` above the limit: start, end, duration, largest off."""
     on = (F.col("off") <= limit).cast("long")
-    r = rows.withColumn("episode", F.sum(on).over(SO_FAR)).where(F.col("off") > limit)
+    r = rows.withColumn("episode", F.sum(on).over(_so_far())).where(F.col("off") > limit)
     return r.groupBy("player_id", "episode").agg(F.min("ts_ms").alias("start_ms"), F.max("ts_ms").alias("end_ms"), (F.max("ts_ms") - F.min("ts_ms")).alias("duration_ms"), F.max("off").alias("max_off"))
 
 
@@ -58,7 +64,7 @@ def arrivals(rows: DataFrame) -> DataFrame:
     """The first arrival of each player from ``px`` (pixels to the target) and ``speed_kmh``."""
     limit = F.when(F.col("speed_kmh") <= 8, ARRIVE_SLOW_M).otherwise(ARRIVE_M) * geo.PIXELS_PER_METRE
     r = rows.withColumns({"near": F.col("px") <= limit, "clear": F.col("px") > 1.35 * limit})
-    r = r.withColumn("run", F.sum(F.col("clear").cast("long")).over(SO_FAR))
+    r = r.withColumn("run", F.sum(F.col("clear").cast("long")).over(_so_far()))
     timer = F.min(F.when(F.col("near"), F.col("ts_ms"))).over(Window.partitionBy("player_id", "run").orderBy("ts_ms").rowsBetween(Window.unboundedPreceding, 0))
     r = r.withColumn("timer", timer).where(F.col("near") & (F.col("ts_ms") - F.col("timer") >= ARRIVE_MS))
     return r.groupBy("player_id").agg(F.min("ts_ms").alias("arrived_ms"))

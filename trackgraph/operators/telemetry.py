@@ -6,16 +6,26 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from trackgraph.functions import geo
 
-TRACK = Window.partitionBy("player_id").orderBy("ts_ms", "seq")
-SO_FAR, BEFORE = TRACK.rowsBetween(Window.unboundedPreceding, 0), TRACK.rowsBetween(Window.unboundedPreceding, -1)
 PAUSE_SPEED, LIVE_MS, HEARTBEAT_MS = 0.20, 1500, 2000
 
 
+def by_track() -> WindowSpec:
+    return Window.partitionBy("player_id").orderBy("ts_ms", "seq")
+
+
+def so_far() -> WindowSpec:
+    return by_track().rowsBetween(Window.unboundedPreceding, 0)
+
+
+def before() -> WindowSpec:
+    return by_track().rowsBetween(Window.unboundedPreceding, -1)
+
+
 def held(track: DataFrame) -> DataFrame:
     """Pause hold, projection, units and counters of every row.
 
@@ -24,12 +34,12 @@ def held(track: DataFrame) -> DataFrame:
     """
     paused = F.coalesce((F.col("speed_mps") <= PAUSE_SPEED) & (F.col("gear") == 0), F.lit(False))
     rows = track.withColumns({
-        "packet_count": F.row_number().over(TRACK).cast("long"), "paused": paused,
+        "packet_count": F.row_number().over(by_track()).cast("long"), "paused": paused,
         "map_x": geo.map_x(F.col("position_x"), F.col("position_z")), "map_y": geo.map_y(F.col("position_x"), F.col("position_z")),
         "heading": geo.heading(F.col("speed_mps"), F.col("velocity_x"), F.col("velocity_z"), F.col("yaw_rad"))})
     rows = rows.withColumn("accepted", ~F.col("paused") | (F.col("packet_count") == 1))
     place = ["position_x", "position_y", "position_z", "map_x", "map_y", "yaw_rad", "heading"]
-    kept = F.last(F.when(F.col("accepted"), F.struct(*place)), ignorenulls=True).over(SO_FAR)
+    kept = F.last(F.when(F.col("accepted"), F.struct(*place)), ignorenulls=True).over(so_far())
     rows = rows.withColumn("__kept", kept).withColumns({c: F.col(f"__kept.{c}") for c in place}).drop("__kept")
     return rows.withColumns({"speed_kmh": geo.kmh(F.col("speed_mps")), "throttle": geo.percent(F.col("accel_raw")), "brake": geo.percent(F.col("brake_raw"))})
 
@@ -51,14 +61,14 @@ def liveness(players: DataFrame, track: DataFrame, as_of_ms) -> DataFrame:
 
 def live_sessions(track: DataFrame) -> DataFrame:
     """Runs of packets with gaps under 1.5 s."""
-    starts = F.coalesce(F.col("ts_ms") - F.lag("ts_ms").over(TRACK) >= LIVE_MS, F.lit(True))
-    rows = track.withColumn("__s", starts).withColumn("session", F.sum(F.col("__s").cast("long")).over(SO_FAR))
+    starts = F.coalesce(F.col("ts_ms") - F.lag("ts_ms").over(by_track()) >= LIVE_MS, F.lit(True))
+    rows = track.withColumn("__s", starts).withColumn("session", F.sum(F.col("__s").cast("long")).over(so_far()))
     return rows.groupBy("player_id", "session").agg(F.min("ts_ms").alias("start_ms"), F.max("ts_ms").alias("end_ms"), F.count("*").alias("packets"))
 
 
 def heartbeat(track: DataFrame, every_ms: int = HEARTBEAT_MS) -> DataFrame:
     """Per player and interval with packets: running packets, last speed, age of the last packet at the interval's end."""
-    rows = track.withColumn("packets", F.row_number().over(TRACK).cast("long")).withColumn("beat", F.floor(F.col("ts_ms") / every_ms))
+    rows = track.withColumn("packets", F.row_number().over(by_track()).cast("long")).withColumn("beat", F.floor(F.col("ts_ms") / every_ms))
     last = F.struct("ts_ms", "seq")
     out = rows.groupBy("player_id", "beat").agg(F.max("packets").alias("packets"), F.max_by("speed_mps", last).alias("speed_mps"), F.max("ts_ms").alias("t"))
     return out.withColumn("age_ms", (F.col("beat") + 1) * every_ms - F.col("t")).drop("t")
@@ -69,23 +79,23 @@ def trips(track: DataFrame) -> DataFrame:
     raw, speed = F.col("distance_traveled_m"), F.col("speed_mps") * 3.6
     valid = F.coalesce(~F.isnan(raw) & (raw > 1) & (raw < 2e7), F.lit(False))
     rows = track.withColumn("__v", F.when(valid, raw))
-    rows = rows.withColumn("__p", F.last("__v", ignorenulls=True).over(BEFORE))
+    rows = rows.withColumn("__p", F.last("__v", ignorenulls=True).over(before()))
     reset = F.col("__v").isNotNull() & (F.col("__p").isNull() | (F.col("__v") + 5 < F.col("__p")))
-    dt = F.col("ts_ms") - F.lag("ts_ms").over(TRACK)
+    dt = F.col("ts_ms") - F.lag("ts_ms").over(by_track())
     step = F.when(F.col("__v").isNull(), speed * F.least(F.greatest(dt, F.lit(0)), F.lit(2500)) / 3.6e6)
-    rows = rows.withColumns({"__b": F.last(F.when(reset, F.col("__v")), ignorenulls=True).over(SO_FAR), "__i": F.sum(F.coalesce(step, F.lit(0.0))).over(SO_FAR)})
+    rows = rows.withColumns({"__b": F.last(F.when(reset, F.col("__v")), ignorenulls=True).over(so_far()), "__i": F.sum(F.coalesce(step, F.lit(0.0))).over(so_far())})
     at = F.greatest(F.lit(0.0), F.col("__v") - F.col("__b")) / 1000
-    rows = rows.withColumn("__a", F.last(F.when(F.col("__v").isNotNull(), F.struct(at.alias("trip"), F.col("__i").alias("i"))), ignorenulls=True).over(SO_FAR))
+    rows = rows.withColumn("__a", F.last(F.when(F.col("__v").isNotNull(), F.struct(at.alias("trip"), F.col("__i").alias("i"))), ignorenulls=True).over(so_far()))
     trip = F.coalesce(F.col("__a.trip"), F.lit(0.0)) + F.col("__i") - F.coalesce(F.col("__a.i"), F.lit(0.0))
     return rows.withColumn("trip_km", trip).drop("__v", "__p", "__b", "__i", "__a")
 
 
 def motion_heading(track: DataFrame) -> DataFrame:
     """Heading of the displacement if it is long enough, else the last such heading of under 3.5 s ago, else ``heading``."""
-    dx, dy = F.col("map_x") - F.lag("map_x").over(TRACK), F.col("map_y") - F.lag("map_y").over(TRACK)
+    dx, dy = F.col("map_x") - F.lag("map_x").over(by_track()), F.col("map_y") - F.lag("map_y").over(by_track())
     moved = (F.sqrt(dx * dx + dy * dy) > 0.45) & (F.col("speed_kmh") > 2)
     rows = track.withColumn("__m", F.when(moved, F.struct(F.col("ts_ms").alias("t"), F.degrees(F.atan2(dx, -dy)).alias("h"))))
-    rows = rows.withColumn("__l", F.last("__m", ignorenulls=True).over(SO_FAR))
+    rows = rows.withColumn("__l", F.last("__m", ignorenulls=True).over(so_far()))
     fresh = F.col("ts_ms") - F.col("__l.t") < 3500
     return rows.withColumn("motion_heading", geo.normal_angle(F.when(fresh, F.col("__l.h")).otherwise(F.col("heading")))).drop("__m", "__l")
 
