@@ -39,12 +39,13 @@ def _held(labels: DataFrame, shards: int) -> list[int]:
     return [rows.get(s, 0) for s in range(shards)]
 
 
-def propagated(linked: DataFrame, edges: DataFrame, quotas: list[int], rounds: int = 4) -> DataFrame:
+def propagated(linked: DataFrame, edges: DataFrame, quotas: list[int], rounds: int = 8) -> DataFrame:
     """``vid, shard`` for the vertices of ``linked`` (``vid, h``: unique id and hash), moved along ``edges`` (``a, b``)."""
     shards, total = len(quotas), linked.count()
     start = ranked(linked, [], F.col("h"), ["vid"])
     labels = staged(start.select("vid", F.floor(F.col("rank") * shards / F.lit(max(total, 1))).cast("int").alias("shard")), "labels")
     both = staged(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    idle = 0
     for k in range(rounds):
         near = both.join(labels.withColumnRenamed("vid", "b"), "b")
         votes = near.groupBy("a", "shard").agg(F.count("*").alias("n"), F.min("b").alias("least"))
@@ -59,8 +60,11 @@ def propagated(linked: DataFrame, edges: DataFrame, quotas: list[int], rounds: i
         free = [q - h for q, h in zip(quotas, _held(labels, shards))]
         moved = ranked(ask, ["to"], F.xxhash64("least"), ["least", "vid"]).where(F.col("rank") < _at(free, "to"))
         moved = staged(moved.select("vid", "to"), "moves")
-        if k and not moved.take(1):
+        idle = 0 if moved.take(1) else idle + 1
+        if idle == 2:  # neither kind of turn moves anything
             break
+        if idle:
+            continue
         labels = staged(labels.join(moved, "vid", "left").select("vid", F.coalesce("to", "shard").alias("shard")), "labels")
     return labels
 
@@ -73,7 +77,7 @@ def equal_text_stars(rows: DataFrame, most: int) -> DataFrame:
     return dealt.join(hubs, ["key", "star"]).where("vid <> b").select(F.col("vid").alias("a"), "b")
 
 
-def assigned(rows: DataFrame, shards: int, rounds: int = 4) -> DataFrame:
+def assigned(rows: DataFrame, shards: int, rounds: int = 8) -> DataFrame:
     """``rows`` (with ``vid, key, h``) and their ``shard`` and ``slot``. Read several times: stage it first."""
     total = rows.count()
     quotas = _quotas(total, shards)
@@ -100,13 +104,13 @@ def described(docs: DataFrame, *keep: str) -> DataFrame:
     return staged(slim.withColumns({"vid": F.monotonically_increasing_id(), "h": F.xxhash64(*(["doc_id"] if "doc_id" in docs.columns else []), "text_crc32")}), "described")
 
 
-def shard_table(docs: DataFrame, shards: int = 40, rounds: int = 4) -> DataFrame:
+def shard_table(docs: DataFrame, shards: int = 40, rounds: int = 8) -> DataFrame:
     """``doc_id, size, text_crc32, law, shard, slot, grown_shard`` of every row."""
     out = assigned(described(docs, "doc_id"), shards, rounds)
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-def sharded(docs: DataFrame, shards: int = 40, rounds: int = 4) -> DataFrame:
+def sharded(docs: DataFrame, shards: int = 40, rounds: int = 8) -> DataFrame:
     """All columns of ``docs`` and the result columns of :func:`shard_table`."""
     keep = [c for c in docs.columns if c not in RESULT]
     inner = {"vid", "key", "h"} & set(keep)
