@@ -26,22 +26,29 @@ def before() -> WindowSpec:
     return by_track().rowsBetween(Window.unboundedPreceding, -1)
 
 
+#: What a paused row takes from the last row that was not.
+PLACE = ["position_x", "position_y", "position_z", "map_x", "map_y", "yaw_rad", "heading"]
+
+
+def projected(track: DataFrame) -> DataFrame:
+    """What a row gives by itself: whether it is paused, its place on the map, heading and units."""
+    return track.withColumns({
+        "paused": F.coalesce((F.col("speed_mps") <= PAUSE_SPEED) & (F.col("gear") == 0), F.lit(False)),
+        "map_x": geo.map_x(F.col("position_x"), F.col("position_z")), "map_y": geo.map_y(F.col("position_x"), F.col("position_z")),
+        "heading": geo.heading(F.col("speed_mps"), F.col("velocity_x"), F.col("velocity_z"), F.col("yaw_rad")),
+        "speed_kmh": geo.kmh(F.col("speed_mps")), "throttle": geo.percent(F.col("accel_raw")), "brake": geo.percent(F.col("brake_raw"))})
+
+
 def held(track: DataFrame) -> DataFrame:
     """Pause hold, projection, units and counters of every row.
 
     A row with ``speed_mps <= 0.2`` and gear 0 is paused; but for a player's first row it takes place and heading from the last
     row that was not.
     """
-    paused = F.coalesce((F.col("speed_mps") <= PAUSE_SPEED) & (F.col("gear") == 0), F.lit(False))
-    rows = track.withColumns({
-        "packet_count": F.row_number().over(by_track()).cast("long"), "paused": paused,
-        "map_x": geo.map_x(F.col("position_x"), F.col("position_z")), "map_y": geo.map_y(F.col("position_x"), F.col("position_z")),
-        "heading": geo.heading(F.col("speed_mps"), F.col("velocity_x"), F.col("velocity_z"), F.col("yaw_rad"))})
+    rows = projected(track).withColumn("packet_count", F.row_number().over(by_track()).cast("long"))
     rows = rows.withColumn("accepted", ~F.col("paused") | (F.col("packet_count") == 1))
-    place = ["position_x", "position_y", "position_z", "map_x", "map_y", "yaw_rad", "heading"]
-    kept = F.last(F.when(F.col("accepted"), F.struct(*place)), ignorenulls=True).over(so_far())
-    rows = rows.withColumn("__kept", kept).withColumns({c: F.col(f"__kept.{c}") for c in place}).drop("__kept")
-    return rows.withColumns({"speed_kmh": geo.kmh(F.col("speed_mps")), "throttle": geo.percent(F.col("accel_raw")), "brake": geo.percent(F.col("brake_raw"))})
+    kept = F.last(F.when(F.col("accepted"), F.struct(*PLACE)), ignorenulls=True).over(so_far())
+    return rows.withColumn("__kept", kept).withColumns({c: F.col(f"__kept.{c}") for c in PLACE}).drop("__kept")
 
 
 def latest(track: DataFrame) -> DataFrame:
