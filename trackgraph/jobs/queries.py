@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackgraph.functions import geo
-from trackgraph.functions.storage import staged
+from trackgraph.functions.storage import shared_dir, staged
 from trackgraph.jobs import oracles
 from trackgraph.operators import events, graph, poi, progress, raster, routing
 from trackgraph.operators import telemetry as tracks
 from trackgraph.sources import adapters, packets
+from trackgraph.streaming import tracks as streams
 
 FACTORS = {"white": 1.0, "orange": 1.08, "orange_dashed": 2.6, "unknown": 9.5}
 AS_OF_MS = 100_000
@@ -29,13 +31,19 @@ def trip_leaders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def telemetry_hold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = tracks.held(adapters.telemetry(spark, sf_dir))
+    return _held(tracks.held(adapters.telemetry(spark, sf_dir)))
+
+
+def _held(rows: DataFrame) -> DataFrame:
     out = rows.select("player_id", "seq", "packet_count", "paused", "accepted", "position_x", "map_x", "map_y", "heading", "speed_kmh", "throttle", "brake")
     return _round(out, "map_x", "map_y", "heading", "speed_kmh", "throttle", "brake")
 
 
 def latest_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = tracks.latest(tracks.held(adapters.telemetry(spark, sf_dir)))
+    return _latest(tracks.latest(tracks.held(adapters.telemetry(spark, sf_dir))))
+
+
+def _latest(rows: DataFrame) -> DataFrame:
     return _round(rows.select("player_id", "seq", "ts_ms", "map_x", "map_y", "gear", "packet_count", "paused"), "map_x", "map_y")
 
 
@@ -286,12 +294,51 @@ def suspicious_reroutes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return progress.suspicious(rows).select("player_id", "seq", "rejected")
 
 
+def _replayed(rows: DataFrame) -> tuple[DataFrame, str]:
+    """A stream over a table of ``rows`` and a packet far behind them, which lets the watermark pass all others; its folder."""
+    spark, columns = rows.sparkSession, rows.columns
+    folder = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    rows.write.parquet(f"{folder}/source")
+    last = spark.read.parquet(f"{folder}/source").agg(F.max_by(F.struct(*columns), "ts_ms").alias("r")).select("r.*")
+    closing = last.withColumns({"player_id": F.lit(-1).cast("long"), "ts_ms": F.col("ts_ms") + 3_600_000})
+    closing.write.mode("append").parquet(f"{folder}/source")
+    return spark.readStream.schema(rows.schema).parquet(f"{folder}/source"), folder
+
+
+def _streamed(stream: DataFrame, folder: str) -> DataFrame:
+    streams.appended(stream, folder)
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/rows").where("player_id <> -1")
+
+
+def stream_hold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    source, folder = _replayed(adapters.telemetry(spark, sf_dir))
+    return _held(_streamed(streams.held(source), folder))
+
+
+def stream_heartbeat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    source, folder = _replayed(tracks.held(adapters.telemetry(spark, sf_dir)))
+    return _round(_streamed(streams.heartbeat(source), folder), "speed_mps")
+
+
+def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    source, folder = _replayed(adapters.telemetry(spark, sf_dir))
+    return _streamed(streams.live_sessions(source), folder)
+
+
+def stream_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    source, folder = _replayed(tracks.held(adapters.telemetry(spark, sf_dir)))
+    writer = source.writeStream.foreachBatch(streams.latest_sink(spark, f"{folder}/latest")).option("checkpointLocation", f"{folder}/progress")
+    writer.trigger(availableNow=True).start().awaitTermination()
+    return _latest(streams.read_latest(spark, f"{folder}/latest")).where("player_id <> -1")
+
+
 QUERIES = [
     trip_leaders, telemetry_hold, latest_snapshot, liveness, live_sessions, heartbeat, motion_heading, rpm_ratio, crash_candidates, jump_candidates,
     drive_events, packet_decode, packet_counts, scalar_labels, tile_pyramid, box_tiles, markers_in_boxes, marker_search, nearest_markers, marker_lookup,
     marker_labels, marker_categories, road_cells, road_grid, grid_edges, road_class_counts, normalised_edges, graph_components, graph_status,
     graph_stitches, graph_bridges, snapped_nodes, candidate_pairs, best_routes, route_road_profile, route_outcomes, route_lines, route_progress,
-    off_route_episodes, route_points, arrivals, reroutes, suspicious_reroutes]
+    off_route_episodes, route_points, arrivals, reroutes, suspicious_reroutes, stream_hold, stream_heartbeat,
+    stream_sessions, stream_latest]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -299,6 +346,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracles.all_sql()
-
-
+    sql = oracles.all_sql()
+    # a stream's rows equal those of its batch twin
+    return sql | {
+        "stream_hold": sql["telemetry_hold"], "stream_heartbeat": sql["heartbeat"], "stream_latest": sql["latest_snapshot"],
+        "stream_sessions": f"SELECT player_id, start_ms, end_ms, packets FROM ({sql['live_sessions']})"}
