@@ -146,6 +146,20 @@ def test_decontamination(spark, corpus, empty):
     assert decontamination.contaminations(empty, bench).count() == 0 and decontamination.contaminations(docs, bench.limit(0)).count() == 0
 
 
+def test_quotes_of_100_characters_are_found_at_every_offset(spark):
+    rnd = random.Random(8)
+    item = " ".join("".join(rnd.choice("klmnoprst") for _ in range(6)) for _ in range(60))[:300].strip()
+    filler = " ".join("".join(rnd.choice("abcdefgh") for _ in range(5)) for _ in range(40))
+    at = [i for i in range(len(item) - 99) if item[i] != " " and item[i + 99] != " "]
+    rows = [(i, f"{filler}{item[i : i + 100]}{filler}") for i in at]
+    # 4 slips, and a quote that is too short to hold a segment
+    rows += [(1000 + i, filler + "".join("z" if k in (9, 33, 57, 90) else c for k, c in enumerate(item[i : i + 100])) + filler) for i in at]
+    rows.append((5000, f"{filler} {item[45:115]} {filler}"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(7, item)], "item_id long, text string")
+    assert {r.doc_id for r in decontamination.contaminations(docs, bench).collect()} == {d for d, _ in rows if d < 5000}
+
+
 def test_banded_alignment_equals_full():
     rnd = random.Random(1)
 

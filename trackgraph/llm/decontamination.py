@@ -1,7 +1,10 @@
 """Benchmark decontamination by the q-gram lemma on diagonal bands.
 
 Texts are compared in lower case with every run of other characters than letters and digits as one space. Benchmark items are cut
-into overlapping segments of ``segment`` characters (a shorter item is one segment). A segment of L characters that occurs in a
+into overlapping segments of ``segment`` characters (a shorter item is one segment) at half their length, and of four fifths of
+``quote`` characters at steps of one fifth. Every quote of ``quote`` characters or more of an item that is longer than a segment
+thus holds a whole short segment wherever it begins; it is found if that segment has edits in 5 % (``rate``) of its characters at
+most, as a verbatim quote always is. Items of at most one segment are found as a whole only. A segment of L characters that occurs in a
 document with at most ``e`` edits shares at least ``L - q + 1 - q * e`` q-grams with it whose diagonals (place in the document
 minus place in the segment) lie in a band of ``e`` diagonals. Bands of ``2 * (e + 1)`` diagonals that overlap by half are counted;
 those that reach the bound are verified by a banded alignment. A document is contaminated by an item if a segment of it occurs.
@@ -73,16 +76,27 @@ class Patterns:
     table: np.ndarray
 
 
-def patterns(items: list[tuple[int, str]], q: int, rate: float, segment: int, shortest: int) -> Patterns:
+def segments_of(text: str, segment: int, quote: int) -> list[str]:
+    """Segments of an item; any ``quote`` characters of an item above ``segment`` characters hold one of them."""
+    if len(text) <= segment:
+        return [text]
+    step = max(1, quote // 5)
+    cuts = set()
+    for size, stride in ((segment, segment // 2), (max(1, quote - step), step)):
+        size = min(size, len(text))
+        cuts |= {(s, size) for s in (*range(0, len(text) - size, stride), len(text) - size)}
+    return [text[s : s + size] for s, size in sorted(cuts)]
+
+
+def patterns(items: list[tuple[int, str]], q: int, rate: float, segment: int, shortest: int, quote: int) -> Patterns:
     item, text = [], []
     for i, t in items:
         t = normalised(t)
         if len(t) < max(shortest, q) or i is None:
             continue
-        starts = [0] if len(t) <= segment else sorted({*range(0, len(t) - segment, segment // 2), len(t) - segment})
-        for s in starts:
-            item.append(i)
-            text.append(t[s : s + segment] if len(t) > segment else t)
+        own = segments_of(t, segment, quote)
+        item += [i] * len(own)
+        text += own
     length = np.array([len(t) for t in text], np.int64)
     edits = np.minimum(np.floor(length * rate), (length - q) // q).astype(np.int64) if len(text) else np.zeros(0, np.int64)
     bound = length - q + 1 - q * edits
@@ -134,8 +148,9 @@ def _matches(p: Patterns, rows: list[int], texts: list[str], q: int) -> Iterator
     times = p.at[slot + 1] - p.at[slot]
     if not times.sum():
         return
+    shift = 4 * max(map(len, p.text))
     entry = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + np.repeat(p.at[slot], times)
-    segment, diagonal = p.segment[entry], np.repeat(near, times) - p.place[entry] + 4 * len(max(p.text, key=len))
+    segment, diagonal = p.segment[entry], np.repeat(near, times) - p.place[entry] + shift
     reach = p.edits[segment] + 1
     band = diagonal // reach
     key = np.concatenate([segment << 40 | band, segment << 40 | (band - 1)])
@@ -145,7 +160,7 @@ def _matches(p: Patterns, rows: list[int], texts: list[str], q: int) -> Iterator
     at = np.r_[0, np.cumsum([len(t) + 1 for t in texts])]
     for s, b in zip(segment[good].tolist(), band[good].tolist()):
         reach, length, e = int(p.edits[s]) + 1, len(p.text[s]), int(p.edits[s])
-        low = b * reach - 4 * len(max(p.text, key=len)) - e
+        low = b * reach - shift - e
         width = 2 * reach + 2 * e
         middle = min(max(low + width // 2 + length // 2, 0), len(joined) - 1)
         r = int(np.searchsorted(at, middle, side="right")) - 1
@@ -157,7 +172,7 @@ def _matches(p: Patterns, rows: list[int], texts: list[str], q: int) -> Iterator
             yield rows[r], s, edits
 
 
-def contaminations(docs: DataFrame, benchmark: DataFrame, q: int = 12, rate: float = 0.05, segment: int = 100, shortest: int = 25, part_bytes: int = 8 << 20) -> DataFrame:
+def contaminations(docs: DataFrame, benchmark: DataFrame, q: int = 12, rate: float = 0.05, segment: int = 100, shortest: int = 25, part_bytes: int = 8 << 20, quote: int = 100) -> DataFrame:
     """``doc_id, item_id, segments, edits``: documents with an item; segments found, least edits of one."""
     spark = docs.sparkSession
     total = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -165,7 +180,7 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, q: int = 12, rate: flo
     out = None
     for k in range(parts):
         own = benchmark.where(F.pmod(F.xxhash64("text"), F.lit(parts)) == k) if parts > 1 else benchmark
-        shared = spark.sparkContext.broadcast(patterns([(r[0], r[1]) for r in own.select("item_id", "text").collect()], q, rate, segment, shortest))
+        shared = spark.sparkContext.broadcast(patterns([(r[0], r[1]) for r in own.select("item_id", "text").collect()], q, rate, segment, shortest, quote))
         found = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_finder(shared, q), "doc_id long, item_id long, segment long, edits int")
         out = found if out is None else out.unionByName(found)
     return out.groupBy("doc_id", "item_id").agg(F.countDistinct("segment").alias("segments"), F.min("edits").alias("edits"))
