@@ -126,3 +126,16 @@ def test_labels_and_road_classes(spark):
 def test_suspicious_reroute(spark):
     rows = spark.createDataFrame([(2000.0, 1000.0, 100.0, 0, False), (2000.0, 1000.0, 600.0, 0, False), (1300.0, 1000.0, 100.0, 0, False), (2000.0, 1000.0, 100.0, 0, True)], "new_length double, remaining double, off double, off_ms int, forced boolean")
     assert [r.rejected for r in progress.suspicious(rows).collect()] == [True, False, False, False]
+
+
+def test_requests_are_routed_over_bridges(spark, monkeypatch):
+    """Two chains 200 px apart, a single node, and a chain of dashed roads that no bridge may reach."""
+    rows = [(i, i, 0, i * 10.0, 0.0, "white") for i in range(3)] + [(10 + i, 22 + i, 0, 220.0 + i * 10, 0.0, "orange") for i in range(3)]
+    rows += [(20, 12, 10, 120.0, 100.0, "white")] + [(30 + i, i, 30, i * 10.0, 300.0, "orange_dashed") for i in range(2)]
+    nodes = spark.createDataFrame(rows, "node_id long, gx long, gy long, map_x double, map_y double, road_class string")
+    monkeypatch.setattr(adapters, "nodes", lambda spark, sf_dir: nodes)
+    monkeypatch.setattr(adapters, "requests", lambda spark, sf_dir: spark.createDataFrame([(1, 0.0, 0.0, 240.0, 0.0)], "request_id long, start_x double, start_y double, target_x double, target_y double"))
+    found = {r.node_id: r.component for r in queries._repaired(spark, DATA)[2].collect()}
+    assert {k for k, c in found.items() if c == 0} == {0, 1, 2, 10, 11, 12} and found[20] == 20 and found[31] == 30
+    route = queries.best_routes(spark, DATA).first()
+    assert route.s == 0 and route.length >= 220 and route.physical == 240.0

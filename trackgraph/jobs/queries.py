@@ -195,16 +195,20 @@ def graph_stitches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.spanning_forest(graph.stitch_candidates(nodes, components))
 
 
+def _stitched(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    nodes, edges, components = _graph(spark, sf_dir)
+    stitches = graph.synthetic(graph.spanning_forest(graph.stitch_candidates(nodes, components)))
+    edges = staged(edges.unionByName(stitches), "edges")
+    return nodes, edges, staged(graph.node_components(nodes, edges), "components")
+
+
 def graph_bridges(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes, _, components = _graph(spark, sf_dir)
     return graph.spanning_forest(graph.bridge_candidates(nodes, components, radius=80.0))
 
 
 def _repaired(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    nodes, edges, components = _graph(spark, sf_dir)
-    stitches = graph.synthetic(graph.spanning_forest(graph.stitch_candidates(nodes, components)))
-    edges = staged(edges.unionByName(stitches), "edges")
-    return nodes, edges, staged(graph.node_components(nodes, edges), "components")
+    return graph.bridged(*_stitched(spark, sf_dir))
 
 
 def snapped_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:

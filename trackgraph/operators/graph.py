@@ -98,3 +98,10 @@ def spanning_forest(candidates: DataFrame) -> DataFrame:
 def synthetic(links: DataFrame) -> DataFrame:
     """Links as edges of class synthetic_bridge."""
     return links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "length", (F.col("length") * MULTIPLIERS["synthetic_bridge"]).alias("cost"), F.lit("synthetic_bridge").alias("road_class"))
+
+
+def bridged(nodes: DataFrame, edges: DataFrame, components: DataFrame, radius: float = 320.0) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Nodes, edges with the bridges between the given components, and the components after them."""
+    bridges = synthetic(spanning_forest(bridge_candidates(nodes, components, radius)))
+    edges = staged(edges.unionByName(bridges), "edges")
+    return nodes, edges, staged(node_components(nodes, edges), "components")
