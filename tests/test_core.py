@@ -1,4 +1,5 @@
 import glob
+import math
 import os
 
 import duckdb
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 
 from trackgraph.functions import geo
 from trackgraph.jobs import queries
-from trackgraph.operators import events, graph, progress, raster, routing
+from trackgraph.operators import events, graph, poi, progress, raster, routing
 from trackgraph.operators import telemetry as tracks
 from trackgraph.operators.components import connected_components
 from trackgraph.sources import adapters, packets
@@ -128,14 +129,44 @@ def test_suspicious_reroute(spark):
     assert [r.rejected for r in progress.suspicious(rows).collect()] == [True, False, False, False]
 
 
-def test_requests_are_routed_over_bridges(spark, monkeypatch):
+def _islands(spark):
     """Two chains 200 px apart, a single node, and a chain of dashed roads that no bridge may reach."""
     rows = [(i, i, 0, i * 10.0, 0.0, "white") for i in range(3)] + [(10 + i, 22 + i, 0, 220.0 + i * 10, 0.0, "orange") for i in range(3)]
     rows += [(20, 12, 10, 120.0, 100.0, "white")] + [(30 + i, i, 30, i * 10.0, 300.0, "orange_dashed") for i in range(2)]
-    nodes = spark.createDataFrame(rows, "node_id long, gx long, gy long, map_x double, map_y double, road_class string")
+    return spark.createDataFrame(rows, "node_id long, gx long, gy long, map_x double, map_y double, road_class string")
+
+
+def test_requests_are_routed_over_bridges(spark, monkeypatch):
+    nodes = _islands(spark)
     monkeypatch.setattr(adapters, "nodes", lambda spark, sf_dir: nodes)
     monkeypatch.setattr(adapters, "requests", lambda spark, sf_dir: spark.createDataFrame([(1, 0.0, 0.0, 240.0, 0.0)], "request_id long, start_x double, start_y double, target_x double, target_y double"))
     found = {r.node_id: r.component for r in queries._repaired(spark, DATA)[2].collect()}
     assert {k for k, c in found.items() if c == 0} == {0, 1, 2, 10, 11, 12} and found[20] == 20 and found[31] == 30
     route = queries.best_routes(spark, DATA).first()
     assert route.s == 0 and route.length >= 220 and route.physical == 240.0
+
+
+def test_bridges_reach_320_px_between_stitched_components(spark, monkeypatch):
+    nodes = _islands(spark)
+    monkeypatch.setattr(adapters, "nodes", lambda spark, sf_dir: nodes)
+    assert [(r.a, r.b, r.length) for r in queries.graph_bridges(spark, DATA).collect()] == [(2, 10, 200.0)]
+
+
+def test_nearest_without_radius_equals_brute_force(spark):
+    spots = [(i, float(i * 7919 % 3000), float(i * 104729 % 2500)) for i in range(60)] + [(60, 90_000.0, -40_000.0)]
+    points = [(i, float(i * 613 % 4000 - 500), float(i * 389 % 3000)) for i in range(40)] + [(40, -70_000.0, 10.0), (41, 88_000.0, -40_000.0)]
+    p, t = spark.createDataFrame(points, "p long, x double, y double"), spark.createDataFrame(spots, "t long, map_x double, map_y double")
+    want = {(i, r + 1, j) for i, x, y in points for r, (_, j) in enumerate(sorted((math.hypot(x - a, y - b), j) for j, a, b in spots)[:4])}
+    assert {(r.p, r.rank, r.t) for r in poi.nearest(p, t, "p", "t", 4, None).collect()} == want
+    assert poi.nearest(p, t, "p", "t", 100, None).count() == len(points) * len(spots)
+    assert poi.nearest(p, t.limit(0), "p", "t", 4, None).count() == 0
+
+
+def test_pairs_beyond_the_ten_nearest_nodes(spark, monkeypatch):
+    """Around each end 12 single nodes are nearer than the road that joins both ends."""
+    rows = [(i, i * 100, 0, 3.0 * i, 0.0, "white") for i in range(12)] + [(20 + i, i * 100, 900, 1000 + 3.0 * i, 0.0, "white") for i in range(12)]
+    rows += [(50 + i, 5000 + i, 0, i * 100.0, 400.0, "white") for i in range(12)]
+    nodes = spark.createDataFrame(rows, "node_id long, gx long, gy long, map_x double, map_y double, road_class string")
+    monkeypatch.setattr(adapters, "nodes", lambda spark, sf_dir: nodes)
+    monkeypatch.setattr(adapters, "requests", lambda spark, sf_dir: spark.createDataFrame([(1, 0.0, 0.0, 1000.0, 0.0)], "request_id long, start_x double, start_y double, target_x double, target_y double"))
+    assert (queries.candidate_pairs(spark, DATA).count(), queries.snapped_nodes_for_routing(spark, DATA).count()) == (4, 36)

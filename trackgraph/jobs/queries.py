@@ -125,12 +125,20 @@ def marker_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return poi.search(q, m, 25).select("query_id", "file_order", "distance", F.col("rank").cast("long").alias("rank"))
 
 
-def nearest_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _nearest_markers(spark: SparkSession, sf_dir: str, radius: float | None) -> DataFrame:
     r = adapters.requests(spark, sf_dir).select("request_id", (F.col("start_x") * 40).alias("x"), (F.col("start_y") * 50).alias("y"))
-    out = poi.nearest(r, adapters.markers(spark, sf_dir), "request_id", "file_order", k=4, radius=5000.0)
+    out = poi.nearest(r, adapters.markers(spark, sf_dir), "request_id", "file_order", k=4, radius=radius)
     return _round(out.select("request_id", "file_order", "distance", F.col("rank").cast("long").alias("rank")), "distance")
 
 
+def nearest_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _nearest_markers(spark, sf_dir, 5000.0)
+
+
+def nearest_markers_anywhere(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _nearest_markers(spark, sf_dir, None)
+
+
 def marker_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = adapters.requests(spark, sf_dir).withColumn("needle", (F.col("request_id") * 3 % 211).cast("string"))
     return poi.lookup(r, adapters.markers(spark, sf_dir))
@@ -203,20 +211,28 @@ def _stitched(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, D
 
 
 def graph_bridges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes, _, components = _graph(spark, sf_dir)
-    return graph.spanning_forest(graph.bridge_candidates(nodes, components, radius=80.0))
+    nodes, _, components = _stitched(spark, sf_dir)
+    return graph.spanning_forest(graph.bridge_candidates(nodes, components, radius=320.0))
 
 
 def _repaired(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     return graph.bridged(*_stitched(spark, sf_dir))
 
 
-def snapped_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _snapped_nodes(spark: SparkSession, sf_dir: str, most: int, radius: float) -> DataFrame:
     nodes = adapters.nodes(spark, sf_dir)
-    out = routing.snapped(adapters.requests(spark, sf_dir), nodes, "start", k=10, radius=900.0)
+    out = routing.snapped(adapters.requests(spark, sf_dir), nodes, "start", most, radius)
     return _round(out.select("request_id", "node_id", "distance", F.col("rank").cast("long").alias("rank")), "distance")
 
 
+def snapped_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _snapped_nodes(spark, sf_dir, 10, 900.0)
+
+
+def snapped_nodes_for_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _snapped_nodes(spark, sf_dir, routing.SNAP_MOST, routing.SNAP_RADIUS)
+
+
 def _routes(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     nodes, edges, components = _repaired(spark, sf_dir)
     r = adapters.requests(spark, sf_dir)
@@ -231,7 +247,7 @@ def _routes(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 def candidate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes, _, components = _graph(spark, sf_dir)
     r = adapters.requests(spark, sf_dir)
-    out = routing.candidate_pairs(*(routing.snapped(r, nodes, end, 10, 900.0) for end in ("start", "target")), components)
+    out = routing.candidate_pairs(*(routing.snapped(r, nodes, end) for end in ("start", "target")), components)
     return _round(out.withColumn("pair_rank", F.col("pair_rank").cast("long")), "s_snap", "g_snap", "score")
 
 
@@ -338,9 +354,9 @@ def stream_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = [
     trip_leaders, telemetry_hold, latest_snapshot, liveness, live_sessions, heartbeat, motion_heading, rpm_ratio, crash_candidates, jump_candidates,
-    drive_events, packet_decode, packet_counts, scalar_labels, tile_pyramid, box_tiles, markers_in_boxes, marker_search, nearest_markers, marker_lookup,
+    drive_events, packet_decode, packet_counts, scalar_labels, tile_pyramid, box_tiles, markers_in_boxes, marker_search, nearest_markers, nearest_markers_anywhere, marker_lookup,
     marker_labels, marker_categories, road_cells, road_grid, grid_edges, road_class_counts, normalised_edges, graph_components, graph_status,
-    graph_stitches, graph_bridges, snapped_nodes, candidate_pairs, best_routes, route_road_profile, route_outcomes, route_lines, route_progress,
+    graph_stitches, graph_bridges, snapped_nodes, snapped_nodes_for_routing, candidate_pairs, best_routes, route_road_profile, route_outcomes, route_lines, route_progress,
     off_route_episodes, route_points, arrivals, reroutes, suspicious_reroutes, stream_hold, stream_heartbeat,
     stream_sessions, stream_latest]
 
