@@ -100,6 +100,25 @@ def test_line_dedup(corpus, empty):
     assert kept[0] is None and len(kept) == corpus.count()
 
 
+def test_short_lines_within_one_character(spark):
+    rnd = random.Random(4)
+    texts = ["buy it now", "Buy it  now!", "by it now", "buyit now", "bu it nw", "一二三四五六七八九", "一二三四五六X八九", "一二三四五X七X九", "a", "ab", "", "a b c d e f g h", "a b c d e f gh", "a b c d e f gx h", "a b c d e f g\na b c d e f", "😀é", "😀e", "two words"]
+    for _ in range(40):
+        base = "".join(rnd.choice("abcdé ") for _ in range(rnd.randint(3, 30)))
+        k = rnd.randrange(len(base))
+        texts += [base, base[:k] + rnd.choice(["", "z", base[k] + "z"]) + base[k + 1 :]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    seen, want = [], set()
+    for d, t in enumerate(texts):
+        for k, line in enumerate(x for x in t.split("\n") if words_of(x)):
+            w = [x.encode().lower() for x in words_of(line)]
+            if any(line_dedup.are_copies(w, o, 8, 1) for o in seen):
+                want.add((d, k))
+            seen.append(w)
+    got = {(r.doc_id, k) for r in line_dedup.line_report(docs, short_edits=1).collect() for k in r.removed}
+    assert got == want and {(1, 0), (2, 0), (3, 0), (6, 0)} <= got and not {(4, 0), (7, 0), (11, 0)} & got
+
+
 def test_mixing(corpus, empty):
     rows = mixing.mix_table(corpus).collect()
     sizes = {d: len(words_of(t)) for d, t in texts_of(corpus).items()}

@@ -41,7 +41,7 @@ def op5_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_deletion_neighbourhood_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.line_report(_table(spark, sf_dir, "documents"))
+    return line_dedup.line_report(_table(spark, sf_dir, "documents"), short_edits=1)
 
 
 def op7_qgram_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
