@@ -170,3 +170,15 @@ def test_pairs_beyond_the_ten_nearest_nodes(spark, monkeypatch):
     monkeypatch.setattr(adapters, "nodes", lambda spark, sf_dir: nodes)
     monkeypatch.setattr(adapters, "requests", lambda spark, sf_dir: spark.createDataFrame([(1, 0.0, 0.0, 1000.0, 0.0)], "request_id long, start_x double, start_y double, target_x double, target_y double"))
     assert (queries.candidate_pairs(spark, DATA).count(), queries.snapped_nodes_for_routing(spark, DATA).count()) == (4, 36)
+
+
+def test_search_reads_descriptions_and_deals_many_texts(spark, monkeypatch):
+    markers = spark.createDataFrame([(1, "Barn", "a", "b", "Hidden BARN find", None, 0.0, 0.0), (2, "Sign", "a", "b", None, "near the hidden lake", 3.0, 4.0), (3, "hidden", "a", "b", None, None, 9.0, 0.0), (4, "Speed", "a", "b", None, None, 1.0, 0.0)],
+                                    "file_order long, title string, category string, parent_category string, description string, desc string, map_x double, map_y double")
+    asked = spark.createDataFrame([(1, " Hidden ", 0.0, 0.0), (2, "lake sign", 0.0, 0.0), (3, "  ", 0.0, 0.0), (4, "barn lake", 0.0, 0.0), (5, "hidden", 9.0, 0.0)], "query_id long, text string, x double, y double")
+    want = [(1, 1, 1), (1, 2, 2), (1, 3, 3), (2, 1, 2), (5, 1, 3), (5, 2, 2), (5, 3, 1)]
+    rows = lambda: sorted((r.query_id, r["rank"], r.file_order) for r in poi.search(asked, markers).collect())
+    assert rows() == want
+    monkeypatch.setattr(poi, "BROADCAST_TEXTS", 1)
+    assert rows() == want
+    assert "CartesianProduct" in poi.search(asked, markers)._jdf.queryExecution().toString()

@@ -17,17 +17,28 @@ def marker_key(markers: DataFrame) -> DataFrame:
     return markers.withColumn("key", F.coalesce(blank("marker_id"), blank("id"), place))
 
 
+#: Distinct query texts that may be broadcast; beyond it they are crossed with the markers in blocks of about so many texts.
+BROADCAST_TEXTS = 10_000
+
+
 def search(queries: DataFrame, markers: DataFrame, limit: int = 25) -> DataFrame:
     """Markers whose text holds every term of a query; at most ``limit`` (1 to 100) by distance, or by title without a position.
 
-    ``queries`` has query_id, text, x, y. Equal texts are matched once. Queries are the broadcast side in bounded blocks of texts.
+    ``queries`` has query_id, text, x, y. Equal texts are matched once. The text of a marker is its title, category,
+    parent_category, description and desc; the last two may be absent. Up to ``BROADCAST_TEXTS`` texts are broadcast, more are dealt
+    into blocks and each block meets each partition of the markers.
     """
     limit = max(1, min(100, limit))
-    hay = F.lower(F.concat_ws(" ", "title", "category", "parent_category"))
+    searched = ["title", "category", "parent_category", *(c for c in ("description", "desc") if c in markers.columns)]
     terms = F.array_remove(F.split(F.lower(F.trim("text")), r"\s+"), "")
     asked = queries.withColumn("terms", terms).where(F.size("terms") > 0)
-    distinct = asked.select("terms").distinct()
-    hits = markers.withColumn("hay", hay).join(F.broadcast(distinct), F.forall("terms", lambda t: F.contains(F.col("hay"), t)))
+    distinct = staged(asked.select("terms").distinct(), "texts")
+    count = distinct.count()
+    if count <= BROADCAST_TEXTS:
+        distinct = F.broadcast(distinct)
+    else:
+        distinct = distinct.repartition(-(-count // BROADCAST_TEXTS), "terms").hint("shuffle_replicate_nl")
+    hits = markers.withColumn("hay", F.lower(F.concat_ws(" ", *searched))).join(distinct, F.forall("terms", lambda t: F.contains(F.col("hay"), t)))
     met = asked.join(hits.drop("hay"), "terms").withColumn("distance", F.round(geo.distance(F.col("x"), F.col("y"), F.col("map_x"), F.col("map_y")), 2))
     order = Window.partitionBy("query_id").orderBy(F.col("distance").asc_nulls_last(), F.lower("title"), "file_order")
     return met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).drop("terms", "text", "x", "y")
