@@ -182,3 +182,9 @@ def test_search_reads_descriptions_and_deals_many_texts(spark, monkeypatch):
     monkeypatch.setattr(poi, "BROADCAST_TEXTS", 1)
     assert rows() == want
     assert "CartesianProduct" in poi.search(asked, markers)._jdf.queryExecution().toString()
+
+
+def test_reroute_without_a_usable_route(spark):
+    rows = [(1, t, None, 500.0, 0.0, 0.0) for t in (0, 1000, 2800, 2900, 5700, 5701)] + [(1, 9000, None, 30.0, 0.0, 0.0), (1, 9100, 10.0, 500.0, 0.0, 0.0), (1, 22000, 10.0, 500.0, 800.0, 0.0)]
+    got = progress.reroutes(spark.createDataFrame(rows, "player_id long, ts_ms long, off double, to_target double, map_x double, map_y double")).collect()
+    assert sorted((r.ts_ms, r.reason) for r in got) == [(0, "no_route"), (2900, "no_route"), (5701, "no_route"), (22000, "moved")]

@@ -71,12 +71,20 @@ def arrivals(rows: DataFrame) -> DataFrame:
 
 
 def reroutes(rows: DataFrame) -> DataFrame:
-    """Reroute decisions from ``off, to_target, map_x, map_y`` (V7): a fold over the rows that may decide, with its reason."""
+    """Reroute decisions from ``off, to_target, map_x, map_y`` (V7): a fold over the rows of each player, with its reason.
+
+    A null ``off`` stands for no usable route, which asks again after 2.8 s.
+    """
 
     def fold(f: pd.DataFrame) -> pd.DataFrame:
         f, out, last, since, anchor = f.sort_values("ts_ms"), [], None, None, None
         for p, t, off, goal, x, y in zip(f["player_id"], f["ts_ms"], f["off"], f["to_target"], f["map_x"], f["map_y"]):
             anchor = anchor or (x, y)
+            if pd.isna(off):
+                if not goal < 35 and (last is None or t - last > 2800):
+                    out.append((p, t, "no_route"))
+                    last, anchor, since = t, (x, y), None
+                continue
             since = None if off <= OFF_ROUTE else t if since is None else since
             if goal < 35:
                 continue
