@@ -11,9 +11,11 @@ those that reach the bound are verified by a banded alignment. A document is con
 
 The benchmark is broadcast in parts of at most ``part_bytes`` bytes of text, one pass over the documents for each.
 
-Defined cases: a null text and an item without text match nothing; items with fewer than ``shortest`` characters after
-normalisation are ignored, for they also occur by chance; repeated documents and items are each matched; a null doc_id is matched
-like any other; other columns are ignored; if either table is empty the result is empty.
+Items with fewer characters than a q-gram are compared exactly, as runs of whole words.
+
+Defined cases: a null text, and an item without letters and digits, match nothing; repeated documents and items are each matched; a
+null doc_id or item_id is matched like any other; other columns are ignored; if either table is empty the result is empty. Whether a
+document stays depends on its text alone, so rows that share a doc_id, or have none, are judged each by itself.
 """
 
 from __future__ import annotations
@@ -24,11 +26,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trackgraph.functions.storage import staged
 from trackgraph.llm.textblocks import mix
 
+#: Checksums of texts (32 characters each) that may be broadcast. Beyond it they meet the documents by a shuffle join.
+BROADCAST_TEXTS = 200_000
 _OTHER = re.compile(r"[\W_]+")
 _BLOCK_CHARS = 1 << 20
 _TABLE_BITS = 22
@@ -63,10 +68,12 @@ def grams(code: np.ndarray, q: int) -> np.ndarray:
 
 @dataclass
 class Patterns:
-    """Segments of benchmark items, and an index of their q-grams in order of hash."""
+    """Segments of benchmark items, and an index of their q-grams in order of hash. short: segments that are shorter than a q-gram."""
 
-    item: np.ndarray
+    item: list[int | None]
     text: list[str]
+    longest: int
+    short: dict[str, list[int]]
     edits: np.ndarray
     bound: np.ndarray
     keys: np.ndarray
@@ -88,17 +95,20 @@ def segments_of(text: str, segment: int, quote: int) -> list[str]:
     return [text[s : s + size] for s, size in sorted(cuts)]
 
 
-def patterns(items: list[tuple[int, str]], q: int, rate: float, segment: int, shortest: int, quote: int) -> Patterns:
+def patterns(items: list[tuple[int | None, str]], q: int, rate: float, segment: int, quote: int) -> Patterns:
     item, text = [], []
     for i, t in items:
         t = normalised(t)
-        if len(t) < max(shortest, q) or i is None:
+        if not t:
             continue
         own = segments_of(t, segment, quote)
         item += [i] * len(own)
         text += own
     length = np.array([len(t) for t in text], np.int64)
-    edits = np.minimum(np.floor(length * rate), (length - q) // q).astype(np.int64) if len(text) else np.zeros(0, np.int64)
+    edits = np.maximum(np.minimum(np.floor(length * rate), (length - q) // q), 0).astype(np.int64)
+    short: dict[str, list[int]] = {}
+    for k in np.flatnonzero(length < q).tolist():
+        short.setdefault(text[k], []).append(k)
     bound = length - q + 1 - q * edits
     hashes = [grams(points(t), q) for t in text]
     h = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
@@ -108,7 +118,7 @@ def patterns(items: list[tuple[int, str]], q: int, rate: float, segment: int, sh
     keys, at = np.unique(h[order], return_index=True)
     table = np.zeros(1 << _TABLE_BITS, bool)
     table[keys >> np.uint64(64 - _TABLE_BITS)] = True
-    return Patterns(np.array(item, np.int64), text, edits, bound, keys, np.r_[at, len(order)], seg[order], place[order], table)
+    return Patterns(item, text, max(map(len, text), default=0), short, edits, bound, keys, np.r_[at, len(order)], seg[order], place[order], table)
 
 
 def banded_edits(pattern: np.ndarray, region: np.ndarray, low: int, width: int, most: int) -> int:
@@ -136,6 +146,13 @@ def banded_edits(pattern: np.ndarray, region: np.ndarray, low: int, width: int,
 
 def _matches(p: Patterns, rows: list[int], texts: list[str], q: int) -> Iterator[tuple[int, int, int]]:
     """``(row, segment, edits)`` in a block of normalised texts."""
+    for r, t in zip(rows, texts) if p.short else ():
+        own = t.split(" ")
+        for k in {x.count(" ") + 1 for x in p.short}:
+            for run in p.short.keys() & {" ".join(x) for x in zip(*(own[i:] for i in range(k)))}:
+                yield from ((r, s, 0) for s in p.short[run])
+    if not len(p.keys):
+        return
     joined = "\0".join(texts)
     code = points(joined)
     h = grams(code, q)
@@ -148,7 +165,7 @@ def _matches(p: Patterns, rows: list[int], texts: list[str], q: int) -> Iterator
     times = p.at[slot + 1] - p.at[slot]
     if not times.sum():
         return
-    shift = 4 * max(map(len, p.text))
+    shift = 4 * p.longest
     entry = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + np.repeat(p.at[slot], times)
     segment, diagonal = p.segment[entry], np.repeat(near, times) - p.place[entry] + shift
     reach = p.edits[segment] + 1
@@ -172,21 +189,29 @@ def _matches(p: Patterns, rows: list[int], texts: list[str], q: int) -> Iterator
             yield rows[r], s, edits
 
 
-def contaminations(docs: DataFrame, benchmark: DataFrame, q: int = 12, rate: float = 0.05, segment: int = 100, shortest: int = 25, part_bytes: int = 8 << 20, quote: int = 100) -> DataFrame:
+def contaminations(docs: DataFrame, benchmark: DataFrame, q: int = 12, rate: float = 0.05, segment: int = 100, part_bytes: int = 8 << 20, quote: int = 100) -> DataFrame:
     """``doc_id, item_id, segments, edits``: documents with an item; segments found, least edits of one."""
+    found = _found(docs, F.col("doc_id").cast("long").alias("doc_id"), benchmark, q, rate, segment, part_bytes, quote)
+    return found.groupBy("doc_id", "item_id").agg(F.countDistinct("segment").alias("segments"), F.min("edits").alias("edits"))
+
+
+def _found(docs: DataFrame, key: Column, benchmark: DataFrame, q: int, rate: float, segment: int, part_bytes: int, quote: int) -> DataFrame:
+    """The key column (of its own name), ``item_id, segment, edits`` for every segment of an item that is found in a row's text."""
     spark = docs.sparkSession
     total = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, -(-total // part_bytes))
     out = None
     for k in range(parts):
         own = benchmark.where(F.pmod(F.xxhash64("text"), F.lit(parts)) == k) if parts > 1 else benchmark
-        shared = spark.sparkContext.broadcast(patterns([(r[0], r[1]) for r in own.select("item_id", "text").collect()], q, rate, segment, shortest, quote))
-        found = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_finder(shared, q), "doc_id long, item_id long, segment long, edits int")
+        shared = spark.sparkContext.broadcast(patterns([(r[0], r[1]) for r in own.select("item_id", "text").collect()], q, rate, segment, quote))
+        source = docs.select(key, "text")
+        schema = f"{source.columns[0]} {source.schema[0].dataType.simpleString()}, item_id long, segment string, edits int"
+        found = source.mapInArrow(_finder(shared, q, k, source.columns[0]), schema)
         out = found if out is None else out.unionByName(found)
-    return out.groupBy("doc_id", "item_id").agg(F.countDistinct("segment").alias("segments"), F.min("edits").alias("edits"))
+    return out
 
 
-def _finder(shared, q: int):
+def _finder(shared, q: int, number: int, key: str):
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = shared.value
         for batch in batches:
@@ -195,7 +220,7 @@ def _finder(shared, q: int):
             for r in range(len(batch) + 1):
                 if r < len(batch):
                     text = normalised(batch.column(1)[r].as_py())
-                    if len(text) >= q:
+                    if text:
                         rows.append(r)
                         texts.append(text)
                         size += len(text)
@@ -205,12 +230,14 @@ def _finder(shared, q: int):
                     rows, texts, size = [], [], 0
             if found:
                 at, seg, edits = zip(*found)
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(at)), pa.array(p.item[list(seg)]), pa.array(seg, pa.int64()), pa.array(edits, pa.int32())], ["doc_id", "item_id", "segment", "edits"])
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(at)), pa.array([p.item[k] for k in seg], pa.int64()), pa.array([f"{number}.{k}" for k in seg]), pa.array(edits, pa.int32())], [key, "item_id", "segment", "edits"])
 
     return find
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame, **limits) -> DataFrame:
-    """The documents without any contamination, all columns kept. Rows with a null doc_id stay."""
-    bad = contaminations(docs, benchmark, **limits).select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+def decontaminated(docs: DataFrame, benchmark: DataFrame, q: int = 12, rate: float = 0.05, segment: int = 100, part_bytes: int = 8 << 20, quote: int = 100) -> DataFrame:
+    """The rows whose text has no item of the benchmark, all columns kept."""
+    name = next(f"_{k}" for k in range(len(docs.columns) + 1) if f"_{k}" not in docs.columns)
+    bad = staged(_found(docs, F.md5("text").alias("__text"), benchmark, q, rate, segment, part_bytes, quote).select(F.col("__text").alias(name)).distinct(), "contaminated")
+    bad = F.broadcast(bad) if bad.count() <= BROADCAST_TEXTS else bad
+    return docs.withColumn(name, F.md5("text")).join(bad, name, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -4,8 +4,10 @@ Words are runs of letters in lower case. A known word adds its log frequency in
 longest character n-grams (with word boundaries) of which any is known, then to shorter ones, and adds the mean of their log
 frequencies. The language with the largest sum wins; the score is its share after a softmax of the sums.
 
-The model is fitted on a hash sample of the labelled rows of at most about ``sample_rows`` rows and keeps at most ``words_each``
-words and ``grams_each`` n-grams of each language, so its size is bounded and it can be broadcast. Counting runs on Spark.
+The model is fitted on a hash sample of the labelled rows of at most about ``sample_rows`` rows and keeps about ``words_each`` words
+and ``grams_each`` n-grams of each length of each language (with more than 50 languages an equal share of ``words_all`` words), so
+its size is bounded and it can be broadcast. Of words that are equally frequent where the room ends a share by hash is kept.
+Counting runs on Spark.
 
 Defined cases: a text that is null or has no letters gives ``und`` with score 0, as does a model without labelled rows; rows with
 a null lang or text are not learned from; a tie goes to the language whose code sorts first; a null doc_id is scored like any
@@ -23,6 +25,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from trackgraph.functions.storage import staged
 
 #: Runs of letters of any script.
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -60,7 +65,7 @@ def _logs(counts: dict[str, dict[str, float]], languages: list[str], most: int)
     return kept, np.log((table + 0.5) / (total + 0.5 * max(len(kept), 1)))
 
 
-def fit(labelled: DataFrame, sample_rows: int = 20_000, words_each: int = 20_000, grams_each: int = 20_000) -> WordModel:
+def fit(labelled: DataFrame, sample_rows: int = 20_000, words_each: int = 20_000, grams_each: int = 20_000, words_all: int = 1_000_000) -> WordModel:
     """``labelled`` has text and lang. Counts words by language on Spark and gathers the most frequent ones."""
     rows = labelled.where("text is not null and lang is not null").select("text", "lang")
     total = max(rows.count(), 1)
@@ -77,16 +82,25 @@ def fit(labelled: DataFrame, sample_rows: int = 20_000, words_each: int = 20_000
                 lang, word, n = zip(*flat)
                 yield pa.RecordBatch.from_arrays([pa.array(lang), pa.array(word), pa.array(n, pa.int64())], ["lang", "word", "n"])
 
-    counted = rows.mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    languages_seen = counted.select("lang").distinct()
-    # the words_each most frequent words of each language, without a sort of a whole language in one task
-    levels = counted.groupBy("lang", "n").agg(F.count("*").alias("words"))
-    from pyspark.sql import Window
-
-    above = F.sum("words").over(Window.partitionBy("lang").orderBy(F.desc("n")))
-    least = levels.withColumn("above", above).where(F.col("above") <= words_each).groupBy("lang").agg(F.min("n").alias("least"))
-    kept = counted.join(F.broadcast(least), "lang").where("n >= least").select("lang", "word", "n").toPandas()
-    languages = sorted(r[0] for r in languages_seen.collect())
+    counted = staged(rows.mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
+    # how many words of a language have a count: one row for each count reaches the driver, not a row for each word
+    levels: dict[str, list[tuple[int, int]]] = {}
+    for lang, n, size in counted.groupBy("lang", "n").count().collect():
+        levels.setdefault(lang, []).append((n, size))
+    languages = sorted(levels)
+    words_each = max(1, min(words_each, words_all // max(len(languages), 1)))
+    limits = []
+    for lang in languages:
+        room, floor, part = words_each, 1, 1.0
+        for n, size in sorted(levels[lang], reverse=True):
+            floor, part, room = n, min(1.0, room / size), room - size
+            if room <= 0:
+                break
+        limits.append((lang, floor, part))
+    limit = F.broadcast(labelled.sparkSession.createDataFrame(limits, "lang string, floor long, part double"))  # one row for each language
+    some = F.pmod(F.xxhash64("word"), F.lit(1_000_003)) < F.col("part") * 1_000_003
+    kept = counted.join(limit, "lang").where((F.col("n") > F.col("floor")) | ((F.col("n") == F.col("floor")) & some)).select("lang", "word", "n").toPandas()
+    kept = kept.sort_values(["lang", "word"])
     words: dict[str, dict[str, float]] = {}
     grams: dict[str, dict[str, float]] = {}
     for lang, own in kept.groupby("lang"):
@@ -149,10 +163,10 @@ class Scorer:
 
 
 def identify(docs: DataFrame, model: WordModel, *keep: str | Column) -> DataFrame:
-    """``lang_pred, score`` of every row's whole text, after the columns ``keep``."""
+    """``lang_pred, score`` of every row's whole text, after the columns ``keep`` (a struct column may hold names of any kind)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     source = docs.select(*keep, F.col("text").alias("__text"))
-    names = [n for n in source.columns if n != "__text"]
+    names = source.columns[:-1]
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
@@ -161,5 +175,4 @@ def identify(docs: DataFrame, model: WordModel, *keep: str | Column) -> DataFram
             lang, score = [x for x, _ in found], [y for _, y in found]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*names, "lang_pred", "score"])
 
-    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in source.schema if f.name != "__text") + "lang_pred string, score double"
-    return source.mapInArrow(predict, schema)
+    return source.mapInArrow(predict, T.StructType(source.schema.fields[:-1]).add("lang_pred", T.StringType()).add("score", T.DoubleType()))

@@ -258,7 +258,8 @@ def line_report(docs: DataFrame, least_words: int = 8, short_edits: int = 0) ->
 def without_repeated_lines(docs: DataFrame, least_words: int = 8, short_edits: int = 0) -> DataFrame:
     """``docs`` with the kept lines, joined by newlines, as text; lines without words go too. Null texts stay null."""
     found = removed_lines(docs, least_words, short_edits).select("doc", "th", "removed")
-    keyed = docs.withColumns({"doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)), "th": F.xxhash64("text")})
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc"), F.xxhash64("text").alias("th"))
     lines = F.filter(F.split("text", "\n"), lambda x: F.translate(x, "\t\x0b\x0c\r ", "") != "")
     kept = F.transform(F.array(lines), lambda a: F.filter(a, lambda x, i: ~F.coalesce(F.array_contains("removed", i.cast("long")), F.lit(False))))
-    return keyed.join(found, ["doc", "th"], "left").withColumn("text", F.array_join(F.element_at(kept, 1), "\n")).select(*docs.columns)
+    out = packed.join(found, ["doc", "th"], "left").withColumn("text", F.array_join(F.element_at(kept, 1), "\n"))
+    return out.select(*[F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns])

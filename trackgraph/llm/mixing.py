@@ -71,9 +71,9 @@ def _fold() -> Column:
 
 
 def rounded(items: DataFrame, counts: DataFrame) -> DataFrame:
-    """``sid, id, extra`` (0 or 1) for items ``sid, id, size, p`` with 0 < p < 1 and size > 0; ``counts``: items n of each sid."""
+    """``sid, id, extra`` (0 or 1) for items ``sid, id, size, p`` with 0 < p < 1 and size > 0; ``counts``: items n of each sid, one row for each source."""
     chunks = F.ceil(F.col("n") / F.lit(CHUNK))
-    now = items.join(counts, "sid").withColumn("chunk", F.pmod(F.xxhash64("id", F.lit("chunk")), chunks)).drop("n")
+    now = items.join(F.broadcast(counts), "sid").withColumn("chunk", F.pmod(F.xxhash64("id", F.lit("chunk")), chunks)).drop("n")
     largest = counts.agg(F.max("n")).first()[0] or 0
     chunks_left, out = -(-largest // CHUNK), None
     while True:
@@ -112,6 +112,6 @@ def mix_table(docs: DataFrame, weights: list[float] = (5, 2, 1), share: float =
 def mixed(docs: DataFrame, weights: list[float] = (5, 2, 1), share: float = 1.5, most: float = 2) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it."""
     slim = staged(docs.select("doc_id", "source", count_words(F.col("text")).alias("size")), "sizes")
-    taken = copies_of(slim, list(weights), share, most).where("copies > 0").select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), "copies").distinct()
+    taken = copies_of(slim, list(weights), share, most).where("copies > 0").select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("copies").alias("__copies")).distinct()
     same = docs["doc_id"].eqNullSafe(taken["__id"]) & docs["source"].eqNullSafe(taken["__source"])
-    return docs.join(taken, same).withColumn("copies", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*[docs[c] for c in docs.columns])
+    return docs.join(taken, same).withColumn("__copies", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*[docs[f"`{c}`"] for c in docs.columns])

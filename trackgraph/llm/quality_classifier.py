@@ -2,12 +2,13 @@
 
 The text view sees hashed words and word endings of the whole text; the metadata view sees source, language, recorded length and
 layout (lines, line lengths), never the words. Both are logistic regressions, fitted on a bounded sample of labelled documents. In
-each round each view scores a bounded pool of unlabelled documents, and the ones it is confident about, in the proportion of the
-labels, are given with its labels to the other view's training set. Each view is then calibrated on a held-out part of the labelled
-sample, and a logistic combination of the calibrated views, fitted there as well, scores all documents.
+each round both views score all unlabelled documents on Spark, and the ones a view is most confident about, in the proportion of the
+labels, are given with its labels to the other view's training set. Each view is calibrated on a held-out fold of the labelled
+sample; a logistic combination of the calibrated views, fitted on another fold, scores all documents.
 
-Sample, pool and feature counts are bounded parameters; only hashed features of sampled documents reach the driver. Scoring runs
-on Spark over all documents.
+The labelled sample (``labelled_rows``), the documents exchanged in a round and the feature counts are bounded parameters; only hashed
+features of these documents reach the driver. Samples and folds are chosen by hashes and put in order of them, so the model does not
+depend on partitions or the order of tasks.
 
 Defined cases: a null text has no words (its text view is the bias alone); null source, lang and n_chars are values of their own;
 labels without document, with a null value or of a repeated doc_id with differing values are not learned from; with labels of one
@@ -22,12 +23,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trackgraph.functions.storage import staged
 from trackgraph.llm.textblocks import blocks, mix, words
 
 TEXT_BITS, META_BITS = 15, 10
+#: Parts of the labelled sample; one calibrates the views, one fits their combination, the others are learned from.
+FOLDS = 6
+#: The combination starts from the mean of both views (slopes and intercept) and moves from it as the labels tell.
+MEAN = (0.5, 0.5, 0.0)
 _INPUT = ["text", "source", "lang", "n_chars"]
 
 
@@ -40,8 +46,11 @@ class Sparse:
     value: np.ndarray
 
     def dot(self, weights: np.ndarray) -> np.ndarray:
-        sums = np.r_[0.0, np.cumsum(weights[self.feature] * self.value)]
-        return sums[self.at[1:]] - sums[self.at[:-1]]
+        """One sum for each row, the same whatever rows stand beside it."""
+        out, some = np.zeros(len(self.at) - 1), np.flatnonzero(np.diff(self.at))
+        if len(some):
+            out[some] = np.add.reduceat(weights[self.feature] * self.value, self.at[some])
+        return out
 
     def rows(self, pick: np.ndarray) -> Sparse:
         size = np.diff(self.at)[pick]
@@ -115,14 +124,17 @@ def logistic(x: Sparse, y: np.ndarray, size: int, steps: int = 60, ridge: float
     return w
 
 
-def _platt(margins: np.ndarray, y: np.ndarray, steps: int = 50) -> np.ndarray:
-    """Slopes and, last, the intercept of a logistic fit by Newton steps with a small ridge."""
+def _platt(margins: np.ndarray, y: np.ndarray, prior: tuple[float, ...] = (), ridge: float = 1e-3, steps: int = 50) -> np.ndarray:
+    """Slopes and, last, the intercept of a logistic fit by Newton steps, with targets short of 0 and 1 and a ridge around ``prior``."""
+    up, down = y.sum(), (1 - y).sum()
+    y = np.where(y > 0.5, (up + 1) / (up + 2), 1 / (down + 2))
     x = np.c_[margins, np.ones(len(y))]
-    w = np.zeros(x.shape[1])
+    middle = np.array(prior) if prior else np.zeros(x.shape[1])
+    w = middle.copy()
     for _ in range(steps):
         p = _sigmoid(x @ w)
-        h = (x * (p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(len(w))
-        step = np.linalg.solve(h, x.T @ (p - y) + 1e-3 * w)
+        h = (x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w))
+        step = np.linalg.solve(h, x.T @ (p - y) + ridge * (w - middle))
         w -= np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-9:
             break
@@ -147,50 +159,64 @@ class Model:
         return _sigmoid(a), _sigmoid(b), _sigmoid(np.c_[a, b, np.ones(rows)] @ self.both)
 
 
-def _gathered(rows: DataFrame) -> tuple[Sparse, Sparse, np.ndarray]:
-    """Views and ``y`` of a bounded sample on the driver."""
+def _key() -> Column:
+    return F.xxhash64("doc_id", "text").alias("key")
+
+
+def _gathered(rows: DataFrame) -> tuple[Sparse, Sparse, np.ndarray, np.ndarray]:
+    """Views, ``y`` and ``key`` of a bounded sample (``key, y`` and the input columns) on the driver, in order of the key."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            y = batch.column(0).to_pylist()
-            for at, text, meta in _views(batch, 1):
+            for at, text, meta in _views(batch, 2):
                 n = len(text.at) - 1
                 part = lambda s, r: (s.feature[s.at[r] : s.at[r + 1]].tobytes(), s.value[s.at[r] : s.at[r + 1]].tobytes())
                 cells = [(*part(text, r), *part(meta, r)) for r in range(n)]
-                yield pa.RecordBatch.from_arrays([pa.array(y[at : at + n], pa.int32()), *[pa.array([c[k] for c in cells], pa.binary()) for k in range(4)]], ["y", "tf", "tv", "mf", "mv"])
+                own = [batch.column(c).slice(at, n) for c in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*own, *[pa.array([c[k] for c in cells], pa.binary()) for k in range(4)]], ["key", "y", "tf", "tv", "mf", "mv"])
 
-    got = rows.mapInArrow(make, "y int, tf binary, tv binary, mf binary, mv binary").toArrow()
+    got = rows.mapInArrow(make, "key long, y int, tf binary, tv binary, mf binary, mv binary").toArrow()
+    got = got.sort_by([(c, "ascending") for c in ("key", "y", "tf")])
 
     def sparse(f: str, v: str) -> Sparse:
         cells = got[f].to_pylist()
         at = np.r_[0, np.cumsum([len(c) // 4 for c in cells])].astype(np.int64)
         return Sparse(at, np.frombuffer(b"".join(cells), np.int32), np.frombuffer(b"".join(got[v].to_pylist()), np.float32))
 
-    return sparse("tf", "tv"), sparse("mf", "mv"), got["y"].to_numpy()
+    return sparse("tf", "tv"), sparse("mf", "mv"), got["y"].to_numpy(), got["key"].to_numpy()
+
+
+def _columns() -> list[Column]:
+    return [F.col("text").cast("string"), F.col("source").cast("string"), F.col("lang").cast("string"), F.col("n_chars").cast("long")]
+
+
+def _confident(unlabelled: DataFrame, view: str, most: int, up: bool, beyond: float) -> list[int]:
+    """Keys of the ``most`` documents with the largest (or least) calibrated score of a view, of those beyond a score."""
+    order = [F.desc(view) if up else F.asc(view), F.asc("key")]
+    sure = F.col(view) > beyond if up else F.col(view) < beyond
+    return [r[0] for r in unlabelled.where(sure).orderBy(*order).limit(most).select("key").collect()]
 
 
 def _joined(a: Sparse, b: Sparse) -> Sparse:
     return Sparse(np.r_[a.at, b.at[1:] + a.at[-1]], np.r_[a.feature, b.feature], np.r_[a.value, b.value])
 
 
-def fit(docs: DataFrame, labels: DataFrame, labelled_rows: int = 6_000, pool_rows: int = 6_000, rounds: int = 3, exchanged: int = 400) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, labelled_rows: int = 6_000, rounds: int = 3, exchanged: int = 400) -> Model:
     good = labels.where("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("y"), F.max("quality").alias("z")).where("y = z").select("doc_id", "y")
-    total, everything = good.count(), max(docs.count(), 1)
-    cut = lambda seed, most, of: F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1_000_003)) < F.lit(min(1.0, most / max(of, 1)) * 1_000_003)
-    columns = [F.col("text").cast("string"), F.col("source").cast("string"), F.col("lang").cast("string"), F.col("n_chars").cast("long")]
-    picked = good.where(cut("labelled", labelled_rows, total))
-    text, meta, y = _gathered(docs.join(picked, "doc_id").select(F.col("y").cast("int"), *columns))
+    good = staged(good, "labels")
+    share = min(1.0, labelled_rows / max(good.count(), 1))
+    picked = good.where(F.pmod(F.xxhash64("doc_id", F.lit("labelled")), F.lit(1_000_003)) < F.lit(share * 1_000_003))
+    text, meta, y, key = _gathered(docs.join(picked, "doc_id").select(_key(), F.col("y").cast("int"), *_columns()))
     share = float(y.mean()) if len(y) else 1.0
-    fold = np.arange(len(y)) % 4 == 3
-    if min((y[~fold] == c).sum() for c in (0, 1)) < 2 or min((y[fold] == c).sum() for c in (0, 1)) < 1:
+    fold = mix(key.view(np.uint64)) % np.uint64(FOLDS)  # 0: calibrates, 1: combines, others: learn
+    learn, test, last = np.flatnonzero(fold > 1), np.flatnonzero(fold == 0), np.flatnonzero(fold == 1)
+    if any((y[part] == c).sum() < least for part, least in ((learn, 2), (test, 1), (last, 1)) for c in (0, 1)):
         none = np.zeros(0)
         return Model(none, none, none, none, none, constant=share)
-    pool_text, pool_meta, _ = _gathered(docs.join(good, "doc_id", "left_anti").where(cut("pool", pool_rows, everything)).select(F.lit(0).alias("y"), *columns))
-    learn, test = np.flatnonzero(~fold), np.flatnonzero(fold)
+    unlabelled = docs.join(good, "doc_id", "left_anti")
     train = {"text": (text.rows(learn), y[learn].astype(float)), "meta": (meta.rows(learn), y[learn].astype(float))}
-    pool = {"text": pool_text, "meta": pool_meta}
     views = {"text": (text, 1 << TEXT_BITS), "meta": (meta, 1 << META_BITS)}
-    free = {v: np.ones(len(pool_text.at) - 1, bool) for v in views}  # pool rows that this view was not given yet
+    given: dict[str, set[int]] = {v: set() for v in views}  # documents that a view was given already
     scale, weights = {}, {}
     for k in range(rounds + 1):
         for v, (x, size) in views.items():
@@ -198,24 +224,33 @@ def fit(docs: DataFrame, labels: DataFrame, labelled_rows: int = 6_000, pool_row
             scale[v] = _platt(x.rows(test).dot(weights[v][:-1]) + weights[v][-1], y[test])
         if k == rounds:
             break
+        model = Model(weights["text"], weights["meta"], scale["text"], scale["meta"], np.ones(3))
+        now = staged(_scores(unlabelled, model, _key(), "key").select("key", "p_text", "p_meta"), "views")
+        told: dict[str, dict[int, int]] = {}
         for v, other in (("text", "meta"), ("meta", "text")):
-            margin = pool[v].dot(weights[v][:-1]) + weights[v][-1]
-            sure = _sigmoid(np.c_[margin, np.ones(len(margin))] @ scale[v])
-            order = np.argsort(sure, kind="stable")
-            order = order[free[other][order]]
-            up = [i for i in order[::-1][: round(exchanged * share)] if sure[i] > 0.95]
-            down = [i for i in order[: round(exchanged * (1 - share))] if sure[i] < 0.05]
-            given = np.array(up + down, np.int64)
-            free[other][given] = False
-            told = np.r_[np.ones(len(up)), np.zeros(len(down))]
-            train[other] = (_joined(train[other][0], pool[other].rows(given)), np.r_[train[other][1], told])
-    a = np.c_[text.rows(test).dot(weights["text"][:-1]) + weights["text"][-1], np.ones(len(test))] @ scale["text"]
-    b = np.c_[meta.rows(test).dot(weights["meta"][:-1]) + weights["meta"][-1], np.ones(len(test))] @ scale["meta"]
-    return Model(weights["text"], weights["meta"], scale["text"], scale["meta"], _platt(np.c_[a, b], y[test]))
-
-
-def scored(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
-    """``doc_id, p_text, p_meta, score, kept`` of every row; kept: a score of ``least`` or more."""
+            # documents that the other view has got already may stand before new ones: 2 * exchanged for each round at most
+            free = lambda keys, most: list(dict.fromkeys(i for i in keys if i not in given[other]))[:most]
+            room, ups, downs = len(given[other]), round(exchanged * share), round(exchanged * (1 - share))
+            told[other] = {i: 1 for i in free(_confident(now, f"p_{v}", room + 2 * ups, True, 0.95), ups)}
+            told[other] |= {i: 0 for i in free(_confident(now, f"p_{v}", room + 2 * downs, False, 0.05), downs)}
+            given[other] |= told[other].keys()
+        wanted = sorted(set().union(*told.values()))
+        if not wanted:
+            continue
+        few = F.broadcast(docs.sparkSession.createDataFrame([(i,) for i in wanted], "key long"))  # exchanged x 2 at most
+        found = unlabelled.select(_key(), F.lit(0).alias("y"), *_columns()).join(few, "key", "left_semi")
+        new_text, new_meta, _, keys = _gathered(found)
+        for v, x in (("text", new_text), ("meta", new_meta)):
+            _, once = np.unique(keys, return_index=True)
+            rows = np.array([i for i in once if int(keys[i]) in told[v]], np.int64)
+            train[v] = (_joined(train[v][0], x.rows(rows)), np.r_[train[v][1], [float(told[v][int(keys[i])]) for i in rows]])
+    a = np.c_[text.rows(last).dot(weights["text"][:-1]) + weights["text"][-1], np.ones(len(last))] @ scale["text"]
+    b = np.c_[meta.rows(last).dot(weights["meta"][:-1]) + weights["meta"][-1], np.ones(len(last))] @ scale["meta"]
+    return Model(weights["text"], weights["meta"], scale["text"], scale["meta"], _platt(np.c_[a, b], y[last], MEAN, 3.0))
+
+
+def _scores(docs: DataFrame, model: Model, key: Column, name: str) -> DataFrame:
+    """``p_text, p_meta, score`` of every row, after a long column ``name``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,7 +258,11 @@ def scored(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
         for batch in batches:
             for at, text, meta in _views(batch, 1):
                 a, b, both = m.scores(text, meta)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(a)), pa.array(a), pa.array(b), pa.array(both)], ["doc_id", "p_text", "p_meta", "score"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(a)), pa.array(a), pa.array(b), pa.array(both)], [name, "p_text", "p_meta", "score"])
+
+    return docs.select(key, *_columns()).mapInArrow(make, f"{name} long, p_text double, p_meta double, score double")
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("source").cast("string"), F.col("lang").cast("string"), F.col("n_chars").cast("long"))
-    return rows.mapInArrow(make, "doc_id long, p_text double, p_meta double, score double").withColumn("kept", F.col("score") >= least)
+
+def scored(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
+    """``doc_id, p_text, p_meta, score, kept`` of every row; kept: a score of ``least`` or more."""
+    return _scores(docs, model, F.col("doc_id").cast("long"), "doc_id").withColumn("kept", F.col("score") >= least)

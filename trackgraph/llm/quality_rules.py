@@ -1,10 +1,13 @@
 """Quality rules with risk-controlled thresholds (DataFrame operations only).
 
-Every rule compares an integer statistic with ``cutoff * n_words / 100``. For each stratum (language), rule and cutoff, the good
-documents of a labelled holdout that the rule would reject are counted. A cutoff is certified if the exact binomial bound on its
-rate of false rejections lies below ``risk / rules``: if P(Binomial(n, risk / rules) <= rejected) <= delta / tests, with all
-strata x rules x cutoffs as tests (Bonferroni). The certified cutoff that rejects most is used; a stratum without one rejects
-nothing by that rule. So with probability 1 - delta no stratum loses more than the share ``risk`` of its good documents to rules.
+Every rule compares an integer statistic with ``cutoff * n_words / 100``. The good documents of a labelled holdout are dealt to two
+halves by the checksum of their id. In each stratum (language) the first half proposes levels: for each of the ``BUDGETS``, every
+rule takes its strictest cutoff that rejects at most that share of the half. Levels grow stricter. The second half tests them in
+that fixed order, each by the exact binomial bound on the false rejections of all rules together: a level is certified if
+P(Binomial(n, risk) <= rejected) <= delta / strata, and testing stops at the first that is not. Testing in a fixed order needs no
+correction for the number of levels, and the rules of a level are tested as one; Bonferroni corrects for the strata. The last
+certified level is used; a stratum without one (fewer than about 90 good documents in its half cannot have one at risk 0.05) rejects
+nothing. So with probability 1 - delta no stratum loses more than the share ``risk`` of its good documents to the rules.
 
 Words are runs of other characters than space and 0x09-0x0D. Defined cases: a null text has no words and fails the base rule;
 null languages form a stratum; labels without a matching document, and documents without a label, do not matter for thresholds;
@@ -14,7 +17,9 @@ empty table gives an empty result, and without labels no threshold is certified;
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackgraph.functions.storage import staged
@@ -29,7 +34,10 @@ RULES: dict[str, tuple[str, bool, list[int]]] = {
     "long_words": ("word_chars", True, [700, 800, 900, 1000, 1200, 1600]),
     "short_words": ("word_chars", False, [350, 300, 250, 200]),
 }
-TESTS = sum(len(c) for _, _, c in RULES.values())
+#: Shares of good documents that a single rule of a level may reject in the proposing half.
+BUDGETS = [0.0, 0.0025, 0.005, 0.01, 0.015, 0.02, 0.03]
+#: Strata that may be broadcast with their cutoffs.
+BROADCAST_STRATA = 100_000
 
 
 def _repeat_words(n: Column, words: Column) -> Column:
@@ -79,36 +87,59 @@ def _log_gamma(x: Column) -> Column:
 
 def binomial_cdf(k: Column, n: Column, p: float) -> Column:
     """P(Binomial(n, p) <= k) for k <= n * p. Terms farther than 60 + 12 standard deviations below k are under double precision."""
-    import math
-
     k, n = k.cast("double"), n.cast("double")
     span = F.least(k, 60 + F.ceil(12 * F.sqrt(n * p))).cast("int")
     term = lambda i: F.exp(_log_gamma(n + 1) - _log_gamma(i + 1) - _log_gamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p))
     return F.aggregate(F.sequence(F.lit(0), span), F.lit(0.0), lambda a, j: a + term(k - j.cast("double")))
 
 
-def thresholds(stats: DataFrame, labels: DataFrame, risk: float = 0.05, delta: float = 0.05) -> DataFrame:
-    """``stratum`` and one cutoff for each rule (null: none certified). ``stats`` has doc_id, stratum and the statistics."""
-    good = labels.groupBy("doc_id").agg(F.min("quality").alias("q")).where("q = 1").select("doc_id")
-    held = stats.where("not base_failed").join(good, "doc_id", "left_semi")
+def proposing(doc_id: str = "doc_id") -> Column:
+    """Whether a labelled document proposes levels (else it tests them)."""
+    return F.md5(F.col(doc_id).cast("string").cast("binary")) < "8"
+
+
+def levels(held: DataFrame) -> DataFrame:
+    """``stratum, level`` (from 0) and the cutoff ``cut_<rule>`` of each rule (null: none) as proposed by the rows of ``held``."""
     tests = [(rule, stat, above, rank, c) for rule, (stat, above, cuts) in RULES.items() for rank, c in enumerate(cuts)]
     counted = held.groupBy("stratum").agg(F.count("*").alias("n"), *[F.sum(rejects(stat, above, c).cast("long")).alias(f"{rule}_{rank}") for rule, stat, above, rank, c in tests])
-    rows = counted.select("stratum", "n", F.explode(F.array(*[F.struct(F.lit(rule).alias("rule"), F.lit(c).alias("cutoff"), F.lit(rank).alias("strictness"), F.col(f"{rule}_{rank}").alias("rejected")) for rule, _, _, rank, c in tests])).alias("t")).select("stratum", "n", "t.*")
-    each = risk / len(RULES)
-    strata = counted.agg(F.count("*").alias("strata"))
-    sure = F.when(F.col("rejected") <= F.col("n") * each, binomial_cdf(F.col("rejected"), F.col("n"), each) <= F.lit(delta / TESTS) / F.col("strata")).otherwise(F.lit(False))
-    certified = rows.crossJoin(F.broadcast(strata)).where(sure)  # one row on the right side
-    best = certified.groupBy("stratum", "rule").agg(F.min_by("cutoff", "strictness").alias("cutoff"))
-    return best.groupBy("stratum").agg(*[F.max(F.when(F.col("rule") == rule, F.col("cutoff"))).alias(f"cut_{rule}") for rule in RULES])
 
+    def strictest(rule: str, budget: float) -> Column:
+        return F.coalesce(*[F.when(F.col(f"{rule}_{rank}") <= F.lit(budget) * F.col("n"), F.lit(c)) for rank, c in enumerate(RULES[rule][2])])
 
-def judged(docs: DataFrame, labels: DataFrame, risk: float = 0.05, delta: float = 0.05) -> DataFrame:
-    """``doc_id``, the statistics, ``base_failed, stratum, kept`` of every row."""
-    stats = docs.withColumn("stratum", F.coalesce(F.col("lang"), F.lit("(none)")))
-    stats = staged(statistics(stats, "doc_id", "stratum"), "statistics")
-    cuts = thresholds(stats, labels, risk, delta)
-    out = stats.join(cuts, "stratum", "left")
+    own = [F.struct(F.lit(k).alias("level"), *[strictest(rule, b).alias(f"cut_{rule}") for rule in RULES]) for k, b in enumerate(BUDGETS)]
+    return counted.select("stratum", F.explode(F.array(*own)).alias("l")).select("stratum", "l.*")
+
+
+def rejected() -> Column:
+    """Whether any rule with a cutoff rejects a row with the statistics and the columns ``cut_<rule>``."""
     bad = F.lit(False)
     for rule, (stat, above, _) in RULES.items():
         bad = bad | F.coalesce(rejects(stat, above, F.col(f"cut_{rule}")), F.lit(False))
-    return out.withColumn("kept", ~F.col("base_failed") & ~bad).drop(*[f"cut_{rule}" for rule in RULES])
+    return bad
+
+
+def _small(strata: DataFrame) -> DataFrame:
+    return F.broadcast(strata) if strata.count() <= BROADCAST_STRATA else strata
+
+
+def thresholds(stats: DataFrame, labels: DataFrame, risk: float = 0.05, delta: float = 0.05) -> DataFrame:
+    """``stratum, level`` and the cutoffs of its last certified level. ``stats`` has doc_id, stratum and the statistics."""
+    good = labels.groupBy("doc_id").agg(F.min("quality").alias("q")).where("q = 1").select("doc_id")
+    held = staged(stats.where("not base_failed").join(good, "doc_id", "left_semi").withColumn("proposing", proposing()), "held")
+    proposed = staged(levels(held.where("proposing")), "levels")
+    tested = held.where("not proposing").join(_small(proposed), "stratum").groupBy("stratum", "level").agg(F.count("*").alias("n"), F.sum(rejected().cast("long")).alias("rejected"))
+    strata = proposed.agg(F.countDistinct("stratum").alias("strata"))
+    p = F.when(F.col("rejected") <= F.col("n") * risk, binomial_cdf(F.col("rejected"), F.col("n"), risk)).otherwise(F.lit(1.0))
+    sure = tested.crossJoin(F.broadcast(strata)).withColumn("sure", p <= F.lit(delta) / F.col("strata"))  # one row on the right side
+    so_far = Window.partitionBy("stratum").orderBy("level").rowsBetween(Window.unboundedPreceding, 0)
+    last = sure.withColumn("all", F.min("sure").over(so_far)).where("all").groupBy("stratum").agg(F.max("level").alias("level"))
+    return proposed.join(last, ["stratum", "level"])
+
+
+def judged(docs: DataFrame, labels: DataFrame, risk: float = 0.05, delta: float = 0.05) -> DataFrame:
+    """``doc_id``, the statistics, ``base_failed, stratum, kept`` of every row."""
+    stats = docs.select("doc_id", "text", F.coalesce(F.col("lang"), F.lit("(none)")).alias("stratum"))
+    stats = staged(statistics(stats, "doc_id", "stratum"), "statistics")
+    cuts = staged(thresholds(stats, labels, risk, delta), "cutoffs")
+    out = stats.join(_small(cuts), "stratum", "left")
+    return out.select(*stats.columns, (~F.col("base_failed") & ~rejected()).alias("kept"))

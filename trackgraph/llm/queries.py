@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trackgraph.llm import oracles
 from trackgraph.llm import decontamination, language_id, line_dedup, mixing, ngram_join, quality_classifier, quality_rules, sharding, token_records, window_dedup
 
 
@@ -73,4 +74,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracles.sql()

@@ -2,15 +2,16 @@
 
 Vertices are rows, edges link rows that should share a shard; a label is a shard. Linked vertices start evenly spread. In each
 round a vertex counts its neighbours' labels and asks for the most frequent one; requests are admitted in a fixed order up to the
-target shard's free quota, so no shard ever holds more linked vertices than its quota. Rows without links then fill what is left
+target shard's free quota, so no shard ever holds more linked vertices than its quota. Rounds go on until none moves a vertex; a
+graph on which they still move some after ``rounds`` is left as it is then, for any state of it is within the quotas. Rows without links then fill what is left
 of the quotas, which makes the sizes even. Law ``rows``: the quotas, and so the counts, are at most one apart.
 
 Edges of documents with equal texts are stars: each row of a group is linked with its first row, and a group larger than half a
 quota is dealt to as many stars as needed.
 
 Defined cases: a null text has size 16 and crc32 null, and is linked with nothing; null or repeated doc_ids are rows of their own;
-repeated rows are linked like all equal texts; columns other than doc_id and text are passed through by :func:`sharded` unless
-their names are those of result columns, which are replaced; an empty table gives an empty result; with fewer rows than shards
+repeated rows are linked like all equal texts; columns other than doc_id and text are passed through by :func:`sharded` under any
+name, but for those of result columns, which are replaced; an empty table gives an empty result; with fewer rows than shards
 some shards stay empty.
 """
 
@@ -20,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trackgraph.functions.storage import staged
+from trackgraph.llm.groups import join_groups
 from trackgraph.llm.ranks import ranked
 
 RESULT = ["size", "text_crc32", "law", "shard", "slot", "grown_shard"]
@@ -39,7 +41,7 @@ def _held(labels: DataFrame, shards: int) -> list[int]:
     return [rows.get(s, 0) for s in range(shards)]
 
 
-def propagated(linked: DataFrame, edges: DataFrame, quotas: list[int], rounds: int = 8) -> DataFrame:
+def propagated(linked: DataFrame, edges: DataFrame, quotas: list[int], rounds: int = 64) -> DataFrame:
     """``vid, shard`` for the vertices of ``linked`` (``vid, h``: unique id and hash), moved along ``edges`` (``a, b``)."""
     shards, total = len(quotas), linked.count()
     start = ranked(linked, [], F.col("h"), ["vid"])
@@ -58,7 +60,7 @@ def propagated(linked: DataFrame, edges: DataFrame, quotas: list[int], rounds: i
         turn = F.col("least") < F.col("vid")
         ask = staged(ask.where((F.col("gain") > 0) & (turn if k % 2 == 0 else ~turn)).select("vid", "to", "least"), "asks")
         free = [q - h for q, h in zip(quotas, _held(labels, shards))]
-        moved = ranked(ask, ["to"], F.xxhash64("least"), ["least", "vid"]).where(F.col("rank") < _at(free, "to"))
+        moved = ranked(ask, ["to"], F.xxhash64("least.h"), ["least", "vid"]).where(F.col("rank") < _at(free, "to"))
         moved = staged(moved.select("vid", "to"), "moves")
         idle = 0 if moved.take(1) else idle + 1
         if idle == 2:  # neither kind of turn moves anything
@@ -71,13 +73,16 @@ def propagated(linked: DataFrame, edges: DataFrame, quotas: list[int], rounds: i
 
 def equal_text_stars(rows: DataFrame, most: int) -> DataFrame:
     """Edges ``a, b`` between rows (``vid, key``) with equal keys; a group of more than ``most`` rows forms several stars."""
-    groups = rows.where("key is not null").groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    dealt = rows.join(groups, "key").select("vid", "key", F.pmod(F.xxhash64("vid"), F.ceil(F.col("n") / F.lit(most))).alias("star"))
-    hubs = dealt.groupBy("key", "star").agg(F.min("vid").alias("b"))
-    return dealt.join(hubs, ["key", "star"]).where("vid <> b").select(F.col("vid").alias("a"), "b")
+    total = rows.count()
+    groups = rows.where("key is not null").groupBy("key").agg(F.count("*").alias("group_rows")).where("group_rows > 1")
+    groups = staged(groups.withColumn("stars", F.ceil(F.col("group_rows") / F.lit(most))), "groups")
+    dealt = join_groups(rows, groups, ["key"], total).select("vid", "key", F.pmod(F.xxhash64("vid"), F.col("stars")).alias("star"))
+    dealt = staged(dealt, "dealt")
+    hubs = staged(dealt.groupBy("key", "star").agg(F.min("vid").alias("b"), F.count("*").alias("group_rows")), "hubs")
+    return join_groups(dealt, hubs, ["key", "star"], total).where("vid <> b").select(F.col("vid").alias("a"), "b")
 
 
-def assigned(rows: DataFrame, shards: int, rounds: int = 8) -> DataFrame:
+def assigned(rows: DataFrame, shards: int, rounds: int = 64) -> DataFrame:
     """``rows`` (with ``vid, key, h``) and their ``shard`` and ``slot``. Read several times: stage it first."""
     total = rows.count()
     quotas = _quotas(total, shards)
@@ -92,29 +97,32 @@ def assigned(rows: DataFrame, shards: int, rounds: int = 8) -> DataFrame:
     rest = ranked(rows.select("vid", "h").join(labels, "vid", "left_anti"), [], F.col("h"), ["vid"])
     over = sum((F.when(F.col("rank") >= b, 1).otherwise(0) for b in bounds[:-1]), F.lit(0))
     placed = staged(labels.unionByName(rest.select("vid", over.cast("int").alias("shard"))), "placed")
-    slots = ranked(placed, ["shard"], F.xxhash64("vid"), ["vid"], name="slot")
+    slots = ranked(placed, ["shard"], F.xxhash64("vid.h"), ["vid"], name="slot")
     return rows.join(slots, "vid")
 
 
 def described(docs: DataFrame, *keep: str) -> DataFrame:
-    """``vid, key, h, size, text_crc32`` and the columns ``keep`` of every row, written once so that vid stays fixed."""
+    """``vid, key, h, size, text_crc32`` and the columns ``keep`` of every row, written once so that vid stays fixed.
+
+    vid is ordered by a hash of doc_id and text, so only rows that share both depend on partitions, and they can stand for each other.
+    """
     text = F.col("text")
     crc = F.crc32(F.encode(text, "utf-8"))
-    slim = docs.select(*keep, (F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 16).alias("size"), crc.alias("text_crc32"), F.md5(text.cast("binary")).alias("key"))
-    return staged(slim.withColumns({"vid": F.monotonically_increasing_id(), "h": F.xxhash64(*(["doc_id"] if "doc_id" in docs.columns else []), "text_crc32")}), "described")
+    slim = docs.select("doc_id", *[c for c in keep if c != "doc_id"], (F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 16).alias("size"), crc.alias("text_crc32"), F.md5(text.cast("binary")).alias("key"))
+    h = F.xxhash64("doc_id", "key")
+    slim = slim.withColumn("h", h).withColumn("vid", F.struct("h", F.monotonically_increasing_id().alias("row")))
+    return staged(slim.drop("doc_id") if "doc_id" not in keep else slim, "described")
 
 
-def shard_table(docs: DataFrame, shards: int = 40, rounds: int = 8) -> DataFrame:
+def shard_table(docs: DataFrame, shards: int = 40, rounds: int = 64) -> DataFrame:
     """``doc_id, size, text_crc32, law, shard, slot, grown_shard`` of every row."""
     out = assigned(described(docs, "doc_id"), shards, rounds)
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-def sharded(docs: DataFrame, shards: int = 40, rounds: int = 8) -> DataFrame:
+def sharded(docs: DataFrame, shards: int = 40, rounds: int = 64) -> DataFrame:
     """All columns of ``docs`` and the result columns of :func:`shard_table`."""
     keep = [c for c in docs.columns if c not in RESULT]
-    inner = {"vid", "key", "h"} & set(keep)
-    if inner:
-        raise ValueError(f"columns are named like inner ones: {sorted(inner)}")
-    out = assigned(described(docs, *keep), shards, rounds)
-    return out.select(*keep, "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    packed = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in keep]).alias("__row"))
+    out = assigned(described(packed, "__row"), shards, rounds)
+    return out.select("__row.*", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

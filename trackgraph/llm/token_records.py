@@ -10,17 +10,19 @@ A task writes its file under a name of its own attempt and names it in the index
 named, so lost executors leave no wrong data. Files go to any file system that pyarrow opens by URI.
 
 Defined cases: a null text is encoded like an empty one: the end id alone; null doc_ids come first; rows that share a doc_id are
-ordered by text; repeated rows are repeated records; a text that holds the text of a special token is encoded by the tokenizers
-library in one call; other columns are ignored; an empty table gives an empty index.
+ordered by a hash of the text, then by text, and may lie in several files; repeated rows are repeated records; a text that holds the
+text of a special token is encoded by the tokenizers library in one call; other columns are ignored; an empty table gives an empty
+index.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +38,8 @@ _SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 _PIECE = re.compile(f" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
 #: Marks that are never part of a letter run nor the start of a contraction.
 _MARKS = ".,;:!?|%&$*#"
+#: Runs of letters that every version of Unicode has as letters, which the tokenizer does not split.
+_LATIN = re.compile(" ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
 _INDEX = "doc_id long, part int, file string, offset long, length long, n_tokens long, first long"
 
 
@@ -64,73 +68,77 @@ def file_system(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", uri))
 
 
-class Encoder:
-    """Ids of whole texts as bytes; remembers the ids of pieces, the last used ones up to twice ``remember``."""
+def _byte_letters() -> str:
+    """The character that stands for each byte in the vocabulary: printable Latin-1 characters for themselves, others from U+0100 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    other = iter(range(0x100, 0x200))
+    return "".join(chr(b) if b in plain else chr(next(other)) for b in range(256))
 
-    def __init__(self, tokenizer_file: str, remember: int = 250_000):
-        from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(tokenizer_file)
-        self.kind = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.line_end = self.tokenizer.encode("\n", add_special_tokens=False).ids
-        self.remember, self.memory, self.older = remember, {}, {}
+class _Pieces(dict):
+    """Ids of pieces as bytes. Unknown pieces are encoded when asked for; the last used ones are kept, up to twice ``remember``."""
 
-    def _whole(self, text: str) -> bytes:
+    def __init__(self, tokenizer, kind: np.dtype, remember: int):
+        super().__init__()
+        self.tokenizer, self.model, self.kind, self.remember, self.older = tokenizer, tokenizer.model, kind, remember, {}
+        told = json.loads(tokenizer.to_str())
+        split = told.get("pre_tokenizer") or {}
+        self.plain = told["normalizer"] is None and told["model"]["type"] == "BPE" and split.get("type") == "ByteLevel" and not split["add_prefix_space"]
+        self.letters = _byte_letters()
+
+    def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
-    def _learn(self, pieces: list[str]) -> None:
-        """Encodes pieces as lines of one text: a newline before a piece is always a token of its own."""
-        for k in range(0, len(pieces), 10_000):
-            own = pieces[k : k + 10_000]
-            ids = np.array(self.tokenizer.encode_batch_fast(["\n".join([*own, ""])], add_special_tokens=False)[0].ids, np.uint32)
-            ends = np.flatnonzero(ids == self.line_end[0])
-            if len(self.line_end) != 1 or len(ends) != len(own):  # another kind of tokenizer
-                self.memory.update((p, self._whole(p)) for p in own)
-                continue
-            raw, size = ids.astype(self.kind).tobytes(), self.kind.itemsize
-            start = np.r_[0, ends[:-1] + 1]
-            self.memory.update(zip(own, [raw[a:b] for a, b in zip((start * size).tolist(), (ends * size).tolist())]))
-
-    def _remembered(self, pieces: list[list[str]]) -> None:
-        """Makes sure that all pieces are known. Marks at the end of a word are pieces of their own for the tokenizer."""
-        if len(self.memory) > self.remember:
-            self.memory, self.older = {}, self.memory
-        memory, older = self.memory, self.older
-        new = set().union(*pieces) - memory.keys()
-        known = new & older.keys()
-        memory.update((p, older[p]) for p in known)
-        new -= known
-        alone, split = set(), []
-        for p in new:
-            word = p.rstrip(_MARKS)
-            if word and word is not p and word[-1].isalpha():
-                split.append((p, word, p[len(word) :]))
-                alone.add(word)
-                alone.add(p[len(word) :])
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.older.pop(piece, None)
+        if ids is None:
+            word = piece.rstrip(_MARKS)
+            if len(word) < len(piece) and word and word[-1].isalpha():  # marks after a word are a piece of their own for the tokenizer
+                ids = self[word] + self[piece[len(word) :]]
+            elif self.plain and _LATIN.fullmatch(piece):  # one piece for the tokenizer too: its model takes it as it is
+                mapped = piece.encode().decode("latin-1").translate(self.letters)
+                ids = np.array([t.id for t in self.model.tokenize(mapped)], self.kind).tobytes()
+            else:
+                ids = self.whole(piece)
+        self[piece] = ids
+        return ids
+
+    def rest(self) -> None:
+        """Forgets the pieces that were not used for long; called between texts."""
+        if len(self) > self.remember:
+            self.older = dict(self)
+            self.clear()
+
+
+class Encoder:
+    """Ids of whole texts as bytes, with the tokenizers library; see :class:`_Pieces` for what it remembers."""
+
+    def __init__(self, tokenizer_file: str, remember: int = 400_000):
+        from tokenizers import Tokenizer
+
+        tokenizer = Tokenizer.from_file(tokenizer_file)
+        self.kind = np.dtype("<u2") if tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
+        self.special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+        self.pieces = _Pieces(tokenizer, self.kind, remember)
+
+    def encode(self, texts: Iterable[str]) -> Iterator[bytes]:
+        get = self.pieces.__getitem__
+        for text in texts:
+            if any(s in text for s in self.special):
+                yield self.pieces.whole(text)
             else:
-                alone.add(p)
-        alone -= memory.keys()
-        blank = [p for p in alone if p.isspace()]
-        memory.update((p, self._whole(p)) for p in blank)
-        self._learn(list(alone.difference(blank)))
-        memory.update((p, memory[a] + memory[b]) for p, a, b in split)
-
-    def encode(self, texts: list[str], block_chars: int = 1 << 20) -> Iterator[bytes]:
-        """The ids of each text, a block of texts at a time."""
-        first = 0
-        while first < len(texts):
-            last, size = first, 0
-            while last < len(texts) and (last == first or size + len(texts[last]) <= block_chars):
-                size += len(texts[last])
-                last += 1
-            own = texts[first:last]
-            whole = {i for i, t in enumerate(own) if any(s in t for s in self.special)}
-            pieces = [[] if i in whole else _PIECE.findall(t) for i, t in enumerate(own)]
-            self._remembered(pieces)
-            for i, p in enumerate(pieces):
-                yield self._whole(own[i]) if i in whole else b"".join(map(self.memory.__getitem__, p))
-            first = last
+                yield b"".join(map(get, _PIECE.findall(text)))
+                self.pieces.rest()
+
+
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder_for(tokenizer_file: str) -> Encoder:
+    """One encoder for all tasks of a worker process, so that pieces stay known."""
+    if tokenizer_file not in _ENCODERS:
+        _ENCODERS[tokenizer_file] = Encoder(tokenizer_file)
+    return _ENCODERS[tokenizer_file]
 
 
 def write_records(docs: DataFrame, folder: str, tokenizer_file: str, end_id: int, file_bytes: int = 16 << 20) -> DataFrame:
@@ -139,13 +147,13 @@ def write_records(docs: DataFrame, folder: str, tokenizer_file: str, end_id: int
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, -(-total // file_bytes))
     source = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    source = source.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
+    source = source.withColumn("h", F.xxhash64("text")).repartitionByRange(parts, "doc_id", "h").sortWithinPartitions("doc_id", "h", "text").drop("h")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        encoder = Encoder(tokenizer_file)
+        encoder = encoder_for(tokenizer_file)
         end, width = np.array([end_id], encoder.kind).tobytes(), bytes([encoder.kind.itemsize])
         system, path = file_system(folder)
         system.create_dir(path, recursive=True)
