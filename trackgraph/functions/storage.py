@@ -14,15 +14,36 @@ def shared_dir(spark: SparkSession) -> str:
     if not root:
         root = spark.sparkContext._jsc.sc().getCheckpointDir()
         root = root.get() if root.isDefined() else None
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
     if not root:
         root = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
 
 
+#: Folders written by :func:`staged` that are still there.
+_PATHS: list[str] = []
+
+
+def staged_since() -> int:
+    """A mark for :func:`discard`."""
+    return len(_PATHS)
+
+
+def discard(spark: SparkSession, mark: int) -> None:
+    """Removes the tables staged since the mark. Results that were read from them must be written elsewhere before."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for name in _PATHS[mark:]:
+        path = jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(conf).delete(path, True)
+    del _PATHS[mark:]
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again: computed once, short lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _PATHS.append(path)
     return spark.read.schema(df.schema).parquet(path)
