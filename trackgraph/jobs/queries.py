@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from trackgraph.functions import geo
 from trackgraph.functions.storage import shared_dir, staged
-from trackgraph.jobs import oracles
-from trackgraph.operators import events, graph, poi, progress, raster, routing
+from trackgraph.jobs import mask_oracles, oracles
+from trackgraph.operators import events, graph, network, poi, progress, raster, routing
 from trackgraph.operators import telemetry as tracks
 from trackgraph.sources import adapters, packets
 from trackgraph.streaming import tracks as streams
@@ -352,7 +352,50 @@ def stream_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _latest(streams.read_latest(spark, f"{folder}/latest")).where("player_id <> -1")
 
 
+MASK_SIDE = 20_000
+
+
+def mask_blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return network.blobs(adapters.mask(spark, sf_dir)).select("x", "y", "size", "kept")
+
+
+def _skeleton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return staged(network.blobs(adapters.mask(spark, sf_dir)).where("kept").select("x", "y"), "skeleton")
+
+
+def mask_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return network.degrees(_skeleton(spark, sf_dir))
+
+
+def mask_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = network.chains(_skeleton(spark, sf_dir)).where("not loop")
+    return _round(out.select("start", "first", "pos", "x", "y", "along"), "along")
+
+
+def mask_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mask_classes(spark, sf_dir, _skeleton(spark, sf_dir))
+
+
+def _mask_classes(spark: SparkSession, sf_dir: str, points: DataFrame) -> DataFrame:
+    return network.pixel_classes(points, network.orange_hint(adapters.mask(spark, sf_dir), MASK_SIDE, MASK_SIDE), MASK_SIDE, MASK_SIDE)
+
+
+def _pieces(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    points = _skeleton(spark, sf_dir)
+    classes = staged(_mask_classes(spark, sf_dir, points), "classes")
+    return network.segments(network.chains(points), classes), classes
+
+
+def mask_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return network.edges(_pieces(spark, sf_dir)[0], FACTORS)
+
+
+def mask_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return network.nodes(*_pieces(spark, sf_dir))
+
+
 QUERIES = [
+    mask_blobs, mask_degrees, mask_chains, mask_classes, mask_edges, mask_nodes,
     trip_leaders, telemetry_hold, latest_snapshot, liveness, live_sessions, heartbeat, motion_heading, rpm_ratio, crash_candidates, jump_candidates,
     drive_events, packet_decode, packet_counts, scalar_labels, tile_pyramid, box_tiles, markers_in_boxes, marker_search, nearest_markers, nearest_markers_anywhere, marker_lookup,
     marker_labels, marker_categories, road_cells, road_grid, grid_edges, road_class_counts, normalised_edges, graph_components, graph_status,
@@ -366,7 +409,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    sql = oracles.all_sql()
+    sql = oracles.all_sql() | mask_oracles.sql()
     # a stream's rows equal those of its batch twin
     return sql | {
         "stream_hold": sql["telemetry_hold"], "stream_heartbeat": sql["heartbeat"], "stream_latest": sql["latest_snapshot"],

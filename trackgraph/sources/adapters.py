@@ -59,3 +59,14 @@ def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select(
         (o % 4).alias("tile_x"), (p % 3).alias("tile_y"), x.alias("x"), y.alias("y"),
         channel(200 + q % 50, 190 + q, 10 + q).cast("int").alias("r"), channel(200 + q % 40, 90 + q, 60 + q).cast("int").alias("g"), channel(195 + q % 50, 40 + q, 90 + q).cast("int").alias("b"), (q * 5).cast("int").alias("alpha"))
+
+
+def mask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grey pixels along crossing lines with gaps, and their colours: ``x, y, grey, r, g, b``, one row for each pixel."""
+    k = F.col("o_orderkey")
+    line, along = F.floor(k / 200), k % 200
+    flat = line % 2 == 0
+    x, y = F.when(flat, along + 10 * (line % 3)).otherwise(line * 5), F.when(flat, line * 6).otherwise(along)
+    grey = F.when(k % 53 == 0, 40).otherwise(255)
+    rows = table(spark, sf_dir, "orders").select(x.alias("x"), y.alias("y"), F.struct(grey.alias("grey"), (120 + k % 120).alias("r"), (80 + k * 7 % 80).alias("g"), (k * 3 % 90).alias("b")).alias("c"))
+    return rows.groupBy("x", "y").agg(F.max("c").alias("c")).select("x", "y", "c.*")
