@@ -62,11 +62,12 @@ def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mask(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Grey pixels along crossing lines with gaps, and their colours: ``x, y, grey, r, g, b``, one row for each pixel."""
+    """Grey pixels along crossing lines with gaps, and their colours: ``x, y, grey, r, g, b``; every 8 lines form a map of their own."""
     k = F.col("o_orderkey")
     line, along = F.floor(k / 200), k % 200
-    flat = line % 2 == 0
-    x, y = F.when(flat, along + 10 * (line % 3)).otherwise(line * 5), F.when(flat, line * 6).otherwise(along)
+    own = line % 8
+    flat = own % 2 == 0
+    x, y = F.when(flat, along + 10 * (own % 3)).otherwise(own * 20) + F.floor(line / 8) * 1000, F.when(flat, own * 6).otherwise(along)
     grey = F.when(k % 53 == 0, 40).otherwise(255)
     rows = table(spark, sf_dir, "orders").select(x.alias("x"), y.alias("y"), F.struct(grey.alias("grey"), (120 + k % 120).alias("r"), (80 + k * 7 % 80).alias("g"), (k * 3 % 90).alias("b")).alias("c"))
     return rows.groupBy("x", "y").agg(F.max("c").alias("c")).select("x", "y", "c.*")
