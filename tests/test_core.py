@@ -188,3 +188,43 @@ def test_reroute_without_a_usable_route(spark):
     rows = [(1, t, None, 500.0, 0.0, 0.0) for t in (0, 1000, 2800, 2900, 5700, 5701)] + [(1, 9000, None, 30.0, 0.0, 0.0), (1, 9100, 10.0, 500.0, 0.0, 0.0), (1, 22000, 10.0, 500.0, 800.0, 0.0)]
     got = progress.reroutes(spark.createDataFrame(rows, "player_id long, ts_ms long, off double, to_target double, map_x double, map_y double")).collect()
     assert sorted((r.ts_ms, r.reason) for r in got) == [(0, "no_route"), (2900, "no_route"), (5701, "no_route"), (22000, "moved")]
+
+
+def test_chains_of_a_mask(spark):
+    from trackgraph.operators import network
+
+    line = [(x, 0) for x in range(14)]
+    loop = [(x, y) for x in range(30, 35) for y in range(10, 15) if x in (30, 34) or y in (10, 14)]
+    star = [(50 + d, 50) for d in range(-4, 5)] + [(50, 50 + d) for d in range(1, 5)]
+    pixels = spark.createDataFrame(line + loop + star, "x long, y long")
+    rows = network.chains(pixels).collect()
+    by = {}
+    for r in sorted(rows, key=lambda r: r.pos):
+        by.setdefault((r.loop, r.start, r.first), []).append((r.x, r.y))
+    assert by[False, 0, 4] == line
+    (ring,) = [p for (loop_, _, _), p in by.items() if loop_]
+    assert ring[0] == (30, 10) and len(ring) == len(loop) and set(ring) == set(loop)
+    near = lambda a, b: a != b and max(abs(a[0] - b[0]), abs(a[1] - b[1])) == 1
+    steps = [frozenset(s) for p in by.values() for s in zip(p, p[1:])]
+    points = line + loop + star
+    every = {frozenset((a, b)) for a in points for b in points if near(a, b)}
+    assert len(steps) == len(set(steps)) == len(every) - 1  # the loop stays open by one step
+    classes = pixels.withColumn("road_class", F.lit("white"))
+    pieces = network.segments(network.chains(pixels), classes)
+    assert sorted((r.a.x, r.b.x) for r in pieces.where("start = 0").collect()) == [(0, 6), (6, 12), (12, 13)]
+    assert network.chains(pixels.limit(0)).count() == 0
+
+
+def test_blobs_of_a_mask(spark):
+    from trackgraph.operators import network
+
+    mask = spark.createDataFrame([(x, 0, 200) for x in range(79)] + [(x, 5, 200) for x in range(80)] + [(x, 6, 100) for x in range(9)], "x long, y long, grey long")
+    assert {(r.y, r.size, r.kept) for r in network.blobs(mask).collect()} == {(0, 79, False), (5, 80, True)}
+
+
+def test_stored_cost_needs_a_stored_length_or_an_unknown_class(spark):
+    from trackgraph.operators import graph
+
+    nodes = spark.createDataFrame([(1, 0.0, 0.0, "white"), (2, 10.0, 0.0, "white"), (3, 20.0, 0.0, "unknown")], "node_id long, map_x double, map_y double, road_class string")
+    edges = spark.createDataFrame([(1, 2, None, 77.0, None, 0), (2, 3, None, 55.0, None, 1)], "a long, b long, length double, cost double, road_class string, seq long")
+    assert {(r.a, r.b): r.cost for r in graph.normalised_edges(edges, nodes).collect()} == {(1, 2): 10.0, (2, 3): 55.0}

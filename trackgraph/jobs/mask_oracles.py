@@ -39,7 +39,7 @@ def sql() -> dict[str, str]:
     return {
         "mask_blobs": f"WITH RECURSIVE {MASK} SELECT x, y, size, size >= 80 AS kept FROM blob",
         "mask_degrees": f"WITH RECURSIVE {MASK} SELECT x, y, degree, is_key FROM deg",
-        "mask_chains": f"WITH RECURSIVE {CHAINS} SELECT start, first, pos, x, y, round(along, 6) AS along FROM chain",
+        "mask_chains": f"WITH RECURSIVE {CHAINS} SELECT start, first, pos, x, y, round(along, 4) AS along FROM chain",
         "mask_classes": f"WITH RECURSIVE {MASK}{CLASSES} SELECT x, y, road_class FROM cls",
         "mask_edges": f"""WITH RECURSIVE {PIECES}, named AS (SELECT *, ax || ':' || ay AS f, bx || ':' || b_y AS t FROM piece WHERE (ax <> bx OR ay <> b_y) AND length > 0)
 SELECT f AS "from", t AS "to", round(length, 3) AS length, round(length * CASE road_class WHEN 'white' THEN 1.0::DOUBLE ELSE 1.08::DOUBLE END, 3) AS cost, road_class FROM named QUALIFY row_number() OVER (PARTITION BY least(f, t), greatest(f, t) ORDER BY start, first, segment) = 1""",

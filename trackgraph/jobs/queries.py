@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from trackgraph.functions import geo
 from trackgraph.functions.storage import shared_dir, staged
-from trackgraph.jobs import mask_oracles, oracles
+from trackgraph.jobs import mask_oracles, more_oracles, oracles
 from trackgraph.operators import events, graph, network, poi, progress, raster, routing
 from trackgraph.operators import telemetry as tracks
 from trackgraph.sources import adapters, packets
@@ -352,6 +352,49 @@ def stream_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _latest(streams.read_latest(spark, f"{folder}/latest")).where("player_id <> -1")
 
 
+LABELS = {"PROMO": "tin offer", "ECONOMY": "steel"}
+
+
+def remaining_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = progress.remaining_route(_progress(spark, sf_dir), progress.vertices(_lines(spark, sf_dir)))
+    return _round(out.select("player_id", "seq", "points", "length"), "length")
+
+
+def grid_unique_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = adapters.nodes(spark, sf_dir)
+    known = F.col("node_id") % 3 == 0
+    n = n.select("node_id", F.when(known, F.floor(F.col("gx") / 2)).alias("gx"), F.when(known, F.floor(F.col("gy") / 2)).alias("gy"), "map_x", "map_y")
+    return graph.one_for_each_cell(n, 20.0)
+
+
+def detected_graphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headers made of the orders: a version and a detection entry."""
+    k = F.col("o_orderkey")
+    version = F.concat(F.when(k % 4 == 0, "manual-").when(k % 4 == 1, "CV-").otherwise("v"), k.cast("string"))
+    detection = F.when(k % 3 == 0, "{ }").when(k % 3 == 1, F.concat(F.lit('{"n": '), k.cast("string"), F.lit("}")))
+    return adapters.table(spark, sf_dir, "orders").select(k.alias("graph_id"), graph.from_detection(version, detection).alias("detected"))
+
+
+def edit_strokes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An edit file for each order: as many strokes as its key has beyond the last multiple of four, of types by its priority."""
+    k = F.col("o_orderkey")
+    stroke = F.when(F.col("o_orderpriority") != "", F.concat(F.lit('{"type": "'), F.col("o_orderpriority"), F.lit('"}'))).otherwise("{}")
+    strokes = F.array_join(F.array_repeat(F.when(k % 5 == 0, "{}").otherwise(stroke), (k % 4).cast("int")), ",")
+    return graph.edit_strokes(adapters.table(spark, sf_dir, "orders").select(F.concat(F.lit('{"kind": "edits", "strokes": ['), strokes, F.lit("]}")).alias("value")))
+
+
+def client_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("request_id")
+    text = F.when(k % 3 == 0, "Tin").when(k % 3 == 1, F.concat(F.lit("brand#"), (k % 5 + 1).cast("string"))).otherwise("x")
+    q = adapters.requests(spark, sf_dir).select(k.alias("query_id"), text.alias("text"), F.when(k % 2 == 0, "PROMO").alias("category"), (F.col("start_x") * 40).alias("x"), (F.col("start_y") * 50).alias("y"))
+    return poi.client_search(q, adapters.markers(spark, sf_dir), LABELS).select("query_id", "file_order", "distance", F.col("rank").cast("long").alias("rank"))
+
+
+def markers_in_boxes_of_category(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = poi.in_boxes(_boxes(spark, sf_dir), adapters.markers(spark, sf_dir), pad=50, category="PROMO")
+    return out.select("box_id", "file_order", F.col("rank").cast("long").alias("rank"))
+
+
 MASK_SIDE = 20_000
 
 
@@ -369,7 +412,7 @@ def mask_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mask_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = network.chains(_skeleton(spark, sf_dir)).where("not loop")
-    return _round(out.select("start", "first", "pos", "x", "y", "along"), "along")
+    return _round(out.select("start", "first", "pos", "x", "y", "along"), "along", digits=4)
 
 
 def mask_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -395,7 +438,7 @@ def mask_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = [
-    mask_blobs, mask_degrees, mask_chains, mask_classes, mask_edges, mask_nodes,
+    remaining_routes, grid_unique_nodes, detected_graphs, edit_strokes, client_search, markers_in_boxes_of_category, mask_blobs, mask_degrees, mask_chains, mask_classes, mask_edges, mask_nodes,
     trip_leaders, telemetry_hold, latest_snapshot, liveness, live_sessions, heartbeat, motion_heading, rpm_ratio, crash_candidates, jump_candidates,
     drive_events, packet_decode, packet_counts, scalar_labels, tile_pyramid, box_tiles, markers_in_boxes, marker_search, nearest_markers, nearest_markers_anywhere, marker_lookup,
     marker_labels, marker_categories, road_cells, road_grid, grid_edges, road_class_counts, normalised_edges, graph_components, graph_status,
@@ -409,7 +452,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    sql = oracles.all_sql() | mask_oracles.sql()
+    sql = oracles.all_sql() | mask_oracles.sql() | more_oracles.sql()
     # a stream's rows equal those of its batch twin
     return sql | {
         "stream_hold": sql["telemetry_hold"], "stream_heartbeat": sql["heartbeat"], "stream_latest": sql["latest_snapshot"],

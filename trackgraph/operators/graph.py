@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trackgraph.functions import geo
@@ -22,17 +22,42 @@ def multiplier(kind: str = "road_class", table: dict[str, float] = MULTIPLIERS):
 def normalised_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges with both ends known, canonical ends, length and cost filled in, one for each pair (the cheapest, then the first).
 
-    ``edges``: a, b, length, cost, road_class (nullable), seq (input order).
+    ``edges``: a, b, length, cost, road_class (nullable), seq (input order). A class that is not known is the less preferred one of the
+    ends; a stored cost holds if the length is stored too or the class is still unknown, else the length is weighted by the class.
     """
     end = lambda s: nodes.select(F.col("node_id").alias(s), F.col("map_x").alias(s + "x"), F.col("map_y").alias(s + "y"), F.col("road_class").alias(s + "c"))
     e = edges.where("a <> b").withColumn("kind", geo.road_class(F.col("road_class"))).drop("road_class").join(end("a"), "a").join(end("b"), "b")
     own = F.when(geo.road_rank(F.col("bc")) > geo.road_rank(F.col("ac")), F.col("bc")).otherwise(F.col("ac"))
-    e = e.withColumns({"given": F.col("kind") == "unknown", "road_class": F.when(F.col("kind") == "unknown", own).otherwise(F.col("kind")), "len": F.coalesce("length", geo.distance(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by")))})
-    e = e.where("len > 0").withColumn("weighted", F.when((F.col("given") & F.col("cost").isNotNull()) | (F.col("cost").isNotNull() & F.col("length").isNotNull()), F.col("cost")).otherwise(F.col("len") * multiplier()))
+    e = e.withColumns({"road_class": F.when(F.col("kind") == "unknown", own).otherwise(F.col("kind")), "len": F.coalesce("length", geo.distance(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by")))})
+    e = e.where("len > 0").withColumn("weighted", F.when(F.col("cost").isNotNull() & (F.col("length").isNotNull() | (F.col("road_class") == "unknown")), F.col("cost")).otherwise(F.col("len") * multiplier()))
     best = e.groupBy(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).agg(F.min_by(F.struct("len", "weighted", "road_class"), F.struct("weighted", "seq")).alias("m"))
     return best.select(F.col("u").alias("a"), F.col("v").alias("b"), F.col("m.len").alias("length"), F.col("m.weighted").alias("cost"), F.col("m.road_class").alias("road_class"))
 
 
+def grid_key(gx: Column, gy: Column, x: Column, y: Column, stride: float) -> Column:
+    """``gx:gy`` where both are given, else the nearest grid lines of the place."""
+    own = F.concat(gx.cast("long").cast("string"), F.lit(":"), gy.cast("long").cast("string"))
+    return F.coalesce(own, F.concat(geo.grid_index(x, stride).cast("string"), F.lit(":"), geo.grid_index(y, stride).cast("string")))
+
+
+def one_for_each_cell(nodes: DataFrame, stride: float = 10.0) -> DataFrame:
+    """``grid_key, node_id``: the first node (in order of ids) of each grid key; ``nodes`` has gx and gy, which may be null."""
+    key = grid_key(F.col("gx"), F.col("gy"), F.col("map_x"), F.col("map_y"), stride)
+    return nodes.groupBy(key.alias("grid_key")).agg(F.min("node_id").alias("node_id"))
+
+
+def from_detection(version: Column, detection: Column) -> Column:
+    """Whether a graph's header tells that it was detected in images: "cv" in its version, or a detection entry that is not empty."""
+    given = F.coalesce(F.regexp_replace(detection, r"\s", ""), F.lit("null"))
+    return F.contains(F.lower(F.coalesce(version, F.lit(""))), F.lit("cv")) | ~given.isin("null", "{}", "")
+
+
+def edit_strokes(edits: DataFrame) -> DataFrame:
+    """``type, strokes``: strokes of edit files (``value``, JSON text) by type; a stroke without a type counts as unknown."""
+    strokes = edits.select(F.explode(F.from_json("value", "strokes array<struct<type string>>").getField("strokes")).alias("s"))
+    return strokes.groupBy(F.coalesce("s.type", F.lit("unknown")).alias("type")).agg(F.count("*").alias("strokes"))
+
+
 def node_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``node_id, component, size`` of every node; a component is named by its smallest node."""
     found = connected_components(edges)

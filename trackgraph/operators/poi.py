@@ -21,10 +21,10 @@ def marker_key(markers: DataFrame) -> DataFrame:
 BROADCAST_TEXTS = 10_000
 
 
-def search(queries: DataFrame, markers: DataFrame, limit: int = 25) -> DataFrame:
+def search(queries: DataFrame, markers: DataFrame, limit: int = 25, same: str | None = None) -> DataFrame:
     """Markers whose text holds every term of a query; at most ``limit`` (1 to 100) by distance, or by title without a position.
 
-    ``queries`` has query_id, text, x, y. Equal texts are matched once. The text of a marker is its title, category,
+    ``queries`` has query_id, text, x, y, and ``same``, if given: a column in which query and marker must agree. Equal texts are matched once. The text of a marker is its title, category,
     parent_category, description and desc; the last two may be absent. Up to ``BROADCAST_TEXTS`` texts are broadcast, more are dealt
     into blocks and each block meets each partition of the markers.
     """
@@ -39,11 +39,19 @@ def search(queries: DataFrame, markers: DataFrame, limit: int = 25) -> DataFrame
     else:
         distinct = distinct.repartition(-(-count // BROADCAST_TEXTS), "terms").hint("shuffle_replicate_nl")
     hits = markers.withColumn("hay", F.lower(F.concat_ws(" ", *searched))).join(distinct, F.forall("terms", lambda t: F.contains(F.col("hay"), t)))
-    met = asked.join(hits.drop("hay"), "terms").withColumn("distance", F.round(geo.distance(F.col("x"), F.col("y"), F.col("map_x"), F.col("map_y")), 2))
+    met = asked.drop("category").join(hits.drop("hay"), "terms") if same is None else asked.join(hits.drop("hay"), ["terms", same])
+    met = met.withColumn("distance", F.round(geo.distance(F.col("x"), F.col("y"), F.col("map_x"), F.col("map_y")), 2))
     order = Window.partitionBy("query_id").orderBy(F.col("distance").asc_nulls_last(), F.lower("title"), "file_order")
     return met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).drop("terms", "text", "x", "y")
 
 
+def client_search(queries: DataFrame, markers: DataFrame, labels: dict[str, str], limit: int = 8) -> DataFrame:
+    """:func:`search` for texts of two characters or more, in markers of the query's ``category`` (null: all) and their labels too."""
+    labelled = category_label(markers, labels).withColumn("desc", F.concat_ws(" ", "label", *(c for c in ("desc",) if c in markers.columns)))
+    asked = queries.where(F.length(F.trim("text")) >= 2)
+    return search(asked.where("category is null"), labelled, limit).unionByName(search(asked.where("category is not null"), labelled, limit, same="category"))
+
+
 def nearest(points: DataFrame, targets: DataFrame, id_: str, target: str, k: int, radius: float | None, cell: float = 320.0, category: str | None = None) -> DataFrame:
     """The ``k`` nearest targets within ``radius`` of each point, ascending: ``id_, target, distance, rank``.
 
@@ -100,8 +108,9 @@ def lookup(requests: DataFrame, markers: DataFrame, needle: str = "needle") -> D
     return requests.join(first, needle, "left").select("request_id", F.col("m.title").alias("title"), F.coalesce("m.map_x", "target_x").alias("target_x"), F.coalesce("m.map_y", "target_y").alias("target_y"))
 
 
-def in_boxes(boxes: DataFrame, markers: DataFrame, pad: float, most: int = 600, cell: float = 1000.0) -> DataFrame:
-    """Markers inside each padded box (``box_id, x0, y0, x1, y1``), at most ``most`` in file order. An equi-join on cells."""
+def in_boxes(boxes: DataFrame, markers: DataFrame, pad: float, most: int = 600, cell: float = 1000.0, category: str | None = None) -> DataFrame:
+    """Markers (of a category) inside each padded box (``box_id, x0, y0, x1, y1``), at most ``most`` in file order. An equi-join on cells."""
+    markers = markers if category is None else markers.where(F.col("category") == category)
     span = lambda a, b: F.explode(F.sequence(geo.cell(F.col(a) - pad, cell), geo.cell(F.col(b) + pad, cell)))
     b = boxes.withColumn("cx", span("x0", "x1")).withColumn("cy", span("y0", "y1"))
     m = markers.withColumns({"cx": geo.cell(F.col("map_x"), cell), "cy": geo.cell(F.col("map_y"), cell)})

@@ -45,6 +45,35 @@ def nearest_segment(track: DataFrame, segments_: DataFrame) -> DataFrame:
     return best.select(*keys, "m.*")
 
 
+def vertices(lines: DataFrame) -> DataFrame:
+    """``route_id, pos, x, y`` with the next vertex (``nx, ny, step``), the length before a vertex and after it, and those that follow."""
+    v = lines.withColumns({"nx": F.lead("x").over(_line()), "ny": F.lead("y").over(_line())})
+    v = v.withColumn("step", F.coalesce(geo.distance(F.col("x"), F.col("y"), F.col("nx"), F.col("ny")), F.lit(0.0)))
+    rest = _line().rowsBetween(0, Window.unboundedFollowing)
+    return v.withColumns({"tail": F.sum("step").over(rest), "follow": F.count("*").over(rest) - 1})
+
+
+def remaining_route(rows: DataFrame, vertices_: DataFrame, near: float = 160.0, close: float = 3.0, past: float = 0.72) -> DataFrame:
+    """``points`` and ``length`` (pixels, from the car) of what is left of a route, for rows of :func:`nearest_segment` with their route_id.
+
+    On the route (``off`` below ``near``) it starts with the projected point, then the next vertex, or the one after that behind
+    ``past`` of a segment; else with the second vertex. A first point within ``close`` of the car is left out.
+    """
+    on = F.col("off") < near
+    k = F.when(on, F.col("pos") + F.when(F.col("t") > past, 2).otherwise(1)).otherwise(1)
+    v = vertices_.select(F.col("route_id"), F.col("pos").alias("k"), F.col("x").alias("vx"), F.col("y").alias("vy"), "nx", "ny", "step", "tail", "follow")
+    j = rows.withColumn("k", k).join(v, ["route_id", "k"], "left")
+    to = lambda x, y: geo.distance(F.col("map_x"), F.col("map_y"), F.col(x), F.col(y))
+    there, projected = F.col("vx").isNotNull(), to("px", "py") >= close
+    onwards = F.coalesce(geo.distance(F.col("px"), F.col("py"), F.col("vx"), F.col("vy")) + F.col("tail"), F.lit(0.0))
+    whole, behind = F.coalesce(to("vx", "vy") + F.col("tail"), F.lit(0.0)), F.coalesce(to("nx", "ny") + F.col("tail") - F.col("step"), F.lit(0.0))
+    left = F.when(there, F.col("follow") + 1).otherwise(0)
+    skip = ~on & there & (to("vx", "vy") < close)
+    length = F.when(on & projected, to("px", "py") + onwards).when(skip, behind).otherwise(whole)
+    points = F.when(on & projected, left + 1).when(skip, left - 1).otherwise(left)
+    return j.select(*rows.columns, points.cast("long").alias("points"), length.alias("length"))
+
+
 def point_at(wanted: DataFrame, segments_: DataFrame) -> DataFrame:
     """The point ``want`` pixels along a route, for rows ``route_id, want``; past the end the last point."""
     j = wanted.join(segments_.where("length > 0"), "route_id").where((F.col("before") <= F.col("want")) | (F.col("before") == 0))
