@@ -44,4 +44,4 @@ def sql() -> dict[str, str]:
         "mask_edges": f"""WITH RECURSIVE {PIECES}, named AS (SELECT *, ax || ':' || ay AS f, bx || ':' || b_y AS t FROM piece WHERE (ax <> bx OR ay <> b_y) AND length > 0)
 SELECT f AS "from", t AS "to", round(length, 3) AS length, round(length * CASE road_class WHEN 'white' THEN 1.0::DOUBLE ELSE 1.08::DOUBLE END, 3) AS cost, road_class FROM named QUALIFY row_number() OVER (PARTITION BY least(f, t), greatest(f, t) ORDER BY start, first, segment) = 1""",
         "mask_nodes": f"""WITH RECURSIVE {PIECES}, spot AS (SELECT ax AS x, ay AS y FROM piece UNION SELECT bx, b_y FROM piece)
-SELECT x || ':' || y AS id, round(x * 6.58487266 + 4594.21749925, 3) AS map_x, round(y * 6.60554791 + 3225.79270983, 3) AS map_y, road_class, x AS source_x, y AS source_y FROM spot JOIN cls USING (x, y)"""}
+SELECT x || ':' || y AS id, CAST(round((x * 6.58487266 + 4594.21749925) * 1000) AS BIGINT) AS map_x_thousandths, CAST(round((y * 6.60554791 + 3225.79270983) * 1000) AS BIGINT) AS map_y_thousandths, road_class, x AS source_x, y AS source_y FROM spot JOIN cls USING (x, y)"""}

@@ -434,7 +434,8 @@ def mask_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mask_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return network.nodes(*_pieces(spark, sf_dir))
+    thousandths = lambda c: F.round(F.col(c) * 1000).cast("long").alias(f"{c}_thousandths")
+    return network.nodes(*_pieces(spark, sf_dir)).select("id", thousandths("map_x"), thousandths("map_y"), "road_class", "source_x", "source_y")
 
 
 QUERIES = [
