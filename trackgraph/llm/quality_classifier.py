@@ -206,14 +206,14 @@ def fit(docs: DataFrame, labels: DataFrame, labelled_rows: int = 6_000, rounds:
     good = staged(good, "labels")
     share = min(1.0, labelled_rows / max(good.count(), 1))
     picked = good.where(F.pmod(F.xxhash64("doc_id", F.lit("labelled")), F.lit(1_000_003)) < F.lit(share * 1_000_003))
-    text, meta, y, key = _gathered(docs.join(picked, "doc_id").select(_key(), F.col("y").cast("int"), *_columns()))
+    few = F.broadcast(picked)  # about labelled_rows
+    text, meta, y, key = _gathered(docs.join(few, "doc_id").select(_key(), F.col("y").cast("int"), *_columns()))
     share = float(y.mean()) if len(y) else 1.0
     fold = mix(key.view(np.uint64)) % np.uint64(FOLDS)  # 0: calibrates, 1: combines, others: learn
     learn, test, last = np.flatnonzero(fold > 1), np.flatnonzero(fold == 0), np.flatnonzero(fold == 1)
     if any((y[part] == c).sum() < least for part, least in ((learn, 2), (test, 1), (last, 1)) for c in (0, 1)):
         none = np.zeros(0)
         return Model(none, none, none, none, none, constant=share)
-    unlabelled = docs.join(good, "doc_id", "left_anti")
     train = {"text": (text.rows(learn), y[learn].astype(float)), "meta": (meta.rows(learn), y[learn].astype(float))}
     views = {"text": (text, 1 << TEXT_BITS), "meta": (meta, 1 << META_BITS)}
     given: dict[str, set[int]] = {v: set() for v in views}  # documents that a view was given already
@@ -225,7 +225,8 @@ def fit(docs: DataFrame, labels: DataFrame, labelled_rows: int = 6_000, rounds:
         if k == rounds:
             break
         model = Model(weights["text"], weights["meta"], scale["text"], scale["meta"], np.ones(3))
-        now = staged(_scores(unlabelled, model, _key(), "key").select("key", "p_text", "p_meta"), "views")
+        # labelled documents go after scoring, so that ids and scores are shuffled and not texts
+        now = staged(_scores(docs, model, _key(), F.col("doc_id")).join(good, "doc_id", "left_anti").select("key", "p_text", "p_meta"), "views")
         told: dict[str, dict[int, int]] = {}
         for v, other in (("text", "meta"), ("meta", "text")):
             # documents that the other view has got already may stand before new ones: 2 * exchanged for each round at most
@@ -238,7 +239,7 @@ def fit(docs: DataFrame, labels: DataFrame, labelled_rows: int = 6_000, rounds:
         if not wanted:
             continue
         few = F.broadcast(docs.sparkSession.createDataFrame([(i,) for i in wanted], "key long"))  # exchanged x 2 at most
-        found = unlabelled.select(_key(), F.lit(0).alias("y"), *_columns()).join(few, "key", "left_semi")
+        found = docs.select(_key(), F.lit(0).alias("y"), *_columns()).join(few, "key", "left_semi")
         new_text, new_meta, _, keys = _gathered(found)
         for v, x in (("text", new_text), ("meta", new_meta)):
             _, once = np.unique(keys, return_index=True)
@@ -249,20 +250,23 @@ def fit(docs: DataFrame, labels: DataFrame, labelled_rows: int = 6_000, rounds:
     return Model(weights["text"], weights["meta"], scale["text"], scale["meta"], _platt(np.c_[a, b], y[last], MEAN, 3.0))
 
 
-def _scores(docs: DataFrame, model: Model, key: Column, name: str) -> DataFrame:
-    """``p_text, p_meta, score`` of every row, after a long column ``name``."""
+def _scores(docs: DataFrame, model: Model, *own: Column) -> DataFrame:
+    """``p_text, p_meta, score`` of every row, after the columns ``own``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    source, first = docs.select(*own, *_columns()), len(own)
+    head = source.schema.fields[:first]
+    names = [*[f.name for f in head], "p_text", "p_meta", "score"]
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            for at, text, meta in _views(batch, 1):
+            for at, text, meta in _views(batch, first):
                 a, b, both = m.scores(text, meta)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(a)), pa.array(a), pa.array(b), pa.array(both)], [name, "p_text", "p_meta", "score"])
+                yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(at, len(a)) for c in range(first)], pa.array(a), pa.array(b), pa.array(both)], names)
 
-    return docs.select(key, *_columns()).mapInArrow(make, f"{name} long, p_text double, p_meta double, score double")
+    return source.mapInArrow(make, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in head) + ", p_text double, p_meta double, score double")
 
 
 def scored(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
     """``doc_id, p_text, p_meta, score, kept`` of every row; kept: a score of ``least`` or more."""
-    return _scores(docs, model, F.col("doc_id").cast("long"), "doc_id").withColumn("kept", F.col("score") >= least)
+    return _scores(docs, model, F.col("doc_id").cast("long").alias("doc_id")).withColumn("kept", F.col("score") >= least)
