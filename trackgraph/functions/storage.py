@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,10 +43,43 @@ def discard(spark: SparkSession, mark: int) -> None:
     del _PATHS[mark:]
 
 
+#: Folders written inside the innermost :func:`scratch`; each thread has its own.
+_SCRATCH: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
+
+
+def _remove(spark: SparkSession, paths: list[str]) -> None:
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for name in paths:
+        path = jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(conf).delete(path, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """Tables staged inside are removed at the end; gives a form of :func:`staged` for results, whose tables stay."""
+    outer, own = _SCRATCH.get(), []
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        token = _SCRATCH.set(outer)
+        try:
+            return staged(df, name)
+        finally:
+            _SCRATCH.reset(token)
+
+    token = _SCRATCH.set(own)
+    try:
+        yield kept
+    finally:
+        _SCRATCH.reset(token)
+        _remove(spark, own)
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again: computed once, short lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _PATHS.append(path)
+    if _SCRATCH.get() is not None:
+        _SCRATCH.get().append(path)
     return spark.read.schema(df.schema).parquet(path)
