@@ -2,6 +2,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from trackgraph.operators import events, progress
 from trackgraph.operators import telemetry as tracks
 from trackgraph.sources import adapters, files, packets
 from trackgraph.streaming import tracks as streams
@@ -48,6 +49,24 @@ def test_streams_equal_their_batch_twins(spark, tmp_path):
     assert _rows(streams.read_latest(spark, f"{folder}/latest"), *want.columns) == _rows(tracks.latest(want), *want.columns)
 
 
+def test_event_and_route_streams_equal_their_batch_twins(spark, tmp_path):
+    folder = str(tmp_path)
+    held = tracks.held(adapters.telemetry(spark, DATA)).cache()
+    middle = held.selectExpr("percentile(ts_ms, array(0.35, 0.7))").first()[0]
+    parts = lambda df: [df.where(F.col("ts_ms") < middle[0]), df.where(F.col("ts_ms").between(middle[0], middle[1])), df.where(F.col("ts_ms") > middle[1])]
+    source = _stream(spark, "rows", *parts(held), folder=folder)
+    source.writeStream.foreachBatch(streams.event_sink(spark, folder)).option("checkpointLocation", f"{folder}/told").trigger(availableNow=True).start().awaitTermination()
+    names = ["player_id", "seq", "ts_ms", "event"]
+    got = spark.read.parquet(f"{folder}/events")
+    assert _rows(got, *names) == _rows(events.drive_events(held), *names) and got.select("batch").distinct().count() == 3
+
+    place = held.select("player_id", "ts_ms", "speed_kmh", F.abs(F.col("map_x") % 400).alias("px"), F.when(F.col("seq") % 9 != 0, F.abs(F.col("map_y") % 900)).alias("off"), F.abs(F.col("map_x") % 700).alias("to_target"), "map_x", "map_y").cache()
+    for name, columns in (("arrivals", ["player_id", "arrived_ms"]), ("reroutes", ["player_id", "ts_ms", "reason"])):
+        streams.appended(getattr(streams, name)(_stream(spark, f"{name}-in", *parts(place), folder=folder)), f"{folder}/{name}")
+        want = _rows(getattr(progress, name)(place), *columns)
+        assert want and _rows(spark.read.parquet(f"{folder}/{name}/rows"), *columns) == want
+
+
 def test_packets_become_a_track(spark):
     track = adapters.telemetry(spark, DATA).where("seq < 60")
     got = streams.track_of_packets(packets.encoded(track).withColumn("seq", F.lit(1).cast("long")))

@@ -300,13 +300,20 @@ def route_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(progress.point_at(wanted, s), "x", "y")
 
 
+def _to_target(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _progress(spark, sf_dir).select("player_id", "ts_ms", "speed_kmh", (F.col("off") / 10).alias("px"))
+
+
 def arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _progress(spark, sf_dir).select("player_id", "ts_ms", "speed_kmh", (F.col("off") / 10).alias("px"))
-    return progress.arrivals(rows)
+    return progress.arrivals(_to_target(spark, sf_dir))
+
+
+def _off_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _progress(spark, sf_dir).select("player_id", "ts_ms", "off", F.col("remaining").alias("to_target"), "map_x", "map_y")
 
 
 def reroutes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return progress.reroutes(_progress(spark, sf_dir).select("player_id", "ts_ms", "off", F.col("remaining").alias("to_target"), "map_x", "map_y"))
+    return progress.reroutes(_off_routes(spark, sf_dir))
 
 
 def suspicious_reroutes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -352,6 +359,23 @@ def stream_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _latest(streams.read_latest(spark, f"{folder}/latest")).where("player_id <> -1")
 
 
+def stream_drive_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    source, folder = _replayed(tracks.held(adapters.telemetry(spark, sf_dir)))
+    writer = source.writeStream.foreachBatch(streams.event_sink(spark, folder)).option("checkpointLocation", f"{folder}/progress")
+    writer.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(streams.EVENT).parquet(f"{folder}/events").where("player_id <> -1")
+
+
+def stream_arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    source, folder = _replayed(_to_target(spark, sf_dir))
+    return _streamed(streams.arrivals(source), folder)
+
+
+def stream_reroutes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    source, folder = _replayed(_off_routes(spark, sf_dir))
+    return _streamed(streams.reroutes(source), folder)
+
+
 LABELS = {"PROMO": "tin offer", "ECONOMY": "steel"}
 
 
@@ -445,7 +469,7 @@ QUERIES = [
     marker_labels, marker_categories, road_cells, road_grid, grid_edges, road_class_counts, normalised_edges, graph_components, graph_status,
     graph_stitches, graph_bridges, snapped_nodes, snapped_nodes_for_routing, candidate_pairs, best_routes, route_road_profile, route_outcomes, route_lines, route_progress,
     off_route_episodes, route_points, arrivals, reroutes, suspicious_reroutes, stream_hold, stream_heartbeat,
-    stream_sessions, stream_latest]
+    stream_sessions, stream_latest, stream_drive_events, stream_arrivals, stream_reroutes]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -456,5 +480,5 @@ def oracle_sql() -> dict[str, str]:
     sql = oracles.all_sql() | mask_oracles.sql() | more_oracles.sql()
     # a stream's rows equal those of its batch twin
     return sql | {
-        "stream_hold": sql["telemetry_hold"], "stream_heartbeat": sql["heartbeat"], "stream_latest": sql["latest_snapshot"],
+        "stream_hold": sql["telemetry_hold"], "stream_heartbeat": sql["heartbeat"], "stream_latest": sql["latest_snapshot"], "stream_arrivals": sql["arrivals"],
         "stream_sessions": f"SELECT player_id, start_ms, end_ms, packets FROM ({sql['live_sessions']})"}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -89,43 +91,67 @@ def off_route_episodes(rows: DataFrame, limit: float = OFF_ROUTE) -> DataFrame:
     return r.groupBy("player_id", "episode").agg(F.min("ts_ms").alias("start_ms"), F.max("ts_ms").alias("end_ms"), (F.max("ts_ms") - F.min("ts_ms")).alias("duration_ms"), F.max("off").alias("max_off"))
 
 
+def arrival_marks(rows: DataFrame) -> DataFrame:
+    """Rows with ``near`` and ``clear`` of the target, from ``px`` (pixels to the target) and ``speed_kmh``."""
+    limit = F.when(F.col("speed_kmh") <= 8, ARRIVE_SLOW_M).otherwise(ARRIVE_M) * geo.PIXELS_PER_METRE
+    return rows.withColumns({"near": F.col("px") <= limit, "clear": F.col("px") > 1.35 * limit})
+
+
 def arrivals(rows: DataFrame) -> DataFrame:
     """The first arrival of each player from ``px`` (pixels to the target) and ``speed_kmh``."""
-    limit = F.when(F.col("speed_kmh") <= 8, ARRIVE_SLOW_M).otherwise(ARRIVE_M) * geo.PIXELS_PER_METRE
-    r = rows.withColumns({"near": F.col("px") <= limit, "clear": F.col("px") > 1.35 * limit})
+    r = arrival_marks(rows)
     r = r.withColumn("run", F.sum(F.col("clear").cast("long")).over(_so_far()))
     timer = F.min(F.when(F.col("near"), F.col("ts_ms"))).over(Window.partitionBy("player_id", "run").orderBy("ts_ms").rowsBetween(Window.unboundedPreceding, 0))
     r = r.withColumn("timer", timer).where(F.col("near") & (F.col("ts_ms") - F.col("timer") >= ARRIVE_MS))
     return r.groupBy("player_id").agg(F.min("ts_ms").alias("arrived_ms"))
 
 
+#: What a player's reroute decisions remember: time of the last request, start of the time off the route, place of the last request.
+REROUTE_STATE = "last long, since long, anchor_x double, anchor_y double"
+NO_REROUTE = (None, None, None, None)
+
+
+def reroute_step(state: tuple, t: int, off: float, goal: float, x: float, y: float) -> tuple[tuple, str | None]:
+    """The state after a row, and the reason of a request that the row makes."""
+    last, since, ax, ay = state
+    if ax is None:
+        ax, ay = x, y
+    if pd.isna(off):
+        if not goal < 35 and (last is None or t - last > 2800):
+            return (t, None, x, y), "no_route"
+        return (last, since, ax, ay), None
+    since = None if off <= OFF_ROUTE else t if since is None else since
+    if goal < 35:
+        return (last, since, ax, ay), None
+    wait, gone = float("inf") if last is None else t - last, 0 if since is None else t - since
+    far = since is not None and wait >= 14000 and ((off > 650 and gone > 3500) or (off > 360 and gone > 9000) or gone > 22000)
+    moved = since is None and wait > 16000 and (x - ax) ** 2 + (y - ay) ** 2 > 760**2
+    if far or moved:
+        return (t, since, x, y), "off_route" if far else "moved"
+    return (last, since, ax, ay), None
+
+
 def reroutes(rows: DataFrame) -> DataFrame:
     """Reroute decisions from ``off, to_target, map_x, map_y`` (V7): a fold over the rows of each player, with its reason.
 
-    A null ``off`` stands for no usable route, which asks again after 2.8 s.
+    A null ``off`` stands for no usable route, which asks again after 2.8 s. Rows are read in order, one Arrow batch after another, so a
+    player's track is never held as a whole.
     """
 
-    def fold(f: pd.DataFrame) -> pd.DataFrame:
-        f, out, last, since, anchor = f.sort_values("ts_ms"), [], None, None, None
-        for p, t, off, goal, x, y in zip(f["player_id"], f["ts_ms"], f["off"], f["to_target"], f["map_x"], f["map_y"]):
-            anchor = anchor or (x, y)
-            if pd.isna(off):
-                if not goal < 35 and (last is None or t - last > 2800):
-                    out.append((p, t, "no_route"))
-                    last, anchor, since = t, (x, y), None
-                continue
-            since = None if off <= OFF_ROUTE else t if since is None else since
-            if goal < 35:
-                continue
-            wait, gone = float("inf") if last is None else t - last, 0 if since is None else t - since
-            far = since is not None and wait >= 14000 and ((off > 650 and gone > 3500) or (off > 360 and gone > 9000) or gone > 22000)
-            moved = since is None and wait > 16000 and (x - anchor[0]) ** 2 + (y - anchor[1]) ** 2 > 760**2
-            if far or moved:
-                out.append((p, t, "off_route" if far else "moved"))
-                last, anchor = t, (x, y)
-        return pd.DataFrame(out, columns=["player_id", "ts_ms", "reason"])
-
-    return rows.groupBy("player_id").applyInPandas(fold, "player_id long, ts_ms long, reason string")
+    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        player, state = None, NO_REROUTE
+        for f in frames:
+            out = []
+            for p, *row in zip(f["player_id"], f["ts_ms"], f["off"], f["to_target"], f["map_x"], f["map_y"]):
+                if p != player:
+                    player, state = p, NO_REROUTE
+                state, reason = reroute_step(state, *row)
+                if reason:
+                    out.append((p, row[0], reason))
+            yield pd.DataFrame(out, columns=["player_id", "ts_ms", "reason"])
+
+    order = rows.select("player_id", "ts_ms", "off", "to_target", "map_x", "map_y").repartition("player_id").sortWithinPartitions("player_id", "ts_ms")
+    return order.mapInPandas(fold, "player_id long, ts_ms long, reason string")
 
 
 def suspicious(pairs: DataFrame) -> DataFrame:

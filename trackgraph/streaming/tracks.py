@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from trackgraph.operators import events, progress
 from trackgraph.operators import telemetry as tracks
 from trackgraph.sources import packets
 
@@ -89,6 +90,86 @@ def live_sessions(track: DataFrame) -> DataFrame:
     return runs.select("player_id", "start_ms", "end_ms", "packets")
 
 
+def arrivals(rows: DataFrame) -> DataFrame:
+    """First arrivals as a stream of ``player_id, arrived_ms``, from ``px`` and ``speed_kmh`` like the batch operator.
+
+    A player's state is the time since which the target is near, and whether the arrival was told.
+    """
+
+    def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        frame = pd.concat(list(frames)).sort_values("ts_ms", kind="stable")
+        timer, told = state.get if state.exists else (None, False)
+        out = []
+        for t, near, clear in zip(frame["ts_ms"], frame["near"], frame["clear"]):
+            timer = None if clear else t if near and timer is None else timer
+            if near and t - timer >= progress.ARRIVE_MS and not told:
+                out, told = [(key[0], t)], True
+        state.update((timer, told))
+        state.setTimeoutTimestamp(int(frame["ts_ms"].max()) + KEEP_MS)
+        yield pd.DataFrame(out, columns=["player_id", "arrived_ms"])
+
+    marks = timed(progress.arrival_marks(rows).select("player_id", "ts_ms", F.coalesce("near", F.lit(False)).alias("near"), F.coalesce("clear", F.lit(False)).alias("clear")))
+    return marks.groupBy("player_id").applyInPandasWithState(fold, "player_id long, arrived_ms long", "timer long, told boolean", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def reroutes(rows: DataFrame) -> DataFrame:
+    """Reroute decisions as a stream: the columns and the steps of the batch operator, with its state kept for each player."""
+
+    def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        frame = pd.concat(list(frames)).sort_values("ts_ms", kind="stable")
+        now, out = state.get if state.exists else progress.NO_REROUTE, []
+        for t, *row in zip(frame["ts_ms"], frame["off"], frame["to_target"], frame["map_x"], frame["map_y"]):
+            now, reason = progress.reroute_step(now, t, *row)
+            if reason:
+                out.append((key[0], t, reason))
+        state.update(now)
+        state.setTimeoutTimestamp(int(frame["ts_ms"].max()) + KEEP_MS)
+        yield pd.DataFrame(out, columns=["player_id", "ts_ms", "reason"])
+
+    own = timed(rows.select("player_id", "ts_ms", "off", "to_target", "map_x", "map_y"))
+    return own.groupBy("player_id").applyInPandasWithState(fold, "player_id long, ts_ms long, reason string", progress.REROUTE_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+#: How far back a row's driving events look, and the longest cooldown after one.
+EVENT_TAIL_MS = 2800
+EVENT_COOLDOWN_MS = max(cooldown for _, cooldown in events.EVENTS.values())
+EVENT = "player_id long, seq long, ts_ms long, event string"
+
+
+def event_sink(spark: SparkSession, folder: str) -> Callable[[DataFrame, int], None]:
+    """For ``foreachBatch``: the driving events of every micro-batch of held rows, in ``folder/events/batch=<number>``.
+
+    The batch operators run over the micro-batch and each player's last 2.8 s before it; the events of the last 8 s join the thinning, so
+    cooldowns go on. Both are written for the next micro-batch; a micro-batch that is repeated gives the same. A player's micro-batches
+    are taken in order of time; a player who is an hour behind all others starts anew.
+    """
+
+    def merge(batch: DataFrame, number: int) -> None:
+        rows, recent = batch, spark.createDataFrame([], EVENT)
+        if number:
+            rows = spark.read.schema(batch.schema).parquet(f"{folder}/tail/batch={number - 1}").unionByName(batch)
+            recent = spark.read.schema(EVENT).parquet(f"{folder}/recent/batch={number - 1}")
+        rows = rows.persist()
+        fresh = events.crash_candidates(rows).unionByName(events.jump_candidates(rows)).join(batch.select("player_id", "seq"), ["player_id", "seq"], "left_semi")
+        told = events.thinned(fresh.unionByName(recent)).persist()
+        newest = rows.groupBy("player_id").agg(F.max("ts_ms").alias("newest"))
+        newest = newest.where(F.col("newest") >= F.lit((rows.agg(F.max("ts_ms")).first()[0] or 0) - KEEP_MS))
+        back = lambda df, ms: df.join(newest, "player_id").where(F.col("ts_ms") >= F.col("newest") - ms).select(*df.columns)
+        told.join(recent, ["player_id", "seq", "event"], "left_anti").select("player_id", "seq", "ts_ms", "event").write.mode("overwrite").parquet(f"{folder}/events/batch={number}")
+        back(told, EVENT_COOLDOWN_MS).write.mode("overwrite").parquet(f"{folder}/recent/batch={number}")
+        back(rows, EVENT_TAIL_MS).write.mode("overwrite").parquet(f"{folder}/tail/batch={number}")
+        rows.unpersist()
+        told.unpersist()
+
+    return merge
+
+
 def latest_sink(spark: SparkSession, folder: str) -> Callable[[DataFrame, int], None]:
     """For ``foreachBatch``: the last row of each player after every micro-batch, a folder for each. A batch that is repeated
     after a failure writes its folder again from the one before it, so the result is the same."""
