@@ -363,7 +363,7 @@ def stream_drive_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     source, folder = _replayed(tracks.held(adapters.telemetry(spark, sf_dir)))
     writer = source.writeStream.foreachBatch(streams.event_sink(spark, folder)).option("checkpointLocation", f"{folder}/progress")
     writer.trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(streams.EVENT).parquet(f"{folder}/events").where("player_id <> -1")
+    return spark.read.schema(streams.EVENT).parquet(f"{folder}/events").drop("batch").where("player_id <> -1")
 
 
 def stream_arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
