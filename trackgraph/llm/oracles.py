@@ -70,5 +70,16 @@ FROM stats LEFT JOIN cuts ON stats.stratum = cuts.stratum
 """
 
 
+FILL_IN_MIDDLE = r"""
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS t, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+units AS (SELECT *, regexp_extract_all(t, '[^\n]*\n|[^\n]+') AS u, [CAST('0x' || substr(h, 8 * k + 1, 8) AS BIGINT) FOR k IN range(4)] AS d FROM docs),
+cuts AS (SELECT *, len(u) AS n, least(d[1] % (len(u) + 1), d[2] % (len(u) + 1)) AS a, greatest(d[1] % (len(u) + 1), d[2] % (len(u) + 1)) AS b,
+  CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR d[3] % 100 >= 100 THEN 'plain' WHEN d[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM units),
+parts AS (SELECT *, array_to_string(u[1:a], '') AS p, array_to_string(u[a + 1:b], '') AS m, array_to_string(u[b + 1:], '') AS s FROM cuts)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256 FROM parts
+"""
+
+
 def sql() -> dict[str, str]:
-    return {"op3_risk_controlled_rules": _risk_rules(), "op4_super_kmer_dedup": WINDOW_DEDUP, "op10_token_group_join": NGRAM_JOIN}
+    return {"op13_escaped_marker_fim": FILL_IN_MIDDLE, "op3_risk_controlled_rules": _risk_rules(), "op4_super_kmer_dedup": WINDOW_DEDUP, "op10_token_group_join": NGRAM_JOIN}
