@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackgraph.llm import oracles
-from trackgraph.llm import decontamination, fill_in_middle, language_id, line_dedup, mixing, ngram_join, quality_classifier, quality_rules, sharding, token_records, whitening, window_dedup
+from trackgraph.llm import decontamination, fill_in_middle, language_id, line_dedup, mixing, ngram_join, page_text, quality_classifier, quality_rules, sharding, token_records, whitening, window_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,6 +69,10 @@ def op11_tiled_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whitened(_table(spark, sf_dir, "embeddings"), "vec_id", "embedding", most=8)
 
 
+def op12_site_template_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_text.main_texts(_table(spark, sf_dir, "pages"))
+
+
 def op13_escaped_marker_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_in_middle.digests(_table(spark, sf_dir, "documents"), fill_in_middle.Form(seed=7, share=100, spm=50))
 
@@ -77,7 +81,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = [
         op1_co_training_quality, op2_shard_by_label_propagation, op3_risk_controlled_rules, op4_super_kmer_dedup, op5_pivotal_mix,
         op6_deletion_neighbourhood_lines, op7_qgram_decontamination,
-        op8_token_records, op9_word_first_language, op10_token_group_join, op11_tiled_whitening, op13_escaped_marker_fim]
+        op8_token_records, op9_word_first_language, op10_token_group_join, op11_tiled_whitening, op12_site_template_text, op13_escaped_marker_fim]
     return {f.__name__: f for f in own}
 
 
