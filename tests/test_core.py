@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from trackgraph.functions import geo
 from trackgraph.jobs import queries
-from trackgraph.operators import events, graph, poi, progress, raster, routing
+from trackgraph.operators import events, graph, network, poi, progress, raster, routing
 from trackgraph.operators import telemetry as tracks
 from trackgraph.operators.components import connected_components
 from trackgraph.sources import adapters, packets
@@ -228,3 +228,20 @@ def test_stored_cost_needs_a_stored_length_or_an_unknown_class(spark):
     nodes = spark.createDataFrame([(1, 0.0, 0.0, "white"), (2, 10.0, 0.0, "white"), (3, 20.0, 0.0, "unknown")], "node_id long, map_x double, map_y double, road_class string")
     edges = spark.createDataFrame([(1, 2, None, 77.0, None, 0), (2, 3, None, 55.0, None, 1)], "a long, b long, length double, cost double, road_class string, seq long")
     assert {(r.a, r.b): r.cost for r in graph.normalised_edges(edges, nodes).collect()} == {(1, 2): 10.0, (2, 3): 55.0}
+
+
+def test_classes_at_and_past_the_edge_of_the_image(spark):
+    orange = [(x, y, 200, 120, 40) for x in range(8, 12) for y in range(8, 10)]
+    pixels = spark.createDataFrame(orange, "x long, y long, r long, g long, b long")
+    size = (12, 10)
+    assert network.extent(pixels) == size and network.extent(pixels.limit(0)) == (0, 0)
+    hint = network.orange_hint(pixels, size)
+    assert max(r.x for r in hint.collect()) == 11
+    points = spark.createDataFrame([(11, 9), (0, 0), (11, 0), (5, 9)], "x long, y long")
+    got = {(r.x, r.y): r.road_class for r in network.pixel_classes(points, hint, size).collect()}
+    assert got == {(11, 9): "orange", (0, 0): "white", (11, 0): "white", (5, 9): "orange"}
+    for x, y in ((12, 9), (14, 9), (30_000, 0), (0, 10), (-1, 0)):
+        with pytest.raises(Exception, match="outside the image"):
+            network.pixel_classes(spark.createDataFrame([(x, y)], "x long, y long"), hint, size).collect()
+        with pytest.raises(Exception, match="outside the image"):
+            network.orange_hint(spark.createDataFrame([(x, y, 200, 120, 40)], pixels.schema), size).collect()

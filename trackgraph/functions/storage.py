@@ -25,24 +25,6 @@ def shared_dir(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-#: Folders written by :func:`staged` that are still there.
-_PATHS: list[str] = []
-
-
-def staged_since() -> int:
-    """A mark for :func:`discard`."""
-    return len(_PATHS)
-
-
-def discard(spark: SparkSession, mark: int) -> None:
-    """Removes the tables staged since the mark. Results that were read from them must be written elsewhere before."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    for name in _PATHS[mark:]:
-        path = jvm.org.apache.hadoop.fs.Path(name)
-        path.getFileSystem(conf).delete(path, True)
-    del _PATHS[mark:]
-
-
 #: Folders written inside the innermost :func:`scratch`; each thread has its own.
 _SCRATCH: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
 
@@ -79,7 +61,6 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _PATHS.append(path)
     if _SCRATCH.get() is not None:
         _SCRATCH.get().append(path)
     return spark.read.schema(df.schema).parquet(path)

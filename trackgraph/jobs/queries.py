@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from trackgraph.functions import geo
 from trackgraph.functions.storage import shared_dir, staged
-from trackgraph.jobs import mask_oracles, more_oracles, oracles
+from trackgraph.jobs import mask_oracles, more_oracles, oracles, repair_oracles
 from trackgraph.operators import events, graph, network, poi, progress, raster, routing
 from trackgraph.operators import telemetry as tracks
 from trackgraph.sources import adapters, packets
@@ -181,7 +181,7 @@ def normalised_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     one = e.select("a", "b", F.when(k != 3, F.col("length")).alias("length"), F.when(k != 4, F.col("cost")).alias("cost"), kind.alias("road_class"), F.lit(0).alias("seq"))
     two = e.select(F.col("b").alias("a"), F.col("a").alias("b"), F.col("length"), (F.col("cost") * 0.9 + k).alias("cost"), F.lit("white").alias("road_class"), F.lit(1).alias("seq"))
     dangling = e.where(k == 5).select(F.col("a"), (F.col("b") + 10_000_000).alias("b"), "length", "cost", "road_class", F.lit(2).alias("seq"))
-    return _round(graph.normalised_edges(one.unionByName(two).unionByName(dangling), adapters.nodes(spark, sf_dir)), "length", "cost")
+    return _round(graph.normalised_edges(one.unionByName(two).unionByName(dangling), adapters.nodes(spark, sf_dir), in_order=False), "length", "cost")
 
 
 def _graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -198,25 +198,41 @@ def graph_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("nodes", "edges", "components", F.concat_ws(",", F.transform("largest", lambda n: n.cast("string"))).alias("largest"))
 
 
-def graph_stitches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes, _, components = _graph(spark, sf_dir)
-    return graph.spanning_forest(graph.stitch_candidates(nodes, components))
+def _islands(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, graph.Repair]:
+    nodes = staged(adapters.islands(spark, sf_dir), "nodes")
+    edges = staged(raster.neighbour_edges(nodes, FACTORS), "edges")
+    return edges, graph.repaired(nodes, edges, adapters.header(spark, sf_dir))
 
 
-def _stitched(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    nodes, edges, components = _graph(spark, sf_dir)
-    stitches = graph.synthetic(graph.spanning_forest(graph.stitch_candidates(nodes, components)))
-    edges = staged(edges.unionByName(stitches), "edges")
-    return nodes, edges, staged(graph.node_components(nodes, edges), "components")
+def graph_stitches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _islands(spark, sf_dir)[1].stitches
 
 
 def graph_bridges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes, _, components = _stitched(spark, sf_dir)
-    return graph.spanning_forest(graph.bridge_candidates(nodes, components, radius=320.0))
+    return _round(_islands(spark, sf_dir)[1].bridges, "length")
+
+
+def graph_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges, repair = _islands(spark, sf_dir)
+    out = graph.repair_status(graph.resolved_edges(edges.withColumn("seq", F.col("a")), repair.nodes), repair)
+    return out.withColumn("largest", F.concat_ws(",", F.transform("largest", lambda n: n.cast("string"))))
+
+
+def parallel_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Up to three edges for each pair of neighbours, of other classes, whose stored costs are not those of their classes."""
+    e = _edges(spark, sf_dir)
+    k = (F.col("a") * 31 + F.col("b") * 17) % 7
+    row = lambda a, b, length, cost, kind, seq: F.struct(F.col(a).alias("a"), F.col(b).alias("b"), length.alias("length"), cost.alias("cost"), kind.alias("road_class"), F.lit(seq).alias("seq"))
+    given = F.col("length")
+    rows = [row("a", "b", given, F.col("cost") * (1 + k), F.col("road_class"), 0), row("b", "a", given + k, given * 2, F.lit("orange_dashed"), 1), row("a", "b", given * 0.5, given * (0.4 + k), F.when(k < 4, "white").otherwise("orange"), 2)]
+    made = e.select(F.explode(F.when(k == 6, F.array(rows[0])).when(k == 5, F.array(*rows[:2])).otherwise(F.array(*rows))).alias("r")).select("r.*")
+    return _round(graph.normalised_edges(made, adapters.nodes(spark, sf_dir)), "length", "cost")
 
 
 def _repaired(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    return graph.bridged(*_stitched(spark, sf_dir))
+    nodes, edges = staged(adapters.nodes(spark, sf_dir), "nodes"), staged(_edges(spark, sf_dir), "edges")
+    repair = graph.repaired(nodes, edges, adapters.header(spark, sf_dir))
+    return repair.nodes, repair.edges, repair.components
 
 
 def _snapped_nodes(spark: SparkSession, sf_dir: str, most: int, radius: float) -> DataFrame:
@@ -245,7 +261,7 @@ def _routes(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 
 
 def candidate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes, _, components = _graph(spark, sf_dir)
+    nodes, _, components = _repaired(spark, sf_dir)
     r = adapters.requests(spark, sf_dir)
     out = routing.candidate_pairs(*(routing.snapped(r, nodes, end) for end in ("start", "target")), components)
     return _round(out.withColumn("pair_rank", F.col("pair_rank").cast("long")), "s_snap", "g_snap", "score")
@@ -419,9 +435,6 @@ def markers_in_boxes_of_category(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("box_id", "file_order", F.col("rank").cast("long").alias("rank"))
 
 
-MASK_SIDE = 20_000
-
-
 def mask_blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return network.blobs(adapters.mask(spark, sf_dir)).select("x", "y", "size", "kept")
 
@@ -444,7 +457,8 @@ def mask_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _mask_classes(spark: SparkSession, sf_dir: str, points: DataFrame) -> DataFrame:
-    return network.pixel_classes(points, network.orange_hint(adapters.mask(spark, sf_dir), MASK_SIDE, MASK_SIDE), MASK_SIDE, MASK_SIDE)
+    size = adapters.mask_size(spark, sf_dir)
+    return network.pixel_classes(points, network.orange_hint(adapters.mask(spark, sf_dir), size), size)
 
 
 def _pieces(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -467,7 +481,7 @@ QUERIES = [
     trip_leaders, telemetry_hold, latest_snapshot, liveness, live_sessions, heartbeat, motion_heading, rpm_ratio, crash_candidates, jump_candidates,
     drive_events, packet_decode, packet_counts, scalar_labels, tile_pyramid, box_tiles, markers_in_boxes, marker_search, nearest_markers, nearest_markers_anywhere, marker_lookup,
     marker_labels, marker_categories, road_cells, road_grid, grid_edges, road_class_counts, normalised_edges, graph_components, graph_status,
-    graph_stitches, graph_bridges, snapped_nodes, snapped_nodes_for_routing, candidate_pairs, best_routes, route_road_profile, route_outcomes, route_lines, route_progress,
+    graph_stitches, graph_bridges, graph_repair, parallel_edges, snapped_nodes, snapped_nodes_for_routing, candidate_pairs, best_routes, route_road_profile, route_outcomes, route_lines, route_progress,
     off_route_episodes, route_points, arrivals, reroutes, suspicious_reroutes, stream_hold, stream_heartbeat,
     stream_sessions, stream_latest, stream_drive_events, stream_arrivals, stream_reroutes]
 
@@ -477,7 +491,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    sql = oracles.all_sql() | mask_oracles.sql() | more_oracles.sql()
+    sql = oracles.all_sql() | mask_oracles.sql() | more_oracles.sql() | repair_oracles.sql()
     # a stream's rows equal those of its batch twin
     return sql | {
         "stream_hold": sql["telemetry_hold"], "stream_heartbeat": sql["heartbeat"], "stream_latest": sql["latest_snapshot"], "stream_arrivals": sql["arrivals"],

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from trackgraph.functions.storage import staged
@@ -21,21 +21,20 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``(node, component)`` for every node that has an edge to another node; component is the smallest node of it.
 
-    Self-edges, repeated edges and edges with a null end are ignored. Each round is a grouping and an equi-join on the node,
-    and its result is written to the shared folder; rounds grow with the logarithm of the graph's size. An edge table without
-    rows gives no rows. Ids may be of any orderable type.
+    Self-edges, repeated edges and edges with a null end are ignored. Each round is one job of groupings and equi-joins on the node,
+    whose result is written to the shared folder and summed up while it is written; rounds grow with the logarithm of the graph's
+    size and end when one changes nothing. An edge table without rows gives no rows. Ids may be of any orderable type.
     """
     now = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).distinct()
     now, before = staged(now, "components"), None
-    for _ in range(max_rounds):
-        now = staged(_small_star(staged(_large_star(now), "components")), "components")
-        mark = now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
+    while True:
+        seen = Observation()
+        now = staged(_small_star(_large_star(now)).observe(seen, F.count("*").alias("rows"), F.bit_xor(F.xxhash64("u", "v")).alias("mark")), "components")
+        mark = seen.get
         if mark == before:
             break
         before = mark
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
+    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

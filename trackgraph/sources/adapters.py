@@ -50,6 +50,22 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
         k.alias("node_id"), (k % 50).alias("gx"), F.floor(k / 50).alias("gy"), (k % 50 * 10).cast("double").alias("map_x"), (F.floor(k / 50) * 10).cast("double").alias("map_y"), kind.alias("road_class"))
 
 
+def islands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grid nodes in blocks of 10 x 10: pairs of blocks 4 cells apart, pairs 16 cells apart, rows of ten blocks 21 cells apart."""
+    k, size = F.col("p_partkey"), F.col("p_size")
+    block = F.floor(k / 100)
+    gx = k % 10 + F.floor(block % 10 / 2) * 38 + block % 2 * 13
+    gy = F.floor(k % 100 / 10) + F.floor(block / 10) * 30
+    kind = F.when(size < 35, "white").when(size < 45, "orange").otherwise("orange_dashed")
+    return table(spark, sf_dir, "part").where("p_size > 12").select(
+        k.alias("node_id"), gx.alias("gx"), gy.alias("gy"), (gx * 10).cast("double").alias("map_x"), (gy * 10).cast("double").alias("map_y"), kind.alias("road_class"))
+
+
+def header(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The header of a graph detected in images, without radii of its own."""
+    return table(spark, sf_dir, "part").agg(F.concat(F.lit("road-CV-"), F.count("*").cast("string")).alias("version"))
+
+
 def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Coloured pixels of 256 x 256 tiles."""
     o, p, q = F.col("l_orderkey"), F.col("l_partkey"), F.col("l_quantity").cast("long")
@@ -71,3 +87,9 @@ def mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     grey = F.when(k % 53 == 0, 40).otherwise(255)
     rows = table(spark, sf_dir, "orders").select(x.alias("x"), y.alias("y"), F.struct(grey.alias("grey"), (120 + k % 120).alias("r"), (80 + k * 7 % 80).alias("g"), (k * 3 % 90).alias("b")).alias("c"))
     return rows.groupBy("x", "y").agg(F.max("c").alias("c")).select("x", "y", "c.*")
+
+
+def mask_size(spark: SparkSession, sf_dir: str) -> tuple[int, int]:
+    """Width and height of the image that :func:`mask` draws on: 1000 pixels for each map, side by side."""
+    last = table(spark, sf_dir, "orders").agg(F.max("o_orderkey")).first()[0]
+    return ((last or 0) // 1600 + 1) * 1000, 1000
