@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from trackgraph.functions import geo
 from trackgraph.functions.storage import shared_dir, staged
-from trackgraph.jobs import mask_oracles, more_oracles, oracles, repair_oracles
+from trackgraph.jobs import mask_oracles, more_oracles, oracles, raster_oracles, repair_oracles
 from trackgraph.operators import events, graph, network, poi, progress, raster, routing
 from trackgraph.operators import telemetry as tracks
 from trackgraph.sources import adapters, packets
@@ -161,6 +161,30 @@ def road_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(raster.grid_nodes(raster.cell_ratios(adapters.pixels(spark, sf_dir))), "road_ratio", "white_ratio", "orange_ratio")
 
 
+def _blobs(spark: SparkSession, sf_dir: str, tile: int | None) -> DataFrame:
+    """Blobs of the clean masks of white and orange pixels, with their shapes."""
+    m = raster.colour_masks(F.col("r"), F.col("g"), F.col("b"), F.col("alpha"))
+    placed, out = raster.on_the_map(adapters.strokes(spark, sf_dir)), []
+    for kind, shape in (("white", raster.WHITE_SHAPE), ("orange", raster.ORANGE_SHAPE)):
+        runs = staged(raster.smoothed_runs(placed.where(m[kind]), tile), "runs")
+        first = raster.road_blobs(runs, shape, tile).groupBy("blob", "area", "width", "height", "kept").agg(F.min("x0").alias("left"), F.min("y").alias("top"))
+        out.append(first.select(F.lit(kind).alias("kind"), "left", "top", "width", "height", "area", "kept"))
+    return out[0].unionByName(out[1])
+
+
+def tile_blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _blobs(spark, sf_dir, geo.TILE_SIZE)
+
+
+def map_blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blobs that may cross the borders of tiles."""
+    return _blobs(spark, sf_dir, None)
+
+
+def clean_road_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _round(raster.grid_nodes(raster.clean_cell_ratios(adapters.strokes(spark, sf_dir))), "road_ratio", "white_ratio", "orange_ratio")
+
+
 def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raster.neighbour_edges(adapters.nodes(spark, sf_dir), FACTORS)
 
@@ -480,7 +504,7 @@ QUERIES = [
     remaining_routes, grid_unique_nodes, detected_graphs, edit_strokes, client_search, markers_in_boxes_of_category, mask_blobs, mask_degrees, mask_chains, mask_classes, mask_edges, mask_nodes,
     trip_leaders, telemetry_hold, latest_snapshot, liveness, live_sessions, heartbeat, motion_heading, rpm_ratio, crash_candidates, jump_candidates,
     drive_events, packet_decode, packet_counts, scalar_labels, tile_pyramid, box_tiles, markers_in_boxes, marker_search, nearest_markers, nearest_markers_anywhere, marker_lookup,
-    marker_labels, marker_categories, road_cells, road_grid, grid_edges, road_class_counts, normalised_edges, graph_components, graph_status,
+    marker_labels, marker_categories, road_cells, road_grid, tile_blobs, map_blobs, clean_road_grid, grid_edges, road_class_counts, normalised_edges, graph_components, graph_status,
     graph_stitches, graph_bridges, graph_repair, parallel_edges, snapped_nodes, snapped_nodes_for_routing, candidate_pairs, best_routes, route_road_profile, route_outcomes, route_lines, route_progress,
     off_route_episodes, route_points, arrivals, reroutes, suspicious_reroutes, stream_hold, stream_heartbeat,
     stream_sessions, stream_latest, stream_drive_events, stream_arrivals, stream_reroutes]
@@ -491,7 +515,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    sql = oracles.all_sql() | mask_oracles.sql() | more_oracles.sql() | repair_oracles.sql()
+    sql = oracles.all_sql() | mask_oracles.sql() | more_oracles.sql() | repair_oracles.sql() | raster_oracles.sql()
     # a stream's rows equal those of its batch twin
     return sql | {
         "stream_hold": sql["telemetry_hold"], "stream_heartbeat": sql["heartbeat"], "stream_latest": sql["latest_snapshot"], "stream_arrivals": sql["arrivals"],

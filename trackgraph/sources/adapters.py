@@ -77,6 +77,21 @@ def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
         channel(200 + q % 50, 190 + q, 10 + q).cast("int").alias("r"), channel(200 + q % 40, 90 + q, 60 + q).cast("int").alias("g"), channel(195 + q % 50, 40 + q, 90 + q).cast("int").alias("b"), (q * 5).cast("int").alias("alpha"))
 
 
+def strokes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pixels of tiles with thick dashed lines in road colours and grey, with gaps, pinholes and steps."""
+    k = F.col("o_orderkey")
+    line, along = F.floor(k / 80), k % 80
+    period = F.when(line % 5 == 4, 5).otherwise(17)
+    length = F.when(k % period == 0, 0).when(k % 29 == 0, 3).otherwise(4)
+    thick = F.when(line % 6 == 5, 8).otherwise(3)
+    spots = table(spark, sf_dir, "orders").select(k.alias("k"), line.alias("line"), (along * 4 + line % 3 * 100).alias("x"), (line * 9 + F.floor(along / 20) % 2).alias("y"), thick.alias("thick"), F.explode(F.sequence(F.lit(0), length - 1)).alias("dx"), length.alias("length")).where("length > 0")
+    spots = spots.withColumn("dy", F.explode(F.sequence(F.lit(0), F.col("thick") - 1)))
+    x, y = F.col("x") + F.col("dx"), F.col("y") + F.col("dy")
+    colour = lambda *values: F.element_at(F.array(*[F.lit(v) for v in values]), (F.col("line") % 4 + 1).cast("int"))
+    rows = spots.select(F.floor(x / 256).alias("tile_x"), F.floor(y / 256).alias("tile_y"), (x % 256).alias("x"), (y % 256).alias("y"), colour(220, 220, 200, 90).alias("r"), colour(220, 120, 60, 90).alias("g"), colour(215, 60, 160, 90).alias("b"), F.when(F.col("k") % 41 == 0, 10).otherwise(255).alias("alpha"))
+    return rows.groupBy("tile_x", "tile_y", "x", "y").agg(F.max(F.struct("r", "g", "b", "alpha")).alias("c")).select("tile_x", "tile_y", "x", "y", "c.*")
+
+
 def mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Grey pixels along crossing lines with gaps, and their colours: ``x, y, grey, r, g, b``; every 8 lines form a map of their own."""
     k = F.col("o_orderkey")
