@@ -1,7 +1,11 @@
-"""Marker, graph and calibration files, and the tables that jobs write."""
+"""Marker, graph, calibration and tile image files, and the tables that jobs write."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,6 +50,40 @@ def read_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, Da
     return nodes.where("map_x is not null and map_y is not null"), edges, whole.select("g.*").drop("nodes", "edges")
 
 
+PIXELS = "tile_x long, tile_y long, x long, y long, r int, g int, b int, alpha int"
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pixel rows of tile images; their bytes come in the order blue, green, red, alpha, or as one grey byte."""
+    for batch in batches:
+        for tile in batch.to_pylist():
+            height, width, channels = tile["height"], tile["width"], tile["nChannels"]
+            raw = np.frombuffer(tile["data"], np.uint8).reshape(height * width, channels).astype(np.int32)
+            bgr = raw[:, [0, 1, 2]] if channels >= 3 else np.repeat(raw[:, :1], 3, axis=1)
+            alpha = raw[:, 3] if channels == 4 else np.full(len(raw), 255, np.int32)
+            y, x = np.divmod(np.arange(len(raw)), width)
+            columns = [np.full(len(raw), tile["tile_x"]), np.full(len(raw), tile["tile_y"]), x, y, bgr[:, 2], bgr[:, 1], bgr[:, 0], alpha]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["tile_x", "tile_y", "x", "y", "r", "g", "b", "alpha"])
+
+
+def read_tiles(spark: SparkSession, root: str, map_id: int, layer: int, zoom: int) -> DataFrame:
+    """``tile_x, tile_y, x, y, r, g, b, alpha``: the pixels of tile images ``{root}/{map_id}/{layer}/{zoom}/{x}-{y}.png``.
+
+    Files of other names and files that are no images are skipped; a missing folder gives no rows. Each image is unpacked by the task
+    that reads it, one at a time. An image without alpha is opaque; a grey one has three equal colours.
+    """
+    try:
+        files = spark.read.format("image").option("dropInvalid", True).option("pathGlobFilter", "*.png").load(f"{root}/{map_id}/{layer}/{zoom}")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], PIXELS)
+    name = lambda k: F.regexp_extract("image.origin", r"/([+-]?\d+)-([+-]?\d+)\.png$", k)
+    tiles = files.select(name(1).alias("a"), name(2).alias("b"), "image.height", "image.width", "image.nChannels", "image.data").where("a <> ''")
+    tiles = tiles.select(F.col("a").cast("long").alias("tile_x"), F.col("b").cast("long").alias("tile_y"), "height", "width", "nChannels", "data")
+    return tiles.mapInArrow(_unpacked, PIXELS)
+
+
 def write_graph(nodes: DataFrame, edges: DataFrame, header: dict[str, str], path: str) -> None:
     """``nodes`` and ``edges`` as Parquet and ``header`` as one line of JSON with the counts of each road class."""
     nodes.write.mode("overwrite").parquet(f"{path}/nodes")
