@@ -10,10 +10,30 @@ def _distance(ax: str, ay: str, bx: str, by: str) -> str:
     return f"sqrt(({ax} - {bx}) * ({ax} - {bx}) + ({ay} - {by}) * ({ay} - {by}))"
 
 
+#: Rows of the tracks with the vertex that comes next, the places from which the way goes on, and pixels to it.
+AHEAD = PROGRESS + f""", v0 AS (SELECT *, lead(x) OVER w AS nx, lead(y) OVER w AS ny FROM l WINDOW w AS (PARTITION BY route_id ORDER BY pos)),
+v1 AS (SELECT *, coalesce({_distance("x", "y", "nx", "ny")}, 0.0) AS step FROM v0),
+v AS MATERIALIZED (SELECT route_id AS rid, pos AS k, x AS vx, y AS vy, nx, ny, step, sum(step) OVER (PARTITION BY route_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS tail, count(*) OVER (PARTITION BY route_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) - 1 AS follow,
+ coalesce(sum(step) OVER (PARTITION BY route_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) AS vbefore FROM v1),
+j AS (SELECT *, off < 160 AS near, off < 160 AND {_distance("map_x", "map_y", "px", "py")} >= 3 AS shown, off >= 160 AND coalesce({_distance("map_x", "map_y", "vx", "vy")} < 3, false) AS skip FROM pr LEFT JOIN v ON v.rid = pr.route_id AND v.k = CASE WHEN off < 160 THEN pos + CASE WHEN t > 0.72 THEN 2 ELSE 1 END ELSE 1 END)"""
+
+
 def sql() -> dict[str, str]:
     factor = "CASE kind " + " ".join(f"WHEN '{k}' THEN {float(v)}::DOUBLE" for k, v in MULTIPLIERS.items()) + f" ELSE {float(MULTIPLIERS['unknown'])}::DOUBLE END"
     car = lambda x, y: _distance("map_x", "map_y", x, y)
+    legs = f"""{AHEAD}, a AS (SELECT *, greatest(170.0::DOUBLE, speed_kmh / 3.6 * 4) * 0.655 AS look, CASE WHEN skip THEN nx ELSE vx END AS wx, CASE WHEN skip THEN ny ELSE vy END AS wy, CASE WHEN skip THEN vbefore + step ELSE vbefore END AS begins, CASE WHEN shown THEN px ELSE map_x END AS fx, CASE WHEN shown THEN py ELSE map_y END AS fy FROM j),
+b AS (SELECT *, {_distance("map_x", "map_y", "fx", "fy")} AS leg, {_distance("fx", "fy", "wx", "wy")} AS rest FROM a),
+c AS (SELECT b.*, q.vx AS sx, q.vy AS sy, q.nx AS ex, q.ny AS ey, (look - leg - rest + begins - q.vbefore) / q.step AS part FROM b LEFT JOIN v q ON q.rid = b.route_id AND q.step > 0 AND q.vbefore <= look - leg - rest + begins AND b.wx IS NOT NULL QUALIFY row_number() OVER (PARTITION BY player_id, seq ORDER BY q.vbefore DESC) = 1)"""
+    at = lambda car, f, w, s, e: f"round(CASE WHEN shown AND look <= leg THEN {car} + ({f} - {car}) * look / leg WHEN wx IS NULL THEN CASE WHEN shown THEN {f} END WHEN look - leg <= rest AND rest > 0 THEN {f} + ({w} - {f}) * (look - leg) / rest ELSE {s} + ({e} - {s}) * least(part, 1.0) END, 6)"
     return {
+        "look_ahead_points": f"WITH {legs} SELECT player_id, seq, round(look, 6) AS look_px, {at('map_x', 'fx', 'wx', 'sx', 'ex')} AS look_x, {at('map_y', 'fy', 'wy', 'sy', 'ey')} AS look_y FROM c",
+        "arrivals_at_targets": f"""WITH {AHEAD}, rest AS (SELECT player_id, ts_ms, speed_kmh, {_distance("map_x", "map_y", "(route_id % 60 + 10400)", "(9840 - route_id % 40)")} AS direct,
+ CASE WHEN shown THEN {car("px", "py")} + coalesce({_distance("px", "py", "vx", "vy")} + tail, 0.0) WHEN skip AND follow > 0 THEN {car("nx", "ny")} + tail - step WHEN NOT skip AND vx IS NOT NULL THEN {car("vx", "vy")} + tail END AS along FROM j),
+a AS (SELECT *, least(direct, along) AS d, CASE WHEN speed_kmh <= 8 THEN 62.0::DOUBLE ELSE 30.0::DOUBLE END * 0.655 AS lim FROM rest), b AS (SELECT *, sum(CASE WHEN d > 1.35 * lim THEN 1 ELSE 0 END) OVER (PARTITION BY player_id ORDER BY ts_ms ROWS UNBOUNDED PRECEDING) AS run FROM a),
+c AS (SELECT *, min(CASE WHEN d <= lim THEN ts_ms END) OVER (PARTITION BY player_id, run ORDER BY ts_ms ROWS UNBOUNDED PRECEDING) AS timer FROM b) SELECT player_id, min(ts_ms) AS arrived_ms FROM c WHERE d <= lim AND ts_ms - timer >= 1100 GROUP BY player_id""",
+        "client_status": f"""WITH {HELD}, p AS (SELECT DISTINCT player_id FROM h), l AS (SELECT player_id, ts_ms, paused FROM h WHERE ts_ms <= 5000 QUALIFY row_number() OVER (PARTITION BY player_id ORDER BY ts_ms DESC, seq DESC) = 1)
+SELECT p.player_id, CASE WHEN p.player_id % 10 = 0 THEN 'ERROR' WHEN paused THEN 'HOLDING' WHEN 5000 - ts_ms < 1500 THEN 'LIVE' WHEN ts_ms IS NOT NULL THEN 'HOLDING' ELSE 'WAITING' END AS status FROM p LEFT JOIN l ON l.player_id = p.player_id UNION ALL SELECT player_id + 1000000000, 'WAITING' FROM p""",
+        "direct_routes": f"WITH {REQUESTS}, d AS (SELECT *, {_distance('start_x', 'start_y', 'target_x', 'target_y')} AS px FROM r) SELECT request_id, 'direct' AS outcome, round(px, 2) AS distance_px, CAST(round_even(px / 0.655, 0) AS BIGINT) AS metres, 2 AS points FROM d",
         "remaining_routes": f"""WITH {PROGRESS}, v0 AS (SELECT *, lead(x) OVER w AS nx, lead(y) OVER w AS ny FROM l WINDOW w AS (PARTITION BY route_id ORDER BY pos)),
 v1 AS (SELECT *, coalesce({_distance("x", "y", "nx", "ny")}, 0.0) AS step FROM v0),
 v AS (SELECT route_id AS rid, pos AS k, x AS vx, y AS vy, nx, ny, step, sum(step) OVER w AS tail, count(*) OVER w - 1 AS follow FROM v1 WINDOW w AS (PARTITION BY route_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),

@@ -311,6 +311,13 @@ def route_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return routing.simplified(routing.polylines(x["routes"], x["paths"], x["nodes"], x["requests"]))
 
 
+def route_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = _routes(spark, sf_dir)
+    texts = routing.profile_texts(x["routes"], routing.road_profile(x["routes"], x["paths"], x["costs"]))
+    lines = routing.simplified(routing.polylines(x["routes"], x["paths"], x["nodes"], x["requests"]))
+    return routing.route_metrics(x["routes"], x["paths"], lines).join(texts, "request_id")
+
+
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Routes for the progress queries: four corners from each request's place."""
     r = adapters.requests(spark, sf_dir)
@@ -340,6 +347,33 @@ def route_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(progress.point_at(wanted, s), "x", "y")
 
 
+def look_ahead_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = progress.look_ahead(_progress(spark, sf_dir), progress.vertices(_lines(spark, sf_dir)))
+    return _round(out.select("player_id", "seq", "look_px", "look_x", "look_y"), "look_px", "look_x", "look_y")
+
+
+def arrivals_at_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Arrivals by the least of the straight way and the rest of the route, at targets near the tracks."""
+    k = F.col("request_id")
+    targets = adapters.requests(spark, sf_dir).select(k.alias("route_id"), (k % 60 + 10400).cast("double").alias("target_x"), (9840 - k % 40).cast("double").alias("target_y"))
+    return progress.arrivals(progress.to_target(_progress(spark, sf_dir), progress.vertices(_lines(spark, sf_dir)), targets))
+
+
+def client_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every tenth player has an error; one player for each user that no packet came from is waiting."""
+    rows = tracks.held(adapters.telemetry(spark, sf_dir))
+    known = rows.select("player_id").distinct().select("player_id", (F.col("player_id") % 10 == 0).alias("failed"))
+    silent = known.select((F.col("player_id") + 1_000_000_000).alias("player_id"), F.lit(None).cast("boolean").alias("failed"))
+    return tracks.client_status(known.unionByName(silent), rows, AS_OF_MS // 20)
+
+
+def direct_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = adapters.requests(spark, sf_dir)
+    none = r.limit(0).select("request_id")
+    out = routing.direct_routes(r).join(routing.outcomes(r, none, none, none, none, has_graph=False), "request_id")
+    return out.select("request_id", "outcome", "distance_px", "metres", F.size("points").alias("points"))
+
+
 def _to_target(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _progress(spark, sf_dir).select("player_id", "ts_ms", "speed_kmh", (F.col("off") / 10).alias("px"))
 
@@ -505,7 +539,7 @@ QUERIES = [
     trip_leaders, telemetry_hold, latest_snapshot, liveness, live_sessions, heartbeat, motion_heading, rpm_ratio, crash_candidates, jump_candidates,
     drive_events, packet_decode, packet_counts, scalar_labels, tile_pyramid, box_tiles, markers_in_boxes, marker_search, nearest_markers, nearest_markers_anywhere, marker_lookup,
     marker_labels, marker_categories, road_cells, road_grid, tile_blobs, map_blobs, clean_road_grid, grid_edges, road_class_counts, normalised_edges, graph_components, graph_status,
-    graph_stitches, graph_bridges, graph_repair, parallel_edges, snapped_nodes, snapped_nodes_for_routing, candidate_pairs, best_routes, route_road_profile, route_outcomes, route_lines, route_progress,
+    graph_stitches, graph_bridges, graph_repair, parallel_edges, snapped_nodes, snapped_nodes_for_routing, candidate_pairs, best_routes, route_road_profile, route_outcomes, route_lines, route_texts, direct_routes, look_ahead_points, arrivals_at_targets, client_status, route_progress,
     off_route_episodes, route_points, arrivals, reroutes, suspicious_reroutes, stream_hold, stream_heartbeat,
     stream_sessions, stream_latest, stream_drive_events, stream_arrivals, stream_reroutes]
 

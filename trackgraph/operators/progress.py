@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from trackgraph.functions import geo
@@ -48,11 +48,12 @@ def nearest_segment(track: DataFrame, segments_: DataFrame) -> DataFrame:
 
 
 def vertices(lines: DataFrame) -> DataFrame:
-    """``route_id, pos, x, y`` with the next vertex (``nx, ny, step``), the length before a vertex and after it, and those that follow."""
+    """``route_id, pos, x, y`` with the next vertex (``nx, ny, step``), the length before a vertex and after it (``tail``), and those that follow."""
     v = lines.withColumns({"nx": F.lead("x").over(_line()), "ny": F.lead("y").over(_line())})
     v = v.withColumn("step", F.coalesce(geo.distance(F.col("x"), F.col("y"), F.col("nx"), F.col("ny")), F.lit(0.0)))
     rest = _line().rowsBetween(0, Window.unboundedFollowing)
-    return v.withColumns({"tail": F.sum("step").over(rest), "follow": F.count("*").over(rest) - 1})
+    so_far = F.coalesce(F.sum("step").over(_line().rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    return v.withColumns({"tail": F.sum("step").over(rest), "follow": F.count("*").over(rest) - 1, "before": so_far})
 
 
 def remaining_route(rows: DataFrame, vertices_: DataFrame, near: float = 160.0, close: float = 3.0, past: float = 0.72) -> DataFrame:
@@ -76,6 +77,68 @@ def remaining_route(rows: DataFrame, vertices_: DataFrame, near: float = 160.0,
     return j.select(*rows.columns, points.cast("long").alias("points"), length.alias("length"))
 
 
+#: Length of the pieces of a route by which places along it meet its segments.
+PIECE = 256.0
+LOOK_M, LOOK_S = 170.0, 4.0
+
+
+def along_route(wanted: DataFrame, vertices_: DataFrame) -> DataFrame:
+    """``wanted`` (with route_id, ``at``: pixels from the route's start) with the place ``x, y``, null for a route without length.
+
+    Segments without length are passed over; past the end it is the last vertex. An equi-join on the route and a piece of 256 pixels
+    of its length, so that no task holds a whole route with all the places asked for on it.
+    """
+    s = vertices_.withColumn("until", F.lead("before").over(_line())).where("step > 0")
+    own = {"x": "ax", "y": "ay", "nx": "bx", "ny": "by", "step": "step", "before": "from", "until": "until"}
+    s = s.select(F.col("route_id").alias("__route"), *[F.col(c).alias("__" + n) for c, n in own.items()], (F.col("tail") - F.col("step") == 0).alias("__end"))
+    s = s.withColumn("__part", F.explode(F.sequence(F.floor(F.col("__from") / PIECE), F.floor(F.col("__until") / PIECE))))
+    totals = vertices_.groupBy("route_id").agg(F.max(F.col("before") + F.col("step")).alias("__total"))
+    w = wanted.join(totals, "route_id").withColumn("__at", F.greatest(F.lit(0.0), F.least("at", "__total"))).withColumn("__piece", F.floor(F.col("__at") / PIECE))
+    inside = (F.col("__from") <= F.col("__at")) & ((F.col("__at") < F.col("__until")) | (F.col("__end") & (F.col("__at") == F.col("__until"))))
+    met = w.join(s, (F.col("route_id") == F.col("__route")) & (F.col("__piece") == F.col("__part")) & inside, "left")
+    place = lambda a, b: F.col(a) + (F.col(b) - F.col(a)) * (F.col("__at") - F.col("__from")) / F.col("__step")
+    return met.select(*wanted.columns, place("__ax", "__bx").alias("x"), place("__ay", "__by").alias("y"))
+
+
+def look_ahead(rows: DataFrame, vertices_: DataFrame, near: float = 160.0, close: float = 3.0, past: float = 0.72) -> DataFrame:
+    """``look_px, look_x, look_y``: the place ahead on the way from the car along what is left of its route (:func:`remaining_route`).
+
+    It is as far as the car comes in 4 s at its ``speed_kmh``, 170 m at least; past the end it is the last point; null if nothing is left.
+    """
+    on = F.col("off") < near
+    k = F.when(on, F.col("pos") + F.when(F.col("t") > past, 2).otherwise(1)).otherwise(1)
+    v = vertices_.select("route_id", F.col("pos").alias("k"), F.col("x").alias("vx"), F.col("y").alias("vy"), "nx", "ny", "step", "before", "follow")
+    j = rows.withColumn("k", k).join(v, ["route_id", "k"], "left")
+    to = lambda x, y: geo.distance(F.col("map_x"), F.col("map_y"), F.col(x), F.col(y))
+    projected = on & (to("px", "py") >= close)
+    skip = ~on & (to("vx", "vy") < close)
+    onwards = lambda x, y: F.when(skip, F.col(y)).otherwise(F.col(x))
+    j = j.withColumns({"look_px": geo.pixels(F.greatest(F.lit(LOOK_M), F.coalesce("speed_kmh", F.lit(0.0)) / 3.6 * LOOK_S)), "wx": onwards("vx", "nx"), "wy": onwards("vy", "ny"), "begin": F.col("before") + F.when(skip, F.col("step")).otherwise(0.0)})
+    leg = F.when(projected, to("px", "py")).otherwise(0.0)
+    j = j.withColumn("leg", leg).withColumn("rest", F.when(projected, geo.distance(F.col("px"), F.col("py"), F.col("wx"), F.col("wy"))).otherwise(to("wx", "wy")))
+    j = j.withColumn("at", F.col("begin") + F.col("look_px") - F.col("leg") - F.col("rest"))
+    found = along_route(j, vertices_)
+    fx, fy = F.when(projected, F.col("px")).otherwise(F.col("map_x")), F.when(projected, F.col("py")).otherwise(F.col("map_y"))
+
+    def place(car: str, first: Column, second: str, on_route: str) -> Column:
+        one = F.col(car) + (first - F.col(car)) * F.col("look_px") / F.col("leg")
+        two = first + (F.col(second) - first) * (F.col("look_px") - F.col("leg")) / F.col("rest")
+        last = F.coalesce(F.col(on_route), F.col(second))
+        return F.when(projected & (F.col("look_px") <= F.col("leg")), one).when(F.col("wx").isNull(), F.when(projected, first)).when((F.col("at") <= F.col("begin")) & (F.col("rest") > 0), two).otherwise(last)
+
+    return found.select(*rows.columns, "look_px", place("map_x", fx, "wx", "x").alias("look_x"), place("map_y", fy, "wy", "y").alias("look_y"))
+
+
+def to_target(rows: DataFrame, vertices_: DataFrame, targets: DataFrame) -> DataFrame:
+    """``rows`` with ``px``, the pixels to the target: the least of the straight way and what is left of the route, if anything is.
+
+    ``targets`` has route_id, target_x, target_y.
+    """
+    left = remaining_route(rows, vertices_).join(targets, "route_id")
+    direct = geo.distance(F.col("map_x"), F.col("map_y"), F.col("target_x"), F.col("target_y"))
+    return left.select(*[c for c in rows.columns if c != "px"], F.least(direct, F.when(F.col("points") >= 1, F.col("length"))).alias("px"))
+
+
 def point_at(wanted: DataFrame, segments_: DataFrame) -> DataFrame:
     """The point ``want`` pixels along a route, for rows ``route_id, want``; past the end the last point."""
     j = wanted.join(segments_.where("length > 0"), "route_id").where((F.col("before") <= F.col("want")) | (F.col("before") == 0))

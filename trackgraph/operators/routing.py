@@ -112,8 +112,32 @@ def road_profile(routes: DataFrame, paths: DataFrame, costs: DataFrame) -> DataF
     return e.groupBy("request_id", "road_class").agg(F.count("*").alias("edges"), F.round(F.sum("length"), 2).alias("length"))
 
 
-def outcomes(requests: DataFrame, start: DataFrame, goal: DataFrame, pairs: DataFrame, routes: DataFrame) -> DataFrame:
-    """Why a request has a route or not."""
+def profile_texts(routes: DataFrame, profile: DataFrame) -> DataFrame:
+    """``request_id, text``: the classes of :func:`road_profile` as ``class:edges`` in the order of classes, ``unknown`` for a route without edges."""
+    each = F.struct(geo.road_rank(F.col("road_class")).alias("rank"), F.concat("road_class", F.lit(":"), F.col("edges").cast("string")).alias("part"))
+    named = profile.groupBy("request_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(each)), lambda p: p["part"]), ", ").alias("text"))
+    return routes.select("request_id").join(named, "request_id", "left").select("request_id", F.coalesce("text", F.lit("unknown")).alias("text"))
+
+
+def direct_routes(requests: DataFrame) -> DataFrame:
+    """``request_id, distance_px, metres`` and the two points of the straight way, as far as places are known."""
+    px = geo.distance(F.col("start_x"), F.col("start_y"), F.col("target_x"), F.col("target_y"))
+    point = lambda end: F.struct(F.round(f"{end}_x", 3).alias("x"), F.round(f"{end}_y", 3).alias("y"))
+    known = requests.where("start_x is not null and start_y is not null")
+    return known.select("request_id", F.round(px, 2).alias("distance_px"), F.bround(geo.metres(px), 0).cast("long").alias("metres"), F.array(point("start"), point("target")).alias("points"))
+
+
+def route_metrics(routes: DataFrame, paths: DataFrame, lines: DataFrame) -> DataFrame:
+    """``request_id, distance_px, metres, detour_ratio, path_nodes, line_points``; ``lines`` are simplified."""
+    p = routes.select("request_id", "s", "g", "profile").join(paths, ["s", "g", "profile"]).groupBy("request_id").agg(F.count("*").alias("path_nodes"))
+    out = routes.join(p, "request_id").join(lines.groupBy("request_id").agg(F.count("*").alias("line_points")), "request_id")
+    return out.select("request_id", F.round("physical", 2).alias("distance_px"), F.bround(geo.metres(F.col("physical")), 0).cast("long").alias("metres"), "detour_ratio", "path_nodes", "line_points")
+
+
+def outcomes(requests: DataFrame, start: DataFrame, goal: DataFrame, pairs: DataFrame, routes: DataFrame, has_graph: bool = True) -> DataFrame:
+    """Why a request has a route or not; without a graph (or one without nodes) the straight way is all there is."""
+    if not has_graph:
+        return requests.select("request_id", F.when(F.col("start_x").isNull(), "waiting_for_telemetry").otherwise("direct").alias("outcome"))
     has = lambda t, name: t.select("request_id").distinct().withColumn(name, F.lit(True))
     r = requests.select("request_id", "start_x")
     for t, name in ((start, "a"), (goal, "b"), (pairs, "c"), (routes, "d")):

@@ -66,6 +66,17 @@ def liveness(players: DataFrame, track: DataFrame, as_of_ms) -> DataFrame:
     return players.join(last, "player_id", "left").select("player_id", age.alias("age_ms"), status.alias("status"))
 
 
+def client_status(players: DataFrame, track: DataFrame, as_of_ms) -> DataFrame:
+    """``player_id, status`` as a client shows it: ERROR first, then HOLDING while paused, LIVE, HOLDING with a position, else WAITING.
+
+    ``players`` has ``failed`` (null: not), ``track`` has ``paused``; a paused player is held from its first row on.
+    """
+    last = track.where(F.col("ts_ms") <= as_of_ms).groupBy("player_id").agg(F.max_by(F.struct("ts_ms", "paused", "map_x"), F.struct("ts_ms", "seq")).alias("r"))
+    status = (F.when(F.coalesce("failed", F.lit(False)), "ERROR").when(F.col("r.paused"), "HOLDING").when(F.lit(as_of_ms) - F.col("r.ts_ms") < LIVE_MS, "LIVE")
+              .when(F.col("r.map_x").isNotNull(), "HOLDING").otherwise("WAITING"))
+    return players.join(last, "player_id", "left").select("player_id", status.alias("status"))
+
+
 def live_sessions(track: DataFrame) -> DataFrame:
     """Runs of packets with gaps under 1.5 s."""
     starts = F.coalesce(F.col("ts_ms") - F.lag("ts_ms").over(by_track()) >= LIVE_MS, F.lit(True))
