@@ -34,9 +34,20 @@ seg AS (SELECT c.*, unnest(CASE WHEN pos > 0 AND pos % 6 = 0 AND pos < last THEN
 sg1 AS (SELECT start, first, segment, min_by(x, pos) AS ax, min_by(y, pos) AS ay, max_by(x, pos) AS bx, max_by(y, pos) AS b_y, max(along) - min(along) AS length, avg(CAST(road_class = 'orange' AS DOUBLE)) AS share FROM seg JOIN cls USING (x, y) GROUP BY start, first, segment),
 piece AS MATERIALIZED (SELECT *, CASE WHEN share >= 0.2 THEN 'orange' ELSE 'white' END AS road_class FROM sg1)"""
 
+#: Diamonds; the first pixel of a closed one counts as a key where its chain begins and would end.
+RINGS = """rg AS (SELECT o_orderkey // 40 AS ring, o_orderkey % 40 // 10 AS side, o_orderkey % 10 AS j FROM orders WHERE o_orderkey % 97 <> 0),
+sk AS MATERIALIZED (SELECT *, (y << 32) + x AS id FROM (SELECT ring % 50 * 24 + 12 + CASE side WHEN 0 THEN j WHEN 1 THEN 10 - j WHEN 2 THEN -j ELSE j - 10 END AS x, ring // 50 * 24 + 12 + CASE side WHEN 0 THEN 10 - j WHEN 1 THEN -j WHEN 2 THEN j - 10 ELSE j END AS y FROM rg)),
+st(k, dx, dy) AS (VALUES (0, -1, -1), (1, 0, -1), (2, 1, -1), (3, -1, 0), (4, 1, 0), (5, -1, 1), (6, 0, 1), (7, 1, 1)),
+stp AS MATERIALIZED (SELECT a.id AS u, b.id AS v, k FROM sk a CROSS JOIN st JOIN sk b ON b.x = a.x + dx AND b.y = a.y + dy),
+deg0 AS MATERIALIZED (SELECT sk.*, count(u) <> 2 AS is_key FROM sk LEFT JOIN stp ON u = id GROUP BY x, y, id),
+lc(node, component) USING KEY (node) AS (SELECT id, id FROM sk UNION SELECT q.node, q.component FROM (SELECT l.v AS node, min(lc.component) AS component FROM lc JOIN stp l ON l.u = lc.node GROUP BY l.v) q JOIN recurring.lc o ON o.node = q.node WHERE q.component < o.component),
+closed AS MATERIALIZED (SELECT component FROM lc JOIN deg0 ON id = node GROUP BY component HAVING NOT bool_or(is_key)),
+deg AS MATERIALIZED (SELECT x, y, id, is_key OR id IN (SELECT component FROM closed) AS is_key FROM deg0)"""
+
 
 def sql() -> dict[str, str]:
     return {
+        "ring_chains": f"""WITH RECURSIVE {CHAINS.replace(MASK, RINGS)} SELECT start IN (SELECT component FROM closed) AS loop, start, first, pos, x, y, round(along, 4) AS along FROM chain WHERE pos < last OR start NOT IN (SELECT component FROM closed)""",
         "mask_blobs": f"WITH RECURSIVE {MASK} SELECT x, y, size, size >= 80 AS kept FROM blob",
         "mask_degrees": f"WITH RECURSIVE {MASK} SELECT x, y, degree, is_key FROM deg",
         "mask_chains": f"WITH RECURSIVE {CHAINS} SELECT start, first, pos, x, y, round(along, 4) AS along FROM chain",

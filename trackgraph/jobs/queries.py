@@ -510,6 +510,12 @@ def mask_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(out.select("start", "first", "pos", "x", "y", "along"), "along", digits=4)
 
 
+def ring_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chains and loops of pixels of open and closed diamonds."""
+    out = network.chains(staged(adapters.rings(spark, sf_dir), "rings"))
+    return _round(out.select("loop", "start", "first", "pos", "x", "y", "along"), "along", digits=4)
+
+
 def mask_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mask_classes(spark, sf_dir, _skeleton(spark, sf_dir))
 
@@ -535,7 +541,7 @@ def mask_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = [
-    remaining_routes, grid_unique_nodes, detected_graphs, edit_strokes, client_search, markers_in_boxes_of_category, mask_blobs, mask_degrees, mask_chains, mask_classes, mask_edges, mask_nodes,
+    remaining_routes, grid_unique_nodes, detected_graphs, edit_strokes, client_search, markers_in_boxes_of_category, mask_blobs, mask_degrees, mask_chains, ring_chains, mask_classes, mask_edges, mask_nodes,
     trip_leaders, telemetry_hold, latest_snapshot, liveness, live_sessions, heartbeat, motion_heading, rpm_ratio, crash_candidates, jump_candidates,
     drive_events, packet_decode, packet_counts, scalar_labels, tile_pyramid, box_tiles, markers_in_boxes, marker_search, nearest_markers, nearest_markers_anywhere, marker_lookup,
     marker_labels, marker_categories, road_cells, road_grid, tile_blobs, map_blobs, clean_road_grid, grid_edges, road_class_counts, normalised_edges, graph_components, graph_status,

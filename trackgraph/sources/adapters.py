@@ -108,3 +108,12 @@ def mask_size(spark: SparkSession, sf_dir: str) -> tuple[int, int]:
     """Width and height of the image that :func:`mask` draws on: 1000 pixels for each map, side by side."""
     last = table(spark, sf_dir, "orders").agg(F.max("o_orderkey")).first()[0]
     return ((last or 0) // 1600 + 1) * 1000, 1000
+
+
+def rings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pixels of diamonds of 40 pixels, some of which are open: ``x, y``."""
+    k = F.col("o_orderkey")
+    ring, side, j = F.floor(k / 40), F.floor(k % 40 / 10), k % 10
+    x = F.when(side == 0, j).when(side == 1, 10 - j).when(side == 2, -j).otherwise(j - 10)
+    y = F.when(side == 0, 10 - j).when(side == 1, -j).when(side == 2, j - 10).otherwise(j)
+    return table(spark, sf_dir, "orders").where("o_orderkey % 97 <> 0").select((ring % 50 * 24 + 12 + x).alias("x"), (F.floor(ring / 50) * 24 + 12 + y).alias("y"))
