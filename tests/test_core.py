@@ -86,6 +86,54 @@ def test_forest_equals_a_sequential_pass(spark):
     assert want and {(r.a, r.b) for r in graph.spanning_forest(candidates).collect()} == want
 
 
+@pytest.mark.parametrize("placed", [True, False])
+def test_paths_through_long_chains(spark, monkeypatch, placed):
+    """Crossings joined by chains of 200 nodes; the number of jobs' rounds must not grow with them."""
+    import heapq
+    import random
+
+    rnd, edges, far = random.Random(2), [], 1000
+    for a, b in [(1, 2), (2, 3), (3, 4), (4, 1), (1, 3), (2, 5), (5, 6), (5, 6)]:
+        nodes = [a, *range(far, far + 200), b]
+        far += 200
+        edges += [(x, y, float(rnd.randint(1, 9)), rnd.choice(["white", "orange", "synthetic_bridge"])) for x, y in zip(nodes, nodes[1:])]
+    edges += [(9001, 9002, 1.0, "white"), (9002, 9003, 1.0, "white"), (9003, 9001, 1.0, "white")]  # a ring of its own
+    costs = routing.profile_costs(spark.createDataFrame(edges, "a long, b long, length double, road_class string")).cache()
+    wanted = [(1, 6), (6, 4), (1050, 2100), (1050, 1060), (3, 3), (1, 9001), (9001, 9003)]
+    names = []
+    monkeypatch.setattr(routing, "staged", lambda df, name, real=routing.staged: (names.append(name), real(df, name))[1])
+    ends = {n: (40.0 * n % 700, 90.0 * n % 500) for a, b, *_ in edges for n in (a, b) if n != 5}  # one node without a place
+    places = spark.createDataFrame([(n, *p) for n, p in ends.items()], "node_id long, map_x double, map_y double")
+    paths = routing.shortest_paths(spark.createDataFrame(wanted, "s long, g long"), costs, places if placed else None).collect()
+    assert names.count("front") <= 12
+    out = {}
+    for r in costs.collect():
+        out.setdefault((r.profile, r.a), []).append((r.b, r.cost))
+    weight = {(p, a, b): min(c for m, c in ends if m == b) for (p, a), ends in out.items() for b, _ in ends}
+    for s, g in wanted:
+        for profile in geo.PROFILES:
+            best, heap = {}, [(0.0, s)]
+            while heap:
+                c, n = heapq.heappop(heap)
+                if n not in best:
+                    best[n] = c
+                    for m, w in out[profile, n]:
+                        heapq.heappush(heap, (c + w, m))
+            mine = sorted((r.pos, r.node, r.cost) for r in paths if (r.s, r.g, r.profile) == (s, g, profile))
+            if g not in best:
+                assert not mine
+                continue
+            nodes = [n for _, n, _ in mine]
+            assert [p for p, _, _ in mine] == list(range(len(mine))) and (nodes[0], nodes[-1]) == (s, g)
+            assert abs(mine[0][2] - best[g]) < 1e-3 and abs(sum(weight[profile, a, b] for a, b in zip(nodes, nodes[1:])) - best[g]) < 1e-3
+
+
+def test_crowded_cells_are_cut(spark):
+    nodes = spark.createDataFrame([(k, k % 40 * 2.0, k // 40 * 2.0) for k in range(1600)] + [(5000, 900.0, 900.0)], "node_id long, map_x double, map_y double")
+    sizes = routing.search_cells(nodes.selectExpr("node_id as node"), nodes).groupBy("cell").count().collect()
+    assert sum(r["count"] for r in sizes) == 1601 and max(r["count"] for r in sizes) <= 2 * routing.CROWDED
+
+
 def test_shortest_paths_equal_dijkstra(spark):
     import heapq
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trackgraph.functions import geo
@@ -273,15 +273,18 @@ def snapped_nodes_for_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _snapped_nodes(spark, sf_dir, routing.SNAP_MOST, routing.SNAP_RADIUS)
 
 
-def _routes(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+def _pairs(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     nodes, edges, components = _repaired(spark, sf_dir)
     r = adapters.requests(spark, sf_dir)
     start, goal = (staged(routing.snapped(r, nodes, end), "snaps") for end in ("start", "target"))
     pairs = staged(routing.candidate_pairs(start, goal, components), "pairs")
-    costs = staged(routing.profile_costs(edges), "costs")
-    paths = routing.shortest_paths(pairs, costs)
-    routes = staged(routing.scored_routes(pairs, paths, costs, r), "routes")
-    return {"nodes": nodes, "requests": r, "start": start, "goal": goal, "pairs": pairs, "costs": costs, "paths": paths, "routes": routes}
+    return {"nodes": nodes, "requests": r, "start": start, "goal": goal, "pairs": pairs, "costs": staged(routing.profile_costs(edges), "costs")}
+
+
+def _routes(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    x = _pairs(spark, sf_dir)
+    paths = routing.shortest_paths(x["pairs"], x["costs"], x["nodes"])
+    return x | {"paths": paths, "routes": staged(routing.scored_routes(x["pairs"], paths, x["costs"], x["requests"]), "routes")}
 
 
 def candidate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -291,6 +294,15 @@ def candidate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(out.withColumn("pair_rank", F.col("pair_rank").cast("long")), "s_snap", "g_snap", "score")
 
 
+def path_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The least cost and the number of nodes' edges of each pair's path in each profile; paths are summed up edge by edge."""
+    x = _pairs(spark, sf_dir)
+    paths = routing.shortest_paths(x["pairs"], x["costs"], x["nodes"])
+    hop = paths.withColumn("b", F.lead("node").over(Window.partitionBy("s", "g", "profile").orderBy("pos"))).join(x["costs"].select("profile", F.col("a").alias("node"), "b", F.col("cost").alias("w")), ["profile", "node", "b"], "left")
+    out = hop.groupBy("s", "g", "profile").agg(F.any_value("cost").alias("cost"), F.coalesce(F.sum("w"), F.lit(0.0)).alias("by_edges"))
+    return _round(out, "cost", "by_edges", digits=5)
+
+
 def best_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = _routes(spark, sf_dir)
     return _round(x["routes"].withColumn("metres", F.col("metres").cast("long")), "length", "physical", "direct", "route_score")
@@ -545,7 +557,7 @@ QUERIES = [
     trip_leaders, telemetry_hold, latest_snapshot, liveness, live_sessions, heartbeat, motion_heading, rpm_ratio, crash_candidates, jump_candidates,
     drive_events, packet_decode, packet_counts, scalar_labels, tile_pyramid, box_tiles, markers_in_boxes, marker_search, nearest_markers, nearest_markers_anywhere, marker_lookup,
     marker_labels, marker_categories, road_cells, road_grid, tile_blobs, map_blobs, clean_road_grid, grid_edges, road_class_counts, normalised_edges, graph_components, graph_status,
-    graph_stitches, graph_bridges, graph_repair, parallel_edges, snapped_nodes, snapped_nodes_for_routing, candidate_pairs, best_routes, route_road_profile, route_outcomes, route_lines, route_texts, direct_routes, look_ahead_points, arrivals_at_targets, client_status, route_progress,
+    graph_stitches, graph_bridges, graph_repair, parallel_edges, snapped_nodes, snapped_nodes_for_routing, candidate_pairs, path_costs, best_routes, route_road_profile, route_outcomes, route_lines, route_texts, direct_routes, look_ahead_points, arrivals_at_targets, client_status, route_progress,
     off_route_episodes, route_points, arrivals, reroutes, suspicious_reroutes, stream_hold, stream_heartbeat,
     stream_sessions, stream_latest, stream_drive_events, stream_arrivals, stream_reroutes]
 

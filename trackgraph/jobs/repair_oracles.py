@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from trackgraph.functions.geo import PROFILES
 from trackgraph.jobs.oracles import EDGES, MARKERS, NODES, REQUESTS, _NEAR
 from trackgraph.operators.graph import MULTIPLIERS
 
@@ -45,7 +46,16 @@ def sql() -> dict[str, str]:
 pairs AS MATERIALIZED (SELECT st.request_id, row_number() OVER (PARTITION BY st.request_id ORDER BY st.distance + gl.distance + 600.0::DOUBLE / sqrt(x.size), st.rank, gl.rank) AS pair_rank, st.node_id AS s, gl.node_id AS g, st.distance AS s_snap, gl.distance AS g_snap, st.distance + gl.distance + 600.0::DOUBLE / sqrt(x.size) AS score
  FROM st JOIN gl ON st.request_id = gl.request_id JOIN c3z x ON x.node = st.node_id JOIN c3z y ON y.node = gl.node_id AND y.component = x.component QUALIFY pair_rank <= 4)"""
     near = lambda q, t, id_, radius, k: f"{q}" + _NEAR.format(id=id_, t=t, radius=radius, k=k) + f" SELECT request_id, {id_}, round(distance, 6) AS distance, rank FROM k"
+    profiles = ", ".join(f"('{p}', {', '.join(str(float(m)) + '::DOUBLE' for m in (t['white'], t['orange'], t['orange_dashed'], t['synthetic_short'], t['synthetic_medium'], t['synthetic_bridge']))})" for p, t in PROFILES.items())
+    links = f"""links AS (SELECT a, b, length, road_class FROM g UNION ALL SELECT a, b, length, 'synthetic_bridge' FROM stitch UNION ALL SELECT a, b, length, 'synthetic_bridge' FROM bridge),
+pf(profile, white, orange, dashed, short, medium, far) AS (VALUES {profiles}),
+pe AS (SELECT profile, a, b, length * CASE road_class WHEN 'white' THEN white WHEN 'orange' THEN orange WHEN 'orange_dashed' THEN dashed ELSE CASE WHEN length <= 70 THEN short WHEN length <= 180 THEN medium ELSE far END END AS w FROM links CROSS JOIN pf),
+way AS MATERIALIZED (SELECT profile, a, b, w FROM pe UNION ALL SELECT profile, b, a, w FROM pe)"""
     return {
+        "path_costs": f"""{pairs}, {links},
+dist(s, profile, node, cost) USING KEY (s, profile, node) AS (SELECT DISTINCT s, profile, s, 0.0::DOUBLE FROM pairs CROSS JOIN pf
+ UNION SELECT q.s, q.profile, q.node, q.cost FROM (SELECT d.s, d.profile, w.b AS node, min(round(d.cost + w.w, 6)) AS cost FROM dist d JOIN way w ON w.profile = d.profile AND w.a = d.node GROUP BY ALL) q LEFT JOIN recurring.dist o ON o.s = q.s AND o.profile = q.profile AND o.node = q.node WHERE o.cost IS NULL OR q.cost < o.cost)
+SELECT DISTINCT p.s, p.g, d.profile, round(d.cost, 5) AS cost, round(d.cost, 5) AS by_edges FROM pairs p JOIN dist d ON d.s = p.s AND d.node = p.g""",
         "graph_stitches": f"{islands} SELECT a, b, ca, cb, length FROM stitch",
         "graph_bridges": f"{islands} SELECT a, b, ca, cb, round(length, 6) AS length FROM bridge",
         "graph_repair": f"""{islands}, z AS (SELECT component, count(*) AS k FROM c3 GROUP BY 1), m AS (SELECT (SELECT count(*) FROM g) AS e, (SELECT count(*) FROM stitch) AS s, (SELECT count(*) FROM bridge) AS b)

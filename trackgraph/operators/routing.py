@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from trackgraph.functions import geo
 from trackgraph.functions.storage import staged
+from trackgraph.operators.lists import ancestors, ranked_lists
 from trackgraph.operators.poi import nearest
 
 SNAP_MOST, SNAP_RADIUS, PAIRS = 96, 1800.0, 4
@@ -42,43 +43,166 @@ def candidate_pairs(start: DataFrame, goal: DataFrame, components: DataFrame, mo
     return pairs.withColumn("pair_rank", F.row_number().over(order)).where(F.col("pair_rank") <= most).select("request_id", "pair_rank", "s", "g", "s_snap", "g_snap", "score")
 
 
-def shortest_paths(pairs: DataFrame, costs: DataFrame, max_rounds: int = 4000, write_every: int = 4) -> DataFrame:
+def contracted(costs: DataFrame, stops: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Super-edges ``profile, a, b, cost, chain`` and ``chain, pos, node``, the nodes that each stands for, its first one included.
+
+    Nodes with two neighbours that are no ``stops`` (column node) go; each run of them becomes one edge in either direction. Of several
+    between two nodes the cheapest of a profile stays, then the one of the lesser chain (named by its last step). Runs that close
+    without a stop or a crossing lead nowhere and go.
+    """
+    steps = costs.select(F.col("a").alias("u"), F.col("b").alias("v")).distinct()
+    degree = steps.groupBy(F.col("u").alias("node")).agg(F.count("*").alias("n")).join(stops.withColumn("stop", F.lit(True)), "node", "left")
+    key = staged(degree.select("node", ((F.col("n") != 2) | F.col("stop").isNotNull()).alias("key")), "keys")
+    steps = steps.join(key.select(F.col("node").alias("u"), F.col("key").alias("u_key")), "u").join(key.select(F.col("node").alias("v"), F.col("key").alias("v_key")), "v")
+    steps = staged(steps.select(F.struct("u", "v").alias("id"), "u", "v", "u_key", "v_key"), "steps")
+    onward = steps.where("not u_key").select(F.col("u").alias("v"), F.col("v").alias("w"), F.col("id").alias("next"))
+    one = F.lit(1).cast("long").alias("weight")
+    links = steps.where("not v_key").join(onward, "v").where("w <> u").select("id", "next", one)
+    links = links.unionByName(steps.where("v_key").select("id", F.lit(None).cast(steps.schema["id"].dataType).alias("next"), one))
+    ranked = ranked_lists(links)[0].join(steps, "id")
+    first = ranked.where("u_key").select("end", F.col("u").alias("a"), F.col("hops").alias("most"))
+    chain = staged(ranked.join(first, "end").where("a <> end.v").select(F.col("end").alias("chain"), "a", F.col("end.v").alias("b"), "u", "v", (F.col("most") - F.col("hops")).alias("pos")), "chains")
+    priced = chain.join(costs.select("profile", F.col("a").alias("u"), F.col("b").alias("v"), F.col("cost").alias("w")), ["u", "v"])
+    whole = priced.groupBy("profile", "a", "b", "chain").agg(F.round(F.sum("w"), 6).alias("cost"))
+    best = whole.groupBy("profile", "a", "b").agg(F.min(F.struct("cost", "chain")).alias("m")).select("profile", "a", "b", "m.cost", "m.chain")
+    return staged(best, "supers"), chain.select("chain", "pos", F.col("u").alias("node"))
+
+
+#: Side of a cell of the search, crossings in it from which it is cut into quarters, and sources that one task takes through a cell.
+CELL, CROWDED, SOURCES = 160.0, 256, 1024
+
+
+def search_cells(crossings: DataFrame, nodes: DataFrame | None) -> DataFrame:
+    """``node, cell`` of crossings: squares of the map, smaller ones where they are crowded; without places each is a cell of its own."""
+    own = F.concat(F.lit("n"), F.col("node").cast("string"))
+    if nodes is None:
+        return crossings.select("node", own.alias("cell"))
+    at = crossings.join(nodes.select(F.col("node_id").alias("node"), "map_x", "map_y"), "node", "left").withColumns({"cx": geo.cell(F.col("map_x"), CELL), "cy": geo.cell(F.col("map_y"), CELL)})
+    counts = at.groupBy("cx", "cy").agg(F.count("*").alias("n"))
+    level = F.greatest(F.lit(0.0), F.ceil(F.log2(F.col("n") / CROWDED) / 2))
+    at = at.join(counts.select("cx", "cy", F.pow(F.lit(2.0), level).alias("cuts")), ["cx", "cy"], "left")
+    part = lambda c: F.floor(F.col(c) / (CELL / F.col("cuts"))).cast("string")
+    square = F.concat(F.col("cuts").cast("int").cast("string"), F.lit(":"), part("map_x"), F.lit(":"), part("map_y"))
+    return at.select("node", F.coalesce(square, own).alias("cell"))
+
+
+def _inside(edges: pd.DataFrame, ends: np.ndarray, hops: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+    """The nodes of a cell, the least costs between them inside it, and (if ``hops``) the next node on the way from each to each."""
+    own = edges[edges["to_cell"].isna()]
+    nodes = np.unique(np.concatenate([edges["a"].to_numpy(), own["b"].to_numpy(), ends]))
+    cost = np.full((len(nodes), len(nodes)), np.inf)
+    i, j = np.searchsorted(nodes, own["a"]), np.searchsorted(nodes, own["b"])
+    np.minimum.at(cost, (i, j), own["w"].to_numpy())
+    np.fill_diagonal(cost, 0.0)
+    step = np.where(np.isfinite(cost), np.arange(len(nodes))[None, :], -1) if hops else None
+    for k in range(len(nodes)):
+        over = cost[:, k, None] + cost[k, None, :]
+        if hops:
+            less = over < cost
+            step = np.where(less, step[:, k, None], step)
+        np.minimum(cost, over, out=cost)
+    return nodes, cost, step
+
+
+_LABEL = "s long, profile string, node long, cost double, entry long, tail long, cell string"
+
+
+def _through_cell(labels: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
+    """What the sources' labels in a cell come to at the ends of its outgoing edges, with the label's node and the edge's first node."""
+    names = ["s", "profile", "node", "cost", "entry", "tail", "cell"]
+    out = edges[edges["to_cell"].notna()]
+    if labels.empty or out.empty:
+        return pd.DataFrame({c: pd.Series(dtype=object) for c in names})
+    nodes, cost, _ = _inside(edges, labels["node"].to_numpy())
+    sources, row = np.unique(labels["s"].to_numpy(), return_inverse=True)
+    entries, column = np.unique(labels["node"].to_numpy(), return_inverse=True)
+    known = np.full((len(sources), len(entries)), np.inf)
+    np.minimum.at(known, (row, column), labels["cost"].to_numpy())
+    tails = np.searchsorted(nodes, out["a"])
+    best, via = np.full((len(sources), len(out)), np.inf), np.zeros((len(sources), len(out)), np.int64)
+    for e, place in enumerate(np.searchsorted(nodes, entries)):
+        now = known[:, e, None] + (cost[place, tails] + out["w"].to_numpy())[None, :]
+        less = now < best
+        best[less], via[less] = now[less], e
+    i, j = np.nonzero(np.isfinite(best))
+    to, tail, cell = out["b"].to_numpy(), out["a"].to_numpy(), out["to_cell"].to_numpy()
+    return pd.DataFrame({"s": sources[i], "profile": edges["profile"].iloc[0], "node": to[j], "cost": np.round(best[i, j], 6), "entry": entries[via[i, j]], "tail": tail[j], "cell": cell[j]})
+
+
+def _ways_inside(wanted: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
+    """The nodes from ``entry`` to ``tail`` inside a cell, in order."""
+    rows = []
+    if not wanted.empty:
+        nodes, _, step = _inside(edges, np.concatenate([wanted["entry"].to_numpy(), wanted["tail"].to_numpy()]), hops=True)
+        for cell, profile, entry, tail in wanted[["cell", "profile", "entry", "tail"]].itertuples(index=False):
+            now, goal, pos = np.searchsorted(nodes, entry), np.searchsorted(nodes, tail), 0
+            rows.append((cell, profile, entry, tail, pos, entry))
+            while now != goal:
+                now, pos = step[now, goal], pos + 1
+                rows.append((cell, profile, entry, tail, pos, nodes[now]))
+    return pd.DataFrame(rows, columns=["cell", "profile", "entry", "tail", "pos", "node"])
+
+
+def shortest_paths(pairs: DataFrame, costs: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """Least-cost paths for distinct ``s, g`` in every profile: ``s, g, profile, pos, node, cost`` (cost of the whole path).
 
-    Frontier relaxation: each round joins the nodes that got cheaper with the edges and keeps the least cost of every
-    (source, profile, node); nodes that already cost more than the source's dearest open goal are not extended. Ties go to the
-    smaller predecessor. Rounds are at most the hops of the longest least-cost path.
+    The graph is contracted to its crossings and the pairs' ends, and these are dealt into cells of the map (``nodes`` has the places).
+    A round takes all new labels of a cell through it at once and gives what they come to in the neighbouring cells, so rounds grow
+    with the cells that a path crosses, not with its nodes; labels dearer than a source's dearest goal, once all are reached, go no
+    further. A task has one cell and at most about a thousand sources. The ways back are put together by doubling, then the nodes
+    inside cells and chains are put in. Ids are numbers.
     """
     goals = staged(pairs.select("s", "g").distinct(), "goals")
-    profiles = staged(costs.select("profile").distinct(), "profiles")
-    edges = staged(costs.select("profile", "a", "b", "cost"), "costs")
-    known = goals.select("s").distinct().join(profiles, F.lit(True)).select("s", "profile", F.col("s").alias("node"), F.lit(0.0).alias("cost"), F.lit(None).cast("long").alias("via"), F.lit(0).alias("round"))
-    known = staged(known, "paths")
-    for k in range(1, max_rounds + 1):
-        reached = known.select("s", "profile", F.col("node").alias("g"), F.col("cost").alias("goal"))
-        limit = goals.join(profiles, F.lit(True)).join(reached, ["s", "profile", "g"], "left").groupBy("s", "profile").agg(F.max(F.coalesce("goal", F.lit(float("inf")))).alias("limit"))
-        front = known.where(F.col("round") == k - 1).join(limit, ["s", "profile"]).where("cost <= limit")
-        step = front.join(edges.select("profile", F.col("a").alias("node"), "b", F.col("cost").alias("w")), ["profile", "node"])
-        step = step.select("s", "profile", F.col("b").alias("node"), F.round(F.col("cost") + F.col("w"), 6).alias("cost"), F.col("node").alias("via"), F.lit(k).alias("round"))
-        both = known.unionByName(step)
-        merged = both.groupBy("s", "profile", "node").agg(F.min(F.struct("cost", F.coalesce("via", F.lit(-1)).alias("via"), "round")).alias("m"))
-        merged = merged.select("s", "profile", "node", "m.cost", F.when(F.col("m.via") >= 0, F.col("m.via")).alias("via"), "m.round")
-        known = staged(merged, "paths")
-        if not known.where(F.col("round") == k).take(1):
-            break
-    else:
-        raise RuntimeError(f"paths did not settle in {max_rounds} rounds")
-    # walk back from all goals, doubling nothing: one hop of every path each round
-    links = known.where("via is not null").select("s", "profile", "node", "via")
-    walk = goals.join(known.select("s", "profile", F.col("node").alias("g"), "cost"), ["s", "g"]).select("s", "g", "profile", "cost", F.col("g").alias("node"), F.lit(0).alias("back"))
-    parts = front = staged(walk, "walk")
-    for k in range(1, max_rounds + 1):
-        front = staged(front.join(links, ["s", "profile", "node"]).select("s", "g", "profile", "cost", F.col("via").alias("node"), F.lit(k).alias("back")), "walk")
-        if not front.take(1):
+    profiles = costs.select("profile").distinct()
+    supers, inner = contracted(costs, goals.select(F.explode(F.array("s", "g")).alias("node")).distinct())
+    crossings = supers.select(F.explode(F.array("a", "b")).alias("node")).unionByName(goals.select(F.explode(F.array("s", "g")).alias("node"))).distinct()
+    cells = staged(search_cells(crossings, nodes), "cells")
+    of = lambda c, name: cells.select(F.col("node").alias(c), F.col("cell").alias(name))
+    edges = supers.join(of("a", "cell"), "a").join(of("b", "to_cell"), "b").select("cell", "profile", "a", "b", F.col("cost").alias("w"), F.when(F.col("to_cell") != F.col("cell"), F.col("to_cell")).alias("to_cell"))
+    # a goal is reached by an edge out of its cell to nowhere
+    arrive = goals.select(F.col("g").alias("a")).distinct().join(of("a", "cell"), "a").join(profiles, F.lit(True)).select("cell", "profile", "a", F.col("a").alias("b"), F.lit(0.0).alias("w"), F.lit("").alias("to_cell"))
+    edges = staged(edges.unionByName(arrive), "edges")
+    of_source = goals.groupBy("s").agg(F.count("*").alias("goals"))
+    buckets = -(-of_source.count() // SOURCES) or 1
+    group, keys = ["cell", "profile", "bucket"], ["s", "profile", "node", "cell"]
+    none = F.lit(None).cast("long")
+    front = of_source.select("s").join(of("s", "cell"), "s").join(profiles, F.lit(True)).select("s", "profile", F.col("s").alias("node"), F.lit(0.0).alias("cost"), none.alias("entry"), none.alias("tail"), "cell")
+    known = front = staged(front, "front")
+    while True:
+        reached = known.where("cell = ''").groupBy("s", "profile", "node").agg(F.min("cost").alias("cost")).groupBy("s", "profile").agg(F.count("*").alias("n"), F.max("cost").alias("limit"))
+        limit = reached.join(of_source, "s").where("n = goals").select("s", "profile", "limit")
+        open_ = front.where("cell <> ''").join(limit, ["s", "profile"], "left").where("limit is null or cost <= limit").drop("limit").withColumn("bucket", F.pmod(F.hash("s"), F.lit(buckets)))
+        met = edges.join(open_.select(*[F.col(c).alias(c) for c in group]).distinct(), ["cell", "profile"])
+        found = open_.groupBy(group).cogroup(met.groupBy(group)).applyInPandas(_through_cell, _LABEL)
+        asked = goals.select("s", F.col("g").alias("node"), F.lit("").alias("cell"))
+        found = found.where("cell <> ''").unionByName(found.where("cell = ''").join(asked, ["s", "node", "cell"], "left_semi").select(found.columns))
+        found = found.groupBy(keys).agg(F.min(F.struct("cost", "entry", "tail")).alias("m")).select(*keys, "m.*")
+        no_better = known.select(*[F.col(c).alias("k_" + c) for c in (*keys, "cost")])
+        better = found.join(no_better, [*[F.col(c) == F.col("k_" + c) for c in keys], F.col("k_cost") <= F.col("cost")], "left_anti").select(front.columns)
+        rows = Observation()
+        front = staged(better.observe(rows, F.count("*").alias("n")), "front")
+        if not rows.get["n"]:
             break
-        parts = parts.unionByName(front)
-    last = F.max("back").over(Window.partitionBy("s", "g", "profile"))
-    return staged(parts.withColumn("pos", last - F.col("back")).select("s", "g", "profile", "pos", "node", "cost"), "paths")
+        known = known.unionByName(front)
+    known = staged(known.groupBy(keys).agg(F.min(F.struct("cost", "entry", "tail")).alias("m")).select(*keys, "m.*"), "known")
+    ends = staged(known.where("cell = ''").select("s", F.col("node").alias("g"), "profile", "cost", "entry"), "ends")
+    labels = known.where("cell <> ''").select("s", "profile", "node", "entry", "tail")
+    back = ancestors(ends.select("s", "g", "profile", F.col("entry").alias("node")), labels, ["s", "profile"], "node", "entry")
+    # pieces of the way inside one cell each: up to the edge to the next cell, the last one up to the goal
+    pieces = back.join(labels, ["s", "profile", "node"]).where("tail is not null").select("s", "g", "profile", (-F.col("back")).alias("part"), "entry", "tail")
+    pieces = pieces.unionByName(ends.select("s", "g", "profile", F.lit(1).cast("long").alias("part"), "entry", F.col("g").alias("tail"))).join(of("entry", "cell"), "entry")
+    pieces = staged(pieces, "pieces")
+    wanted = pieces.select("cell", "profile", "entry", "tail").distinct()
+    there = edges.where("to_cell is null or to_cell <> ''").join(wanted.select("cell", "profile").distinct(), ["cell", "profile"], "left_semi")
+    inside = wanted.groupBy("cell", "profile").cogroup(there.groupBy("cell", "profile")).applyInPandas(_ways_inside, "cell string, profile string, entry long, tail long, pos long, node long")
+    way = Window.partitionBy("s", "g", "profile").orderBy("part", "pos")
+    crossed = pieces.join(inside, ["cell", "profile", "entry", "tail"]).select("s", "g", "profile", "part", "pos", "node", F.lead("node").over(way).alias("next"), F.row_number().over(way).alias("place"))
+    crossed = staged(crossed, "ways")
+    passed = crossed.where("next is not null").join(supers.select("profile", F.col("a").alias("node"), F.col("b").alias("next"), "chain"), ["profile", "node", "next"]).drop("node", "pos").join(inner, "chain")
+    rows = passed.select("s", "g", "profile", "place", "pos", "node").unionByName(crossed.where("next is null").select("s", "g", "profile", "place", F.lit(0).cast("long").alias("pos"), "node"))
+    order = Window.partitionBy("s", "g", "profile").orderBy("place", "pos")
+    rows = rows.select("s", "g", "profile", (F.row_number().over(order) - 1).alias("pos"), "node")
+    return staged(rows.join(ends.drop("entry"), ["s", "g", "profile"]), "paths")
 
 
 def path_edges(paths: DataFrame, costs: DataFrame) -> DataFrame:
