@@ -293,3 +293,63 @@ def test_classes_at_and_past_the_edge_of_the_image(spark):
             network.pixel_classes(spark.createDataFrame([(x, y)], "x long, y long"), hint, size).collect()
         with pytest.raises(Exception, match="outside the image"):
             network.orange_hint(spark.createDataFrame([(x, y, 200, 120, 40)], pixels.schema), size).collect()
+
+
+def test_nearest_segments_of_long_routes(spark):
+    """By cells and against every segment: routes that wind, cross themselves, stand still, and rows far from them."""
+    rnd = np.random.default_rng(6)
+    lines, track = [], []
+    for route in (1, 2, 3):
+        x, y = np.cumsum(rnd.normal(0, 300 * route, 60)) + 9000, np.cumsum(rnd.normal(0, 300 * route, 60)) + 9000
+        x[20:23], y[20:23] = x[20], y[20]
+        lines += [(route, k, float(a), float(b)) for k, (a, b) in enumerate(zip(x, y))]
+        for k in range(150):
+            i, far = rnd.integers(0, 60), rnd.choice([0.0, 50.0, 600.0, 3000.0, 15000.0])
+            track.append((route, len(track), 100 * k, route, float(x[i] + rnd.normal() * far), float(y[i] + rnd.normal() * far)))
+    track.append((9, 1, 0, 1, None, None))
+    lines = spark.createDataFrame(lines, "route_id long, pos int, x double, y double")
+    rows = spark.createDataFrame(track, "player_id long, seq long, ts_ms long, route_id long, map_x double, map_y double")
+    s = progress.segments(lines)
+    near, whole = (sorted((tuple(r) for r in progress.nearest_segment(rows, s, few).collect()), key=lambda r: r[1::-1]) for few in (16, 10_000))
+    assert near == whole and len(near) == len(track)
+
+
+def test_places_along_routes(spark):
+    line = [(1, 0, 0.0, 0.0), (1, 1, 300.0, 0.0), (1, 2, 300.0, 0.0), (1, 3, 300.0, 400.0), (1, 4, 300.0, 400.0), (2, 0, 5.0, 5.0), (2, 1, 5.0, 5.0)]
+    v = progress.vertices(spark.createDataFrame(line, "route_id long, pos int, x double, y double"))
+    wanted = spark.createDataFrame([(1, w) for w in (-5.0, 0.0, 256.0, 300.0, 512.0, 700.0, 9e9)] + [(2, 1.0)], "route_id long, at double")
+    got = {(r.route_id, r["at"]): (r.x, r.y) for r in progress.along_route(wanted, v).collect()}
+    assert got == {(1, -5.0): (0.0, 0.0), (1, 0.0): (0.0, 0.0), (1, 256.0): (256.0, 0.0), (1, 300.0): (300.0, 0.0), (1, 512.0): (300.0, 212.0), (1, 700.0): (300.0, 400.0), (1, 9e9): (300.0, 400.0), (2, 1.0): (None, None)}
+
+
+def test_parallel_edges_in_input_order(spark):
+    """A later edge wins against the kept one's length by its class, not against its stored cost."""
+    nodes = spark.createDataFrame([(1, 0.0, 0.0, "white"), (2, 30.0, 0.0, "white")], "node_id long, map_x double, map_y double, road_class string")
+    rows = [(1, 2, 10.0, 99.0, "white", 0), (2, 1, 12.0, 50.0, "orange", 1), (1, 2, 20.0, 9.0, "orange_dashed", 2), (2, 1, 40.0, 30.0, "white", 3)]
+    edges = spark.createDataFrame(rows, "a long, b long, length double, cost double, road_class string, seq int")
+    assert [tuple(r) for r in graph.normalised_edges(edges, nodes).collect()] == [(1, 2, 40.0, 30.0, "white")]
+    assert [tuple(r) for r in graph.normalised_edges(edges, nodes, in_order=False).collect()] == [(1, 2, 20.0, 9.0, "orange_dashed")]
+
+
+def test_radii_of_headers(spark):
+    header = lambda **row: spark.createDataFrame([tuple(row.values())], ", ".join(f"{k} {t}" for k, t in zip(row, ("string", "int", "double"))))
+    cells, pixels = "runtime_stitch_radius_cells", "runtime_component_bridge_radius_px"
+    assert graph.radii(header(version="manual-1", **{cells: 3, pixels: 140.0})) == (3, 140.0)
+    assert graph.radii(header(version="manual-1", **{cells: 0, pixels: None})) == (0, 0.0)
+    assert graph.radii(header(version="Road-CV-2", **{cells: 0, pixels: 50.0})) == (4, 50.0)
+    assert graph.radii(header(version="v1")) == (0, 0.0) and graph.radii(header(version="v1").limit(0)) == (0, 0.0)
+
+
+def test_repair_without_radii_and_first_nodes_of_cells(spark):
+    nodes = [(k, k, 0, k * 10.0, 0.0, "white") for k in (0, 1, 4, 5)] + [(9, 4, 0, 41.0, 0.0, "white"), (20, 30, 0, 300.0, 0.0, "orange"), (21, 31, 0, 310.0, 0.0, "orange"), (30, 90, 0, 900.0, 0.0, "white")]
+    nodes = spark.createDataFrame(nodes, "node_id long, gx long, gy long, map_x double, map_y double, road_class string")
+    edges = spark.createDataFrame([(0, 1, 10.0, 10.0, "white"), (4, 5, 10.0, 10.0, "white"), (20, 21, 10.0, 10.0, "orange")], "a long, b long, length double, cost double, road_class string")
+    header = spark.createDataFrame([("cv",)], "version string")
+    found = graph.repaired(nodes, edges, header)
+    # node 9 shares its cell with the earlier node 4: it reaches out to 5, but none reaches it
+    assert sorted((r.a, r.b) for r in found.stitches.collect()) == [(0, 4), (9, 5)]
+    assert [(r.a, r.b, r.length) for r in found.bridges.collect()] == [(5, 20, 250.0)]
+    assert {r.node_id: r.component for r in found.components.collect()} == {0: 0, 1: 0, 4: 0, 5: 0, 9: 0, 20: 0, 21: 0, 30: 30}
+    plain = graph.repaired(nodes, edges, spark.createDataFrame([("manual",)], "version string"))
+    assert plain.stitches.count() == plain.bridges.count() == 0 and plain.components.select("component").distinct().count() == 5
+    assert plain.stitches.columns == found.stitches.columns

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from trackgraph.functions import geo
+from trackgraph.functions.storage import staged
 
 OFF_ROUTE, ARRIVE_M, ARRIVE_SLOW_M, ARRIVE_MS = 170.0, 30.0, 62.0, 1100
 
@@ -30,23 +31,59 @@ def segments(lines: DataFrame) -> DataFrame:
     return s.select("route_id", "pos", F.col("x").alias("ax"), F.col("y").alias("ay"), "bx", "by", "length", before.alias("before"), total.alias("total"))
 
 
-def nearest_segment(track: DataFrame, segments_: DataFrame) -> DataFrame:
-    """For each row of a track (``player_id, seq, ts_ms, route_id, map_x, map_y``) the first nearest segment of its route.
+#: Segments of a route up to which each of its rows meets all of them, and sides of cells (pixels) by which rows meet longer routes.
+FEW, CELLS = 16, (256.0, 1024.0, 4096.0)
 
-    Gives off (pixels), the projected point, the segment's pos, t, and the remaining pixels along the line.
-    """
-    j = track.join(segments_, "route_id")
+
+def _nearest(met: DataFrame, keys: list[str]) -> DataFrame:
+    """The nearest of the segments that each row has met; nulls for a row that met none."""
     dx, dy = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
     square = dx * dx + dy * dy
     t = F.when(square > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((F.col("map_x") - F.col("ax")) * dx + (F.col("map_y") - F.col("ay")) * dy) / F.when(square > 0, square)))).otherwise(0.0)
-    j = j.withColumn("t", t).withColumns({"px": F.col("ax") + F.col("t") * dx, "py": F.col("ay") + F.col("t") * dy})
+    j = met.withColumn("t", t).withColumns({"px": F.col("ax") + F.col("t") * dx, "py": F.col("ay") + F.col("t") * dy})
     j = j.withColumn("off", geo.distance(F.col("map_x"), F.col("map_y"), F.col("px"), F.col("py")))
     j = j.withColumn("remaining", F.col("total") - F.col("before") - F.col("t") * F.col("length"))
-    keys = [c for c in track.columns]
-    best = j.groupBy(*keys).agg(F.min_by(F.struct("off", "px", "py", "pos", "t", "remaining"), F.struct("off", "pos")).alias("m"))
+    best = j.groupBy(*keys).agg(F.min_by(F.struct("off", "px", "py", "pos", "t", "remaining"), F.when(F.col("off").isNotNull(), F.struct("off", "pos"))).alias("m"))
     return best.select(*keys, "m.*")
 
 
+def _in_cells(segments_: DataFrame, side: float) -> DataFrame:
+    """Segments with the cells (``cx, cy``) that have a place within ``side`` of them: those around each piece no longer than a cell."""
+    count = F.greatest(F.lit(1), F.ceil(F.col("length") / side).cast("int"))
+    s = segments_.withColumn("__n", count).withColumn("__i", F.explode(F.sequence(F.lit(0), F.col("__n") - 1)))
+    at = lambda a, b, k: F.col(a) + (F.col(b) - F.col(a)) * k / F.col("__n")
+
+    def span(a: str, b: str):
+        one, two = at(a, b, F.col("__i")), at(a, b, F.col("__i") + 1)
+        return F.explode(F.sequence(geo.cell(F.least(one, two) - side, side), geo.cell(F.greatest(one, two) + side, side)))
+
+    return s.withColumn("cx", span("ax", "bx")).withColumn("cy", span("ay", "by")).drop("__n", "__i").distinct()
+
+
+def nearest_segment(track: DataFrame, segments_: DataFrame, few: int = FEW) -> DataFrame:
+    """For each row of a track (``player_id, seq, ts_ms, route_id, map_x, map_y``) the first nearest segment of its route.
+
+    Gives off (pixels), the projected point, the segment's pos, t, and the remaining pixels along the line. Rows of a route of up to
+    ``few`` segments meet all of them. Those of longer routes meet the segments near their cell of the map; a row farther from them
+    than a cell's side looks again with larger cells, and the rest, thousands of pixels off their route, meet all. Rows without a
+    place have null results there.
+    """
+    keys = track.columns
+    counts = segments_.groupBy("route_id").agg((F.count("*") <= few).alias("short"))
+    marked = staged(segments_.join(counts, "route_id"), "segments")
+    out = _nearest(track.join(marked.where("short").drop("short"), "route_id"), keys)
+    long = marked.where("not short").drop("short")
+    if not long.take(1):
+        return out
+    left = track.join(counts.where("not short").select("route_id"), "route_id", "left_semi").select(keys)
+    for side in CELLS:
+        cells = {"cx": geo.cell(F.col("map_x"), side), "cy": geo.cell(F.col("map_y"), side)}
+        tried = staged(_nearest(left.withColumns(cells).join(_in_cells(long, side), ["route_id", "cx", "cy"], "left"), keys), "nearest")
+        out = out.unionByName(tried.where(F.col("off") <= side))
+        left = tried.where((F.col("off") > side) | F.col("off").isNull()).select(keys)
+    return out.unionByName(_nearest(left.join(long, "route_id"), keys))
+
+
 def vertices(lines: DataFrame) -> DataFrame:
     """``route_id, pos, x, y`` with the next vertex (``nx, ny, step``), the length before a vertex and after it (``tail``), and those that follow."""
     v = lines.withColumns({"nx": F.lead("x").over(_line()), "ny": F.lead("y").over(_line())})
