@@ -220,16 +220,27 @@ def test_pairs_beyond_the_ten_nearest_nodes(spark, monkeypatch):
     assert (queries.candidate_pairs(spark, DATA).count(), queries.snapped_nodes_for_routing(spark, DATA).count()) == (4, 36)
 
 
-def test_search_reads_descriptions_and_deals_many_texts(spark, monkeypatch):
+def test_search_reads_descriptions(spark):
     markers = spark.createDataFrame([(1, "Barn", "a", "b", "Hidden BARN find", None, 0.0, 0.0), (2, "Sign", "a", "b", None, "near the hidden lake", 3.0, 4.0), (3, "hidden", "a", "b", None, None, 9.0, 0.0), (4, "Speed", "a", "b", None, None, 1.0, 0.0)],
                                     "file_order long, title string, category string, parent_category string, description string, desc string, map_x double, map_y double")
     asked = spark.createDataFrame([(1, " Hidden ", 0.0, 0.0), (2, "lake sign", 0.0, 0.0), (3, "  ", 0.0, 0.0), (4, "barn lake", 0.0, 0.0), (5, "hidden", 9.0, 0.0)], "query_id long, text string, x double, y double")
     want = [(1, 1, 1), (1, 2, 2), (1, 3, 3), (2, 1, 2), (5, 1, 3), (5, 2, 2), (5, 3, 1)]
     rows = lambda: sorted((r.query_id, r["rank"], r.file_order) for r in poi.search(asked, markers).collect())
     assert rows() == want
-    monkeypatch.setattr(poi, "BROADCAST_TEXTS", 1)
-    assert rows() == want
-    assert "CartesianProduct" in poi.search(asked, markers)._jdf.queryExecution().toString()
+    plan = poi.search(asked, markers)._jdf.queryExecution().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_search_by_pieces_equals_a_scan(spark):
+    """Terms of one, two and more characters, some of them nowhere, against every text."""
+    import random
+
+    rnd = random.Random(8)
+    texts = [" ".join("".join(rnd.choice("abcä") for _ in range(rnd.randint(1, 5))) for _ in range(rnd.randint(0, 4))) for _ in range(60)]
+    terms = [sorted({"".join(rnd.choice("abcäz") for _ in range(rnd.choice((1, 1, 2, 3, 4)))) for _ in range(rnd.randint(1, 3))}) for _ in range(150)]
+    found = poi.matches(spark.createDataFrame([(t,) for t in terms], "terms array<string>").distinct(), spark.createDataFrame(list(enumerate(texts)), "file_order long, hay string"), "hay").collect()
+    want = {(tuple(t), k) for t in terms for k, text in enumerate(texts) if all(x in text for x in t)}
+    assert len(found) == len(want) and {(tuple(r.terms), r.file_order) for r in found} == want
 
 
 def test_reroute_without_a_usable_route(spark):

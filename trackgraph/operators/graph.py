@@ -203,7 +203,7 @@ def repaired(nodes: DataFrame, edges: DataFrame, header: DataFrame, stride: floa
     cells, reach = radii(header)
     components = staged(node_components(nodes, edges), "components")
     links: list[DataFrame] = []
-    for radius, candidates in ((cells, lambda c: stitch_candidates(nodes, c, cells, stride)), (reach, lambda c: bridge_candidates(nodes, c, reach))):
+    for radius, candidates in ((cells, lambda c: stitch_candidates(nodes, c, max(cells, 1), stride)), (reach, lambda c: bridge_candidates(nodes, c, reach))):
         found = candidates(components)
         if radius > 0:
             found, merged = merging_forest(found)

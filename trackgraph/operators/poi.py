@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackgraph.functions import geo
 from trackgraph.functions.storage import staged
 
 
-
 def marker_key(markers: DataFrame) -> DataFrame:
     """``key``: marker_id, else id, else title@x,y; an empty text counts as missing."""
     blank = lambda c: F.when(F.col(c) != "", F.col(c))
@@ -17,29 +16,49 @@ def marker_key(markers: DataFrame) -> DataFrame:
     return markers.withColumn("key", F.coalesce(blank("marker_id"), blank("id"), place))
 
 
-#: Distinct query texts that may be broadcast; beyond it they are crossed with the markers in blocks of about so many texts.
-BROADCAST_TEXTS = 10_000
+#: Length of the pieces of text by which queries and markers meet; a query of shorter terms uses theirs.
+GRAM = 3
+
+
+def _grams(text: Column, size: Column) -> Column:
+    """The distinct pieces of ``size`` characters of a text."""
+    last = F.length(text) - size + 1
+    return F.when(last >= 1, F.array_distinct(F.transform(F.sequence(F.lit(1), last), lambda i: F.substr(text, i, size)))).otherwise(F.array().cast("array<string>"))
+
+
+def matches(terms: DataFrame, markers: DataFrame, hay: str, id_: str = "file_order") -> DataFrame:
+    """``terms, id_`` of markers whose text ``hay`` holds every one of a query's ``terms`` (distinct arrays of lower-case words).
+
+    A marker is found by the piece of its text that is rarest among those of the query's terms, then the terms are looked for in it.
+    Both meet by equi-joins on pieces, of which only those that queries ask for are kept.
+    """
+    longest = F.array_max(F.transform("terms", lambda t: F.length(t)))
+    sized = terms.withColumn("size", F.least(F.lit(GRAM), longest))
+    asked = sized.select("terms", F.explode(F.array_distinct(F.flatten(F.transform("terms", lambda t: _grams(t, F.col("size")))))).alias("gram"))
+    asked = staged(asked, "asked")
+    pieces = F.array_distinct(F.concat(*[_grams(F.col(hay), F.lit(k)) for k in range(1, GRAM + 1)]))
+    index = markers.select(id_, F.explode(pieces).alias("gram")).join(asked.select("gram").distinct(), "gram", "left_semi")
+    index = staged(index, "pieces")
+    often = asked.join(index.groupBy("gram").agg(F.count("*").alias("n")), "gram", "left")
+    rarest = often.groupBy("terms").agg(F.min_by(F.struct("gram", "n"), F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("m")).where("m.n is not null").select("terms", "m.gram")
+    near = rarest.join(index, "gram").select("terms", id_).join(markers.select(id_, hay), id_)
+    return near.where(F.forall("terms", lambda t: F.contains(F.col(hay), t))).select("terms", id_)
 
 
 def search(queries: DataFrame, markers: DataFrame, limit: int = 25, same: str | None = None) -> DataFrame:
     """Markers whose text holds every term of a query; at most ``limit`` (1 to 100) by distance, or by title without a position.
 
-    ``queries`` has query_id, text, x, y, and ``same``, if given: a column in which query and marker must agree. Equal texts are matched once. The text of a marker is its title, category,
-    parent_category, description and desc; the last two may be absent. Up to ``BROADCAST_TEXTS`` texts are broadcast, more are dealt
-    into blocks and each block meets each partition of the markers.
+    ``queries`` has query_id, text, x, y, and ``same``, if given: a column in which query and marker must agree. Equal texts are
+    matched once (:func:`matches`). The text of a marker is its title, category, parent_category, description and desc; the last two
+    may be absent. ``file_order`` tells markers apart.
     """
     limit = max(1, min(100, limit))
     searched = ["title", "category", "parent_category", *(c for c in ("description", "desc") if c in markers.columns)]
     terms = F.array_remove(F.split(F.lower(F.trim("text")), r"\s+"), "")
     asked = queries.withColumn("terms", terms).where(F.size("terms") > 0)
-    distinct = staged(asked.select("terms").distinct(), "texts")
-    count = distinct.count()
-    if count <= BROADCAST_TEXTS:
-        distinct = F.broadcast(distinct)
-    else:
-        distinct = distinct.repartition(-(-count // BROADCAST_TEXTS), "terms").hint("shuffle_replicate_nl")
-    hits = markers.withColumn("hay", F.lower(F.concat_ws(" ", *searched))).join(distinct, F.forall("terms", lambda t: F.contains(F.col("hay"), t)))
-    met = asked.drop("category").join(hits.drop("hay"), "terms") if same is None else asked.join(hits.drop("hay"), ["terms", same])
+    texts = markers.select("file_order", F.lower(F.concat_ws(" ", *searched)).alias("hay"))
+    hits = matches(asked.select("terms").distinct(), texts, "hay").join(markers, "file_order")
+    met = asked.drop("category").join(hits, "terms") if same is None else asked.join(hits, ["terms", same])
     met = met.withColumn("distance", F.round(geo.distance(F.col("x"), F.col("y"), F.col("map_x"), F.col("map_y")), 2))
     order = Window.partitionBy("query_id").orderBy(F.col("distance").asc_nulls_last(), F.lower("title"), "file_order")
     return met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).drop("terms", "text", "x", "y")
