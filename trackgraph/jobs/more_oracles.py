@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from trackgraph.jobs.oracles import BOXES, EDGES, HELD, MARKERS, NODES, PROGRESS, REQUESTS
+from trackgraph.operators.events import EVENTS, GLOBAL_COOLDOWN_MS
 from trackgraph.operators.graph import MULTIPLIERS
 
 
@@ -18,6 +19,25 @@ v AS MATERIALIZED (SELECT route_id AS rid, pos AS k, x AS vx, y AS vy, nx, ny, s
 j AS (SELECT *, off < 160 AS near, off < 160 AND {_distance("map_x", "map_y", "px", "py")} >= 3 AS shown, off >= 160 AND coalesce({_distance("map_x", "map_y", "vx", "vy")} < 3, false) AS skip FROM pr LEFT JOIN v ON v.rid = pr.route_id AND v.k = CASE WHEN off < 160 THEN pos + CASE WHEN t > 0.72 THEN 2 ELSE 1 END ELSE 1 END)"""
 
 
+RPM = """WITH RECURSIVE e AS (SELECT user_id AS player_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s, CAST(event_id * 37 % 9000 AS DOUBLE) AS rpm, CASE WHEN event_id % 3 = 0 THEN 0.0::DOUBLE ELSE CAST(7000 + event_id % 5 * 500 AS DOUBLE) END AS own FROM events),
+f AS (SELECT player_id, s, rpm, CASE WHEN own > 1000 THEN own WHEN rpm > 8000 THEN least(12000.0::DOUBLE, rpm * 1.08::DOUBLE) ELSE 8000.0::DOUBLE END AS learned FROM e WHERE s = 1
+ UNION ALL SELECT e.player_id, e.s, e.rpm, CASE WHEN e.own > 1000 THEN e.own WHEN e.rpm > f.learned THEN least(12000.0::DOUBLE, e.rpm * 1.08::DOUBLE) ELSE f.learned END FROM f JOIN e ON e.player_id = f.player_id AND e.s = f.s + 1),
+r AS (SELECT player_id, s AS seq, least(greatest(rpm / greatest(1000.0::DOUBLE, learned), 0.0::DOUBLE), 1.0::DOUBLE) AS rpm_ratio FROM f)
+SELECT player_id, seq, rpm_ratio, CAST(floor(rpm_ratio * 88 + 0.5) AS BIGINT) AS lit, greatest(CAST(floor(rpm_ratio * 88 + 0.5) AS BIGINT) - 75, 0) AS red FROM r"""
+
+
+def drive_events(crashes: str, jumps: str) -> str:
+    """The greedy pass over the candidates of two queries, one candidate of each player after another."""
+    own = {name: f"w{k}" for k, name in enumerate(EVENTS)}
+    rank = "CASE event " + " ".join(f"WHEN '{e}' THEN {-p}" for e, (p, _) in EVENTS.items()) + " END"
+    free = lambda last, times: f"({last} IS NULL OR c.ts_ms - {last} >= {GLOBAL_COOLDOWN_MS}) AND CASE c.event " + " ".join(f"WHEN '{e}' THEN {times(w)} IS NULL OR c.ts_ms - {times(w)} >= {EVENTS[e][1]}" for e, w in own.items()) + " END"
+    state = ", ".join(f"CASE WHEN ok AND event = '{e}' THEN ts_ms ELSE {w} END AS {w}" for e, w in own.items())
+    return f"""WITH RECURSIVE cand AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY player_id ORDER BY ts_ms, {rank}, seq) AS n FROM (SELECT player_id, seq, ts_ms, event FROM ({crashes}) UNION ALL SELECT player_id, seq, ts_ms, event FROM ({jumps})) WHERE event IN ({", ".join(f"'{e}'" for e in EVENTS)})),
+pass AS (SELECT player_id, n, seq, ts_ms, event, true AS ok, ts_ms AS last, {", ".join(f"CASE WHEN event = '{e}' THEN ts_ms END AS {w}" for e, w in own.items())} FROM cand WHERE n = 1
+ UNION ALL SELECT player_id, n, seq, ts_ms, event, ok, CASE WHEN ok THEN ts_ms ELSE last END AS last, {state} FROM (SELECT c.player_id, c.n, c.seq, c.ts_ms, c.event, {free("p.last", lambda w: f"p.{w}")} AS ok, p.last, {", ".join(f"p.{w}" for w in own.values())} FROM pass p JOIN cand c ON c.player_id = p.player_id AND c.n = p.n + 1))
+SELECT player_id, seq, ts_ms, event FROM pass WHERE ok"""
+
+
 def sql() -> dict[str, str]:
     factor = "CASE kind " + " ".join(f"WHEN '{k}' THEN {float(v)}::DOUBLE" for k, v in MULTIPLIERS.items()) + f" ELSE {float(MULTIPLIERS['unknown'])}::DOUBLE END"
     car = lambda x, y: _distance("map_x", "map_y", x, y)
@@ -26,6 +46,7 @@ b AS (SELECT *, {_distance("map_x", "map_y", "fx", "fy")} AS leg, {_distance("fx
 c AS (SELECT b.*, q.vx AS sx, q.vy AS sy, q.nx AS ex, q.ny AS ey, (look - leg - rest + begins - q.vbefore) / q.step AS part FROM b LEFT JOIN v q ON q.rid = b.route_id AND q.step > 0 AND q.vbefore <= look - leg - rest + begins AND b.wx IS NOT NULL QUALIFY row_number() OVER (PARTITION BY player_id, seq ORDER BY q.vbefore DESC) = 1)"""
     at = lambda car, f, w, s, e: f"round(CASE WHEN shown AND look <= leg THEN {car} + ({f} - {car}) * look / leg WHEN wx IS NULL THEN CASE WHEN shown THEN {f} END WHEN look - leg <= rest AND rest > 0 THEN {f} + ({w} - {f}) * (look - leg) / rest ELSE {s} + ({e} - {s}) * least(part, 1.0) END, 6)"
     return {
+        "rpm_ratio": RPM,
         "look_ahead_points": f"WITH {legs} SELECT player_id, seq, round(look, 6) AS look_px, {at('map_x', 'fx', 'wx', 'sx', 'ex')} AS look_x, {at('map_y', 'fy', 'wy', 'sy', 'ey')} AS look_y FROM c",
         "arrivals_at_targets": f"""WITH {AHEAD}, rest AS (SELECT player_id, ts_ms, speed_kmh, {_distance("map_x", "map_y", "(route_id % 60 + 10400)", "(9840 - route_id % 40)")} AS direct,
  CASE WHEN shown THEN {car("px", "py")} + coalesce({_distance("px", "py", "vx", "vy")} + tail, 0.0) WHEN skip AND follow > 0 THEN {car("nx", "ny")} + tail - step WHEN NOT skip AND vx IS NOT NULL THEN {car("vx", "vy")} + tail END AS along FROM j),

@@ -568,7 +568,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     sql = oracles.all_sql() | mask_oracles.sql() | more_oracles.sql() | repair_oracles.sql() | raster_oracles.sql()
+    sql["drive_events"] = more_oracles.drive_events(sql["crash_candidates"], sql["jump_candidates"])
     # a stream's rows equal those of its batch twin
     return sql | {
+        "stream_drive_events": sql["drive_events"],
         "stream_hold": sql["telemetry_hold"], "stream_heartbeat": sql["heartbeat"], "stream_latest": sql["latest_snapshot"], "stream_arrivals": sql["arrivals"],
         "stream_sessions": f"SELECT player_id, start_ms, end_ms, packets FROM ({sql['live_sessions']})"}
