@@ -45,7 +45,14 @@ def sql() -> dict[str, str]:
 b AS (SELECT *, {_distance("map_x", "map_y", "fx", "fy")} AS leg, {_distance("fx", "fy", "wx", "wy")} AS rest FROM a),
 c AS (SELECT b.*, q.vx AS sx, q.vy AS sy, q.nx AS ex, q.ny AS ey, (look - leg - rest + begins - q.vbefore) / q.step AS part FROM b LEFT JOIN v q ON q.rid = b.route_id AND q.step > 0 AND q.vbefore <= look - leg - rest + begins AND b.wx IS NOT NULL QUALIFY row_number() OVER (PARTITION BY player_id, seq ORDER BY q.vbefore DESC) = 1)"""
     at = lambda car, f, w, s, e: f"round(CASE WHEN shown AND look <= leg THEN {car} + ({f} - {car}) * look / leg WHEN wx IS NULL THEN CASE WHEN shown THEN {f} END WHEN look - leg <= rest AND rest > 0 THEN {f} + ({w} - {f}) * (look - leg) / rest ELSE {s} + ({e} - {s}) * least(part, 1.0) END, 6)"
+    step = """SELECT player_id, n, t, CASE WHEN fired THEN t ELSE last END AS last, since, CASE WHEN fired THEN x ELSE ax END AS ax, CASE WHEN fired THEN y ELSE ay END AS ay, CASE WHEN NOT fired THEN NULL WHEN since IS NULL THEN 'moved' ELSE 'off_route' END AS reason
+ FROM (SELECT *, goal >= 35 AND CASE WHEN since IS NULL THEN (last IS NULL OR t - last > 16000) AND (x - ax) * (x - ax) + (y - ay) * (y - ay) > 577600 ELSE (last IS NULL OR t - last >= 14000) AND ((off > 650 AND t - since > 3500) OR (off > 360 AND t - since > 9000) OR t - since > 22000) END AS fired
+ FROM (SELECT c.player_id, c.n, c.t, c.off, c.goal, c.x, c.y, {last} AS last, CASE WHEN c.off > 170 THEN coalesce({since}, c.t) END AS since, coalesce({ax}, c.x) AS ax, coalesce({ay}, c.y) AS ay FROM {rows}))"""
+    first = step.format(last="CAST(NULL AS BIGINT)", since="CAST(NULL AS BIGINT)", ax="CAST(NULL AS DOUBLE)", ay="CAST(NULL AS DOUBLE)", rows="walked c WHERE c.n = 1")
+    later = step.format(last="p.last", since="p.since", ax="p.ax", ay="p.ay", rows="fold p JOIN walked c ON c.player_id = p.player_id AND c.n = p.n + 1")
     return {
+        "reroutes": f"""WITH RECURSIVE {PROGRESS}, walked AS MATERIALIZED (SELECT player_id, ts_ms AS t, off, remaining AS goal, map_x AS x, map_y AS y, row_number() OVER (PARTITION BY player_id ORDER BY ts_ms) AS n FROM pr),
+fold AS ({first} UNION ALL {later}) SELECT player_id, t AS ts_ms, reason FROM fold WHERE reason IS NOT NULL""",
         "rpm_ratio": RPM,
         "look_ahead_points": f"WITH {legs} SELECT player_id, seq, round(look, 6) AS look_px, {at('map_x', 'fx', 'wx', 'sx', 'ex')} AS look_x, {at('map_y', 'fy', 'wy', 'sy', 'ey')} AS look_y FROM c",
         "arrivals_at_targets": f"""WITH {AHEAD}, rest AS (SELECT player_id, ts_ms, speed_kmh, {_distance("map_x", "map_y", "(route_id % 60 + 10400)", "(9840 - route_id % 40)")} AS direct,

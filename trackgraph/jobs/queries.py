@@ -571,6 +571,6 @@ def oracle_sql() -> dict[str, str]:
     sql["drive_events"] = more_oracles.drive_events(sql["crash_candidates"], sql["jump_candidates"])
     # a stream's rows equal those of its batch twin
     return sql | {
-        "stream_drive_events": sql["drive_events"],
+        "stream_drive_events": sql["drive_events"], "stream_reroutes": sql["reroutes"],
         "stream_hold": sql["telemetry_hold"], "stream_heartbeat": sql["heartbeat"], "stream_latest": sql["latest_snapshot"], "stream_arrivals": sql["arrivals"],
         "stream_sessions": f"SELECT player_id, start_ms, end_ms, packets FROM ({sql['live_sessions']})"}
