@@ -119,6 +119,21 @@ def test_short_lines_within_one_character(spark):
     assert got == want and {(1, 0), (2, 0), (3, 0), (6, 0)} <= got and not {(4, 0), (7, 0), (11, 0)} & got
 
 
+def test_mixing_of_sources_with_one_large_document_comes_near_the_targets(spark):
+    rows = []
+    for s in range(24):
+        for k in range(120):
+            rows.append((s * 1000 + k, "w " * (3000 if k == s else 20 + (k * 7 + s) % 31), f"s{s:02}"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    source = {r[0]: r[2] for r in rows}
+    taken, target = Counter(), {}
+    for r in mixing.mix_table(docs).collect():
+        taken[source[r.doc_id]] += r.taken
+        target[source[r.doc_id]] = r.target
+    assert len(target) == 24
+    assert all(abs(taken[s] - t) <= 0.01 * t for s, t in target.items())
+
+
 def test_mixing(corpus, empty):
     rows = mixing.mix_table(corpus).collect()
     sizes = {d: len(words_of(t)) for d, t in texts_of(corpus).items()}

@@ -4,7 +4,10 @@ Each source has a target number of words; a document of it is to be taken ``targ
 part of that is taken for sure; the fraction is rounded by the pivotal method: two documents at a time trade mass (size times
 fraction) in a random direction until one fraction is 0 or 1, which keeps the source's expected words and each document's expected
 copies. What is left of a chunk goes on to the next level of a tree of chunks, up to one document of each source, which is drawn.
-So the words taken of a source differ from its target by less than its largest document.
+Documents with more than 1/64 of their source's words (fewer than 64 of a source) are rounded first, the largest against each other;
+what they then take too much or too little is taken from, or added to, the fractions of the others. That keeps the expectations and
+leaves at most 1/64 of the source between its words and its target. Where the others' fractions could make up for only one outcome of
+the last large document, it gets that outcome; where for none, the nearer one, and the rest of the difference stays.
 
 Targets: the budget is shared by weight; a source stops at ``most`` times its size and its excess is reshared by weight.
 
@@ -22,6 +25,10 @@ from trackgraph.functions.storage import staged
 
 SEPARATORS = "\t\n\x0b\x0c\r"
 CHUNK = 64
+#: A document is large if it has more than this part of its source's words.
+LARGE = 1 / 64
+#: A table of one row for each source is broadcast up to this many sources.
+BROADCAST_SOURCES = 200_000
 
 
 def count_words(text: Column) -> Column:
@@ -70,14 +77,34 @@ def _fold() -> Column:
     return F.aggregate(F.slice("items", 2, F.greatest(F.size("items") - 1, F.lit(0))), start, step)
 
 
-def rounded(items: DataFrame, counts: DataFrame) -> DataFrame:
-    """``sid, id, extra`` (0 or 1) for items ``sid, id, size, p`` with 0 < p < 1 and size > 0; ``counts``: items n of each sid, one row for each source."""
+def _with_source(items: DataFrame, table: DataFrame, n: int) -> DataFrame:
+    """``items`` and the row of their source in ``table`` (``n`` rows, one for each sid)."""
+    return items.join(F.broadcast(table) if n <= BROADCAST_SOURCES else table, "sid")
+
+
+def _drawn(last: DataFrame, room: DataFrame | None) -> DataFrame:
+    """``sid, id, extra`` of the last item of each source, drawn; but if only one outcome fits into ``room`` (``sid, up, down``), that one."""
+    draw = F.pmod(F.xxhash64("id", "sid", F.lit("last")), F.lit(1 << 40)) / F.lit(float(1 << 40)) < F.col("p")
+    if room is not None:
+        last = last.join(room, "sid", "left")
+        lacks = F.greatest(F.lit(0.0), F.col("p") * F.col("size") - F.coalesce("up", F.lit(0.0)))  # if it is not taken
+        tops = F.greatest(F.lit(0.0), (1 - F.col("p")) * F.col("size") - F.coalesce("down", F.lit(0.0)))  # if it is
+        draw = F.when(lacks > tops, True).when(tops > lacks, False).otherwise(draw)
+    return last.select("sid", "id", F.when(draw, 1).otherwise(0).alias("extra"))
+
+
+def rounded(items: DataFrame, counts: DataFrame, room: DataFrame | None = None) -> DataFrame:
+    """``sid, id, extra`` (0 or 1) for items ``sid, id, size, p`` with 0 < p < 1 and size > 0; ``counts``: items n of each sid, one row for each source.
+
+    ``room``: words that can still be added and taken away elsewhere in each source after the last item is drawn.
+    """
     chunks = F.ceil(F.col("n") / F.lit(CHUNK))
-    now = items.join(F.broadcast(counts), "sid").withColumn("chunk", F.pmod(F.xxhash64("id", F.lit("chunk")), chunks)).drop("n")
-    largest = counts.agg(F.max("n")).first()[0] or 0
+    largest, sources = counts.agg(F.max("n"), F.count("*")).first()
+    now = _with_source(items, counts, sources).withColumn("chunk", F.pmod(F.xxhash64("id", F.lit("chunk")), chunks)).drop("n")
+    largest = largest or 0
     chunks_left, out = -(-largest // CHUNK), None
     while True:
-        grouped = now.groupBy("sid", "chunk").agg(F.array_sort(F.collect_list(F.struct(F.xxhash64("id").alias("h"), "id", "size", "p"))).alias("items"))
+        grouped = now.groupBy("sid", "chunk").agg(F.array_sort(F.collect_list(F.struct((-F.col("size")).alias("order"), F.xxhash64("id").alias("h"), "id", "size", "p"))).alias("items"))
         done = staged(grouped.select("sid", "chunk", _fold().alias("f")), "pivots")
         decided = done.select("sid", F.explode("f.done").alias("d")).select("sid", "d.id", "d.extra")
         out = decided if out is None else out.unionByName(decided)
@@ -85,8 +112,21 @@ def rounded(items: DataFrame, counts: DataFrame) -> DataFrame:
         if chunks_left <= 1:
             break
         chunks_left = -(-chunks_left // CHUNK)
-    last = F.pmod(F.xxhash64("id", "sid", F.lit("last")), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    return out.unionByName(now.select("sid", "id", F.when(last < F.col("p"), 1).otherwise(0).alias("extra")))
+    return out.unionByName(_drawn(now, room))
+
+
+def _rounded_large_first(items: DataFrame) -> DataFrame:
+    """:func:`rounded`, with the fractions of documents of at most ``most`` words moved by what the larger ones took too much."""
+    count = lambda rows: rows.groupBy("sid").agg(F.count("*").alias("n"))
+    large, small = items.where("size > most").drop("most"), items.where("size <= most").drop("most")
+    sums = staged(small.groupBy("sid").agg(F.sum("size").alias("mass"), F.sum(F.col("size") * F.col("p")).alias("down")), "mass")
+    first = staged(rounded(large, count(large), sums.select("sid", (F.col("mass") - F.col("down")).alias("up"), "down")), "large")
+    same = (F.col("sid") == F.col("s")) & F.col("id").eqNullSafe(F.col("i"))
+    over = large.join(first.select(F.col("sid").alias("s"), F.col("id").alias("i"), "extra"), same).groupBy("sid").agg(F.sum(F.col("size") * (F.col("extra") - F.col("p"))).alias("over"))
+    mass = staged(sums.drop("down").join(over, "sid", "left"), "moved")
+    p = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("p") - F.coalesce("over", F.lit(0.0)) / F.col("mass")))
+    moved = staged(_with_source(small, mass, mass.count()).select("sid", "id", "size", p.alias("p")).where("p > 1e-9"), "small")
+    return first.unionByName(rounded(moved, count(moved)))
 
 
 def copies_of(slim: DataFrame, weights: list[float], share: float, most: float) -> DataFrame:
@@ -95,9 +135,9 @@ def copies_of(slim: DataFrame, weights: list[float], share: float, most: float)
     rows = slim.join(targets, slim["source"].eqNullSafe(targets["source"])).drop(targets["source"])
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     rows = rows.withColumns({"whole": F.floor(rate + 1e-12).cast("int"), "p": rate - F.floor(rate + 1e-12)})
-    items = rows.groupBy("sid", F.col("doc_id").alias("id")).agg(F.sum("size").cast("double").alias("size"), F.first("p").alias("p"))
+    items = rows.groupBy("sid", F.col("doc_id").alias("id")).agg(F.sum("size").cast("double").alias("size"), F.first("p").alias("p"), (F.first("source_size") * LARGE).alias("most"))
     items = staged(items.where("size > 0 and p > 1e-9"), "items")
-    extra = rounded(items, items.groupBy("sid").agg(F.count("*").alias("n")))
+    extra = _rounded_large_first(items)
     joined = rows.join(extra.select(F.col("sid").alias("s"), "id", "extra"), (F.col("sid") == F.col("s")) & F.col("doc_id").eqNullSafe(F.col("id")), "left")
     return joined.select("doc_id", "source", "size", "source_size", "target", (F.col("whole") + F.coalesce("extra", F.lit(0))).alias("copies"))
 
