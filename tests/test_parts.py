@@ -61,6 +61,25 @@ def test_trips_of_parts_equal_a_pass_over_each_track(track):
     assert got == pytest.approx(want, abs=1e-9)
 
 
+@pytest.mark.parametrize("own", [0.0, 7600.0])
+def test_rpm_of_parts_equals_a_pass_over_each_track(track, own):
+    """Without an engine's own maximum, and with one on some rows, the learned one goes from part to part."""
+    h = F.pmod(F.xxhash64("seq", F.lit("rpm")), F.lit(6000))
+    rows = track.select("player_id", "seq", "ts_ms", (h + F.col("seq") * 2).cast("double").alias("rpm"), F.when(F.col("seq") % 97 == 5, own).otherwise(0.0).alias("engine_max_rpm"))
+    want, learned = {}, {}
+    for r in sorted(rows.collect(), key=lambda r: (r.player_id, r.ts_ms, r.seq)):
+        last = learned.get(r.player_id, 8000.0)
+        if r.engine_max_rpm > 1000:
+            last = r.engine_max_rpm
+        elif r.rpm > last:
+            last = min(12000.0, r.rpm * 1.08)
+        learned[r.player_id] = last
+        want[r.seq] = min(1.0, max(0.0, r.rpm / max(1000.0, last)))
+    assert len(set(learned.values())) > 1
+    for part_ms in (900, 20_000, WHOLE):
+        assert {r.seq: r.rpm_ratio for r in tracks.rpm_ratio(rows, part_ms).collect()} == pytest.approx(want, abs=1e-12)
+
+
 def test_a_player_with_most_rows_is_spread_over_tasks(track):
     plan = tracks.trips(tracks.held(track))._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(player_id" in plan and "__day" in plan

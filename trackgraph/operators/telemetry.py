@@ -32,7 +32,8 @@ AT = ["ts_ms", "seq"]
 
 
 def _cut(track: DataFrame, part_ms: int) -> DataFrame:
-    return track.withColumn("__day", F.floor(F.col("ts_ms") / part_ms))
+    """``track`` and the part of each row; rows without a time are a part of their own, the first."""
+    return track.withColumn("__day", F.coalesce(F.floor(F.col("ts_ms") / part_ms), F.lit(-(1 << 62))))
 
 
 def _in_part() -> WindowSpec:
@@ -214,23 +215,78 @@ def motion_heading(track: DataFrame, part_ms: int = DAY_MS) -> DataFrame:
     return rows.select(*track.columns, geo.normal_angle(F.when(fresh, F.col("__l.h")).otherwise(F.col("heading"))).alias("motion_heading"))
 
 
-def rpm_ratio(track: DataFrame) -> DataFrame:
+#: Maximum before the first row.
+FIRST_RPM = 8000.0
+
+
+def _learned(last: float, rpm: float, own: float) -> float:
+    return own if own > 1000 else min(12000.0, rpm * 1.08) if rpm > last else last
+
+
+def _bands_after(bands: list[tuple[float, float]], rpm: float, own: float) -> list[tuple[float, float]]:
+    """The maximum after a part as a function of the one before it, one row longer.
+
+    ``bands`` are ``(below, value)``, rising: a maximum under ``below`` becomes the value of the first such band, any other stays.
+    """
+    if own > 1000:
+        return [(float("inf"), own)]
+    if bands and not rpm > bands[-1][0] and not any(rpm > value for _, value in bands):
+        return bands
+    out = []
+    for below, value in [*bands, *([(rpm, 0.0)] if not bands or rpm > bands[-1][0] else [])]:
+        value = _learned(value, rpm, own)
+        if out and out[-1][1] == value:
+            out.pop()
+        out.append((below, value))
+    return out
+
+
+def rpm_ratio(track: DataFrame, part_ms: int = DAY_MS) -> DataFrame:
     """``rpm_ratio, lit, red`` against a learned maximum: 8000, the engine's own if over 1000, else raised by 8 % of a higher rpm.
 
-    The fold is sequential in each player's order and keeps one number; rows are handled one sorted partition after another.
+    A first pass gives each part of a track as a function of the maximum before it, the functions of a player's parts are applied one
+    after another (one small row for each part), and a second pass starts every part with its own maximum. Parts run side by side.
     """
-    rows = track.select("player_id", "seq", "ts_ms", "rpm", "engine_max_rpm")
+    rows = _cut(track.select("player_id", *AT, "rpm", "engine_max_rpm"), part_ms)
+    keys = ["player_id", "__day"]
+
+    def sorted_parts(df: DataFrame) -> DataFrame:
+        return df.repartition(*keys).sortWithinPartitions(*keys, *AT)
+
+    def bands(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part, found = None, []
+        for f in frames:
+            done = []
+            for p, d, rpm, own in zip(f["player_id"].tolist(), f["__day"].tolist(), f["rpm"].tolist(), f["engine_max_rpm"].tolist()):
+                if (p, d) != part:
+                    if part:
+                        done.append((*part, [{"below": b, "value": v} for b, v in found]))
+                    part, found = (p, d), []
+                found = _bands_after(found, rpm, own)
+            yield pd.DataFrame(done, columns=[*keys, "bands"])
+        if part:
+            yield pd.DataFrame([(*part, [{"below": b, "value": v} for b, v in found])], columns=[*keys, "bands"])
 
     def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        player, learned = None, 8000.0
+        part, learned = None, FIRST_RPM
         for f in frames:
             out = np.empty(len(f))
-            for k, (p, rpm, own) in enumerate(zip(f["player_id"].tolist(), f["rpm"].tolist(), f["engine_max_rpm"].tolist())):
-                if p != player:
-                    player, learned = p, 8000.0
-                learned = own if own > 1000 else min(12000.0, rpm * 1.08) if rpm > learned else learned
+            for k, (p, d, first, rpm, own) in enumerate(zip(f["player_id"].tolist(), f["__day"].tolist(), f["__first"].tolist(), f["rpm"].tolist(), f["engine_max_rpm"].tolist())):
+                if (p, d) != part:
+                    part, learned = (p, d), first
+                learned = _learned(learned, rpm, own)
                 out[k] = min(max(rpm / max(1000.0, learned), 0.0), 1.0)
             lit = np.floor(out * 88 + 0.5).astype("int64")
             yield pd.DataFrame({"player_id": f["player_id"], "seq": f["seq"], "rpm_ratio": out, "lit": lit, "red": np.maximum(lit - 75, 0)})
 
-    return rows.repartition("player_id").sortWithinPartitions("player_id", "ts_ms", "seq").mapInPandas(fold, "player_id long, seq long, rpm_ratio double, lit long, red long")
+    parts = sorted_parts(rows.where("player_id is not null")).mapInPandas(bands, "player_id long, __day long, bands array<struct<below: double, value: double>>")
+    in_order = parts.groupBy("player_id").agg(F.array_sort(F.collect_list(F.struct("__day", "bands"))).alias("parts"))
+
+    def step(state: Column, part: Column) -> Column:
+        after = F.coalesce(F.get(F.filter(part["bands"], lambda b: state["now"] < b["below"]), F.lit(0))["value"], state["now"])
+        return F.struct(after.alias("now"), F.concat(state["firsts"], F.array(F.struct(part["__day"].alias("__day"), state["now"].alias("__first")))).alias("firsts"))
+
+    start = F.struct(F.lit(FIRST_RPM).alias("now"), F.expr("cast(array() as array<struct<__day: bigint, __first: double>>)").alias("firsts"))
+    firsts = in_order.select("player_id", F.inline(F.aggregate("parts", start, step)["firsts"]))
+    known = _with_parts(rows, firsts).withColumn("__first", F.coalesce("__first", F.lit(FIRST_RPM)))
+    return sorted_parts(known).mapInPandas(fold, "player_id long, seq long, rpm_ratio double, lit long, red long")
