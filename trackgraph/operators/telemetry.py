@@ -246,6 +246,7 @@ def rpm_ratio(track: DataFrame, part_ms: int = DAY_MS) -> DataFrame:
 
     A first pass gives each part of a track as a function of the maximum before it, the functions of a player's parts are applied one
     after another (one small row for each part), and a second pass starts every part with its own maximum. Parts run side by side.
+    A row without a player is a track of its own.
     """
     rows = _cut(track.select("player_id", *AT, "rpm", "engine_max_rpm"), part_ms)
     keys = ["player_id", "__day"]
