@@ -2,9 +2,11 @@
 
 Vertices are rows, edges link rows that should share a shard; a label is a shard. Linked vertices start evenly spread. In each
 round a vertex counts its neighbours' labels and asks for the most frequent one; requests are admitted in a fixed order up to the
-target shard's free quota, so no shard ever holds more linked vertices than its quota. Rounds go on until none moves a vertex; a
-graph on which they still move some after ``rounds`` is left as it is then, for any state of it is within the quotas. Rows without links then fill what is left
-of the quotas, which makes the sizes even. Law ``rows``: the quotas, and so the counts, are at most one apart.
+target shard's free quota, so no shard ever holds more linked vertices than its quota. Vertices that move in a round are never
+neighbours of each other: those above all their neighbours, those below all of them, and, where a graph has vertices in between,
+those whose hash in that round is the smallest among their neighbours take turns. So each move saves cut edges, and rounds go on
+until no kind of turn moves a vertex. Rows without links then fill what is left of the quotas, which makes the sizes even.
+Law ``rows``: the quotas, and so the counts, are at most one apart.
 
 Edges of documents with equal texts are stars: each row of a group is linked with its first row, and a group larger than half a
 quota is dealt to as many stars as needed.
@@ -41,34 +43,35 @@ def _held(labels: DataFrame, shards: int) -> list[int]:
     return [rows.get(s, 0) for s in range(shards)]
 
 
-def propagated(linked: DataFrame, edges: DataFrame, quotas: list[int], rounds: int = 64) -> DataFrame:
+def propagated(linked: DataFrame, edges: DataFrame, quotas: list[int]) -> DataFrame:
     """``vid, shard`` for the vertices of ``linked`` (``vid, h``: unique id and hash), moved along ``edges`` (``a, b``)."""
     shards, total = len(quotas), linked.count()
     start = ranked(linked, [], F.col("h"), ["vid"])
-    labels = staged(start.select("vid", F.floor(F.col("rank") * shards / F.lit(max(total, 1))).cast("int").alias("shard")), "labels")
     both = staged(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    idle = 0
-    for k in range(rounds):
-        near = both.join(labels.withColumnRenamed("vid", "b"), "b")
-        votes = near.groupBy("a", "shard").agg(F.count("*").alias("n"), F.min("b").alias("least"))
+    ends, around = both.count(), both.groupBy("a").agg(F.min("b").alias("least"), F.max("b").alias("most"), F.count("*").alias("group_rows"))
+    turns = 3 if around.where("least < a and a < most").take(1) else 2  # stars have no vertices in between
+    first = start.select("vid", F.floor(F.col("rank") * shards / F.lit(max(total, 1))).cast("int").alias("shard"))
+    labels = staged(first.join(around.select(F.col("a").alias("vid"), "group_rows"), "vid", "left"), "labels")
+    k = idle = 0
+    while idle < turns:
+        # a vertex with many neighbours is broadcast to its edges
+        near = join_groups(both, labels.withColumnRenamed("vid", "b"), ["b"], ends)
+        votes = near.groupBy("a", "shard").agg(F.count("*").alias("n"), F.min("b").alias("least"), F.max("b").alias("most"), F.min(F.xxhash64("b", F.lit(k))).alias("hash"))
         wish = votes.groupBy("a").agg(
-            F.max(F.struct("n", (-F.col("shard")).alias("to"))).alias("best"), F.min("least").alias("least"),
+            F.max(F.struct("n", (-F.col("shard")).alias("to"))).alias("best"), F.min("least").alias("least"), F.max("most").alias("most"), F.min("hash").alias("hash"),
             F.map_from_entries(F.collect_list(F.struct("shard", "n"))).alias("by"))  # at most one entry for each shard
-        ask = wish.join(labels.withColumnRenamed("vid", "a"), "a").select(
+        turn = [F.col("most") < F.col("a"), F.col("a") < F.col("least"), F.xxhash64("a", F.lit(k)) < F.col("hash")][k % turns]
+        ask = wish.where(turn).join(labels.withColumnRenamed("vid", "a"), "a").select(
             F.col("a").alias("vid"), (-F.col("best.to")).alias("to"), "least",
             (F.col("best.n") - F.coalesce(F.col("by")[F.col("shard")], F.lit(0))).alias("gain"))
-        turn = F.col("least") < F.col("vid")
-        ask = staged(ask.where((F.col("gain") > 0) & (turn if k % 2 == 0 else ~turn)).select("vid", "to", "least"), "asks")
+        ask = staged(ask.where("gain > 0").select("vid", "to", "least"), "asks")
         free = [q - h for q, h in zip(quotas, _held(labels, shards))]
         moved = ranked(ask, ["to"], F.xxhash64("least.h"), ["least", "vid"]).where(F.col("rank") < _at(free, "to"))
         moved = staged(moved.select("vid", "to"), "moves")
-        idle = 0 if moved.take(1) else idle + 1
-        if idle == 2:  # neither kind of turn moves anything
-            break
-        if idle:
-            continue
-        labels = staged(labels.join(moved, "vid", "left").select("vid", F.coalesce("to", "shard").alias("shard")), "labels")
-    return labels
+        k, idle = k + 1, 0 if moved.take(1) else idle + 1
+        if not idle:
+            labels = staged(labels.join(moved, "vid", "left").select("vid", F.coalesce("to", "shard").alias("shard"), "group_rows"), "labels")
+    return labels.select("vid", "shard")
 
 
 def equal_text_stars(rows: DataFrame, most: int) -> DataFrame:
@@ -82,14 +85,14 @@ def equal_text_stars(rows: DataFrame, most: int) -> DataFrame:
     return join_groups(dealt, hubs, ["key", "star"], total).where("vid <> b").select(F.col("vid").alias("a"), "b")
 
 
-def assigned(rows: DataFrame, shards: int, rounds: int = 64) -> DataFrame:
+def assigned(rows: DataFrame, shards: int) -> DataFrame:
     """``rows`` (with ``vid, key, h``) and their ``shard`` and ``slot``. Read several times: stage it first."""
     total = rows.count()
     quotas = _quotas(total, shards)
     edges = staged(equal_text_stars(rows.select("vid", "key"), max(1, total // shards // 2)), "stars")
     ends = edges.select(F.col("a").alias("vid")).unionByName(edges.select(F.col("b").alias("vid"))).distinct()
     linked = staged(rows.select("vid", "h").join(ends, "vid", "left_semi"), "linked")
-    labels = propagated(linked, edges, quotas, rounds)
+    labels = propagated(linked, edges, quotas)
     left, bounds = 0, []
     for q, h in zip(quotas, _held(labels, shards)):
         left += q - h
@@ -114,15 +117,15 @@ def described(docs: DataFrame, *keep: str) -> DataFrame:
     return staged(slim.drop("doc_id") if "doc_id" not in keep else slim, "described")
 
 
-def shard_table(docs: DataFrame, shards: int = 40, rounds: int = 64) -> DataFrame:
+def shard_table(docs: DataFrame, shards: int = 40) -> DataFrame:
     """``doc_id, size, text_crc32, law, shard, slot, grown_shard`` of every row."""
-    out = assigned(described(docs, "doc_id"), shards, rounds)
+    out = assigned(described(docs, "doc_id"), shards)
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-def sharded(docs: DataFrame, shards: int = 40, rounds: int = 64) -> DataFrame:
+def sharded(docs: DataFrame, shards: int = 40) -> DataFrame:
     """All columns of ``docs`` and the result columns of :func:`shard_table`."""
     keep = [c for c in docs.columns if c not in RESULT]
     packed = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in keep]).alias("__row"))
-    out = assigned(described(packed, "__row"), shards, rounds)
+    out = assigned(described(packed, "__row"), shards)
     return out.select("__row.*", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
