@@ -2,8 +2,8 @@
 
 A line is what stands between newlines and has a word; A-Z count as a-z and runs of white space as one space. Edits are words
 inserted, deleted or replaced: two lines of ``least_words`` words or more are copies if one edit at most turns one into the other.
-Pairs with a shorter line are copies if they are equal or, with ``short_edits`` = 1, if one character (of UTF-8) inserted, deleted
-or replaced turns one into the other. A line goes if an earlier line (smaller doc_id, then line number) is a copy of it, whether
+Pairs with a shorter line are copies if one character (of UTF-8) inserted, deleted or replaced at most turns one into the other;
+with ``short_edits`` = 0 such pairs have to be equal. A line goes if an earlier line (smaller doc_id, then line number) is a copy of it, whether
 that one stays or not. Edit bounds above one word or one character are not offered.
 
 1. Equal lines become one row with their first place.
@@ -220,7 +220,7 @@ def _verified(pairs: DataFrame, least_words: int, short_edits: int) -> DataFrame
     return pairs.mapInArrow(check, "doc long, th long, line long").distinct()
 
 
-def removed_lines(docs: DataFrame, least_words: int = 8, short_edits: int = 0) -> DataFrame:
+def removed_lines(docs: DataFrame, least_words: int = 8, short_edits: int = 1) -> DataFrame:
     """``doc, th, n_lines, removed`` (sorted line numbers, null if none) of every document that has lines."""
     source = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc"), F.xxhash64("text").alias("th"), "text")
     lines = staged(line_table(source, least_words, short_edits), "lines")
@@ -246,7 +246,7 @@ def removed_lines(docs: DataFrame, least_words: int = 8, short_edits: int = 0) -
     return judged.groupBy("doc", "th").agg(F.count("*").alias("n_lines"), F.array_sort(F.collect_list(F.when(F.col("gone"), F.col("line")))).alias("removed"))
 
 
-def line_report(docs: DataFrame, least_words: int = 8, short_edits: int = 0) -> DataFrame:
+def line_report(docs: DataFrame, least_words: int = 8, short_edits: int = 1) -> DataFrame:
     """One row per input row: ``doc_id, n_lines, n_removed, removed`` (numbers of the lines with words that go, from 0)."""
     found = removed_lines(docs, least_words, short_edits)
     rows = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc"), F.xxhash64("text").alias("th"))
@@ -255,7 +255,7 @@ def line_report(docs: DataFrame, least_words: int = 8, short_edits: int = 0) ->
     return out.select("doc_id", F.coalesce("n_lines", F.lit(0)).cast("long").alias("n_lines"), F.size(removed).cast("long").alias("n_removed"), removed.alias("removed"))
 
 
-def without_repeated_lines(docs: DataFrame, least_words: int = 8, short_edits: int = 0) -> DataFrame:
+def without_repeated_lines(docs: DataFrame, least_words: int = 8, short_edits: int = 1) -> DataFrame:
     """``docs`` with the kept lines, joined by newlines, as text; lines without words go too. Null texts stay null."""
     found = removed_lines(docs, least_words, short_edits).select("doc", "th", "removed")
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc"), F.xxhash64("text").alias("th"))
