@@ -4,6 +4,7 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -100,27 +101,50 @@ def test_decontamination_against_all_alignments(spark):
     assert {x for x in got if x[0] < 60} == want and (60, 0) in got
 
 
-def test_equally_frequent_words_do_not_erase_a_language(spark):
+def test_every_word_of_the_sample_is_known(spark):
     word = lambda lead, i: lead + "".join(chr(97 + i // 26**k % 26) for k in range(4))
-    rows = [(" ".join(word(lead, i) for i in range(3000)), lang) for lead, lang in (("x", "aa"), ("y", "bb"))]
-    model = language_id.fit(spark.createDataFrame(rows, "text string, lang string"), words_each=1000)
+    rows = [(" ".join(word(lead, i) for i in range(25_000)), lang) for lead, lang in (("x", "aa"), ("y", "bb"))]
+    model = language_id.fit(spark.createDataFrame(rows, "text string, lang string"))
     found = language_id.identify(spark.createDataFrame([(k, t) for k, (t, _) in enumerate(rows)], "doc_id long, text string"), model, "doc_id").collect()
-    assert {r.doc_id: r.lang_pred for r in found} == {0: "aa", 1: "bb"} and 1600 <= len(model.words) <= 2400
+    assert {r.doc_id: r.lang_pred for r in found} == {0: "aa", 1: "bb"} and len(model.words.index) == 50_000
+
+
+def test_the_sample_is_bounded_in_rows_and_bytes(spark):
+    docs = spark.createDataFrame([(f"word{chr(97 + i % 26)} " + "same " * (i % 50) + chr(97 + i // 26 % 26), "aa") for i in range(2000)], "text string, lang string")
+    size = sum(len(r.text) for r in docs.collect())
+    for bound in ({"sample_rows": 200}, {"sample_bytes": size // 10}):
+        n = sum(np.exp(language_id.fit(docs, **bound).words.added) - 1) / 2  # words of the sample, counted again from their logarithms
+        assert 0.03 * size / 5 < n < 0.2 * size / 5
 
 
 def test_language_scores_against_plain_sums(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
-    m = language_id.fit(docs, words_each=300, grams_each=200)
+    learned = docs.where("doc_id % 3 = 0")  # leaves words of the others unseen
+    m = language_id.fit(learned)
+    words, grams = {}, {}
+    for r in learned.where("text is not null and lang is not null").collect():
+        for w in language_id.LETTERS.findall(r.text.lower()):
+            words.setdefault(w, Counter())[r.lang] += 1
+            for n in range(1, 5):
+                for g in language_id.grams_of(w, n):
+                    grams.setdefault(n, {}).setdefault(g, Counter())[r.lang] += 1
+
+    tables = {0: words} | grams
+    sums = {n: {lang: sum(c[lang] for c in t.values()) for lang in m.languages} for n, t in tables.items()}
+
+    def logs(n, x):
+        return [math.log((tables[n][x][lang] + 0.5) / (sums[n][lang] + 0.5 * len(tables[n]))) for lang in m.languages]
+
     for r in language_id.identify(docs, m, "doc_id", "text").collect():
         total = [0.0] * len(m.languages)
-        words = language_id.LETTERS.findall((r.text or "").lower())
-        for w in words:
-            rows = [m.word_logs[m.words[w]]] if w in m.words else []
+        own = language_id.LETTERS.findall((r.text or "").lower())
+        for w in own:
+            rows = [logs(0, w)] if w in words else []
             for n in range(4, 0, -1):
-                rows = rows or [m.gram_logs[m.grams[g]] for g in language_id.grams_of(w, n) if g in m.grams]
+                rows = rows or [logs(n, g) for g in language_id.grams_of(w, n) if g in grams[n]]
             for j in range(len(total)):
                 total[j] += sum(x[j] for x in rows) / max(len(rows), 1)
-        if not words:
+        if not own:
             assert (r.lang_pred, r.score) == ("und", 0.0)
         else:
             best = max(total)

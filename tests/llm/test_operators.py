@@ -93,7 +93,7 @@ def test_line_dedup(corpus, empty):
                 if any(line_dedup.within_one_edit(o, w) for o in lines):
                     gone.add((d, k))
                 lines.append(w)
-    got = {(r.doc_id, k) for r in line_dedup.line_report(corpus).collect() for k in r.removed}
+    got = {(r.doc_id, k) for r in line_dedup.line_report(corpus, short_edits=0).collect() for k in r.removed}
     assert got == gone and gone
     assert line_dedup.line_report(empty).count() == 0
     kept = {r.doc_id: r.text for r in line_dedup.without_repeated_lines(corpus).collect()}
@@ -115,7 +115,7 @@ def test_short_lines_within_one_character(spark):
             if any(line_dedup.are_copies(w, o, 8, 1) for o in seen):
                 want.add((d, k))
             seen.append(w)
-    got = {(r.doc_id, k) for r in line_dedup.line_report(docs, short_edits=1).collect() for k in r.removed}
+    got = {(r.doc_id, k) for r in line_dedup.line_report(docs).collect() for k in r.removed}
     assert got == want and {(1, 0), (2, 0), (3, 0), (6, 0)} <= got and not {(4, 0), (7, 0), (11, 0)} & got
 
 
@@ -167,6 +167,32 @@ def test_sharding(spark, corpus, empty):
     assert sharding.sharded(corpus, shards=3).count() == corpus.count()
 
 
+def propagate(spark, edges, quotas):
+    vertex = lambda v: (v, v)
+    linked = spark.createDataFrame([(vertex(v), v) for v in sorted({v for e in edges for v in e})], "vid struct<h:long,row:long>, h long")
+    pairs = spark.createDataFrame([(vertex(a), vertex(b)) for a, b in edges], "a struct<h:long,row:long>, b struct<h:long,row:long>")
+    return {r.vid.h: r.shard for r in sharding.propagated(linked, pairs, quotas).collect()}
+
+
+def test_propagation_ends_with_fewer_cut_edges_on_any_graph(spark):
+    rnd = random.Random(8)
+    cliques = [(10 * g + i, 10 * g + j) for g in range(4) for i in range(10) for j in range(i)]
+    ring = [(i, (i + 1) % 40) for i in range(40)]
+    odd = [(rnd.randrange(40), rnd.randrange(40)) for _ in range(60)]
+    for edges in (cliques, ring, [e for e in odd if e[0] != e[1]]):
+        n = len({v for e in edges for v in e})
+        label = propagate(spark, edges, [n // 2 + 2] * 2)
+        first = {v: k * 2 // n for k, v in enumerate(sorted(label, key=lambda v: (v % 1024, v)))}
+        assert max(Counter(label.values()).values()) <= n // 2 + 2
+        assert sum(label[a] != label[b] for a, b in edges) <= sum(first[a] != first[b] for a, b in edges)
+
+
+def test_propagation_gathers_a_star_with_thousands_of_leaves(spark):
+    edges = [(5000 - i, 1) for i in range(3000)] + [(9000 + i, 8000) for i in range(5)]
+    label = propagate(spark, edges, [3010, 3010, 3010])
+    assert len({label[v] for e in edges[:3000] for v in e}) == 1 and len({label[v] for e in edges[3000:] for v in e}) == 1
+
+
 def test_decontamination(spark, corpus, empty):
     rnd = random.Random(3)
     item = " ".join("".join(rnd.choice("klmnoprst") for _ in range(6)) for _ in range(30))

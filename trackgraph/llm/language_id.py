@@ -4,10 +4,9 @@ Words are runs of letters in lower case. A known word adds its log frequency in
 longest character n-grams (with word boundaries) of which any is known, then to shorter ones, and adds the mean of their log
 frequencies. The language with the largest sum wins; the score is its share after a softmax of the sums.
 
-The model is fitted on a hash sample of the labelled rows of at most about ``sample_rows`` rows and keeps about ``words_each`` words
-and ``grams_each`` n-grams of each length of each language (with more than 50 languages an equal share of ``words_all`` words), so
-its size is bounded and it can be broadcast. Of words that are equally frequent where the room ends a share by hash is kept.
-Counting runs on Spark.
+The model is fitted on a hash sample of the labelled rows, of about ``sample_rows`` rows and ``sample_bytes`` bytes of text at most,
+and keeps every word of the sample and every n-gram of these words. So its size is bounded by the sample's (words and n-grams have
+entries only for languages they were seen in) and it can be broadcast. Counting runs on Spark.
 
 Defined cases: a text that is null or has no letters gives ``und`` with score 0, as does a model without labelled rows; rows with
 a null lang or text are not learned from; a tie goes to the language whose code sorts first; a null doc_id is scored like any
@@ -22,6 +21,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,15 +35,31 @@ LONGEST_GRAM = 4
 UNKNOWN = "und"
 
 
+@dataclass
+class Logs:
+    """Log frequencies of units by language: those of an unseen unit, and what each unit adds to them where it was seen."""
+
+    index: dict[str, int]
+    unseen: np.ndarray
+    first: np.ndarray
+    language: np.ndarray
+    added: np.ndarray
+
+    def total(self, units: list[int], times: list[int]) -> np.ndarray:
+        """Sum of the units' log frequencies, each as often as ``times`` says, by language."""
+        at, times = np.array(units), np.array(times, float)
+        n = self.first[at + 1] - self.first[at]
+        pick = np.arange(n.sum()) + np.repeat(self.first[at] - np.cumsum(n) + n, n)
+        return times.sum() * self.unseen + np.bincount(self.language[pick], self.added[pick] * np.repeat(times, n), len(self.unseen))
+
+
 @dataclass
 class WordModel:
-    """Log frequencies by language; rows of ``word_logs`` and ``gram_logs`` belong to the entries of the dictionaries."""
+    """Languages in order of their codes, log frequencies of words, and of n-grams by length from 1 on."""
 
     languages: list[str]
-    words: dict[str, int]
-    word_logs: np.ndarray
-    grams: dict[str, int]
-    gram_logs: np.ndarray
+    words: Logs
+    grams: list[Logs]
 
 
 def grams_of(word: str, n: int) -> list[str]:
@@ -51,25 +67,23 @@ def grams_of(word: str, n: int) -> list[str]:
     return [framed[i : i + n] for i in range(len(framed) - n + 1)]
 
 
-def _logs(counts: dict[str, dict[str, float]], languages: list[str], most: int) -> tuple[dict[str, int], np.ndarray]:
-    kept: dict[str, int] = {}
-    for lang in languages:
-        for x, _ in sorted(counts.get(lang, {}).items(), key=lambda p: (-p[1], p[0]))[:most]:
-            kept.setdefault(x, len(kept))
-    table = np.zeros((len(kept), len(languages)))
-    for j, lang in enumerate(languages):
-        own = counts.get(lang, {})
-        for x, i in kept.items():
-            table[i, j] = own.get(x, 0.0)
-    total = table.sum(axis=0, keepdims=True)
-    return kept, np.log((table + 0.5) / (total + 0.5 * max(len(kept), 1)))
+def _logs(counts: pd.DataFrame, languages: list[str]) -> Logs:
+    """``counts`` has one row of lang, unit and n for each unit of each language."""
+    language = np.searchsorted(languages, counts["lang"].to_numpy(object)) if len(counts) else np.zeros(0, int)
+    unit, names = pd.factorize(counts["unit"].to_numpy(object), sort=True)
+    n = counts["n"].to_numpy(float)
+    order = np.lexsort((language, unit))
+    total = np.bincount(language, n, len(languages))
+    first = np.r_[0, np.cumsum(np.bincount(unit, minlength=len(names)))]
+    unseen = np.log(0.5) - np.log(total + 0.5 * max(len(names), 1))
+    return Logs({x: i for i, x in enumerate(names)}, unseen, first, language[order], np.log(n[order] + 0.5) - np.log(0.5))
 
 
-def fit(labelled: DataFrame, sample_rows: int = 20_000, words_each: int = 20_000, grams_each: int = 20_000, words_all: int = 1_000_000) -> WordModel:
-    """``labelled`` has text and lang. Counts words by language on Spark and gathers the most frequent ones."""
+def fit(labelled: DataFrame, sample_rows: int = 20_000, sample_bytes: int = 32 << 20) -> WordModel:
+    """``labelled`` has text and lang. Counts the words and n-grams of a bounded sample by language on Spark and gathers the counts."""
     rows = labelled.where("text is not null and lang is not null").select("text", "lang")
-    total = max(rows.count(), 1)
-    share = min(1.0, sample_rows / total)
+    size = rows.agg(F.count("*").alias("rows"), F.sum(F.octet_length("text")).alias("bytes")).first()
+    share = min(1.0, sample_rows / max(size.rows, 1), sample_bytes / max(size.bytes or 0, 1))
     rows = rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_003)) < F.lit(share * 1_000_003))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -79,47 +93,25 @@ def fit(labelled: DataFrame, sample_rows: int = 20_000, words_each: int = 20_000
                 found.setdefault(lang, Counter()).update(LETTERS.findall(text.lower()))
             flat = [(lang, w, n) for lang, c in found.items() for w, n in c.items()]
             if flat:
-                lang, word, n = zip(*flat)
-                yield pa.RecordBatch.from_arrays([pa.array(lang), pa.array(word), pa.array(n, pa.int64())], ["lang", "word", "n"])
-
-    counted = staged(rows.mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
-    # how many words of a language have a count: one row for each count reaches the driver, not a row for each word
-    levels: dict[str, list[tuple[int, int]]] = {}
-    for lang, n, size in counted.groupBy("lang", "n").count().collect():
-        levels.setdefault(lang, []).append((n, size))
-    languages = sorted(levels)
-    words_each = max(1, min(words_each, words_all // max(len(languages), 1)))
-    limits = []
-    for lang in languages:
-        room, floor, part = words_each, 1, 1.0
-        for n, size in sorted(levels[lang], reverse=True):
-            floor, part, room = n, min(1.0, room / size), room - size
-            if room <= 0:
-                break
-        limits.append((lang, floor, part))
-    limit = F.broadcast(labelled.sparkSession.createDataFrame(limits, "lang string, floor long, part double"))  # one row for each language
-    some = F.pmod(F.xxhash64("word"), F.lit(1_000_003)) < F.col("part") * 1_000_003
-    kept = counted.join(limit, "lang").where((F.col("n") > F.col("floor")) | ((F.col("n") == F.col("floor")) & some)).select("lang", "word", "n").toPandas()
-    kept = kept.sort_values(["lang", "word"])
-    words: dict[str, dict[str, float]] = {}
-    grams: dict[str, dict[str, float]] = {}
-    for lang, own in kept.groupby("lang"):
-        words[lang] = dict(zip(own["word"], own["n"].astype(float)))
-        tally = grams.setdefault(lang, {})
-        for w, n in words[lang].items():
-            for k in range(1, LONGEST_GRAM + 1):
-                for g in grams_of(w, k):
-                    tally[g] = tally.get(g, 0.0) + n
-    known, word_logs = _logs(words, languages, words_each)
-    by_length = [{lang: {g: c for g, c in t.items() if len(g) == k} for lang, t in grams.items()} for k in range(1, LONGEST_GRAM + 1)]
-    gram_index: dict[str, int] = {}
-    tables = []
-    for counts in by_length:
-        own, logs = _logs(counts, languages, grams_each)
-        gram_index |= {g: i + len(gram_index) for g, i in list(own.items())}
-        tables.append(logs)
-    gram_logs = np.concatenate(tables) if tables else np.zeros((0, len(languages)))
-    return WordModel(languages, known, word_logs, gram_index, gram_logs)
+                lang, unit, n = zip(*flat)
+                yield pa.RecordBatch.from_arrays([pa.array(lang), pa.array(unit), pa.array(n, pa.int64())], ["lang", "unit", "n"])
+
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = Counter()
+            for lang, word, n in zip(*(c.to_pylist() for c in batch.columns)):
+                for k in range(1, LONGEST_GRAM + 1):
+                    for g in grams_of(word, k):
+                        found[lang, k, g] += n
+            if found:
+                lang, k, unit = zip(*found)
+                yield pa.RecordBatch.from_arrays([pa.array(lang), pa.array(k, pa.int32()), pa.array(unit), pa.array(list(found.values()), pa.int64())], ["lang", "k", "unit", "n"])
+
+    words = staged(rows.mapInArrow(count, "lang string, unit string, n long").groupBy("lang", "unit").agg(F.sum("n").alias("n")), "words")
+    grams = words.mapInArrow(spell, "lang string, k int, unit string, n long").groupBy("lang", "k", "unit").agg(F.sum("n").alias("n")).toPandas()
+    words = words.toPandas()
+    languages = sorted(set(words["lang"]))
+    return WordModel(languages, _logs(words, languages), [_logs(grams[grams["k"] == k], languages) for k in range(1, LONGEST_GRAM + 1)])
 
 
 class Scorer:
@@ -133,9 +125,10 @@ class Scorer:
             return self.memory[word]
         m, found = self.model, None
         for n in range(min(LONGEST_GRAM, len(word) + 2), 0, -1):
-            at = [i for g in grams_of(word, n) if (i := m.grams.get(g)) is not None]
+            known = m.grams[n - 1].index
+            at = [i for g in grams_of(word, n) if (i := known.get(g)) is not None]
             if at:
-                found = m.gram_logs[at].mean(axis=0)
+                found = m.grams[n - 1].total(at, [1] * len(at)) / len(at)
                 break
         if len(self.memory) >= self.remember:
             self.memory.clear()
@@ -147,12 +140,11 @@ class Scorer:
         counts = Counter(LETTERS.findall(text.lower())) if text else None
         if not counts or not m.languages:
             return UNKNOWN, 0.0
-        known = m.words
+        known = m.words.index
         at = [(i, n) for w, n in counts.items() if (i := known.get(w)) is not None]
         total = np.zeros(len(m.languages))
         if at:
-            rows, times = zip(*at)
-            total += np.array(times, float) @ m.word_logs[list(rows)]
+            total += m.words.total(*zip(*at))
         if len(at) < len(counts):
             for w, n in counts.items():
                 if w not in known and (x := self.backoff(w)) is not None:
