@@ -1,7 +1,9 @@
 """Clashing columns, repeated and null ids, ties, and brute-force versions of fitted or searched results."""
 
 import math
+import pickle
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -109,6 +111,21 @@ def test_every_word_of_the_sample_is_known(spark):
     assert {r.doc_id: r.lang_pred for r in found} == {0: "aa", 1: "bb"} and len(model.words.index) == 50_000
 
 
+def test_the_driver_holds_the_language_model_as_arrays(spark):
+    word = lambda i: "".join(chr(97 + i // 26**k % 26) for k in range(6))
+    docs = spark.createDataFrame([(" ".join(word(7919 * i) for i in range(k, 60_000, 20)), "aa") for k in range(20)], "text string, lang string")
+    tracemalloc.start()
+    try:
+        model = language_id.fit(docs)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(model.words.added) == 60_000 and peak < 40 << 20  # 14 MB; with Python objects for each row 134 MB
+    assert len(model.words.index) == 60_000
+    sent = pickle.loads(pickle.dumps(model)).words
+    assert "index" not in vars(sent) and sent.index == model.words.index
+
+
 def test_the_sample_is_bounded_in_rows_and_bytes(spark):
     docs = spark.createDataFrame([(f"word{chr(97 + i % 26)} " + "same " * (i % 50) + chr(97 + i // 26 % 26), "aa") for i in range(2000)], "text string, lang string")
     size = sum(len(r.text) for r in docs.collect())

@@ -6,7 +6,8 @@ frequencies. The language with the largest sum wins; the score is its share afte
 
 The model is fitted on a hash sample of the labelled rows, of about ``sample_rows`` rows and ``sample_bytes`` bytes of text at most,
 and keeps every word of the sample and every n-gram of these words. So its size is bounded by the sample's (words and n-grams have
-entries only for languages they were seen in) and it can be broadcast. Counting runs on Spark.
+entries only for languages they were seen in) and it can be broadcast. Counting runs on Spark; the driver holds the counts as Arrow
+and NumPy arrays only, and each Python worker makes the lookup by text from them.
 
 Defined cases: a text that is null or has no letters gives ``und`` with score 0, as does a model without labelled rows; rows with
 a null lang or text are not learned from; a tie goes to the language whose code sorts first; a null doc_id is scored like any
@@ -19,10 +20,11 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,12 +41,20 @@ UNKNOWN = "und"
 class Logs:
     """Log frequencies of units by language: those of an unseen unit, and what each unit adds to them where it was seen."""
 
-    index: dict[str, int]
+    names: pa.Array
     unseen: np.ndarray
     first: np.ndarray
     language: np.ndarray
     added: np.ndarray
 
+    @cached_property
+    def index(self) -> dict[str, int]:
+        """Places of the units by their text. Made where it is used; a broadcast model goes without it."""
+        return {x: i for i, x in enumerate(self.names.to_pylist())}
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in vars(self).items() if k != "index"}
+
     def total(self, units: list[int], times: list[int]) -> np.ndarray:
         """Sum of the units' log frequencies, each as often as ``times`` says, by language."""
         at, times = np.array(units), np.array(times, float)
@@ -67,16 +77,17 @@ def grams_of(word: str, n: int) -> list[str]:
     return [framed[i : i + n] for i in range(len(framed) - n + 1)]
 
 
-def _logs(counts: pd.DataFrame, languages: list[str]) -> Logs:
+def _logs(counts: pa.Table, languages: list[str]) -> Logs:
     """``counts`` has one row of lang, unit and n for each unit of each language."""
-    language = np.searchsorted(languages, counts["lang"].to_numpy(object)) if len(counts) else np.zeros(0, int)
-    unit, names = pd.factorize(counts["unit"].to_numpy(object), sort=True)
-    n = counts["n"].to_numpy(float)
-    order = np.lexsort((language, unit))
-    total = np.bincount(language, n, len(languages))
-    first = np.r_[0, np.cumsum(np.bincount(unit, minlength=len(names)))]
-    unseen = np.log(0.5) - np.log(total + 0.5 * max(len(names), 1))
-    return Logs({x: i for i, x in enumerate(names)}, unseen, first, language[order], np.log(n[order] + 0.5) - np.log(0.5))
+    counts = counts.sort_by([("unit", "ascending"), ("lang", "ascending")]).combine_chunks()
+    language = pc.index_in(counts["lang"], pa.array(languages, counts["lang"].type)).to_numpy()
+    unit, n = counts["unit"], counts["n"].to_numpy().astype(float)
+    new = np.ones(len(unit) + 1, bool)
+    if len(unit):
+        new[1:-1] = pc.not_equal(unit[1:], unit[:-1]).to_numpy()
+    names = unit.filter(pa.array(new[:-1])).combine_chunks()
+    unseen = np.log(0.5) - np.log(np.bincount(language, n, len(languages)) + 0.5 * max(len(names), 1))
+    return Logs(names, unseen, np.flatnonzero(new), language, np.log(n + 0.5) - np.log(0.5))
 
 
 def fit(labelled: DataFrame, sample_rows: int = 20_000, sample_bytes: int = 32 << 20) -> WordModel:
@@ -108,10 +119,11 @@ def fit(labelled: DataFrame, sample_rows: int = 20_000, sample_bytes: int = 32 <
                 yield pa.RecordBatch.from_arrays([pa.array(lang), pa.array(k, pa.int32()), pa.array(unit), pa.array(list(found.values()), pa.int64())], ["lang", "k", "unit", "n"])
 
     words = staged(rows.mapInArrow(count, "lang string, unit string, n long").groupBy("lang", "unit").agg(F.sum("n").alias("n")), "words")
-    grams = words.mapInArrow(spell, "lang string, k int, unit string, n long").groupBy("lang", "k", "unit").agg(F.sum("n").alias("n")).toPandas()
-    words = words.toPandas()
-    languages = sorted(set(words["lang"]))
-    return WordModel(languages, _logs(words, languages), [_logs(grams[grams["k"] == k], languages) for k in range(1, LONGEST_GRAM + 1)])
+    grams = words.mapInArrow(spell, "lang string, k int, unit string, n long").groupBy("lang", "k", "unit").agg(F.sum("n").alias("n")).toArrow()
+    words = words.toArrow()
+    languages = sorted(pc.unique(words["lang"]).to_pylist())
+    by_length = [grams.filter(pc.equal(grams["k"], k)) for k in range(1, LONGEST_GRAM + 1)]
+    return WordModel(languages, _logs(words, languages), [_logs(x, languages) for x in by_length])
 
 
 class Scorer:
