@@ -60,6 +60,18 @@ def test_one_of_each_keeps_other_texts_of_a_doc_id(odd):
     assert set(kept) == {k for k in rows if k[0] != 2} and all(n == 1 for k, n in kept.items() if k[0] is not None)
 
 
+def test_the_order_of_tokens_counts_every_document(spark):
+    docs = spark.range(60_000).select(F.when(F.col("id") % 6 < 3, F.concat(F.lit("same words "), F.col("id") % 3)).when(F.col("id") % 6 == 4, F.concat(F.lit("w"), "id")).alias("text"))
+    count = Counter()
+    for _, n, tokens in ngram_join._sets(docs.toArrow()["text"], 5):
+        count.update(int(x) % ngram_join.BUCKETS for x in tokens[:n])
+    want = np.zeros(ngram_join.BUCKETS, np.int8)
+    for x, n in count.items():
+        want[x] = n.bit_length()
+    assert sum(count.values()) == 40_000 and sorted(want)[-3:] == [14] * 3  # 10,000 documents each; of a sample of 40,000 a digit less
+    assert (ngram_join.token_ranks(docs.repartition(5), 5) == want).all()
+
+
 def test_short_items_and_null_ids(spark):
     docs = spark.createDataFrame([(1, "it says: Zebra crossing here"), (2, "zebracrossing"), (None, "a zebra crossing"), (None, "clean"), (1, "clean as well"), (3, "exactly twenty four chars")], "doc_id long, text string")
     bench = spark.createDataFrame([(7, "zebra"), (None, "exactly twenty four char"), (9, "!!")], "item_id long, text string")

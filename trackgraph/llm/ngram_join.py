@@ -5,8 +5,8 @@ A document's set holds the hashes (64 bits) of its distinct runs of ``width`` wo
 are already connected. So only a spanning set of the links is computed; neither all links nor a document's number of links is.
 
 1. Equal sets become one node (the smallest doc_id), so a group of copies of any size is one row from here on.
-2. Each node keeps a prefix: its first ``n - ceil(n * percent / 100) + 1`` tokens in a global order (by how many documents
-   of a sample have a token, in powers of two, else by hash). Two linking sets share a prefix token. The sample only steers speed.
+2. Each node keeps a prefix: its first ``n - ceil(n * percent / 100) + 1`` tokens in a global order (by how many documents have
+   a token of the same bucket, in powers of two, then by hash). Two linking sets share a prefix token, whatever the order.
 3. Nodes are partitioned into groups of similar documents (first shared prefix token and size band, split into blocks of
    ``block`` documents); documents of a block, and the head of its family, are compared in one task, and linked blocks merge.
 4. The matrix: groups are now the components so far, and the unlinked documents of each block, which need no second comparison
@@ -43,6 +43,9 @@ BROADCAST_IDS = 400_000
 #: Tokens before a token that its row of the matrix holds, and members of a group for each lane. Fewer only make groups meet more often.
 EARLIER = 16
 LANE_MEMBERS = 4096
+#: Buckets of tokens for the order of tokens, and how many of them are one row between tasks.
+BUCKETS = 1 << 22
+BUCKETS_A_ROW = 1 << 12
 #: Bytes of sets that a Python task holds before it hands them on.
 BATCH_BYTES = 8 << 20
 
@@ -121,43 +124,45 @@ def least_overlap(n, percent: int):
     return -(-n * percent // 100)
 
 
-def frequent_tokens(docs: DataFrame, width: int, sample_docs: int = 40_000, least: int = 2, most: int = 400_000) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens found in ``least`` documents or more of a hash sample of about ``sample_docs`` documents; about ``most`` at most.
+def token_ranks(docs: DataFrame, width: int) -> np.ndarray:
+    """The rank of each bucket of tokens: the binary digits of the number of its tokens in all documents, each once a document.
 
-    With each its rank, the binary digits of that number. The rank comes first in the global token order, other tokens have rank 0.
-    Any order gives the same links; this one keeps common phrases out of prefixes.
+    A token's bucket is its last bits. The rank comes first in the global token order. Any order gives the same links; this one keeps
+    common phrases out of prefixes. Every document is counted, and the table has the same size for any number of documents.
     """
-    total = max(docs.count(), 1)
-    share = min(1.0, sample_docs / total)
-    picked = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < F.lit(share * 1_000_003)).select("text")
 
-    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(BUCKETS, np.int64)
         for batch in batches:
-            found = [v for _, n, v in _sets(batch.column(0), width) if n]
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(_signed(np.concatenate(found)))], ["token"])
-
-    counts = staged(picked.mapInArrow(tokens, "token long").groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") >= least), "frequent")
-    # the commonest first; of the last number of documents that has room a share by hash. One row for each number reaches the driver
-    room, floor, part = most, least, 1.0
-    for n, size in sorted(((r["n"], r["count"]) for r in counts.groupBy("n").count().collect()), reverse=True):
-        floor, part, room = n, min(1.0, room / size), room - size
-        if room <= 0:
-            break
-    some = F.pmod(F.xxhash64("token"), F.lit(1_000_003)) < F.lit(part * 1_000_003)
-    found = counts.where((F.col("n") > floor) | ((F.col("n") == floor) & some)).select("token", F.length(F.bin("n")).cast("byte").alias("rank")).toArrow()
-    token, rank = found["token"].to_numpy().view(np.uint64), found["rank"].to_numpy()
-    order = np.argsort(token)
-    return token[order], rank[order]
-
-
-def sketches(docs: DataFrame, width: int, percent: int, heavy: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+            for _, n, tokens in _sets(batch.column(0), width):
+                if n:
+                    np.add.at(counts, (tokens & np.uint64(BUCKETS - 1)).view(np.int64), 1)
+        rows = [(i, x) for i, x in enumerate(counts.reshape(-1, BUCKETS_A_ROW)) if x.any()]
+        if rows:
+            part = [x.astype(np.min_scalar_type(x.max())).tobytes() for _, x in rows]
+            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.int32()), pa.array(part, pa.binary())], ["row", "counts"])
+
+    def total(table: pa.Table) -> pa.Table:
+        counts = np.zeros(BUCKETS_A_ROW, np.int64)
+        for x in table["counts"]:
+            counts += np.frombuffer(x.as_buffer(), f"u{x.as_buffer().size // BUCKETS_A_ROW}").astype(np.int64)
+        digits = np.frexp(counts.astype(float))[1].astype(np.int8)
+        return pa.table({"row": table["row"][:1], "ranks": pa.array([digits.tobytes()], pa.binary())})
+
+    found = docs.select("text").mapInArrow(count, "row int, counts binary").groupBy("row").applyInArrow(total, "row int, ranks binary").toArrow()
+    ranks = np.zeros((BUCKETS // BUCKETS_A_ROW, BUCKETS_A_ROW), np.int8)
+    for row, x in zip(found["row"].to_pylist(), found["ranks"]):
+        ranks[row] = np.frombuffer(x.as_buffer(), np.int8)
+    return ranks.reshape(-1)
+
+
+def sketches(docs: DataFrame, width: int, percent: int, order: np.ndarray) -> DataFrame:
     """``doc_id, n, s1, s2, prefix, ranks, bits, b0..b15``: size, 128-bit digest, prefix tokens with ranks, and bitmaps of each set."""
-    shared = docs.sparkSession.sparkContext.broadcast(heavy)
+    shared = docs.sparkSession.sparkContext.broadcast(order)
     bits = [f"b{i}" for i in range(WORDS_OF_BITS)]
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        late, ranks = shared.value
+        ranks = shared.value
         for batch in batches:
             size = len(batch)
             n, s1, s2 = np.zeros(size, np.int64), np.zeros(size, np.uint64), np.zeros(size, np.uint64)
@@ -172,12 +177,9 @@ def sketches(docs: DataFrame, width: int, percent: int, heavy: tuple[np.ndarray,
                 bitmap[r] = np.packbits(flags).view(np.uint64)
                 wide[r] = _bitmap(tokens).tobytes()
                 take = count - least_overlap(int(count), percent) + 1
-                rank = np.zeros(len(tokens), np.int8)
-                if len(late):
-                    place = np.minimum(np.searchsorted(late, tokens), len(late) - 1)
-                    rank = np.where(late[place] == tokens, ranks[place], 0).astype(np.int8)
-                    order = np.argsort(rank, kind="stable")
-                    tokens, rank = tokens[order], rank[order]
+                rank = ranks[(tokens & np.uint64(BUCKETS - 1)).view(np.int64)]
+                first = np.argsort(rank, kind="stable")
+                tokens, rank = tokens[first], rank[first]
                 prefix[r], levels[r] = _signed(tokens[:take]), rank[:take]
             out = [batch.column(0), pa.array(n), pa.array(_signed(s1)), pa.array(_signed(s2)), pa.array(prefix, pa.list_(pa.int64())), pa.array(levels, pa.list_(pa.int8())), pa.array(wide, pa.binary())]
             yield pa.RecordBatch.from_arrays(out + [pa.array(_signed(np.ascontiguousarray(bitmap[:, i]))) for i in range(WORDS_OF_BITS)], ["doc_id", "n", "s1", "s2", "prefix", "ranks", "bits", *bits])
@@ -257,7 +259,7 @@ def ngram_components(docs: DataFrame, width: int = 5, percent: int = 80, block:
 def _components(docs: DataFrame, width: int, percent: int, block: int) -> DataFrame:
     bits = [f"b{i}" for i in range(WORDS_OF_BITS)]
     docs = docs.select("doc_id", "text")
-    rows = staged(sketches(docs, width, percent, frequent_tokens(docs, width)), "sketches")
+    rows = staged(sketches(docs, width, percent, token_ranks(docs, width)), "sketches")
     total = rows.count()
     same = rows.where("n > 0 and doc_id is not null").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("node"), F.count("*").alias("group_rows"))
     same = staged(same, "same")
