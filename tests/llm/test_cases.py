@@ -72,6 +72,19 @@ def test_the_order_of_tokens_counts_every_document(spark):
     assert (ngram_join.token_ranks(docs.repartition(5), 5) == want).all()
 
 
+def test_prefixes_hold_tokens_of_one_document(spark):
+    """100 tokens of its own and 18 shared with one other document; 97 go into the prefix. 300,000 tokens meet in buckets by chance."""
+    words = lambda n, kind, at: F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.concat(F.lit(kind), at.cast("string"), F.lit("_"), i.cast("string")))
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat_ws(" ", words(100, "w", F.col("id")), words(20, "p", F.floor(F.col("id") / 2))).alias("text"))
+    order = ngram_join.token_order(docs, 3)
+    prefixes = [r.prefix for r in ngram_join.sketches(docs, 3, 18, order).collect()]
+    count = Counter(x for p in prefixes for x in p)
+    assert {len(p) for p in prefixes} == {97} and sum(any(count[x] > 1 for x in p) for p in prefixes) < 30
+    tokens = np.array(prefixes[0]).view(np.uint64)
+    order.room[:] = 0  # no room: all count as shared
+    assert (order.rank(tokens) >= 32).all()
+
+
 def test_short_items_and_null_ids(spark):
     docs = spark.createDataFrame([(1, "it says: Zebra crossing here"), (2, "zebracrossing"), (None, "a zebra crossing"), (None, "clean"), (1, "clean as well"), (3, "exactly twenty four chars")], "doc_id long, text string")
     bench = spark.createDataFrame([(7, "zebra"), (None, "exactly twenty four char"), (9, "!!")], "item_id long, text string")

@@ -5,8 +5,9 @@ A document's set holds the hashes (64 bits) of its distinct runs of ``width`` wo
 are already connected. So only a spanning set of the links is computed; neither all links nor a document's number of links is.
 
 1. Equal sets become one node (the smallest doc_id), so a group of copies of any size is one row from here on.
-2. Each node keeps a prefix: its first ``n - ceil(n * percent / 100) + 1`` tokens in a global order (by how many documents have
-   a token of the same bucket, in powers of two, then by hash). Two linking sets share a prefix token, whatever the order.
+2. Each node keeps a prefix: its first ``n - ceil(n * percent / 100) + 1`` tokens in a global order (those of one document first,
+   then by the number of documents, as far as tables of a fixed size tell, then by hash). Two linking sets share a prefix token,
+   whatever the order.
 3. Nodes are partitioned into groups of similar documents (first shared prefix token and size band, split into blocks of
    ``block`` documents); documents of a block, and the head of its family, are compared in one task, and linked blocks merge.
 4. The matrix: groups are now the components so far, and the unlinked documents of each block, which need no second comparison
@@ -26,6 +27,7 @@ input other than doc_id and text are ignored; an empty table gives an empty resu
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -43,9 +45,14 @@ BROADCAST_IDS = 400_000
 #: Tokens before a token that its row of the matrix holds, and members of a group for each lane. Fewer only make groups meet more often.
 EARLIER = 16
 LANE_MEMBERS = 4096
-#: Buckets of tokens for the order of tokens, and how many of them are one row between tasks.
-BUCKETS = 1 << 22
-BUCKETS_A_ROW = 1 << 12
+#: The order of tokens: rows, buckets (cells) of a row, bits that tell a row's tokens apart (3 bytes each between tasks).
+ROW_BITS, CELL_BITS, PLACE_BITS = 12, 10, 24
+ROWS, CELLS = 1 << ROW_BITS, 1 << CELL_BITS
+BUCKETS = ROWS * CELLS
+#: Levels of the order: the documents of a token that reach it, and bits of a row's cells at it. 10.5 MB in all.
+LEVELS = [(2, 14), (4, 12), (16, 10)]
+#: Tokens that a task gathers before it hands them on.
+TOKENS_A_BATCH = 1 << 21
 #: Bytes of sets that a Python task holds before it hands them on.
 BATCH_BYTES = 8 << 20
 
@@ -124,45 +131,111 @@ def least_overlap(n, percent: int):
     return -(-n * percent // 100)
 
 
-def token_ranks(docs: DataFrame, width: int) -> np.ndarray:
-    """The rank of each bucket of tokens: the binary digits of the number of its tokens in all documents, each once a document.
+@dataclass
+class TokenOrder:
+    """Rows by the ``ROW_BITS`` bits of a token above its ``CELL_BITS`` last ones.
+
+    ``ranks``: binary digits of the number of tokens in each bucket, a token's last bits. ``reached``: for each level of ``LEVELS`` bits
+    for which a token of that cell is in so many documents. ``room``: cells of a row whose tokens the first level covers.
+    """
 
-    A token's bucket is its last bits. The rank comes first in the global token order. Any order gives the same links; this one keeps
-    common phrases out of prefixes. Every document is counted, and the table has the same size for any number of documents.
+    ranks: np.ndarray
+    reached: list[np.ndarray]
+    room: np.ndarray
+
+    def rank(self, tokens: np.ndarray) -> np.ndarray:
+        """Levels reached, then digits. Tokens in one document come first, if the first level covers them; others count as shared."""
+        row, at = _place(tokens)
+        cell, level = at >> CELL_BITS, np.zeros(len(tokens), np.int64)
+        some = np.arange(len(tokens))
+        for k, (flags, (_, bits)) in enumerate(zip(self.reached, LEVELS)):
+            c = cell[some] & ((1 << bits) - 1)
+            hit = flags[row[some], c >> 3] >> (c & 7) & 1 > 0
+            if k == 0:
+                hit |= (at & (CELLS - 1)) >= self.room[row]
+            some = some[hit]
+            level[some] = k + 1
+        return (32 * level + np.minimum(self.ranks[row * CELLS + (at & (CELLS - 1))], 31)).astype(np.int8)
+
+
+def _place(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A token's row and its place of ``PLACE_BITS`` bits in it: its last ``CELL_BITS`` bits, and above them those beyond the row's."""
+    t = tokens.view(np.int64)
+    beyond = (t >> (CELL_BITS + ROW_BITS)) & ((1 << (PLACE_BITS - CELL_BITS)) - 1)
+    return (t >> CELL_BITS) & (ROWS - 1), beyond << CELL_BITS | t & (CELLS - 1)
+
+
+def token_order(docs: DataFrame, width: int) -> TokenOrder:
+    """The order of tokens by the number of their documents. Every token of every document is counted, by 36 of its bits.
+
+    Any order gives the same links; this one keeps shared phrases out of prefixes. Each row's tokens are counted in a task of their own,
+    and only the tables come to the driver, which have the same size for any number of documents. In a row with more shared tokens than
+    cells the first level covers a part of the tokens, chosen by their bits.
     """
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(BUCKETS, np.int64)
+    def packed(sets: list[np.ndarray]) -> pa.RecordBatch:
+        row, at = _place(np.concatenate(sets))
+        key = np.sort(row << PLACE_BITS | at)
+        ends = np.searchsorted(key, np.arange(ROWS + 1) << PLACE_BITS)
+        full = np.flatnonzero(np.diff(ends))
+        data = np.ascontiguousarray(key.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3])
+        offsets = (3 * np.append(ends[full], ends[-1])).astype(np.int32)
+        return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.Array.from_buffers(pa.binary(), len(full), [None, pa.py_buffer(offsets), pa.py_buffer(data)])], ["row", "places"])
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in batches:
             for _, n, tokens in _sets(batch.column(0), width):
                 if n:
-                    np.add.at(counts, (tokens & np.uint64(BUCKETS - 1)).view(np.int64), 1)
-        rows = [(i, x) for i, x in enumerate(counts.reshape(-1, BUCKETS_A_ROW)) if x.any()]
-        if rows:
-            part = [x.astype(np.min_scalar_type(x.max())).tobytes() for _, x in rows]
-            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.int32()), pa.array(part, pa.binary())], ["row", "counts"])
+                    held.append(tokens)
+                    size += int(n)
+                if size > TOKENS_A_BATCH:
+                    yield packed(held)
+                    held, size = [], 0
+        if held:
+            yield packed(held)
 
     def total(table: pa.Table) -> pa.Table:
-        counts = np.zeros(BUCKETS_A_ROW, np.int64)
-        for x in table["counts"]:
-            counts += np.frombuffer(x.as_buffer(), f"u{x.as_buffer().size // BUCKETS_A_ROW}").astype(np.int64)
-        digits = np.frexp(counts.astype(float))[1].astype(np.int8)
-        return pa.table({"row": table["row"][:1], "ranks": pa.array([digits.tobytes()], pa.binary())})
+        raw = np.frombuffer(b"".join(table["places"].to_pylist()), np.uint8).reshape(-1, 3)
+        at = np.zeros((len(raw), 4), np.uint8)
+        at[:, :3] = raw
+        at, n = np.unique(at.view("<u4").reshape(-1), return_counts=True)
+        digits = np.frexp(np.bincount(at & (CELLS - 1), n, CELLS))[1].astype(np.int8)
+        shared = np.count_nonzero(n >= LEVELS[0][0])
+        room = min(CELLS, max(1, (CELLS << LEVELS[0][1]) // max(shared, 1)))
+        out = {"row": table["row"][:1], "ranks": pa.array([digits.tobytes()], pa.binary()), "room": pa.array([room], pa.int32())}
+        for k, (least, bits) in enumerate(LEVELS):
+            take = (n >= least) & ((at & (CELLS - 1)) < room) if k == 0 else n >= least
+            flags = np.zeros(1 << bits, bool)
+            flags[(at[take] >> CELL_BITS) & ((1 << bits) - 1)] = True
+            out[f"level{k}"] = pa.array([np.packbits(flags, bitorder="little").tobytes()], pa.binary())
+        return pa.table(out)
+
+    levels = [f"level{k}" for k in range(len(LEVELS))]
+    schema = "row int, ranks binary, room int, " + ", ".join(f"{x} binary" for x in levels)
+    found = docs.select("text").mapInArrow(gather, "row int, places binary").groupBy("row").applyInArrow(total, schema).toArrow()
+    ranks, room = np.zeros((ROWS, CELLS), np.int8), np.full(ROWS, CELLS, np.int32)
+    reached = [np.zeros((ROWS, (1 << bits) // 8), np.uint8) for _, bits in LEVELS]
+    rows = found["row"].to_numpy()
+    room[rows] = found["room"].to_numpy()
+    for name, table in zip(["ranks", *levels], [ranks, *reached]):
+        for row, x in zip(rows, found[name]):
+            table[row] = np.frombuffer(x.as_buffer(), table.dtype)
+    return TokenOrder(ranks.reshape(-1), reached, room)
 
-    found = docs.select("text").mapInArrow(count, "row int, counts binary").groupBy("row").applyInArrow(total, "row int, ranks binary").toArrow()
-    ranks = np.zeros((BUCKETS // BUCKETS_A_ROW, BUCKETS_A_ROW), np.int8)
-    for row, x in zip(found["row"].to_pylist(), found["ranks"]):
-        ranks[row] = np.frombuffer(x.as_buffer(), np.int8)
-    return ranks.reshape(-1)
+
+def token_ranks(docs: DataFrame, width: int) -> np.ndarray:
+    """The rank of each bucket of tokens: the binary digits of the number of its tokens in all documents, each once a document."""
+    return token_order(docs, width).ranks
 
 
-def sketches(docs: DataFrame, width: int, percent: int, order: np.ndarray) -> DataFrame:
+def sketches(docs: DataFrame, width: int, percent: int, order: TokenOrder) -> DataFrame:
     """``doc_id, n, s1, s2, prefix, ranks, bits, b0..b15``: size, 128-bit digest, prefix tokens with ranks, and bitmaps of each set."""
     shared = docs.sparkSession.sparkContext.broadcast(order)
     bits = [f"b{i}" for i in range(WORDS_OF_BITS)]
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks = shared.value
+        order = shared.value
         for batch in batches:
             size = len(batch)
             n, s1, s2 = np.zeros(size, np.int64), np.zeros(size, np.uint64), np.zeros(size, np.uint64)
@@ -177,7 +250,7 @@ def sketches(docs: DataFrame, width: int, percent: int, order: np.ndarray) -> Da
                 bitmap[r] = np.packbits(flags).view(np.uint64)
                 wide[r] = _bitmap(tokens).tobytes()
                 take = count - least_overlap(int(count), percent) + 1
-                rank = ranks[(tokens & np.uint64(BUCKETS - 1)).view(np.int64)]
+                rank = order.rank(tokens)
                 first = np.argsort(rank, kind="stable")
                 tokens, rank = tokens[first], rank[first]
                 prefix[r], levels[r] = _signed(tokens[:take]), rank[:take]
@@ -259,7 +332,7 @@ def ngram_components(docs: DataFrame, width: int = 5, percent: int = 80, block:
 def _components(docs: DataFrame, width: int, percent: int, block: int) -> DataFrame:
     bits = [f"b{i}" for i in range(WORDS_OF_BITS)]
     docs = docs.select("doc_id", "text")
-    rows = staged(sketches(docs, width, percent, token_ranks(docs, width)), "sketches")
+    rows = staged(sketches(docs, width, percent, token_order(docs, width)), "sketches")
     total = rows.count()
     same = rows.where("n > 0 and doc_id is not null").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("node"), F.count("*").alias("group_rows"))
     same = staged(same, "same")
