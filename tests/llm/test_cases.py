@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from trackgraph.functions import storage
 from trackgraph.llm import decontamination, groups, language_id, line_dedup, mixing, ngram_join, quality_classifier, quality_rules, sharding, token_records
 
 NAMES = ["score", "lang_pred", "copies", "h", "vid", "key", "doc", "th", "removed", "row", "__row", "node", "component", "n", "a b"]
@@ -85,6 +86,13 @@ def test_prefixes_hold_tokens_of_one_document(spark):
     assert (order.rank(tokens) >= 32).all()
 
 
+def test_staged_tables_free_the_driver(spark):
+    jvm = spark._jvm
+    gone = jvm.java.lang.ref.WeakReference(jvm.java.lang.Object())
+    storage.staged(spark.range(3), "numbers")
+    assert gone.get() is None
+
+
 def test_short_items_and_null_ids(spark):
     docs = spark.createDataFrame([(1, "it says: Zebra crossing here"), (2, "zebracrossing"), (None, "a zebra crossing"), (None, "clean"), (1, "clean as well"), (3, "exactly twenty four chars")], "doc_id long, text string")
     bench = spark.createDataFrame([(7, "zebra"), (None, "exactly twenty four char"), (9, "!!")], "item_id long, text string")
