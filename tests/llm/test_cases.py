@@ -87,8 +87,7 @@ def test_prefixes_hold_tokens_of_one_document(spark):
 
 
 def test_staged_tables_free_the_driver(spark):
-    jvm = spark._jvm
-    gone = jvm.java.lang.ref.WeakReference(jvm.java.lang.Object())
+    gone = spark._jvm.java.lang.ref.WeakReference("no longer used")  # a text of the driver's heap that nothing else holds
     storage.staged(spark.range(3), "numbers")
     assert gone.get() is None
 
