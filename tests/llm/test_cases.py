@@ -87,9 +87,13 @@ def test_prefixes_hold_tokens_of_one_document(spark):
 
 
 def test_staged_tables_free_the_driver(spark):
-    gone = spark._jvm.java.lang.ref.WeakReference("no longer used")  # a text of the driver's heap that nothing else holds
+    held, weak = spark._jvm.java.util.HashMap(), spark._jvm.java.util.WeakHashMap()
+    held.put("no longer used", 1)
+    weak.putAll(held)
+    spark._jvm.System.gc()  # now it is old, and small collections pass it by
+    held.clear()
     storage.staged(spark.range(3), "numbers")
-    assert gone.get() is None
+    assert weak.size() == 0
 
 
 def test_short_items_and_null_ids(spark):
