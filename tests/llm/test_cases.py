@@ -86,6 +86,21 @@ def test_prefixes_hold_tokens_of_one_document(spark):
     assert (order.rank(tokens) >= 32).all()
 
 
+def test_prefixes_are_stored_without_lone_tokens(spark):
+    """Shared tokens keep their places in the prefix; of those in one document only a few are left, which meet shared ones by chance."""
+    text = F.concat_ws(" ", *[F.concat(F.lit(f"own{i}_"), "id") for i in range(20)], *[F.concat(F.lit(f"pair{i}_"), F.floor(F.col("id") / 2)) for i in range(20)])
+    docs = spark.range(400).select(F.col("id").alias("doc_id"), text.alias("text"))
+    order = ngram_join.token_order(docs, 3)
+    whole = {r.doc_id: list(r.prefix) for r in ngram_join.sketches(docs, 3, 20, order).collect()}
+    less = {r.doc_id: dict(zip(r.places, r.prefix)) for r in ngram_join.sketches(docs, 3, 20, order, lone=False).collect()}
+    count = Counter(x for p in whole.values() for x in p)
+    assert whole.keys() == less.keys() and any(count[x] > 1 for x in whole[0])
+    for doc, prefix in whole.items():
+        assert all(prefix[k] == x for k, x in less[doc].items())
+        assert {x for x in prefix if count[x] > 1} <= set(less[doc].values())
+    assert sum(count[x] == 1 for p in less.values() for x in p.values()) < 0.1 * sum(n == 1 for n in count.values())
+
+
 def test_staged_tables_free_the_driver(spark):
     held, weak = spark._jvm.java.util.HashMap(), spark._jvm.java.util.WeakHashMap()
     held.put("no longer used", 1)

@@ -7,7 +7,7 @@ are already connected. So only a spanning set of the links is computed; neither
 1. Equal sets become one node (the smallest doc_id), so a group of copies of any size is one row from here on.
 2. Each node keeps a prefix: its first ``n - ceil(n * percent / 100) + 1`` tokens in a global order (those of one document first,
    then by the number of documents, as far as tables of a fixed size tell, then by hash). Two linking sets share a prefix token,
-   whatever the order.
+   whatever the order. Of the prefix only tokens are stored that may be in two documents; counts of all tokens tell those that are not.
 3. Nodes are partitioned into groups of similar documents (first shared prefix token and size band, split into blocks of
    ``block`` documents); documents of a block, and the head of its family, are compared in one task, and linked blocks merge.
 4. The matrix: groups are now the components so far, and the unlinked documents of each block, which need no second comparison
@@ -31,6 +31,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,6 +52,8 @@ ROWS, CELLS = 1 << ROW_BITS, 1 << CELL_BITS
 BUCKETS = ROWS * CELLS
 #: Levels of the order: the documents of a token that reach it, and bits of a row's cells at it. 10.5 MB in all.
 LEVELS = [(2, 14), (4, 12), (16, 10)]
+#: Ranks of one level. Those of tokens that reach no level are smaller.
+ONE_LEVEL = 32
 #: Tokens that a task gathers before it hands them on.
 TOKENS_A_BATCH = 1 << 21
 #: Bytes of sets that a Python task holds before it hands them on.
@@ -155,7 +158,7 @@ class TokenOrder:
                 hit |= (at & (CELLS - 1)) >= self.room[row]
             some = some[hit]
             level[some] = k + 1
-        return (32 * level + np.minimum(self.ranks[row * CELLS + (at & (CELLS - 1))], 31)).astype(np.int8)
+        return (ONE_LEVEL * level + np.minimum(self.ranks[row * CELLS + (at & (CELLS - 1))], ONE_LEVEL - 1)).astype(np.int8)
 
 
 def _place(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -168,7 +171,7 @@ def _place(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def token_order(docs: DataFrame, width: int) -> TokenOrder:
     """The order of tokens by the number of their documents. Every token of every document is counted, by 36 of its bits.
 
-    Any order gives the same links; this one keeps shared phrases out of prefixes. Each row's tokens are counted in a task of their own,
+    Any order gives the same links; this one keeps shared phrases out of prefixes. A token below the first level is in one row of ``docs``. Each row's tokens are counted in a task of their own,
     and only the tables come to the driver, which have the same size for any number of documents. In a row with more shared tokens than
     cells the first level covers a part of the tokens, chosen by their bits.
     """
@@ -229,9 +232,13 @@ def token_ranks(docs: DataFrame, width: int) -> np.ndarray:
     return token_order(docs, width).ranks
 
 
-def sketches(docs: DataFrame, width: int, percent: int, order: TokenOrder) -> DataFrame:
-    """``doc_id, n, s1, s2, prefix, ranks, bits, b0..b15``: size, 128-bit digest, prefix tokens with ranks, and bitmaps of each set."""
-    shared = docs.sparkSession.sparkContext.broadcast(order)
+def sketches(docs: DataFrame, width: int, percent: int, order: TokenOrder | Broadcast, lone: bool = True) -> DataFrame:
+    """``doc_id, n, s1, s2, prefix, ranks, places, bits, b0..b15``: size, 128-bit digest, prefix tokens with ranks and places, and bitmaps of each set.
+
+    Without ``lone``, prefix tokens go that ``order`` knows to be in one row of ``docs`` only, so no other row's prefix holds them. The
+    others keep their places.
+    """
+    shared = order if isinstance(order, Broadcast) else docs.sparkSession.sparkContext.broadcast(order)
     bits = [f"b{i}" for i in range(WORDS_OF_BITS)]
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,6 +247,7 @@ def sketches(docs: DataFrame, width: int, percent: int, order: TokenOrder) -> Da
             size = len(batch)
             n, s1, s2 = np.zeros(size, np.int64), np.zeros(size, np.uint64), np.zeros(size, np.uint64)
             bitmap, prefix, levels, wide = np.zeros((size, WORDS_OF_BITS), np.uint64), [None] * size, [None] * size, [b""] * size
+            places = [None] * size
             for r, count, tokens in _sets(batch.column(1), width):
                 n[r] = count
                 if not count:
@@ -252,12 +260,13 @@ def sketches(docs: DataFrame, width: int, percent: int, order: TokenOrder) -> Da
                 take = count - least_overlap(int(count), percent) + 1
                 rank = order.rank(tokens)
                 first = np.argsort(rank, kind="stable")
-                tokens, rank = tokens[first], rank[first]
-                prefix[r], levels[r] = _signed(tokens[:take]), rank[:take]
-            out = [batch.column(0), pa.array(n), pa.array(_signed(s1)), pa.array(_signed(s2)), pa.array(prefix, pa.list_(pa.int64())), pa.array(levels, pa.list_(pa.int8())), pa.array(wide, pa.binary())]
-            yield pa.RecordBatch.from_arrays(out + [pa.array(_signed(np.ascontiguousarray(bitmap[:, i]))) for i in range(WORDS_OF_BITS)], ["doc_id", "n", "s1", "s2", "prefix", "ranks", "bits", *bits])
+                tokens, rank = tokens[first][:take], rank[first][:take]
+                place = np.flatnonzero(lone | (rank >= ONE_LEVEL))
+                prefix[r], levels[r], places[r] = _signed(tokens[place]), rank[place], place.astype(np.int32)
+            out = [batch.column(0), pa.array(n), pa.array(_signed(s1)), pa.array(_signed(s2)), pa.array(prefix, pa.list_(pa.int64())), pa.array(levels, pa.list_(pa.int8())), pa.array(places, pa.list_(pa.int32())), pa.array(wide, pa.binary())]
+            yield pa.RecordBatch.from_arrays(out + [pa.array(_signed(np.ascontiguousarray(bitmap[:, i]))) for i in range(WORDS_OF_BITS)], ["doc_id", "n", "s1", "s2", "prefix", "ranks", "places", "bits", *bits])
 
-    schema = "doc_id long, n long, s1 long, s2 long, prefix array<long>, ranks array<byte>, bits binary, " + ", ".join(f"{b} long" for b in bits)
+    schema = "doc_id long, n long, s1 long, s2 long, prefix array<long>, ranks array<byte>, places array<int>, bits binary, " + ", ".join(f"{b} long" for b in bits)
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(make, schema)
 
 
@@ -332,17 +341,19 @@ def ngram_components(docs: DataFrame, width: int = 5, percent: int = 80, block:
 def _components(docs: DataFrame, width: int, percent: int, block: int) -> DataFrame:
     bits = [f"b{i}" for i in range(WORDS_OF_BITS)]
     docs = docs.select("doc_id", "text")
-    rows = staged(sketches(docs, width, percent, token_order(docs, width)), "sketches")
+    order = docs.sparkSession.sparkContext.broadcast(token_order(docs, width))
+    rows = staged(sketches(docs, width, percent, order, lone=False), "sketches")
+    order.destroy()  # else the driver holds its blocks through all steps below
     total = rows.count()
     same = rows.where("n > 0 and doc_id is not null").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("node"), F.count("*").alias("group_rows"))
     same = staged(same, "same")
-    full = rows.select("s1", "s2", "n", F.col("doc_id").alias("node"), "prefix", "ranks", "bits", *bits).join(same.drop("group_rows"), ["s1", "s2", "n", "node"]).dropDuplicates(["s1", "s2", "n", "node"])
+    full = rows.select("s1", "s2", "n", F.col("doc_id").alias("node"), "prefix", "ranks", "places", "bits", *bits).join(same.drop("group_rows"), ["s1", "s2", "n", "node"]).dropDuplicates(["s1", "s2", "n", "node"])
     full = staged(full.drop("s1", "s2"), "nodes")
 
     # prefix tokens that two nodes or more share
     # reach: most tokens that a set has in common with another one if this is the first common one
-    exploded = full.select("node", "n", F.posexplode(F.arrays_zip("prefix", "ranks")).alias("place", "at"))
-    exploded = exploded.select("node", "n", F.col("at.prefix").alias("token"), F.col("at.ranks").alias("rank"), (F.col("n") - F.col("place")).alias("reach"))
+    exploded = full.select("node", "n", F.explode(F.arrays_zip("prefix", "ranks", "places")).alias("at"))
+    exploded = exploded.select("node", "n", F.col("at.prefix").alias("token"), F.col("at.ranks").alias("rank"), (F.col("n") - F.col("at.places")).alias("reach"))
     shared = exploded.groupBy("token").count().where("count > 1").select("token")
     tokens = staged(exploded.join(shared, "token"), "tokens")
 
@@ -360,7 +371,7 @@ def _components(docs: DataFrame, width: int, percent: int, block: int) -> DataFr
     alone = placed.join(parts, "node", "left_anti").select("node", "item").distinct()
     rest = alone.join(alone.groupBy("item").agg(F.min("node").alias("rest")), "item").select("node", "rest")
     grouped = full.join(parts, "node", "left").join(rest, "node", "left")
-    grouped = grouped.withColumn("part", F.coalesce("component", "rest", "node")).drop("rest", "prefix", "ranks")
+    grouped = grouped.withColumn("part", F.coalesce("component", "rest", "node")).drop("rest", "prefix", "ranks", "places")
     grouped = staged(grouped, "grouped")
     unions = grouped.groupBy("part").agg(F.count("*").alias("size"), F.min("n").alias("low"), F.max("n").alias("high"), *[F.bit_or(b).alias(b) for b in bits])
     unions = staged(unions, "unions")
@@ -395,8 +406,7 @@ def _components(docs: DataFrame, width: int, percent: int, block: int) -> DataFr
     open_ = open_.where((outside <= F.col("n") - F.ceil(F.col("n") * percent / 100)) & (100 * F.col("high") >= percent * F.col("n")) & (100 * F.col("n") >= percent * F.col("low")))
     open_ = staged(open_.select("component", "answers", "node", "n", "size"), "bounded")
     answers = grouped.select("part", "bits").join(open_.select(F.col("answers").alias("part")).distinct(), "part", "left_semi")
-    asking = grouped.select("node", "n", "bits").join(open_.select("node", "n").distinct(), ["node", "n"], "left_semi")
-    wide = open_.join(asking, ["node", "n"]).join(_union_maps(answers).withColumnRenamed("part", "answers"), "answers")
+    wide = open_.join(grouped.select("node", "n", "bits"), ["node", "n"]).join(_union_maps(answers).withColumnRenamed("part", "answers"), "answers")
     open_ = staged(_qualify(wide, percent), "opened")
     cuts = F.ceil(F.col("size") / F.lit(block)).cast("int")
     seats = staged(open_.groupBy("answers", "size").agg(F.count("*").alias("queries")).withColumn("cuts", cuts).withColumn("turns", F.ceil(F.col("queries") / F.lit(block)).cast("int")), "seats")
