@@ -101,6 +101,14 @@ def test_prefixes_are_stored_without_lone_tokens(spark):
     assert sum(count[x] == 1 for p in less.values() for x in p.values()) < 0.1 * sum(n == 1 for n in count.values())
 
 
+def test_pairs_of_lines_are_staged_before_all_lines_are_judged(spark):
+    """The last plan holds no shuffle of variants."""
+    docs = spark.createDataFrame([(1, "a b c d e f g h i\nshort one"), (2, "a b c d e f g h x\nshort onf")], "doc_id long, text string")
+    out = line_dedup.line_report(docs)
+    assert out.inputFiles() and not [f for f in out.inputFiles() if "/variants-" in f]
+    assert [(r.doc_id, r.removed) for r in out.orderBy("doc_id").collect()] == [(1, []), (2, [0, 1])]
+
+
 def test_staged_tables_free_the_driver(spark):
     held, weak = spark._jvm.java.util.HashMap(), spark._jvm.java.util.WeakHashMap()
     held.put("no longer used", 1)
