@@ -393,3 +393,29 @@ def test_search_next_to_queries_equals_a_scan(spark):
         found = poi.search(queries_, markers, limit, same)
         assert {(r.query_id, r.file_order, r["rank"]) for r in found.collect()} == want(limit, same)
         assert found.columns == ["query_id", *markers.columns, "distance", "rank"]
+
+
+def _most_joined(found):
+    """The rows of ``found``, and the most rows that a join in its plan made."""
+    rows, most = found.collect(), 0
+    plan = [found._jdf.queryExecution().executedPlan()]
+    while plan:
+        node = plan.pop()
+        name = node.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            plan.append(node.executedPlan())
+        elif name.endswith("QueryStageExec"):
+            plan.append(node.plan())
+        if "Join" in name and node.metrics().contains("numOutputRows"):
+            most = max(most, node.metrics().apply("numOutputRows").value())
+        children = node.children()
+        plan += [children.apply(i) for i in range(children.size())]
+    return rows, most
+
+
+def test_searches_of_equal_queries_read_near_markers_only(spark):
+    """3000 markers that all have the term and 400 queries at two places: never all pairs."""
+    markers = spark.range(3000).selectExpr("id as file_order", "'tin' as title", "'P' as category", "'b' as parent_category", "cast(id % 1500 as double) as map_x", "cast(id * 7 % 1500 as double) as map_y")
+    asked = spark.range(400).selectExpr("id as query_id", "'tin' as text", "cast(null as string) as category", "cast(id % 2 * 700 as double) as x", "3.0D as y")
+    rows, most = _most_joined(poi.search(asked, markers, 8))
+    assert len(rows) == 3200 and most <= 3200
