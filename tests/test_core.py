@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from trackgraph.functions import geo
 from trackgraph.jobs import queries
-from trackgraph.operators import events, graph, network, poi, progress, raster, routing
+from trackgraph.operators import components, events, graph, network, poi, progress, raster, routing
 from trackgraph.operators import telemetry as tracks
 from trackgraph.operators.components import connected_components
 from trackgraph.sources import adapters, packets
@@ -441,3 +441,34 @@ def test_nearest_of_equal_points_reads_near_places_only(spark):
         want = {i: [k for d, k in sorted((math.hypot(i * 400 - a, 5 - b), k) for k, a, b in spots)[:6] if radius is None or d <= radius] for i in range(3)}
         rows, most = _most_joined(poi.nearest(points, targets, "p", "t", 6, radius))
         assert {(r.p, r["rank"], r.t) for r in rows} == {(p, n + 1, k) for p in range(300) for n, k in enumerate(want[p % 3])} and most <= 4000
+
+
+@pytest.mark.parametrize("few", [True, False])
+def test_close_components_need_few_tables(spark, monkeypatch, few):
+    """A long snake of pixels, stars, many small graphs, self edges and ends without an id; tables do not grow with the snake."""
+    import random
+
+    rnd, names = random.Random(1), []
+    snake = [(i, i + 1) for i in range(5000)]
+    more = [(9000, 9000 + rnd.randint(0, 400)) for _ in range(300)] + [(rnd.randint(20_000, 24_000), rnd.randint(20_000, 24_000)) for _ in range(1500)] + [(30_000, 30_000), (None, 5), (7, None)]
+    rnd.shuffle(snake)
+    edges = [e if rnd.random() < 0.5 else e[::-1] for e in snake + more]
+    top = {}
+
+    def find(k):
+        while top.setdefault(k, k) != k:
+            k = top[k]
+        return k
+
+    for u, v in edges:
+        if None not in (u, v) and u != v:
+            a, b = sorted((find(u), find(v)))
+            top[b] = a
+    monkeypatch.setattr(components, "staged", lambda df, name, real=components.staged: (names.append(name), real(df, name))[1])
+    if not few:
+        monkeypatch.setattr(components, "CHUNK", 0)
+    found = components.close_components(spark.createDataFrame(edges, "a long, b long").repartition(8)).collect()
+    assert len(found) == len(top) and {r.node: r.component for r in found} == {k: find(k) for k in top}
+    assert len(names) <= (3 if few else 12)
+    assert components.close_components(spark.createDataFrame([(1, 1)], "a long, b long")).count() == 0
+    assert [(r.node, r.component) for r in components.close_components(spark.createDataFrame([("b", "a")], "a string, b string")).orderBy("node").collect()] == [("a", "a"), ("b", "a")]
